@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from lodeworks.llm import quality_rules, secret_scan, url_filter
+from lodeworks.llm import decontaminate, near_dup, quality_rules, secret_scan, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_secret_scan": secret_scan.op3_secret_scan,
+    "op4_simhash": near_dup.op4_simhash,
     "op5_quality_rules": quality_rules.op5_quality_rules,
 }
 
 ORACLES = {
     "op1_url_filter": url_filter.OP1_SQL,
+    "op2_decontaminate": decontaminate.OP2_SQL,
     "op5_quality_rules": quality_rules.OP5_SQL,
 }
