@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodeworks.llm import decontaminate, near_dup, quality_rules, secret_scan, url_filter
+from lodeworks.llm import decontaminate, nbest, near_dup, orc_tokens, quality_rules, secret_scan, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_secret_scan": secret_scan.op3_secret_scan,
     "op4_simhash": near_dup.op4_simhash,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op8_orc_tokens": orc_tokens.op8_orc_tokens,
+    "op9_nbest_segmentation": nbest.op9_nbest_segmentation,
 }
 
 ORACLES = {
