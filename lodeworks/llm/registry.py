@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodeworks.llm import decontaminate, nbest, near_dup, orc_tokens, quality_rules, secret_scan, url_filter
+from lodeworks.llm import decontaminate, language_id, nbest, near_dup, orc_tokens, quality_rules, secret_scan, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op8_orc_tokens": orc_tokens.op8_orc_tokens,
     "op9_nbest_segmentation": nbest.op9_nbest_segmentation,
+    "op10_language_id": language_id.op10_language_id,
 }
 
 ORACLES = {
