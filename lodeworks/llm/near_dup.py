@@ -2,7 +2,7 @@
 
 A fingerprint has 64 bits: bit b is 1 if it is set in over half of the XXH64 hashes (seed 42) of the text's shingles. To
 link fingerprints that differ in at most `bits` = 2 bits, it is cut into two segments of 32 bits: of two such fingerprints,
-one segment differs in one bit at most. Each segment is indexed 32 times, with one bit left out each time; fingerprints
+one segment differs in one bit at most (of two that differ in three bits, too, so `bits` may be 3). Each segment is indexed 32 times, with one bit left out each time; fingerprints
 meet in an equality join on (segment, bit left out, the other bits), are verified by their distance, and one meeting
 place, the same for both, reports the link. Only distinct fingerprints take part, so exact copies cost one row a copy, not
 one a pair. Components spread the smallest document id along links, hooking roots to smaller roots, then jumping.
@@ -11,12 +11,12 @@ Words: `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased; `size`-word shin
 words is one shingle, one with none has fingerprint zero and is linked like any other.
 
 Defined results. Null and empty texts have fingerprint zero. A null doc_id takes no part in the smallest id of its
-component; a component of nulls only has a null id. Repeated rows are rows of one component. An empty table gives an
+component; a component of nulls only has a null id; `one_of_each` keeps rows without an id, as it could not name the one that stays. Repeated rows are rows of one component. An empty table gives an
 empty result. Texts are used whole. Columns the input has besides are kept by `one_of_each`, whatever their names.
 
 Scale: one narrow pass over the texts; from then on 8-byte fingerprints and ids. Groups by fingerprint are combined
 before their shuffle. A variant table has 64 rows for each distinct fingerprint, whatever the number of copies. A
-fingerprint has at most 2,080 others within two bits, so links cannot grow with the square of a group. The skew-join
+fingerprint has at most 2,080 others within two bits (43,744 within three), so links cannot grow with the square of a group. The skew-join
 splitting of Spark's adaptive execution splits a signature that many share. Lineage is cut by checkpoints in the shared folder.
 """
 
@@ -74,8 +74,10 @@ def _halves(fp: Column) -> tuple[Column, Column]:
     return F.shiftrightunsigned(fp, 32), fp.bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """a, b: distinct fingerprints, a < b, that differ in one or two bits. fps: __fp, distinct."""
+def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
+    """a, b: distinct fingerprints, a < b, that differ in `bits` bits at most. fps: __fp, distinct."""
+    if not 0 < bits <= 3:
+        raise ValueError("two segments find fingerprints that differ in one to three bits")
     high, low = _halves(F.col("__fp"))
     one = lambda half, seg: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda j: F.struct(F.lit(seg).alias("seg"), j.alias("out"), half.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), j))).alias("rest")))
     variants = fps.select("__fp", F.inline(F.concat(one(high, 0), one(low, 1))))
@@ -86,7 +88,7 @@ def links(fps: DataFrame) -> DataFrame:
     bit = lambda half: F.when(half == 0, 0).otherwise(F.bit_count(half - 1))
     place = F.when(F.bit_count(high) <= 1, (F.col("a.seg") == 0) & (F.col("a.out") == bit(high))).otherwise((F.col("a.seg") == 1) & (F.col("a.out") == bit(low)))
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("seg", "out", "rest")]
-    met = a.join(b, on[0] & on[1] & on[2] & (F.col("a.__fp") < F.col("b.__fp")) & (F.bit_count(apart) <= BITS) & place)
+    met = a.join(b, on[0] & on[1] & on[2] & (F.col("a.__fp") < F.col("b.__fp")) & (F.bit_count(apart) <= bits) & place)
     return met.select(F.col("a.__fp").alias("a"), F.col("b.__fp").alias("b"))
 
 
@@ -110,10 +112,10 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def labelled(prints: DataFrame) -> DataFrame:
+def labelled(prints: DataFrame, bits: int = BITS) -> DataFrame:
     """prints (__id, __fp) with component, the smallest id reachable over links. prints is read several times: cut it first."""
     groups = prints.groupBy("__fp").agg(F.min("__id").alias("least"))
-    edges = cut(links(groups.select("__fp")))
+    edges = cut(links(groups.select("__fp"), bits))
     roots = components(edges)
     # the root is the smallest fingerprint, which names the component; its id is the smallest of its fingerprints'
     ids = roots.join(groups, roots["node"] == groups["__fp"]).groupBy("root").agg(F.min("least").alias("linked"))
@@ -122,6 +124,16 @@ def labelled(prints: DataFrame) -> DataFrame:
     return prints.join(every, "__fp", "left")
 
 
+def one_of_each(docs: DataFrame, size: int = SIZE, bits: int = BITS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs, the same columns, with the row of the smallest id of each component only; rows without an id stay."""
+    key = F.col(f"`{doc_id}`")
+    prints = cut(fingerprints(docs.where(key.isNotNull()), size, doc_id, text))
+    keep = labelled(prints, bits).where("__id = component").select("__id").distinct().withColumn("__stays", F.lit(True))
+    if prints.groupBy("__id").count().where("count > 1").limit(1).count():  # rows of one id and one text are copies too
+        docs = docs.where(key.isNull()).union(docs.where(key.isNotNull()).withColumn("__digest", F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))).dropDuplicates([doc_id, "__digest"]).drop("__digest"))
+    return docs.join(keep, key == F.col("__id"), "left").where(key.isNull() | F.col("__stays")).drop("__id", "__stays")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = cut(fingerprints(table(spark, sf_dir, "documents")))
     out = labelled(prints)
