@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodeworks.llm import attention_lm, decontaminate, language_id, nbest, near_dup, orc_tokens, quality_rules, secret_scan, url_filter
+from lodeworks.llm import attention_lm, decontaminate, language_id, nbest, near_dup, orc_tokens, quality_rules, secret_scan, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_secret_scan": secret_scan.op3_secret_scan,
     "op4_simhash": near_dup.op4_simhash,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_attention_lm": attention_lm.op7_attention_lm,
     "op8_orc_tokens": orc_tokens.op8_orc_tokens,
     "op9_nbest_segmentation": nbest.op9_nbest_segmentation,
