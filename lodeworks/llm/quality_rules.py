@@ -33,7 +33,7 @@ MAX_REPEATED = 20  # per cent of the words
 SPREAD = 3
 MIN_ROWS = 30
 #: Slack of each feature above its fence: thousandths of the characters, lines or words; tenths of a character.
-SLACK = {"symbols": 50, "capitals": 100, "lines": 150, "repeated": 50, "length": 30}
+SLACK = {"symbols": 50, "capitals": 100, "lines": 150, "repeated": 150, "length": 30}
 MAX_BROADCAST = 100_000
 SALTS = 64
 
