@@ -10,7 +10,7 @@ Texts are tokenized by pieces between spaces and line ends, with a bounded memor
 rules never join what a space or a line end parts.
 
 Defined results. A null or empty text has only the end id. Documents with a null doc_id come first. Rows that share a
-doc_id are ordered by their ids' digest. An empty table gives an empty file and an empty result. Columns the input has
+doc_id are ordered by a hash of their text. An empty table gives an empty file and an empty result. Columns the input has
 besides are not written. Texts are used whole.
 
 Scale: one shuffle of the texts, by range, none of ids. What is collected is one number for each part written.
@@ -19,6 +19,7 @@ Scale: one shuffle of the texts, by range, none of ids. What is collected is one
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from uuid import uuid4
@@ -34,8 +35,11 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 STRIDE = 1_000
 STRIPE = 16 << 20
-#: Pieces a worker remembers; when there are so many it forgets them and begins anew.
-MEMORY = 800_000
+#: Pieces a worker remembers.
+MEMORY = 700_000
+#: Marks that close a piece, right after an ASCII letter: the tokenizer never joins them with it. No apostrophe.
+WORD = re.compile(r"[a-zß-öø-ÿ]+\Z")
+MARKS = re.compile(r"(?<=[a-zA-Z])[.,!?;:|#$%&*()\[\]{}/+=-]+\Z")
 #: The special token put between pieces that are encoded together, and its id.
 BETWEEN, BETWEEN_ID = "<|startoftext|>", 49406
 
@@ -50,7 +54,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.closes[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
+        #: ids of pieces, and of what their texts share: pieces without their closing marks
         self.known: dict[str, bytes] = {}
+        self.bodies: dict[str, bytes] = {}
+        self.missed = 0
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -61,29 +70,63 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode many pieces in few calls, a special token between them, which the tokenizer splits at first."""
-        odd = [p for p in pieces if BETWEEN in p]
-        self.known.update(zip(odd, self._encode(odd), strict=True))
-        plain = [p for p in pieces if BETWEEN not in p]
-        for at in range(0, len(plain), 2_000):
-            some = plain[at : at + 2_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([BETWEEN.join(some)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == BETWEEN_ID)
-            starts, ends = np.concatenate(([0], cuts + 1)).tolist(), np.append(cuts, len(ids)).tolist()
-            self.known.update((p, ids[a:b].tobytes()) for p, a, b in zip(some, starts, ends, strict=True))
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Encode many pieces in few calls. Plain words stand between spaces: each is one word to the tokenizer, so its ids
+        end with the only one that closes a word. Between the others stands a special token, at which it splits first."""
+        plain, other, odd = [], [], []
+        for p in pieces:
+            (plain if WORD.match(p) else odd if BETWEEN in p else other).append(p)
+        out = dict(zip(odd, self._encode(odd), strict=True)) if odd else {}
+        for some, between in ((plain, " "), (other, BETWEEN)):
+            for at in range(0, len(some), 2_000):
+                part = some[at : at + 2_000]
+                ids = np.array(self._encode_one(between.join(part)), "<u4")
+                if between == " ":
+                    ends = np.flatnonzero(self.closes[ids]) + 1
+                    starts = np.concatenate(([0], ends[:-1]))
+                else:
+                    cuts = np.flatnonzero(ids == BETWEEN_ID)
+                    starts, ends = np.concatenate(([0], cuts + 1)), np.append(cuts, len(ids))
+                out.update((p, ids[a:b].tobytes()) for p, a, b in zip(part, starts.tolist(), ends.tolist(), strict=True))
+        return out
+
+    def _encode_one(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def ids(self, text: str) -> bytes:
         pieces = text.replace("\n", " ").split(" ")
         known = self.known
+        found = list(map(known.get, pieces))
         try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
+            return b"".join(found)
+        except TypeError:  # some are not known yet
             pass
-        if len(known) > MEMORY:
-            known.clear()
-        self._learn(list({p for p in pieces if p not in known}))
-        return b"".join(map(known.__getitem__, pieces))
+        missing = [i for i, x in enumerate(found) if x is None]
+        new = {p: parted(p) for p in {pieces[i] for i in missing}}
+        bodies = self.bodies
+        learnt = self._learn([x for x in {part for both in new.values() for part in both} if x not in bodies])
+        got = lambda x: bodies[x] if x in bodies else learnt[x]
+        new = {p: got(body) + got(marks) for p, (body, marks) in new.items()}
+        for i in missing:
+            found[i] = new[pieces[i]]
+        if len(known) < MEMORY:
+            known.update(new)
+            bodies.update(learnt)
+        else:  # full: what came first, the frequent words among it, stays, until as much was missed as is held
+            self.missed += len(new)
+            if self.missed > MEMORY:
+                known.clear()
+                bodies.clear()
+                self.missed = 0
+        return b"".join(found)
+
+
+def parted(piece: str) -> tuple[str, str]:
+    """What the tokenizer treats alone, so that fewer are distinct: a piece up to its closing marks, and those marks. A
+    capital letter of ASCII is lowered, as the tokenizer would do itself."""
+    found = MARKS.search(piece)
+    body, marks = (piece[: found.start()], found[0]) if found else (piece, "")
+    return body.lower() if body.isascii() else body, marks
 
 
 def tokenizer_path(name: str = VOCABULARY) -> str:
@@ -115,7 +158,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, parts:
     """Write docs' ids under folder in ascending doc_id order: file after file, part numbers ascending."""
     n = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     few = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    dealt = few.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.md5(F.coalesce("text", F.lit(""))))
+    dealt = few.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     ids = tokenized(dealt, path, end_id)
     ids = ids.select("doc_id", "ids", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"))
     writer = ids.write.mode("overwrite").option("compression", "zstd").option("orc.row.index.stride", stride).option("orc.stripe.size", stripe)
