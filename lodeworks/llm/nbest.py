@@ -3,21 +3,21 @@
 Spaces become "▁" and one is put in front. The lattice has an edge for each vocabulary piece that matches, and for a
 character that no piece covers one edge of its UTF-8 byte pieces. The vocabulary file has merge ranks, not
 probabilities, so an edge scores by Zipf's law: minus the logarithm of its piece's rank (a byte edge: of the vocabulary's size, a byte),
-in whole millionths, so that sums are exact and ties are real. Equal scores: by ids within a
-stretch; between stretches, a departure in a later one first.
+in whole millionths, so that sums are exact and ties are real. Equal scores: in the
+order of the search, the same each time; between stretches, a departure in a later one first.
 
 No piece has a "▁" after another character, or a line end beside one, so a path passes every such place, and the lattice
-falls apart there into stretches. Each distinct stretch is searched once a worker: forward best scores to every position, then A*
-from its end with those as heuristics, which are exact, so that complete paths leave the queue best first. A text's
-N best are put together from its stretches' lists: a path that departs from the best in a stretch outside the N - 1
-least costly departures has N better ones, so only those stretches are combined.
+falls apart there into stretches. For each distinct stretch a worker works out the best path and the score of the second,
+forwards. A text's N best depart from its best path only in the N - 1 stretches where that costs least: a departure
+anywhere else has N better ones. The lists of those stretches come from the search: forward best scores to every
+position, then A* from the end with those as heuristics, which are exact, so that complete paths leave the queue best first.
 
 Defined results. A null or empty text has no ids, one path of score 0. Fewer paths than N: as many as there are. Repeated
 rows are encoded one by one; an empty table gives an empty result; columns the input has besides are kept by
 `segmented`, which refuses input that has its result columns. Texts are used whole. Decoding joins pieces and bytes,
 drops the space in front, and gives the text back exactly; U+2581 in a text comes back as a space, as the format has it.
 
-Scale: a narrow map, no shuffle. The stretches a worker remembers are bounded.
+Scale: a narrow map, no shuffle. The stretches a worker remembers are bounded: the first ones, the frequent among them, stay.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from lodeworks.runtime import ship, table
 
 MODEL = "piece_bpe_32k.model"
 N_BEST = 4
-MEMORY = 300_000
+MEMORY = 600_000
 SPACE = "▁"
 
 STRETCH = re.compile(r"\n| *[^ \n]+| +")
@@ -64,26 +64,38 @@ class Pieces:
         plain.sort(key=lambda i: (-model.get_score(i), i))
         self.edge = {self.text[i]: (-round(1e6 * math.log(rank + 1)), i) for rank, i in enumerate(plain, 1)}
         self.byte_score = -round(1e6 * math.log(n + 1))
-        self.longest = max(map(len, self.edge))
+        #: score and id of each piece; false for what pieces begin with but is none
+        self.walk: dict[str, tuple[int, int] | bool] = {p[:k]: False for p in self.edge for k in range(1, len(p))} | self.edge
         if any(SPACE in p.lstrip(SPACE) or ("\n" in p and p != "\n") for p in self.edge):
             raise ValueError("a piece has a space after another character, or a line end; stretches would not be independent")
 
     def edges(self, s: str, i: int) -> list[tuple[int, int, tuple[int, ...]]]:
         """(end, score, ids) of the edges from position i."""
-        get = self.edge.get
-        out = [(j, e[0], (e[1],)) for j in range(i + 1, min(len(s), i + self.longest) + 1) if (e := get(s[i:j])) is not None]
+        out = []
+        for j in range(i + 1, len(s) + 1):
+            e = self.walk.get(s[i:j])
+            if e is None:
+                break
+            if e:
+                out.append((j, e[0], (e[1],)))
         if not out or out[0][0] > i + 1:
-            raw = s[i].encode("utf-8", "surrogatepass")
-            out.append((i + 1, self.byte_score * len(raw), tuple(self.byte_id[b] for b in raw)))
+            out.append((i + 1, *self.bytes_of(s[i])))
         return out
 
+    def bytes_of(self, char: str) -> tuple[int, tuple[int, ...]]:
+        raw = char.encode("utf-8", "surrogatepass")
+        return self.byte_score * len(raw), tuple(self.byte_id[b] for b in raw)
+
+    def raw_of(self, ids) -> bytes:
+        return b"".join(map(self.raw.__getitem__, ids))
+
     def decode(self, ids) -> str:
-        raw = b"".join(map(self.raw.__getitem__, ids))
+        raw = self.raw_of(ids)
         return raw.decode("utf-8", "surrogatepass")[1:]
 
 
 def n_best(s: str, pieces: Pieces, n: int = N_BEST) -> list[Path]:
-    """The n best paths through the lattice of s: (score, ids), best first, equal scores by ids."""
+    """The n best paths through the lattice of s: (score, ids), best first."""
     size = len(s)
     best: list[int | None] = [None] * (size + 1)
     best[0] = 0
@@ -97,18 +109,57 @@ def n_best(s: str, pieces: Pieces, n: int = N_BEST) -> list[Path]:
             if best[j] is None or here + score > best[j]:
                 best[j] = here + score
     out: list[Path] = []
-    # cost: minus (the score so far, from the end, plus the best score from the start to here), so the queue never errs
-    queue = [(-best[size], size, (), 0)]
-    while queue:
-        cost, at, ids, score = heapq.heappop(queue)
-        if len(out) >= n and -cost < out[n - 1][0]:
-            break
+    # cost: minus (the score so far, from the end, plus the best score from the start to here), so the queue never errs;
+    # of equal costs the place nearest the start goes first, so that ties don't grow the queue
+    serial = 0
+    queue: list = [(-best[size], size, 0, 0, None)]
+    while queue and len(out) < n:
+        _, at, _, score, chain = heapq.heappop(queue)
         if at == 0:
-            out.append((score, ids))
+            ids: list[int] = []
+            while chain is not None:
+                ids.extend(chain[0])
+                chain = chain[1]
+            out.append((score, tuple(ids)))
             continue
         for start, edge, piece in into[at]:
-            heapq.heappush(queue, (-(best[start] + edge + score), start, piece + ids, edge + score))
-    return sorted(out, key=lambda x: (-x[0], x[1]))[:n]
+            serial += 1
+            heapq.heappush(queue, (-(best[start] + edge + score), start, serial, edge + score, (piece, chain)))
+    return out
+
+
+def best_two(s: str, pieces: Pieces) -> tuple[int, tuple[int, ...], float]:
+    """The best path's score and ids, and how much less the second best scores."""
+    size, get = len(s), pieces.walk.get
+    best: list[float] = [0.0] + [-math.inf] * size
+    second: list[float] = [-math.inf] * (size + 1)
+    start, last = [0] * (size + 1), [None] * (size + 1)
+
+    for i in range(size):
+        here, next_, j, e = best[i], second[i], i + 1, get(s[i])
+        if not e:  # no piece is this character alone
+            score, ids = pieces.bytes_of(s[i])
+            second[j] = max(second[j], min(best[j], here + score), next_ + score)
+            if here + score > best[j]:
+                best[j], start[j], last[j] = here + score, i, ids
+        while e is not None:
+            if e:
+                score = here + e[0]
+                if score > best[j]:
+                    second[j] = best[j] if best[j] > next_ + e[0] else next_ + e[0]
+                    best[j], start[j], last[j] = score, i, e[1]
+                elif score > second[j]:
+                    second[j] = score
+            j += 1
+            if j > size:
+                break
+            e = get(s[i:j])
+    ids, at = [], size
+    while at:
+        ids.append(last[at])
+        at = start[at]
+    flat = tuple(x for i in reversed(ids) for x in (i if type(i) is tuple else (i,)))
+    return int(best[size]), flat, best[size] - second[size]
 
 
 def combine(lists: list[list[Path]], n: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -124,9 +175,9 @@ class Segmenter:
 
     def __init__(self, path: str, n: int) -> None:
         self.pieces, self.n = Pieces(path), n
-        #: for each stretch: ids of its best path as bytes, its score, what departing from it costs (inf: cannot)
-        self.known: dict[str, tuple[bytes, int, float]] = {}
-        self.lists: dict[str, list[Path]] = {}
+        #: for each stretch: ids of its best path as bytes, its score, what departing from it costs (inf: cannot), whether it decodes
+        self.known: dict[str, tuple[bytes, int, float, bool]] = {}
+        self.missed = 0
 
     @classmethod
     def of(cls, path: str, n: int) -> Segmenter:
@@ -134,57 +185,68 @@ class Segmenter:
             cls._one[path, n] = cls(path, n)
         return cls._one[path, n]
 
-    def _learn(self, stretch: str) -> tuple[bytes, int, float]:
-        paths = n_best(stretch, self.pieces, self.n)
-        loss = paths[0][0] - paths[1][0] if len(paths) > 1 else math.inf
-        found = self.known[stretch] = (np.array(paths[0][1], "<u4").tobytes(), paths[0][0], loss)
-        self.lists[stretch] = paths
+    def _learn(self, stretch: str) -> tuple[bytes, int, float, bool]:
+        score, ids, loss = best_two(stretch.replace(" ", SPACE), self.pieces)
+        found = np.array(ids, "<u4").tobytes(), score, loss, self.pieces.raw_of(ids) == stretch.encode("utf-8", "surrogatepass")
+        if len(self.known) < MEMORY:
+            self.known[stretch] = found
+        else:
+            self.missed += 1
+            if self.missed > MEMORY:
+                self.known.clear()
+                self.missed = 0
         return found
 
-    def paths(self, text: str) -> list[tuple[int, bytes]]:
-        """The n best paths of the text: (score, ids as little-endian unsigned 32-bit integers)."""
+    def paths(self, text: str) -> tuple[list[tuple[int, bytes]], bool]:
+        """The n best paths of the text (score, ids as little-endian unsigned 32-bit integers), and whether the best decodes to it."""
         if not text:
-            return [(0, b"")]
-        if len(self.known) > MEMORY:
-            self.known.clear()
-            self.lists.clear()
+            return [(0, b"")], True
         stretches = split(text)
-        known = self.known
-        found = [known.get(s) or self._learn(s) for s in stretches]
-        score = sum(f[1] for f in found)
-        loss = np.array([f[2] for f in found])
-        # the least costly departures, the earlier ones first among equals
-        some = np.argsort(loss, kind="stable")[: self.n - 1]
-        some = sorted(int(i) for i in some if loss[i] < math.inf)
-        ways = combine([self.lists[stretches[i]] for i in some], self.n)
-        ids = [f[0] for f in found]
-        out = [(score, b"".join(ids))]
-        for less, taken in ways[1:]:
+        found = list(map(self.known.get, stretches))
+        if None in found:
+            met: dict[str, tuple] = {}
+            for i, x in enumerate(found):
+                if x is None:
+                    s = stretches[i]
+                    found[i] = met.get(s) or met.setdefault(s, self._learn(s))
+        ids, scores, losses, same = zip(*found, strict=True)
+        score, loss = sum(scores), np.array(losses)
+        some = least(loss, self.n - 1)
+        lists = {i: n_best(stretches[i].replace(" ", SPACE), self.pieces, self.n) for i in some}
+        ways = combine(list(lists.values()), self.n)
+        out = []
+        for less, taken in ways:
             other = list(ids)
             for i, k in zip(some, taken, strict=True):
-                other[i] = np.array(self.lists[stretches[i]][k][1], "<u4").tobytes()
+                other[i] = np.array(lists[i][k][1], "<u4").tobytes()
             out.append((score - less, b"".join(other)))
-        return out
+        return out, all(same)
 
     def decode(self, ids: bytes) -> str:
         return self.pieces.decode(np.frombuffer(ids, "<u4").tolist()) if ids else ""
 
-    def same(self, text: str, ids: bytes) -> bool:
-        """Whether the ids decode to the text."""
-        return self.decode(ids) == text.replace(SPACE, " ")
+
+def least(loss: np.ndarray, n: int) -> list[int]:
+    """Places of the n smallest finite losses, the earlier ones among equals, in order."""
+    if len(loss) > n:
+        edge = np.partition(loss, n - 1)[n - 1]
+        below = np.flatnonzero(loss < edge)
+        at = np.sort(np.concatenate((below, np.flatnonzero(loss == edge)[: n - len(below)])))
+    else:
+        at = np.arange(len(loss))
+    return at[np.isfinite(loss[at])].tolist()
 
 
 def split(text: str) -> list[str]:
     """Line ends, and stretches between them that have spaces only at their beginning; a space is put in front of all."""
-    text = " " + text.replace(SPACE, " ")
-    return [s.replace(" ", SPACE) for s in STRETCH.findall(text)]
+    return STRETCH.findall(" " + text.replace(SPACE, " "))
 
 
 COLUMNS = [T.StructField("best_ids", T.BinaryType()), T.StructField("scores", T.ArrayType(T.LongType())), T.StructField("crcs", T.ArrayType(T.LongType())), T.StructField("round_trip", T.BooleanType())]
 
 
 def segmented(docs: DataFrame, path: str, n: int = N_BEST, text: str = "text", drop_text: bool = False) -> DataFrame:
-    """docs with best_ids (little-endian unsigned 32-bit), scores and crcs of the n best paths, and round_trip: whether all of them decode to the text."""
+    """docs with best_ids (little-endian unsigned 32-bit), scores and crcs of the n best paths, and round_trip: whether the best decodes to the text."""
     ship(docs.sparkSession)
     if clash := {f.name for f in COLUMNS} & {c.lower() for c in docs.columns}:
         raise ValueError(f"the input already has {sorted(clash)}")
@@ -195,11 +257,11 @@ def segmented(docs: DataFrame, path: str, n: int = N_BEST, text: str = "text", d
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = [t or "" for t in part.column(part.schema.names.index(text)).to_pylist()]
-                found = [tool.paths(t) for t in texts]
+                found, same = zip(*map(tool.paths, texts), strict=True)
                 new = [
                     pa.array([f[0][1] for f in found], pa.binary()), pa.array([[s for s, _ in f] for f in found], pa.list_(pa.int64())),
                     pa.array([[zlib.crc32(ids) for _, ids in f] for f in found], pa.list_(pa.int64())),
-                    pa.array([tool.same(t, f[0][1]) for f, t in zip(found, texts, strict=True)]),
+                    pa.array(same, pa.bool_()),
                 ]
                 old = {c: part.column(k) for k, c in enumerate(part.schema.names) if not (drop_text and c == text)}
                 yield pa.RecordBatch.from_arrays([*old.values(), *new], names=[*old, *(f.name for f in COLUMNS)])
