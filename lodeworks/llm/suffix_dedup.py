@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ SPAN = 100
 GRAM = 32
 MOST_RUNS = 2_000
 PART_BYTES = 16 << 20
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 _WINDOW = SPAN - GRAM + 1
 _SEED = np.random.default_rng(20_240_601)
@@ -47,7 +48,7 @@ _RATIO = 0x9E3779B97F4A7C15
 _INVERSE = pow(_RATIO, -1, 2**64)
 _PLACE = np.uint64((1 << 28) - 1)
 RUN, LATER, UNDECIDED, HOT, FLAG = range(5)
-RECORD = [("h", "<u8"), ("f", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("to", "<i4"), ("p", "<i8"), ("n", "<i2"), ("kind", "i1")]
+RECORD = [("h", "<u8"), ("f", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("p", "<u4"), ("n", "<i2"), ("kind", "i1")]
 SPANS = [("row", "<i8"), ("p", "<i8"), ("n", "<i8")]
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -55,18 +56,20 @@ Columns = dict[str, np.ndarray]
 
 
 def pack(c: Columns, kinds: list[tuple[str, str]]) -> bytes:
-    return b"".join(np.ascontiguousarray(c[k], t).tobytes() for k, t in kinds)
+    """Column after column, compressed: ids and places of one document stand together; only hashes keep their size."""
+    return zstandard.compress(b"".join(np.ascontiguousarray(c[k], t).tobytes() for k, t in kinds), 1)
 
 
 def unpack(blobs: list[bytes], kinds: list[tuple[str, str]]) -> Columns:
     width = sum(np.dtype(t).itemsize for _, t in kinds)
     parts: dict[str, list[np.ndarray]] = {k: [np.empty(0, t)] for k, t in kinds}
-    for b in blobs:
+    for b in map(zstandard.decompress, blobs):
         n, at = len(b) // width, 0
         for k, t in kinds:
             parts[k].append(np.frombuffer(b, t, n, at))
             at += n * np.dtype(t).itemsize
-    return {k: np.concatenate(v) for k, v in parts.items()}
+    out = {k: np.concatenate(v) for k, v in parts.items()}
+    return out | {"p": out["p"].astype(np.int64)}
 
 
 def take(c: Columns, which: np.ndarray) -> Columns:
@@ -172,15 +175,15 @@ def _anchored(parts: int, most: int, chunk: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, rows, to = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
-            texts = [t.as_buffer().to_pybytes() for t in batch.column(3)]
+            docs, rows = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            texts = [t.as_buffer().to_pybytes() for t in batch.column(2)]
             found = []
             for raw, ends, who, offset in _chunks(texts, chunk):
                 p, n, h, f = runs(raw, ends)
                 piece = np.searchsorted(ends, p, "right")
                 begin = np.concatenate(([0], ends[:-1]))[piece]
                 doc = who[piece]
-                found.append({"h": h, "f": f, "doc": docs[doc], "row": rows[doc], "to": to[doc], "p": p - begin + offset[piece], "n": n, "kind": np.full(len(p), RUN, np.int8)})
+                found.append({"h": h, "f": f, "doc": docs[doc], "row": rows[doc], "p": p - begin + offset[piece], "n": n, "kind": np.full(len(p), RUN, np.int8)})
             if not found:
                 continue
             c = {k: np.concatenate([x[k] for x in found]) for k, _ in RECORD}
@@ -216,7 +219,7 @@ def _table(out: list[tuple], *columns: tuple[str, pa.DataType]) -> pa.Table:
 _TO = ("to", pa.int32()), ("blob", pa.binary())
 
 
-def decide(most: int):
+def decide(parts: int, most: int):
     """What is known of a part's runs once all of an anchor's are together: later copies, and runs for the suffix arrays."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -239,7 +242,7 @@ def decide(most: int):
         c["kind"] = kind
         c = take(c, kind != RUN)
         c = {k: np.concatenate((c[k], known[k])) for k in c}
-        return _table(emit(c, c["to"].astype(np.int64), RECORD), *_TO)
+        return _table(emit(c, c["row"] % parts, RECORD), *_TO)
 
     return run
 
@@ -269,7 +272,7 @@ def _fetch(parts: int):
                 if len(hot):
                     n = c["n"][hot].astype(np.int64)
                     p = np.repeat(c["p"][hot] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                    same = {k: np.full(len(p), c[k][at[0]]) for k in ("doc", "row", "to")}
+                    same = {k: np.full(len(p), c[k][at[0]]) for k in ("doc", "row")}
                     windows.append({"h": Hashes(np.frombuffer(raw, np.uint8)).of(p, SPAN), "f": np.zeros(len(p), np.uint64), "p": p, "n": np.ones(len(p), np.int16), "kind": np.full(len(p), HOT, np.int8), **same})
             some = np.flatnonzero(c["kind"] == UNDECIDED)
             part = (c["h"][some] % np.uint64(parts)).astype(np.int64)
@@ -342,38 +345,42 @@ def maximal_repeats(buffer: np.ndarray, starts: np.ndarray, room: np.ndarray, be
     return order, out
 
 
-def repeats(t: pa.Table) -> pa.Table:
+def repeats(parts: int):
     """Spans to remove, from a part's runs (suffix arrays) and windows (grouping)."""
-    out = []
-    of_runs = [x for x in t.to_pylist() if x["texts"]]
-    c = unpack([x["blob"] for x in of_runs], RECORD)
-    if len(c["h"]):
-        buffer = np.frombuffer(b"".join(x["texts"] for x in of_runs), np.uint8)
-        n = c["n"].astype(np.int64)
-        size = n + SPAN - 1
-        base = np.concatenate(([0], np.cumsum(size)[:-1]))
-        which = np.repeat(np.arange(len(n)), n)
-        within = np.arange(n.sum()) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n)
-        starts = base[which] + within
-        before = np.where(within > 0, buffer[np.maximum(starts - 1, 0)].astype(np.int64), -1 - which)
-        order, groups = maximal_repeats(buffer, starts, size[which] - within, before)
-        place = {"doc": c["doc"][which], "p": c["p"][which] + within}
-        rank = _ranks(place)[order]
-        for length, a, b in groups:
-            mine = np.arange(a, b + 1)
-            mine = order[mine[rank[a : b + 1] > rank[a : b + 1].min()]]
-            out.append({"row": c["row"][which[mine]], "to": c["to"][which[mine]], "p": place["p"][mine], "n": np.full(len(mine), length)})
-    w = unpack([x["blob"] for x in t.to_pylist() if not x["texts"]], RECORD)
-    if len(w["h"]):
-        done, w = take(w, w["kind"] == LATER), take(w, w["kind"] == HOT)
-        order, _, later = _later(w["h"], _ranks(w))
-        w = take(w, order[later])
-        for x in (done, w):
-            out.append({"row": x["row"], "to": x["to"], "p": x["p"], "n": np.full(len(x["p"]), SPAN)})
-    if not out:
-        return _table([], *_TO)
-    spans = {k: np.concatenate([x[k] for x in out]) for k in ("row", "to", "p", "n")}
-    return _table(emit(spans, spans["to"].astype(np.int64), SPANS), *_TO)
+
+    def run(t: pa.Table) -> pa.Table:
+        out = []
+        of_runs = [x for x in t.to_pylist() if x["texts"]]
+        c = unpack([x["blob"] for x in of_runs], RECORD)
+        if len(c["h"]):
+            buffer = np.frombuffer(b"".join(x["texts"] for x in of_runs), np.uint8)
+            n = c["n"].astype(np.int64)
+            size = n + SPAN - 1
+            base = np.concatenate(([0], np.cumsum(size)[:-1]))
+            which = np.repeat(np.arange(len(n)), n)
+            within = np.arange(n.sum()) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n)
+            starts = base[which] + within
+            before = np.where(within > 0, buffer[np.maximum(starts - 1, 0)].astype(np.int64), -1 - which)
+            order, groups = maximal_repeats(buffer, starts, size[which] - within, before)
+            place = {"doc": c["doc"][which], "p": c["p"][which] + within}
+            rank = _ranks(place)[order]
+            for length, a, b in groups:
+                mine = np.arange(a, b + 1)
+                mine = order[mine[rank[a : b + 1] > rank[a : b + 1].min()]]
+                out.append({"row": c["row"][which[mine]], "p": place["p"][mine], "n": np.full(len(mine), length)})
+        w = unpack([x["blob"] for x in t.to_pylist() if not x["texts"]], RECORD)
+        if len(w["h"]):
+            done, w = take(w, w["kind"] == LATER), take(w, w["kind"] == HOT)
+            order, _, later = _later(w["h"], _ranks(w))
+            w = take(w, order[later])
+            for x in (done, w):
+                out.append({"row": x["row"], "p": x["p"], "n": np.full(len(x["p"]), SPAN)})
+        if not out:
+            return _table([], *_TO)
+        spans = {k: np.concatenate([x[k] for x in out]) for k in ("row", "p", "n")}
+        return _table(emit(spans, spans["row"] % parts, SPANS), *_TO)
+
+    return run
 
 
 def _kept(size: int, p: np.ndarray, n: np.ndarray) -> list[tuple[int, int]]:
@@ -419,11 +426,11 @@ def deduped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", part_by
     key = F.xxhash64("doc_id", "text")
     rows = rows.select("doc_id", key.alias("row"), F.pmod(key, F.lit(parts)).cast("int").alias("to"), "text")
     order = F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc")
-    dealt = rows.select(order, "row", "to", "text").mapInArrow(_anchored(parts, most, chunk), "part int, blob binary")
-    decided = cut(dealt.groupBy("part").applyInArrow(decide(most), "to int, blob binary"))
+    dealt = rows.select(order, "row", "text").mapInArrow(_anchored(parts, most, chunk), "part int, blob binary")
+    decided = cut(dealt.groupBy("part").applyInArrow(decide(parts, most), "to int, blob binary"))
     by_doc = rows.groupBy("to")
     fetched = by_doc.cogroup(decided.groupBy("to")).applyInArrow(_fetch(parts), "part int, blob binary, texts binary")
-    spans = fetched.groupBy("part").applyInArrow(repeats, "to int, blob binary")
+    spans = fetched.groupBy("part").applyInArrow(repeats(parts), "to int, blob binary")
     found = decided.withColumn("whole", F.lit(True)).unionByName(spans.withColumn("whole", F.lit(False)))
     return by_doc.cogroup(found.groupBy("to")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
