@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodeworks.llm.text import let
 from lodeworks.runtime import cut, ship, table
 
 WINDOW = 10
@@ -272,9 +273,10 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options)
     apart, joined = F.split(F.col(f"`{text}`"), pattern, -1), F.regexp_extract_all(F.col(f"`{text}`"), F.lit(pattern), F.lit(0))
     hit = lambda i: F.exists("__hits.spans", lambda s: (s[0] <= i) & (i < s[1]))
     inside = lambda i: F.exists("__hits.spans", lambda s: (s[0] < i) & (i < s[1]))
-    found = found.withColumns({"__a": F.when(some, apart), "__j": F.when(some, joined)})
-    left = F.transform("__a", lambda a, i: F.concat(F.when(inside(i), "").otherwise(a), F.when(hit(i), "").otherwise(F.coalesce(F.get("__j", i), F.lit("")))))
-    clean = F.when(some, F.array_join(left, "")).otherwise(F.col(f"`{text}`"))
+    kept = lambda x: F.transform(x.a, lambda a, i: F.concat(F.when(inside(i), "").otherwise(a), F.when(hit(i), "").otherwise(F.coalesce(F.get(x.j, i), F.lit("")))))
+    # bound once: inside the lambda the text would be split again for each of its words
+    rest = let(F.struct(apart.alias("a"), joined.alias("j")), lambda x: F.array_join(kept(x), ""))
+    clean = F.when(some, rest).otherwise(F.col(f"`{text}`"))
     return found.select(*(clean.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))
 
 
