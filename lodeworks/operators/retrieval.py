@@ -26,7 +26,8 @@ def ground_truth(nodes: DataFrame, benchmark: DataFrame, size: int = 80) -> Data
     """query_id (item_id), document_id, node_id, node_seq: nodes that contain the first `size` characters of an item.
 
     Three whole words from within those characters are the join key, so nodes and items meet in an equality join and are
-    then verified. Items too short for such a key are few and matched by a search of every node.
+    then verified. Items with too few words for such a key (short ones, and languages written without spaces) meet nodes in
+    runs of characters, see `_by_characters`.
     """
     items = benchmark.select(F.col("item_id").alias("query_id"), F.substring("text", 1, size).alias("head"), F.col("text").alias("query_text")).where("head <> ''")
     words = F.split("head", " ", -1)
@@ -35,11 +36,28 @@ def ground_truth(nodes: DataFrame, benchmark: DataFrame, size: int = 80) -> Data
     three = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(own) - 2)), lambda i: F.array_join(F.slice(own, i, 3), " "))
     keyed = nodes.select("document_id", "node_id", "node_seq", "content", F.explode(F.array_distinct(three)).alias("key"))
     met = keyed.join(items.where("key IS NOT NULL"), "key").where(F.col("content").contains(F.col("head")))
-    short = nodes.join(F.broadcast(items.where("key IS NULL").limit(1_000)), F.col("content").contains(F.col("head")))
+    short = _by_characters(nodes, items.where("key IS NULL").drop("key"))
     columns = ["query_id", "query_text", "document_id", "node_id", "node_seq"]
     return met.select(columns).union(short.select(columns)).distinct()
 
 
+def _by_characters(nodes: DataFrame, items: DataFrame) -> DataFrame:
+    """Nodes with each item whose head they contain. The key is the middle of the head: 1, 2, 4, 8 or 16 characters, as many as it has.
+
+    Nodes give keys of the sizes that occur only, and none where there are no items. Keys travel without the content.
+    """
+    size = F.length("head")
+    items = items.withColumn("n", F.when(size >= 16, 16).when(size >= 8, 8).when(size >= 4, 4).when(size >= 2, 2).otherwise(1))
+    items = items.withColumn("key", F.substring(F.col("head"), F.floor((size - F.col("n")) / 2).cast("int") + 1, F.col("n")))
+    sizes = [row["n"] for row in items.select("n").distinct().collect()]  # five rows at most
+    runs = lambda chars, n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(chars) - n + 1)), lambda i: F.array_join(F.slice(chars, i, n), ""))
+    # an array of one binds the characters once: inside the lambda the content would be split again for each of them
+    keys = lambda chars: F.array_distinct(F.concat(F.array().cast("array<string>"), *(runs(chars, n) for n in sizes)))
+    own = F.flatten(F.transform(F.array(F.split("content", "")), keys))
+    met = nodes.select("document_id", "node_seq", F.explode(own).alias("key")).join(items, "key").select(F.col("document_id").alias("of"), F.col("node_seq").alias("at"), "query_id", "query_text", "head").distinct()
+    return nodes.join(met, F.col("document_id").eqNullSafe(F.col("of")) & F.col("node_seq").eqNullSafe(F.col("at")) & F.col("content").contains(F.col("head")))
+
+
 def questions(truth: DataFrame) -> DataFrame:
     """query_id, query_text, document_id, gt_citations: one row for each item and document that has it."""
     rows = truth.groupBy("query_id", "query_text", "document_id").agg(F.array_sort(F.collect_list("node_id")).alias("gt_citations"))

@@ -63,6 +63,17 @@ def test_ground_truth_finds_long_and_short_items(spark, nodes):
     assert [(g.query_id, g.node_id) for g in r.ground_truth(nodes, items).collect()] == [(1, "d_n0001")]
 
 
+def test_ground_truth_of_many_items_without_spaces(spark):
+    texts = [f"\u9805\u76ee{i:04d}\u865f\U00020000\u6587\u672c\u6c92\u6709\u7a7a\u683c" * (1 + i % 9) for i in range(1200)] + ["", "x", "ab x\U00020000y"]
+    heads = [text[: 3 + i % 90] for i, text in enumerate(texts[:1200])] + ["x", "\U00020000", "b x", "\u865f\U00020000", "nowhere", "y" * 80]
+    rows = spark.createDataFrame([("z", f"z_n{i:04d}", i, text) for i, text in enumerate(texts)], "document_id string, node_id string, node_seq int, content string")
+    items = spark.createDataFrame(list(enumerate(heads)), "item_id long, text string")
+    wanted = {(q, i) for q, head in enumerate(heads) for i, text in enumerate(texts) if head[:80] in text}
+    assert {q for q, _ in wanted} >= set(range(1200))
+    got = [(g.query_id, g.node_seq) for g in r.ground_truth(rows, items).select("query_id", "node_seq").collect()]
+    assert len(got) == len(wanted) and set(got) == wanted
+
+
 def test_tree_has_one_root(spark):
     rows = spark.createDataFrame([("t", i + 1) for i in range(101)] + [("u", 1)], "document_id string, node_seq int")
     widths = {(g.document_id, g.level): g["count"] for g in r.tree_levels(rows).groupBy("document_id", "level").count().collect()}
