@@ -137,7 +137,7 @@ class FMIndex:
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The phrases (one a row) that occur: their rows, and for each the range of suffixes."""
         who = np.arange(len(phrases))
-        top = len(self.before) - 2
+        top = len(self.before) - 3  # the largest symbol there is: the tree has no bits for larger ones
         lo, hi = np.zeros(len(phrases), np.int64), np.full(len(phrases), self.before[-1], np.int64)
         for k in range(phrases.shape[1] - 1, -1, -1):
             symbol = phrases[who, k].astype(np.int64)

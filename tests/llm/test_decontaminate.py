@@ -83,6 +83,18 @@ def test_index_finds_every_place(seq, phrase):
     assert found == [i for i in range(len(seq)) if seq[i : i + len(phrase)].tolist() == phrase]
 
 
+def test_words_above_the_largest_of_the_shard():
+    texts, items = [[b"a"]], [("1", "a"), ("2", "b")]
+    spans, found = d.search_shard(texts, d.Windows(items, 10))
+    assert [[tuple(x) for x in s] for s in spans] == [[(0, 1)]] and found == [{"1"}]
+    for k in (2, 3, 5):  # the shard's largest number is 2^k - 1, the benchmark has more words
+        names = [f"w{i}" for i in range(2**k + 3)]
+        items = [(str(i), w) for i, w in enumerate(names)]
+        text = [w.encode() for w in names[: 2**k - 1]]
+        spans, found = d.search_shard([text], d.Windows(items, 10))
+        assert sorted(tuple(x) for x in spans[0]) == [(i, i + 1) for i in range(2**k - 1)] and found == [{str(i) for i in range(2**k - 1)}]
+
+
 def test_ranks():
     rng = random.Random(3)
     seq = np.array([rng.randrange(11) for _ in range(500)], np.int64)
