@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from lodeworks.llm import decontaminate, near_dup, nbest, quality_rules, secret_scan
 from lodeworks.runtime import cut, table
 
-#: Shingles of five words. Three bits are the most that two segments are sure to find.
-SHINGLE, BITS = 5, 3
+#: Shingles of five words. Three bits are the most that two segments are sure to find; what they miss of the texts that
+#: are LEAST per cent alike is found by their shingle sets.
+SHINGLE, BITS, LEAST = 5, 3, 80
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -23,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return near_dup.one_of_each(docs, SHINGLE, BITS)
+    return near_dup.one_of_each(docs, SHINGLE, BITS, least=LEAST)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,17 +40,20 @@ _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 _CHUNK = 65_536  # hashes whose bits are counted at once
 
 
-def fingerprint(text: bytes, size: int = SIZE) -> int:
+def shingles(text: bytes, size: int = SIZE) -> np.ndarray:
+    """The hash of each shingle, in the text's order."""
     words = text.translate(_LOWER).split()
-    if not words:
-        return 0
     digest = xxhash.xxh64_intdigest
     joined = b" ".join(words)
     if len(words) <= size:
-        return digest(joined, SEED)
+        return np.array([digest(joined, SEED)] if words else [], "<u8")
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: 1 - size].tolist(), ends[size - 1 :].tolist(), strict=True)], "<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)], "<u8")
+
+
+def fingerprint(text: bytes, size: int = SIZE) -> int:
+    hashes = shingles(text, size)
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), _CHUNK):
         counts += np.unpackbits(hashes[i : i + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -70,6 +73,48 @@ def fingerprints(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text
     return ids.mapInArrow(run, "__id long, __fp long")
 
 
+def shingle_sets(docs: DataFrame, size: int = SIZE, text: str = "text") -> DataFrame:
+    """__fp, __key (a hash of the set) and __set (the distinct shingle hashes) of each text that has words."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                rows = []
+                for t in batch.column(0).slice(at, 256):
+                    own = t.as_buffer().to_pybytes() if t.is_valid else b""
+                    found = np.unique(shingles(own, size))
+                    if len(found):
+                        rows.append((fingerprint(own, size), xxhash.xxh64_intdigest(found.tobytes(), SEED), found.view(np.int64)))
+                signed = lambda k: pa.array(np.array([x[k] for x in rows], np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([signed(0), signed(1), pa.array([x[2] for x in rows], pa.list_(pa.int64()))], names=["__fp", "__key", "__set"])
+
+    return docs.select(F.col(f"`{text}`").alias("__text")).mapInArrow(run, "__fp long, __key long, __set array<long>")
+
+
+def alike(sets: DataFrame, homes: DataFrame, least: int) -> DataFrame:
+    """a, b: fingerprints of different homes whose shingle sets have `least` per cent of their union in common, all of them.
+
+    Exact: with shingles in one order for all, two such sets share one of the first n - ceil(least n / 100) + 1 of either.
+    The order is rarest first, so that common passages are seldom keys; shingles of one set only count and are no keys.
+    sets: from `shingle_sets`, cut; homes: __fp, home. Sets of one home are linked already and make no pair.
+    """
+    one = cut(sets.groupBy("__key").agg(F.min("__fp").alias("__fp"), F.any_value("__set").alias("__set")).join(homes, "__fp"))
+    same = sets.join(one.select("__key", F.col("__fp").alias("a")), "__key").where("a <> __fp").select("a", F.col("__fp").alias("b"))
+    each = one.select("__key", "home", F.size("__set").alias("n"), F.explode("__set").alias("s"))
+    shared = each.join(each.groupBy("s").agg(F.count("*").alias("c")).where("c > 1"), "s")
+    first = F.col("n") - F.floor((F.col("n") * least + 99) / 100) + 1 - (F.col("n") - F.size("all"))
+    keys = shared.groupBy("__key", "home", "n").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("all")).withColumn("first", first.cast("int")).where("first > 0")
+    keys = cut(keys.select("__key", "home", "n", F.explode(F.slice("all", F.lit(1), F.col("first"))).alias("x")).select("__key", "home", "n", "x.s"))
+    a, b = keys.alias("a"), keys.alias("b")
+    near = (F.col("a.__key") < F.col("b.__key")) & (F.col("a.home") != F.col("b.home")) & (100 * F.least("a.n", "b.n") >= least * F.greatest("a.n", "b.n"))
+    pairs = a.join(b, (F.col("a.s") == F.col("b.s")) & near).select(F.col("a.__key").alias("ka"), F.col("b.__key").alias("kb")).distinct()
+    side = lambda x: one.select(F.col("__key").alias(f"k{x}"), F.col("__fp").alias(x), F.col("__set").alias(f"s{x}"))
+    met = pairs.join(side("a"), "ka").join(side("b"), "kb").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    met = met.where(100 * F.col("common") >= least * (F.size("sa") + F.size("sb") - F.col("common")))
+    return met.select("a", "b").union(same)
+
+
 def _halves(fp: Column) -> tuple[Column, Column]:
     return F.shiftrightunsigned(fp, 32), fp.bitwiseAND(F.lit(0xFFFFFFFF))
 
@@ -112,11 +157,18 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def labelled(prints: DataFrame, bits: int = BITS) -> DataFrame:
-    """prints (__id, __fp) with component, the smallest id reachable over links. prints is read several times: cut it first."""
+def labelled(prints: DataFrame, bits: int = BITS, sets: DataFrame | None = None, least: int = 100) -> DataFrame:
+    """prints (__id, __fp) with component, the smallest id reachable over links. prints is read several times: cut it first.
+
+    With sets (from `shingle_sets`, cut), texts whose sets are `least` per cent alike are linked too.
+    """
     groups = prints.groupBy("__fp").agg(F.min("__id").alias("least"))
     edges = cut(links(groups.select("__fp"), bits))
     roots = components(edges)
+    if sets is not None:
+        homes = cut(groups.select("__fp").join(roots.withColumnsRenamed({"node": "__fp", "root": "home"}), "__fp", "left").select("__fp", F.coalesce("home", "__fp").alias("home")))
+        linked = homes.where("__fp <> home").select(F.col("__fp").alias("a"), F.col("home").alias("b"))
+        roots = components(cut(linked.union(alike(sets, homes, least))))
     # the root is the smallest fingerprint, which names the component; its id is the smallest of its fingerprints'
     ids = roots.join(groups, roots["node"] == groups["__fp"]).groupBy("root").agg(F.min("least").alias("linked"))
     named = roots.join(ids, "root").select(F.col("node").alias("__fp"), "linked")
@@ -124,11 +176,15 @@ def labelled(prints: DataFrame, bits: int = BITS) -> DataFrame:
     return prints.join(every, "__fp", "left")
 
 
-def one_of_each(docs: DataFrame, size: int = SIZE, bits: int = BITS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs, the same columns, with the row of the smallest id of each component only; rows without an id stay."""
+def one_of_each(docs: DataFrame, size: int = SIZE, bits: int = BITS, doc_id: str = "doc_id", text: str = "text", least: int | None = None) -> DataFrame:
+    """docs, the same columns, with the row of the smallest id of each component only; rows without an id stay.
+
+    least: also link texts whose shingle sets have that many per cent of their union in common.
+    """
     key = F.col(f"`{doc_id}`")
     prints = cut(fingerprints(docs.where(key.isNotNull()), size, doc_id, text))
-    keep = labelled(prints, bits).where("__id = component").select("__id").distinct().withColumn("__stays", F.lit(True))
+    sets = cut(shingle_sets(docs.where(key.isNotNull()), size, text)) if least else None
+    keep = labelled(prints, bits, sets, least or 100).where("__id = component").select("__id").distinct().withColumn("__stays", F.lit(True))
     if prints.groupBy("__id").count().where("count > 1").limit(1).count():  # rows of one id and one text are copies too
         docs = docs.where(key.isNull()).union(docs.where(key.isNotNull()).withColumn("__digest", F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))).dropDuplicates([doc_id, "__digest"]).drop("__digest"))
     return docs.join(keep, key == F.col("__id"), "left").where(key.isNull() | F.col("__stays")).drop("__id", "__stays")

@@ -69,3 +69,34 @@ def test_nulls_repeats_and_empty(spark):
     assert one.columns == docs.columns
     assert sorted(((r.doc_id or 0), r.text or "") for r in one.collect()) == [(0, ""), (0, "a b c d e f g"), (1, "other words in this one"), (3, "A b c d e f g"), (7, "")]
     assert n.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_texts_four_fifths_alike_are_one(spark):
+    rng = random.Random(6)
+    sets, rows = {}, []
+    prose = lambda k: [rng.choice("abcdefgh") + str(rng.randrange(5000)) for _ in range(k)]
+    common = prose(60)
+    for i in range(60):
+        words = prose(rng.choice([6, 40, 300])) + common * (i % 2)
+        for k in range(3):  # edited copies, from nearly equal to far
+            rows.append((10 * i + k, " ".join(words)))
+            for at in rng.sample(range(len(words)), max(1, len(words) * rng.choice([1, 2, 4, 6]) // 100)):
+                words[at] = f"edit{rng.randrange(10**6)}"
+    rows += [(900, "one two"), (901, "one two"), (902, ""), (903, None), (904, "w " * 50), (905, "w " * 70)]
+    for i, t in rows:
+        w = (t or "").split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    fps = {i: n.fingerprint((t or "").encode(), 5) for i, t in rows}
+    root = {i: i for i in sets}
+    near = lambda i, j: bin(fps[i] ^ fps[j]).count("1") <= 3
+    found_by_sets = 0
+    for i in sets:
+        for j in sets:
+            both = len(sets[i] & sets[j])
+            if i < j and (near(i, j) or both and 100 * both >= 80 * len(sets[i] | sets[j])):
+                found_by_sets += not near(i, j)
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = {k: new if v == old else v for k, v in root.items()}
+    assert found_by_sets > 10
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in n.one_of_each(docs, 5, 3, least=80).collect()) == sorted(set(root.values()))
