@@ -1,12 +1,12 @@
 """Token ids in ORC: tokenized documents as stripes of run-length encoded integers, and digests from reading them back.
 
-Documents are dealt by ranges of doc_id and sorted, tokenized in that order, and written by Spark's ORC writer: integer
+Documents are dealt by ranges of doc_id (and a hash of their text, so that rows of one id or none spread) and sorted, tokenized in that order, and written by Spark's ORC writer: integer
 run-length encoding (direct, dictionary off for numbers), row indexes every `stride` rows, a Bloom filter on doc_id,
 stripes of `stripe` bytes that separate tasks can read, minimum and maximum of doc_id in every stripe's and file's
 statistics, so that a search for some documents skips the rest (`find`). Reading back is a map over the stripes; the
 running start of each document is a sum within a part plus the sums of the parts before.
 
-Texts are tokenized by pieces between spaces and line ends, with a bounded memory of pieces met before: the tokenizer's own
+Texts are tokenized by pieces between spaces and line ends, with a memory of pieces met before, bounded in bytes: the tokenizer's own
 rules never join what a space or a line end parts.
 
 Defined results. A null or empty text has only the end id. Documents with a null doc_id come first. Rows that share a
@@ -22,6 +22,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from sys import getsizeof
 from uuid import uuid4
 
 import numpy as np
@@ -35,8 +36,9 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 STRIDE = 1_000
 STRIPE = 16 << 20
-#: Pieces a worker remembers.
-MEMORY = 700_000
+#: Bytes of pieces and ids that a worker remembers, what Python adds to each counted too; longer pieces than LONG are not remembered.
+MEMORY = 256 << 20
+LONG = 256
 #: Marks that close a piece, right after an ASCII letter: the tokenizer never joins them with it. No apostrophe.
 WORD = re.compile(r"[a-zß-öø-ÿ]+\Z")
 MARKS = re.compile(r"(?<=[a-zA-Z])[.,!?;:|#$%&*()\[\]{}/+=-]+\Z")
@@ -59,7 +61,7 @@ class Encoder:
         #: ids of pieces, and of what their texts share: pieces without their closing marks
         self.known: dict[str, bytes] = {}
         self.bodies: dict[str, bytes] = {}
-        self.missed = 0
+        self.held = self.missed = 0
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -109,21 +111,28 @@ class Encoder:
         new = {p: got(body) + got(marks) for p, (body, marks) in new.items()}
         for i in missing:
             found[i] = new[pieces[i]]
-        if len(known) < MEMORY:
+        new = {p: x for p, x in new.items() if len(p) <= LONG}
+        learnt = {p: x for p, x in learnt.items() if len(p) <= LONG}
+        size = sum(getsizeof(p) + getsizeof(x) + 100 for some in (new, learnt) for p, x in some.items())
+        if self.held + size <= MEMORY:
+            self.held += size
             known.update(new)
             bodies.update(learnt)
         else:  # full: what came first, the frequent words among it, stays, until as much was missed as is held
-            self.missed += len(new)
+            self.missed += size
             if self.missed > MEMORY:
                 known.clear()
                 bodies.clear()
-                self.missed = 0
+                self.held = self.missed = 0
         return b"".join(found)
 
 
 def parted(piece: str) -> tuple[str, str]:
     """What the tokenizer treats alone, so that fewer are distinct: a piece up to its closing marks, and those marks. A
-    capital letter of ASCII is lowered, as the tokenizer would do itself."""
+    capital letter of ASCII is lowered, as the tokenizer would do itself; not in what may hold a special token, as those are
+    found before letters are lowered."""
+    if "<|" in piece:
+        return piece, ""
     found = MARKS.search(piece)
     body, marks = (piece[: found.start()], found[0]) if found else (piece, "")
     return body.lower() if body.isascii() else body, marks
@@ -158,7 +167,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, parts:
     """Write docs' ids under folder in ascending doc_id order: file after file, part numbers ascending."""
     n = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     few = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    dealt = few.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    dealt = few.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     ids = tokenized(dealt, path, end_id)
     ids = ids.select("doc_id", "ids", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"))
     writer = ids.write.mode("overwrite").option("compression", "zstd").option("orc.row.index.stride", stride).option("orc.stripe.size", stripe)
