@@ -1,4 +1,10 @@
-"""From raw documents to token ids: five stages, each over all that the one before it kept."""
+"""From raw documents to token ids: five stages, each over all that the one before it kept.
+
+Defined results. Null and empty texts fail the quality rules, so later stages meet texts with words only. A null lang or source
+counts as "". Rows without a doc_id are judged like others, but stay in the near-duplicate stage, as the one that stays could not be named.
+Repeated rows and rows of one doc_id: of equal texts one stays. Ties: the smallest doc_id stays, then the text that is least by hash. Very long texts are
+used whole. An empty table gives empty stages. Columns besides those of documents go through all stages but the last, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -8,8 +14,8 @@ from pyspark.sql import functions as F
 from lodeworks.llm import decontaminate, near_dup, nbest, quality_rules, secret_scan
 from lodeworks.runtime import cut, table
 
-#: Shingles of five words. Three bits are the most that two segments are sure to find; what they miss of the texts that
-#: are LEAST per cent alike is found by their shingle sets.
+#: Shingles of five words. Three bits are the most that two segments are sure to find; texts that are LEAST per cent alike
+#: and further apart are found by bands of their shingle sets, and verified.
 SHINGLE, BITS, LEAST = 5, 3, 80
 
 
@@ -46,7 +52,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("near duplicates", near_duplicates), ("benchmark passages", benchmark_passages), ("secrets", secrets), ("encoding", encoded)]
 
-#: Fingerprints, components and n-best paths are not in SQL's reach; tests hold the rows against plain Python.
+#: Fingerprints, components and n-best paths are not in SQL's reach; tests/llm/test_pipeline.py holds the rows against plain Python.
 ORACLE_SQL = None
 
 

@@ -15,7 +15,7 @@ hits. Whole texts are used, whatever their length (a text longer than a shard is
 input has besides are kept by `remove`, whatever their names; the query reads two columns.
 
 Scale: a narrow map over the documents, no shuffle. The benchmark is cut by hash into blocks of about `block_chars`; only one block is on
-the driver or in a broadcast at a time, and each block is a pass that adds to the spans found before.
+the driver or in a broadcast at a time, about 130 MB of windows, and each block is a pass that adds to the spans found before.
 """
 
 from __future__ import annotations
@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeworks.llm.text import let
+from lodeworks.llm.text import let, unused
 from lodeworks.runtime import cut, ship, table
 
 WINDOW = 10
 SHARD_WORDS = 2_000_000
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 4_000_000
 SAMPLE = 16
 RANK_BLOCK = 64
 
@@ -209,8 +209,8 @@ HITS = T.StructType([
 ])
 
 
-def _pass(windows, shard_words: int, text: str, drop_text: bool):
-    """A map over batches: adds to the spans and items in column __hits those of one block of the benchmark."""
+def _pass(windows, shard_words: int, text: str, drop_text: bool, name: str):
+    """A map over batches: adds to the spans and items in column `name` those of one block of the benchmark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = windows.value
@@ -225,32 +225,34 @@ def _pass(windows, shard_words: int, text: str, drop_text: bool):
                     size += len(shard[-1])
                 part = batch.slice(at, len(shard))
                 spans, items = search_shard(shard, known)
-                old = part.column(names.index("__hits")).to_pylist()
+                old = part.column(names.index(name)).to_pylist()
                 rows = [
                     {"n_words": len(t), "spans": [list(x) for x in merge(s + [tuple(x) for x in (o or {}).get("spans", [])])], "items": sorted(i.union((o or {}).get("items", [])))}
                     for t, s, i, o in zip(shard, spans, items, old, strict=True)
                 ]
                 kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("items", pa.list_(pa.string()))])
-                out = {n: pa.array(rows, kind) if n == "__hits" else part.column(k) for k, n in enumerate(names) if not (drop_text and n == text)}
+                out = {n: pa.array(rows, kind) if n == name else part.column(k) for k, n in enumerate(names) if not (drop_text and n == text)}
                 yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
                 at += len(shard)
 
     return run
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_chars: int = BLOCK_CHARS, text: str = "text", item_id: str = "item_id", item_text: str = "text", drop_text: bool = False) -> DataFrame:
-    """docs with __hits: n_words, merged spans of hit words, and the items found (as strings, sorted); without the text if drop_text."""
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_chars: int = BLOCK_CHARS, text: str = "text", item_id: str = "item_id", item_text: str = "text", drop_text: bool = False, name: str = "__hits") -> DataFrame:
+    """docs with a struct `name`, which no column may have: n_words, merged spans of hit words, and the items found (as strings, sorted); without the text if drop_text."""
     spark = docs.sparkSession
     ship(spark)
     items = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("item"), F.col(f"`{item_text}`").alias("text")).where("text IS NOT NULL")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // block_chars))
-    out = docs.withColumn("__hits", F.lit(None).cast(HITS))
+    if name.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the input already has {name}")
+    out = docs.withColumn(name, F.lit(None).cast(HITS))
     for k in range(n):
         block = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
         known = spark.sparkContext.broadcast(Windows([tuple(r) for r in block.toLocalIterator()], window))
         last = drop_text and k + 1 == n
-        out = out.mapInArrow(_pass(known, shard_words, text, last), T.StructType([f for f in out.schema if not (last and f.name == text)]))
+        out = out.mapInArrow(_pass(known, shard_words, text, last, name), T.StructType([f for f in out.schema if not (last and f.name == text)]))
         if k + 1 < n:  # else a task would hold all blocks at once
             out = cut(out)
     return out
@@ -266,13 +268,15 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """docs, the same columns, with every hit span cut out of the text, from its first word's start to its last word's end."""
-    found = hits(docs, benchmark, text=text, **options)
+    (name,) = unused(docs, "hits")
+    found = hits(docs, benchmark, text=text, name=name, **options)
+    spans = f"{name}.spans"
     pattern = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # words, before letters are lower-cased
-    some = F.size("__hits.spans") > 0
+    some = F.size(spans) > 0
     # separators and words by turns: the k-th word stands between the k-th and the next separator
     apart, joined = F.split(F.col(f"`{text}`"), pattern, -1), F.regexp_extract_all(F.col(f"`{text}`"), F.lit(pattern), F.lit(0))
-    hit = lambda i: F.exists("__hits.spans", lambda s: (s[0] <= i) & (i < s[1]))
-    inside = lambda i: F.exists("__hits.spans", lambda s: (s[0] < i) & (i < s[1]))
+    hit = lambda i: F.exists(spans, lambda s: (s[0] <= i) & (i < s[1]))
+    inside = lambda i: F.exists(spans, lambda s: (s[0] < i) & (i < s[1]))
     kept = lambda x: F.transform(x.a, lambda a, i: F.concat(F.when(inside(i), "").otherwise(a), F.when(hit(i), "").otherwise(F.coalesce(F.get(x.j, i), F.lit("")))))
     # bound once: inside the lambda the text would be split again for each of its words
     rest = let(F.struct(apart.alias("a"), joined.alias("j")), lambda x: F.array_join(kept(x), ""))
@@ -280,7 +284,6 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options)
     return found.select(*(clean.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))
 
 
-
 #: Two columns are read; windows and words are rows, joined on the window.
 OP2_SQL = rf"""
 WITH d AS (

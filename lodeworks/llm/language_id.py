@@ -4,7 +4,8 @@ Text: naive Bayes over hashed byte trigrams, trained on every labelled document
 tempered to at most `evidence` trigrams' worth, as neighbouring trigrams are not independent. The text's posterior alone
 then gives, by grouped sums over all pages, how often each language is declared and which address suffixes (last host
 label) it has, and a prior for each host that is smoothed towards its domain's (last two labels), that towards the
-suffix's, that towards the corpus's. A page's own share is taken out of its host's sums. The fused score is the sum of the four logarithms.
+suffix's, that towards the corpus's. A page's own share is taken out of all of these sums, so that what occurs on one page only says
+nothing about it. The fused score is the sum of the four logarithms.
 
 Defined results. Null or empty html: no text and no declaration, other evidence decides; null or malformed url: the empty
 host. Ties: the language first in order. Documents with a null lang train nothing. Without any labelled document the
@@ -28,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeworks.llm.text import let
 from lodeworks.llm.url_filter import host_of
 from lodeworks.runtime import cut, is_small, ship, table
 
@@ -38,8 +40,10 @@ MAX_LANGS = 500
 MAX_BROADCAST = 100_000
 MILLION = 1_000_000
 
-_TAGS = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
-_DECLARED = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?\s*([A-Za-z]+)""", re.I)
+_OPEN = re.compile(r"<(?:(script|style)\b|(!--))?", re.I)
+_CLOSE = {"script": re.compile(r"</script\s*>", re.I), "style": re.compile(r"</style\s*>", re.I), "!--": re.compile("-->")}
+_LANG = re.compile(r"""\blang\s*=\s*["']?\s*([A-Za-z]+)""", re.I)
+_HTML = re.compile(r"<html\b[^<>]*", re.I)
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -52,11 +56,30 @@ def trigrams(text: str) -> np.ndarray:
 
 
 def visible(html: str) -> str:
-    return unescape(_TAGS.sub(" ", html))
+    """What is not in a tag, a comment, a script or a style. One that is never closed ends with its tag, so the work is linear."""
+    out, at, open_ended = [], 0, set()
+    while found := _OPEN.search(html, at):
+        out.append(html[at : found.start()])
+        kind = (found[1] or found[2] or "").lower()
+        closed = None if not kind or kind in open_ended else _CLOSE[kind].search(html, found.end())
+        if closed:
+            at = closed.end()
+            continue
+        if kind:
+            open_ended.add(kind)
+        at = html.find(">", found.start()) + 1
+        if not at:
+            out.append(html[found.start() :])
+            at = len(html)
+            break
+    out.append(html[at:])
+    return unescape(" ".join(out))
 
 
 def declared(html: str) -> str | None:
-    found = _DECLARED.search(html)
+    """The language that the first html tag declares."""
+    tag = _HTML.search(html)
+    found = _LANG.search(tag[0]) if tag else None
     return found[1].lower() if found else None
 
 
@@ -133,8 +156,8 @@ def _total(sums: Column) -> Column:
 
 def _smoothed(sums: Column, towards: Column, strength: float) -> Column:
     """Shares of sums, with `strength` pages' worth of the shares above added."""
-    all_ = _total(sums) + strength * MILLION
-    return F.zip_with(sums, towards, lambda s, t: (s + strength * MILLION * t) / all_)
+    both = F.struct(sums.alias("s"), towards.alias("t"))
+    return let(both, lambda x: F.zip_with(x.s, x.t, lambda s, t: (s + strength * MILLION * t) / (_total(x.s) + strength * MILLION)))
 
 
 def fused(seen: DataFrame, langs: list[str], strength: float = STRENGTH, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
@@ -145,22 +168,25 @@ def fused(seen: DataFrame, langs: list[str], strength: float = STRENGTH, max_bro
         return seen.select("page_id", none.alias("lang"), none.alias("text_lang"), "declared", "host", F.lit(None).cast("double").alias("confidence"))
     domain = F.substring_index("host", ".", -2)
     hosts = cut(_sums(seen, "host", n)).select("host", F.col("s").alias("p"), domain.alias("domain"), F.substring_index("host", ".", -1).alias("suffix"))
-    domains, suffixes = _sums(hosts, "domain", n), _sums(hosts, "suffix", n)
+    domains = _sums(hosts, "domain", n).withColumnRenamed("s", "of_domain")
+    suffixes = _sums(hosts, "suffix", n).withColumnRenamed("s", "of_suffix")
     corpus = cut(_sums(hosts.withColumn("all", F.lit(1)), "all", n)).first()
-    sums = corpus["s"] if corpus else [0] * n
-    prior = F.array(*(F.lit((s + MILLION) / (sum(sums) + MILLION * n)) for s in sums))
-    total = F.array(*(F.lit(float(s)) for s in sums))
-    # above each host: its domain's shares, smoothed towards its suffix's, those towards the corpus's
-    tops = suffixes.select("suffix", _smoothed(F.col("s"), prior, strength).alias("top"), F.zip_with("s", total, lambda s, t: F.log((s + strength * MILLION * 0.1) / (t + strength * MILLION))).alias("suffix_log"))
-    mids = domains.withColumn("suffix", F.substring_index("domain", ".", -1)).join(tops, "suffix").select("domain", _smoothed(F.col("s"), F.col("top"), strength).alias("mid"), "suffix_log")
-    above = hosts.join(mids, "domain").select("host", F.col("p").alias("of_host"), "mid", "suffix_log")
-    said = _sums(seen.where("declared IS NOT NULL"), "declared", n).select("declared", F.zip_with("s", total, lambda s, t: F.log((s + strength * MILLION * 0.1) / (t + strength * MILLION))).alias("said_log"))
+    total = F.array(*(F.lit(s) for s in corpus["s"])) if corpus else F.array(*(F.lit(0).cast("long") for _ in langs))
+    above = hosts.join(domains, "domain").join(suffixes, "suffix").select("host", F.col("p").alias("of_host"), "of_domain", "of_suffix")
+    said = _sums(seen.where("declared IS NOT NULL"), "declared", n).withColumnRenamed("s", "of_declared")
     out = _joined(_joined(seen, above, "host", max_broadcast), said, "declared", max_broadcast)
-    others = F.zip_with("of_host", "p", lambda a, b: a - b)
-    host_log = F.transform(_smoothed(others, F.col("mid"), strength), lambda x: F.log(x))
+    # all without the page's own share
+    for c, sums in (("of_host", "of_host"), ("of_domain", "of_domain"), ("of_suffix", "of_suffix"), ("of_declared", "of_declared"), ("of_all", total)):
+        out = out.withColumn(c, F.zip_with(sums, "p", lambda a, b: a - b))
+    corpus_share = let(F.col("of_all"), lambda x: F.transform(x, lambda s: (s + MILLION) / (_total(x) + MILLION * n)))
+    shares = corpus_share
+    for c in ("of_suffix", "of_domain", "of_host"):
+        shares = _smoothed(F.col(c), shares, strength)
+    host_log = F.transform(shares, lambda x: F.log(x))
+    seen_in = lambda c: F.zip_with(c, "of_all", lambda s, t: F.log((s + strength * MILLION * 0.1) / (t + strength * MILLION)))
     flat = F.array(*(F.lit(0.0) for _ in langs))
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    score = add(add("loglik", host_log), add(F.col("suffix_log"), F.coalesce("said_log", flat)))
+    score = add(add("loglik", host_log), add(seen_in("of_suffix"), F.coalesce(seen_in("of_declared"), flat)))
     out = out.withColumn("score", F.transform(score, lambda x: F.round(x, 9)))
     names = F.array(*map(F.lit, langs))
     best = lambda c: F.element_at(names, F.array_position(c, F.array_max(c)).cast("int"))

@@ -17,7 +17,8 @@ rows are encoded one by one; an empty table gives an empty result; columns the i
 `segmented`, which refuses input that has its result columns. Texts are used whole. Decoding joins pieces and bytes,
 drops the space in front, and gives the text back exactly; U+2581 in a text comes back as a space, as the format has it.
 
-Scale: a narrow map, no shuffle. The stretches a worker remembers are bounded: the first ones, the frequent among them, stay.
+Scale: a narrow map, no shuffle. The stretches a worker remembers are bounded in bytes: the first ones, the frequent among them, stay. A stretch
+may be as long as a text: edges are looked up when they are needed, not kept, and of a long one only places that some best path can pass are searched.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ import heapq
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import product
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +42,11 @@ from lodeworks.runtime import ship, table
 
 MODEL = "piece_bpe_32k.model"
 N_BEST = 4
-MEMORY = 600_000
+#: Bytes of stretches that a worker remembers, what Python adds to each counted too; longer stretches than LONG are not remembered.
+MEMORY = 256 << 20
+LONG = 256
+#: From this length on, a stretch's numbers are kept as plain ones, and its search is bounded first.
+MANY = 4_096
 SPACE = "▁"
 
 STRETCH = re.compile(r"\n| *[^ \n]+| +")
@@ -64,6 +71,7 @@ class Pieces:
         plain.sort(key=lambda i: (-model.get_score(i), i))
         self.edge = {self.text[i]: (-round(1e6 * math.log(rank + 1)), i) for rank, i in enumerate(plain, 1)}
         self.byte_score = -round(1e6 * math.log(n + 1))
+        self.longest = max(map(len, self.edge))
         #: score and id of each piece; false for what pieces begin with but is none
         self.walk: dict[str, tuple[int, int] | bool] = {p[:k]: False for p in self.edge for k in range(1, len(p))} | self.edge
         if any(SPACE in p.lstrip(SPACE) or ("\n" in p and p != "\n") for p in self.edge):
@@ -82,6 +90,15 @@ class Pieces:
             out.append((i + 1, *self.bytes_of(s[i])))
         return out
 
+    def entering(self, s: str, j: int) -> Iterator[tuple[int, int, tuple[int, ...]]]:
+        """(start, score, ids) of the edges that end at position j, from the longest to the shortest."""
+        for i in range(max(0, j - self.longest), j):
+            e = self.edge.get(s[i:j])
+            if e:
+                yield i, e[0], (e[1],)
+        if s[j - 1] not in self.edge:
+            yield j - 1, *self.bytes_of(s[j - 1])
+
     def bytes_of(self, char: str) -> tuple[int, tuple[int, ...]]:
         raw = char.encode("utf-8", "surrogatepass")
         return self.byte_score * len(raw), tuple(self.byte_id[b] for b in raw)
@@ -94,20 +111,45 @@ class Pieces:
         return raw.decode("utf-8", "surrogatepass")[1:]
 
 
-def n_best(s: str, pieces: Pieces, n: int = N_BEST) -> list[Path]:
-    """The n best paths through the lattice of s: (score, ids), best first."""
-    size = len(s)
-    best: list[int | None] = [None] * (size + 1)
+def _numbers(kind: str, value, n: int):
+    """n times value: a list, or, for many, an array, which takes a fifth of the room."""
+    return [value] * n if n < MANY else array(kind, [value]) * n
+
+
+def _forward(s: str, pieces: Pieces) -> list[int] | array:
+    """The best score from the start to each position."""
+    best = _numbers("q", -(1 << 62), len(s) + 1)
     best[0] = 0
-    into: list[list[tuple[int, int, tuple[int, ...]]]] = [[] for _ in range(size + 1)]
-    for i in range(size):
+    for i in range(len(s)):
         here = best[i]
-        if here is None:
-            continue
-        for j, score, ids in pieces.edges(s, i):
-            into[j].append((i, score, ids))
-            if best[j] is None or here + score > best[j]:
+        for j, score, _ in pieces.edges(s, i):
+            if here + score > best[j]:
                 best[j] = here + score
+    return best
+
+
+def _bound(s: str, pieces: Pieces, best, n: int) -> int:
+    """A score that the n best paths reach. Each edge has a best path through it; paths of n different scores are n paths."""
+    size = len(s)
+    back = _numbers("q", -(1 << 62), size + 1)  # the best score from each position to the end
+    back[size] = 0
+    found: list[int] = []
+    for j in range(size, 0, -1):
+        for i, score, _ in pieces.entering(s, j):
+            back[i] = max(back[i], back[j] + score)
+            through = best[i] + score + back[j]
+            if (len(found) < n or through > found[0]) and through not in found:
+                heapq.heappush(found, through)
+                if len(found) > n:
+                    heapq.heappop(found)
+    return found[0] if len(found) == n else -(1 << 62)
+
+
+def n_best(s: str, pieces: Pieces, n: int = N_BEST) -> list[Path]:
+    """The n best paths through the lattice of s: (score, ids), best first."""
+    size = len(s)
+    best = _forward(s, pieces)
+    floor = _bound(s, pieces, best, n) if size >= MANY else -(1 << 62)
     out: list[Path] = []
     # cost: minus (the score so far, from the end, plus the best score from the start to here), so the queue never errs;
     # of equal costs the place nearest the start goes first, so that ties don't grow the queue
@@ -118,30 +160,33 @@ def n_best(s: str, pieces: Pieces, n: int = N_BEST) -> list[Path]:
         if at == 0:
             ids: list[int] = []
             while chain is not None:
-                ids.extend(chain[0])
-                chain = chain[1]
+                begin, end, chain = chain
+                e = pieces.edge.get(s[begin:end])
+                ids.extend((e[1],) if e else pieces.bytes_of(s[begin])[1])
             out.append((score, tuple(ids)))
             continue
-        for start, edge, piece in into[at]:
-            serial += 1
-            heapq.heappush(queue, (-(best[start] + edge + score), start, serial, edge + score, (piece, chain)))
+        for start, edge, _ in pieces.entering(s, at):
+            whole = best[start] + edge + score
+            if whole >= floor:
+                serial += 1
+                heapq.heappush(queue, (-whole, start, serial, edge + score, (start, at, chain)))
     return out
 
 
 def best_two(s: str, pieces: Pieces) -> tuple[int, tuple[int, ...], float]:
     """The best path's score and ids, and how much less the second best scores."""
     size, get = len(s), pieces.walk.get
-    best: list[float] = [0.0] + [-math.inf] * size
-    second: list[float] = [-math.inf] * (size + 1)
-    start, last = [0] * (size + 1), [None] * (size + 1)
+    best, second = _numbers("d", -math.inf, size + 1), _numbers("d", -math.inf, size + 1)
+    best[0] = 0.0
+    start, last = _numbers("q", 0, size + 1), _numbers("i", -1, size + 1)  # -1: bytes
 
     for i in range(size):
         here, next_, j, e = best[i], second[i], i + 1, get(s[i])
         if not e:  # no piece is this character alone
-            score, ids = pieces.bytes_of(s[i])
+            score, _ = pieces.bytes_of(s[i])
             second[j] = max(second[j], min(best[j], here + score), next_ + score)
             if here + score > best[j]:
-                best[j], start[j], last[j] = here + score, i, ids
+                best[j], start[j], last[j] = here + score, i, -1
         while e is not None:
             if e:
                 score = here + e[0]
@@ -154,11 +199,11 @@ def best_two(s: str, pieces: Pieces) -> tuple[int, tuple[int, ...], float]:
             if j > size:
                 break
             e = get(s[i:j])
-    ids, at = [], size
+    parts, at = [], size
     while at:
-        ids.append(last[at])
+        parts.append((last[at],) if last[at] >= 0 else pieces.bytes_of(s[at - 1])[1])
         at = start[at]
-    flat = tuple(x for i in reversed(ids) for x in (i if type(i) is tuple else (i,)))
+    flat = tuple(x for ids in reversed(parts) for x in ids)
     return int(best[size]), flat, best[size] - second[size]
 
 
@@ -177,7 +222,7 @@ class Segmenter:
         self.pieces, self.n = Pieces(path), n
         #: for each stretch: ids of its best path as bytes, its score, what departing from it costs (inf: cannot), whether it decodes
         self.known: dict[str, tuple[bytes, int, float, bool]] = {}
-        self.missed = 0
+        self.held = self.missed = 0
 
     @classmethod
     def of(cls, path: str, n: int) -> Segmenter:
@@ -188,13 +233,16 @@ class Segmenter:
     def _learn(self, stretch: str) -> tuple[bytes, int, float, bool]:
         score, ids, loss = best_two(stretch.replace(" ", SPACE), self.pieces)
         found = np.array(ids, "<u4").tobytes(), score, loss, self.pieces.raw_of(ids) == stretch.encode("utf-8", "surrogatepass")
-        if len(self.known) < MEMORY:
-            self.known[stretch] = found
-        else:
-            self.missed += 1
-            if self.missed > MEMORY:
-                self.known.clear()
-                self.missed = 0
+        if len(stretch) <= LONG:
+            size = getsizeof(stretch) + getsizeof(found[0]) + 250
+            if self.held + size <= MEMORY:
+                self.held += size
+                self.known[stretch] = found
+            else:
+                self.missed += size
+                if self.missed > MEMORY:
+                    self.known.clear()
+                    self.held = self.missed = 0
         return found
 
     def paths(self, text: str) -> tuple[list[tuple[int, bytes]], bool]:

@@ -7,17 +7,25 @@ meet in an equality join on (segment, bit left out, the other bits), are verifie
 place, the same for both, reports the link. Only distinct fingerprints take part, so exact copies cost one row a copy, not
 one a pair. Components spread the smallest document id along links, hooking roots to smaller roots, then jumping.
 
+Texts that are `least` per cent alike by their shingle sets (`one_of_each(least=80)`) are mostly further apart than three bits, and segments
+short enough to find them would fill up with the square of the corpus. Such pairs are found by the sets themselves
+(`alike`): equal bands of minimal hashes make candidates, and every link is verified on the whole sets. BANDS bands of ROWS
+hashes miss a pair at 0.8 with a chance of 3e-7, one that is more alike with less. In a band, texts are compared with the
+one that has most neighbours, which links the copies of one original without comparing the copies with each other; bands in
+which several components are left go on, without that one, and after `rounds` rounds all pairs that are left are compared.
+
 Words: `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased; `size`-word shingles, repeats included; a text with fewer
-words is one shingle, one with none has fingerprint zero and is linked like any other.
+words is one shingle, one with none has fingerprint zero and is linked like any other, but is alike to none by sets.
 
 Defined results. Null and empty texts have fingerprint zero. A null doc_id takes no part in the smallest id of its
-component; a component of nulls only has a null id; `one_of_each` keeps rows without an id, as it could not name the one that stays. Repeated rows are rows of one component. An empty table gives an
+component; a component of nulls only has a null id; `one_of_each` keeps rows without an id, as it could not name the one that stays. Repeated rows are rows of one component.
+Of rows with the smallest id of their component, `one_of_each` keeps those of one text (the least by hash), of these the first as JSON. An empty table gives an
 empty result. Texts are used whole. Columns the input has besides are kept by `one_of_each`, whatever their names.
 
-Scale: one narrow pass over the texts; from then on 8-byte fingerprints and ids. Groups by fingerprint are combined
+Scale: one narrow pass over the texts; from then on 8-byte fingerprints, keys and ids, and of texts that share a band their sets. Groups by fingerprint are combined
 before their shuffle. A variant table has 64 rows for each distinct fingerprint, whatever the number of copies. A
 fingerprint has at most 2,080 others within two bits (43,744 within three), so links cannot grow with the square of a group. The skew-join
-splitting of Spark's adaptive execution splits a signature that many share. Lineage is cut by checkpoints in the shared folder.
+splitting of Spark's adaptive execution splits a signature that many share. What is broadcast is checked to be few rows. Lineage is cut by checkpoints in the shared folder.
 """
 
 from __future__ import annotations
@@ -31,13 +39,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.llm.text import UPPER
-from lodeworks.runtime import cut, ship, table
+from lodeworks.runtime import cut, is_small, ship, table
 
 SIZE = 3
 BITS = 2
 SEED = 42
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 _CHUNK = 65_536  # hashes whose bits are counted at once
+BANDS, ROWS = 50, 6
+#: Rounds in which a band's texts meet the one with most neighbours, before all pairs that are left do.
+HUB_ROUNDS = 3
+#: Rows that may be broadcast: two or three numbers each.
+MAX_BROADCAST = 500_000
+_SEED = np.random.default_rng(11)
+_FLIP, _TIMES = _SEED.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32), _SEED.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def shingles(text: bytes, size: int = SIZE) -> np.ndarray:
@@ -53,13 +68,34 @@ def shingles(text: bytes, size: int = SIZE) -> np.ndarray:
 
 
 def fingerprint(text: bytes, size: int = SIZE) -> int:
-    hashes = shingles(text, size)
+    return _majority(shingles(text, size))
+
+
+def _majority(hashes: np.ndarray) -> int:
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), _CHUNK):
         counts += np.unpackbits(hashes[i : i + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def minima(distinct: np.ndarray) -> np.ndarray:
+    """The least value of each of BANDS * ROWS hashes over a set of shingle hashes."""
+    low = (distinct ^ distinct >> np.uint64(32)).astype(np.uint32)
+    out = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
+    for i in range(0, len(low), 512):
+        np.minimum(out, ((low[i : i + 512, None] ^ _FLIP) * _TIMES).min(axis=0), out=out)
+    return out
+
+
+def bands(many: np.ndarray) -> np.ndarray:
+    """One key a band from the minima of many sets (sets by BANDS * ROWS)."""
+    parts = many.reshape(len(many), BANDS, ROWS).astype(np.uint64)
+    out = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), parts.shape[:2]).copy()
+    for k in range(ROWS):
+        out = (out ^ out >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, k]
+    return out ^ out >> np.uint64(32)
+
+
 def fingerprints(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """__id and __fp (the 64 bits as a long) of each row."""
     ship(docs.sparkSession)
@@ -73,46 +109,96 @@ def fingerprints(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text
     return ids.mapInArrow(run, "__id long, __fp long")
 
 
-def shingle_sets(docs: DataFrame, size: int = SIZE, text: str = "text") -> DataFrame:
-    """__fp, __key (a hash of the set) and __set (the distinct shingle hashes) of each text that has words."""
+def _longs(x) -> pa.Array:
+    return pa.array(np.array(x, np.uint64).view(np.int64))
+
+
+def marked(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """__id, __key (a hash of the text), __fp, n (distinct shingles) and bands (none where n is 0) of each row."""
     ship(docs.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                fps, sizes, least = [], [], []
+                for t in part.column(2):
+                    found = shingles(t.as_buffer().to_pybytes(), size) if t.is_valid else np.empty(0, "<u8")
+                    fps.append(_majority(found))
+                    found = np.unique(found)
+                    sizes.append(len(found))
+                    least.append(minima(found))
+                n = np.array(sizes)
+                keys = bands(np.array(least))[n > 0].ravel()
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum((n > 0) * BANDS))).astype(np.int32)), _longs(keys))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _longs(fps), pa.array(n), lists], names=["__id", "__key", "__fp", "n", "bands"])
+
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("__id"), F.xxhash64(F.col(f"`{text}`")).alias("__key"), F.col(f"`{text}`").alias("__text"))
+    return rows.mapInArrow(run, "__id long, __key long, __fp long, n long, bands array<long>")
+
+
+def shingle_sets(texts: DataFrame, size: int = SIZE) -> DataFrame:
+    """__key and set (the distinct shingle hashes) of texts (__key, __text)."""
+    ship(texts.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                rows = []
-                for t in batch.column(0).slice(at, 256):
-                    own = t.as_buffer().to_pybytes() if t.is_valid else b""
-                    found = np.unique(shingles(own, size))
-                    if len(found):
-                        rows.append((fingerprint(own, size), xxhash.xxh64_intdigest(found.tobytes(), SEED), found.view(np.int64)))
-                signed = lambda k: pa.array(np.array([x[k] for x in rows], np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([signed(0), signed(1), pa.array([x[2] for x in rows], pa.list_(pa.int64()))], names=["__fp", "__key", "__set"])
+                part = batch.slice(at, 256)
+                sets = [np.unique(shingles(t.as_buffer().to_pybytes(), size)).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["__key", "set"])
+
+    return texts.where("__text IS NOT NULL").mapInArrow(run, "__key long, set array<long>")
+
 
-    return docs.select(F.col(f"`{text}`").alias("__text")).mapInArrow(run, "__fp long, __key long, __set array<long>")
+def _few(rows: DataFrame) -> DataFrame:
+    """rows, to be broadcast if they are few; read twice, so cut them first."""
+    return F.broadcast(rows) if is_small(rows, MAX_BROADCAST) else rows
 
 
-def alike(sets: DataFrame, homes: DataFrame, least: int) -> DataFrame:
-    """a, b: fingerprints of different homes whose shingle sets have `least` per cent of their union in common, all of them.
+def alike(marks: DataFrame, texts: DataFrame, edges: DataFrame, least: int, size: int = SIZE, rounds: int = HUB_ROUNDS) -> DataFrame:
+    """edges (a, b: fingerprints) and links of texts whose shingle sets have `least` per cent of their union in common.
 
-    Exact: with shingles in one order for all, two such sets share one of the first n - ceil(least n / 100) + 1 of either.
-    The order is rarest first, so that common passages are seldom keys; shingles of one set only count and are no keys.
-    sets: from `shingle_sets`, cut; homes: __fp, home. Sets of one home are linked already and make no pair.
+    marks: from `marked`, cut; texts: __key, __text. Texts that edges connect already are not compared.
     """
-    one = cut(sets.groupBy("__key").agg(F.min("__fp").alias("__fp"), F.any_value("__set").alias("__set")).join(homes, "__fp"))
-    same = sets.join(one.select("__key", F.col("__fp").alias("a")), "__key").where("a <> __fp").select("a", F.col("__fp").alias("b"))
-    each = one.select("__key", "home", F.size("__set").alias("n"), F.explode("__set").alias("s"))
-    shared = each.join(each.groupBy("s").agg(F.count("*").alias("c")).where("c > 1"), "s")
-    first = F.col("n") - F.floor((F.col("n") * least + 99) / 100) + 1 - (F.col("n") - F.size("all"))
-    keys = shared.groupBy("__key", "home", "n").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("all")).withColumn("first", first.cast("int")).where("first > 0")
-    keys = cut(keys.select("__key", "home", "n", F.explode(F.slice("all", F.lit(1), F.col("first"))).alias("x")).select("__key", "home", "n", "x.s"))
-    a, b = keys.alias("a"), keys.alias("b")
-    near = (F.col("a.__key") < F.col("b.__key")) & (F.col("a.home") != F.col("b.home")) & (100 * F.least("a.n", "b.n") >= least * F.greatest("a.n", "b.n"))
-    pairs = a.join(b, (F.col("a.s") == F.col("b.s")) & near).select(F.col("a.__key").alias("ka"), F.col("b.__key").alias("kb")).distinct()
-    side = lambda x: one.select(F.col("__key").alias(f"k{x}"), F.col("__fp").alias(x), F.col("__set").alias(f"s{x}"))
-    met = pairs.join(side("a"), "ka").join(side("b"), "kb").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    met = met.where(100 * F.col("common") >= least * (F.size("sa") + F.size("sb") - F.col("common")))
-    return met.select("a", "b").union(same)
+    one = marks.where("n > 0").dropDuplicates(["__key"]).select("__key", "__fp", "n", F.explode("bands").alias("band"))
+    met = one.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
+    shared = cut(one.join(met, "band"))
+    degree = shared.groupBy("__key").agg(F.sum("c").alias("degree"))
+    shared = cut(shared.drop("c").join(degree, "__key"))
+    some = _few(cut(shared.select("__key").distinct()))
+    sets = cut(shingle_sets(texts.join(some, "__key", "left_semi"), size).dropDuplicates(["__key"]))
+    own = [F.col(c) for c in ("band", "__key", "__fp", "n", "degree")]
+    near = lambda n, m: 100 * F.least(n, m) >= least * F.greatest(n, m)
+
+    def homed(rows: DataFrame) -> DataFrame:
+        roots = components(edges).withColumnsRenamed({"node": "__node", "root": "__root"})
+        return rows.join(_few(roots), F.col("__fp") == F.col("__node"), "left").select(*own, F.coalesce("__root", "__fp").alias("home"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """pairs: ka, a, kb, b (keys and fingerprints)."""
+        side = lambda x: sets.select(F.col("__key").alias(f"k{x}"), F.col("set").alias(f"s{x}"))
+        both = pairs.distinct().join(side("a"), "ka").join(side("b"), "kb").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+        return both.where(100 * F.col("common") >= least * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
+
+    for _ in range(rounds):
+        shared = cut(homed(shared))
+        hub = F.max_by(F.struct("__key", "__fp", "n", "home"), F.struct("degree", "__key"))
+        groups = shared.groupBy("band").agg(F.min("home").alias("lo"), F.max("home").alias("hi"), hub.alias("hub")).where("lo <> hi").select("band", "hub")
+        against = cut(shared.join(groups, "band").where(F.col("__key") != F.col("hub.__key")))
+        pairs = against.where((F.col("home") != F.col("hub.home")) & near(F.col("n"), F.col("hub.n")))
+        found = cut(verified(pairs.select(F.col("__key").alias("ka"), F.col("__fp").alias("a"), F.col("hub.__key").alias("kb"), F.col("hub.__fp").alias("b"))))
+        edges = cut(edges.unionByName(found))
+        shared = against.select(*own)  # without the hubs, whose pairs are all done
+        if not shared.limit(1).count():
+            return edges
+    shared = cut(homed(shared))
+    left = shared.groupBy("band").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo <> hi").select("band")
+    shared = cut(shared.join(left, "band"))
+    a, b = shared.alias("x"), shared.alias("y")
+    pairs = a.join(b, (F.col("x.band") == F.col("y.band")) & (F.col("x.__key") < F.col("y.__key")) & (F.col("x.home") != F.col("y.home")) & near(F.col("x.n"), F.col("y.n")))
+    found = verified(pairs.select(F.col("x.__key").alias("ka"), F.col("x.__fp").alias("a"), F.col("y.__key").alias("kb"), F.col("y.__fp").alias("b")))
+    return cut(edges.unionByName(found))
 
 
 def _halves(fp: Column) -> tuple[Column, Column]:
@@ -142,14 +228,16 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     both = cut(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a")))
     label = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root"))
     label = cut(label)
+    hint = F.broadcast if is_small(label, MAX_BROADCAST) else lambda rows: rows
     for _ in range(most_rounds):
         # the smallest label next to a node goes to the node and to its root (hook), then labels take their label's (jump)
-        near = both.join(label.withColumnsRenamed({"node": "other", "root": "theirs"}), "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
-        best = label.join(near, "node").select("node", "root", F.least("root", "theirs").alias("best"))
+        near = both.join(hint(label.withColumnsRenamed({"node": "other", "root": "theirs"})), "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
+        best = label.join(hint(near), "node").select("node", "root", F.least("root", "theirs").alias("best"))
         hook = best.where("best < root").groupBy(F.col("root").alias("node")).agg(F.min("best").alias("hooked"))
-        new = best.join(hook, "node", "left").select("node", F.col("root").alias("old"), F.least("best", F.coalesce("hooked", "best")).alias("root"))
+        new = best.join(hint(hook), "node", "left").select("node", F.col("root").alias("old"), F.least("best", F.coalesce("hooked", "best")).alias("root"))
+        new = cut(new)
         up = new.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        new = cut(new.join(up, "root").select("node", "old", F.col("up").alias("root")))
+        new = cut(new.join(hint(up), "root").select("node", "old", F.col("up").alias("root")))
         changed = new.where("old <> root").limit(1).count()
         label = new.drop("old")
         if not changed:
@@ -157,18 +245,14 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def labelled(prints: DataFrame, bits: int = BITS, sets: DataFrame | None = None, least: int = 100) -> DataFrame:
+def labelled(prints: DataFrame, bits: int = BITS, further=None) -> DataFrame:
     """prints (__id, __fp) with component, the smallest id reachable over links. prints is read several times: cut it first.
 
-    With sets (from `shingle_sets`, cut), texts whose sets are `least` per cent alike are linked too.
+    further: a function that adds to the links between fingerprints (a, b).
     """
     groups = prints.groupBy("__fp").agg(F.min("__id").alias("least"))
     edges = cut(links(groups.select("__fp"), bits))
-    roots = components(edges)
-    if sets is not None:
-        homes = cut(groups.select("__fp").join(roots.withColumnsRenamed({"node": "__fp", "root": "home"}), "__fp", "left").select("__fp", F.coalesce("home", "__fp").alias("home")))
-        linked = homes.where("__fp <> home").select(F.col("__fp").alias("a"), F.col("home").alias("b"))
-        roots = components(cut(linked.union(alike(sets, homes, least))))
+    roots = components(edges if further is None else further(edges))
     # the root is the smallest fingerprint, which names the component; its id is the smallest of its fingerprints'
     ids = roots.join(groups, roots["node"] == groups["__fp"]).groupBy("root").agg(F.min("least").alias("linked"))
     named = roots.join(ids, "root").select(F.col("node").alias("__fp"), "linked")
@@ -177,17 +261,28 @@ def labelled(prints: DataFrame, bits: int = BITS, sets: DataFrame | None = None,
 
 
 def one_of_each(docs: DataFrame, size: int = SIZE, bits: int = BITS, doc_id: str = "doc_id", text: str = "text", least: int | None = None) -> DataFrame:
-    """docs, the same columns, with the row of the smallest id of each component only; rows without an id stay.
+    """docs, the same columns, with one row of each component, of its smallest id; rows without an id stay.
 
     least: also link texts whose shingle sets have that many per cent of their union in common.
     """
-    key = F.col(f"`{doc_id}`")
-    prints = cut(fingerprints(docs.where(key.isNotNull()), size, doc_id, text))
-    sets = cut(shingle_sets(docs.where(key.isNotNull()), size, text)) if least else None
-    keep = labelled(prints, bits, sets, least or 100).where("__id = component").select("__id").distinct().withColumn("__stays", F.lit(True))
-    if prints.groupBy("__id").count().where("count > 1").limit(1).count():  # rows of one id and one text are copies too
-        docs = docs.where(key.isNull()).union(docs.where(key.isNotNull()).withColumn("__digest", F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))).dropDuplicates([doc_id, "__digest"]).drop("__digest"))
-    return docs.join(keep, key == F.col("__id"), "left").where(key.isNull() | F.col("__stays")).drop("__id", "__stays")
+    key, whole = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
+    some = docs.where(key.isNotNull())
+    marks = cut(marked(some, size, doc_id, text))
+    texts = some.select(F.xxhash64(whole).alias("__key"), whole.alias("__text"))
+    further = (lambda edges: alike(marks, texts, edges, least, size)) if least else None
+    found = cut(labelled(marks.select("__id", "__key", "__fp"), bits, further).select("__id", "__key", "component"))
+    first = found.where("__id = component")
+    several = first.groupBy("component").agg(F.min("__key").alias("lo"), F.max("__key").alias("hi")).where("lo <> hi")
+    others = first.join(several, "component").where("__key <> lo").select("__id", "__key")
+    gone = _few(cut(found.where("__id <> component").select("__id", "__key").union(others).distinct()))
+    same = (F.col(f"d.`{doc_id}`").cast("long") == F.col("g.__id")) & (F.xxhash64(F.col(f"d.`{text}`")) == F.col("g.__key"))
+    docs = docs.alias("d").join(gone.alias("g"), same, "left_anti")
+    if not first.groupBy("__id", "__key").count().where("count > 1").limit(1).count():
+        return docs
+    # rows of one id and one text are copies too
+    whole_row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = docs.where(key.isNotNull()).select(key.alias("k"), F.xxhash64(whole).alias("h"), whole_row.alias("row")).groupBy("k", "h").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return docs.where(key.isNull()).unionByName(one.select("row.*"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 A sketch holds, for a language, a source and a feature, how many documents fall into each bucket; a bucket keeps the four
 leading bits of a value, so a quantile read from it is within an eighth. Sketches merge by adding counts: those of a
-language's sources give the language's, those of all languages the corpus's. Upper thresholds are the third
-quartile plus `spread` times the distance between the quartiles plus a slack for the feature (word length has a lower
-one too). A source with fewer than `min_rows` documents uses its language's sketch, then the corpus's. Documents that
-fail the base limits take no part in the sketches. Then documents are joined with their group's thresholds.
+language's sources give the language's, those of all languages the corpus's. They hold the documents that have the feature
+at all: most have no symbol, no line twice and no words in repeats, and quartiles over all would be nought. The upper threshold
+is the upper edge of the third quartile's bucket plus `spread` times its distance to the lower edge of the first's (word
+length has a lower threshold too), so no constant is in it, and it is above every value of a group whose values are alike.
+A source with fewer than `min_rows` documents that have a feature uses its language's sketch of it, then the corpus's.
+Documents that fail the base limits take no part in the sketches. Then documents are joined with their group's thresholds.
 
 Native: only SQL functions.
 
@@ -14,13 +16,15 @@ group none of whose documents pass the base limits has no thresholds and needs n
 one, and count in the sketches as often as they occur. An empty table gives an empty result. `keep` returns the input's
 columns whatever their names. Whole texts are used.
 
-Scale: two narrow passes over the texts, and an aggregation of at most 64 buckets a feature and group, combined before
+Scale: one narrow pass over the texts, whose measures are kept in the shared folder, and an aggregation of at most 64 buckets a feature and group, combined before
 its shuffle, so that a source with a third of all rows costs no more than another. The thresholds are broadcast where
 they are `max_broadcast` rows at most; beyond that they are copied `salts` times and joined on a salted key.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +36,8 @@ MIN_WORDS = 10
 MAX_REPEATED = 20  # per cent of the words
 SPREAD = 3
 MIN_ROWS = 30
-#: Slack of each feature above its fence: thousandths of the characters, lines or words; tenths of a character.
-SLACK = {"symbols": 50, "capitals": 100, "lines": 150, "repeated": 150, "length": 30}
+#: Thousandths of the characters, of the lines or of the words; tenths of a character.
+FEATURES = ("symbols", "capitals", "lines", "repeated", "length")
 MAX_BROADCAST = 100_000
 SALTS = 64
 
@@ -66,100 +70,102 @@ def _counts(whole: Column) -> Column:
 
 
 def _with_features(c: Column) -> Column:
-    share = lambda k, of: F.least(F.lit(1000), F.floor(F.lit(1000) * k / F.greatest(F.lit(1), of))).cast("long")
+    share = lambda k, of: F.floor(F.lit(1000) * k / F.greatest(F.lit(1), of)).cast("long")
     failed = (c.n_words < MIN_WORDS) | (100 * c.n_repeat_words > MAX_REPEATED * c.n_words)
     return F.struct(
         *(c[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), failed.alias("base_failed"),
         share(c.n_symbols, c.word_chars).alias("symbols"), share(c.n_capitals, c.word_chars).alias("capitals"), share(c.n_dup_lines, c.n_lines).alias("lines"),
-        share(c.n_repeat_words, c.n_words).alias("repeated"), F.least(F.lit(1000), F.floor(F.lit(10) * c.word_chars / F.greatest(F.lit(1), c.n_words))).cast("long").alias("length"),
+        share(c.n_repeat_words, c.n_words).alias("repeated"), F.floor(F.lit(10) * c.word_chars / F.greatest(F.lit(1), c.n_words)).cast("long").alias("length"),
     )
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a struct column __q: the counts of the base rules, base_failed, and the features."""
-    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    return docs.withColumn("__q", let(_counts(whole), _with_features))
+def measures(text: str = "text") -> Column:
+    """A struct: the counts of the base rules, base_failed, and the features."""
+    return let(_counts(F.coalesce(F.col(f"`{text}`"), F.lit(""))), _with_features)
+
+
+def _shift(value: Column) -> Column:
+    return F.greatest(F.lit(0), F.length(F.bin(value)) - 4)
 
 
 def bucket(value: Column) -> Column:
     """The lower edge of a value's bucket: its four leading bits."""
-    drop = F.greatest(F.lit(0), F.length(F.bin(value)) - 4)
-    return F.call_function("shiftleft", F.call_function("shiftright", value, drop), drop)
+    return F.call_function("shiftleft", F.call_function("shiftright", value, _shift(value)), _shift(value))
+
+
+def upper_edge(lower: Column) -> Column:
+    """The first value above the bucket that begins at lower."""
+    return lower + F.call_function("shiftleft", F.lit(1).cast("long"), _shift(lower))
 
 
-def sketches(docs: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """lang, source, feature, bucket, n: from what `measured` returns."""
-    rows = lambda q: F.when(~q.base_failed, F.array(*(F.struct(F.lit(f).alias("feature"), bucket(q[f]).alias("bucket")) for f in SLACK)))
-    each = F.explode(let(F.col("__q"), rows))  # not a filter: one would be pushed below and measure the texts twice
-    group = [F.coalesce(F.col(f"`{lang}`"), F.lit("")).alias("lang"), F.coalesce(F.col(f"`{source}`"), F.lit("")).alias("source")]
-    return docs.select(*group, each.alias("x")).groupBy("lang", "source", "x.feature", "x.bucket").agg(F.count("*").alias("n"))
+def sketches(rows: DataFrame) -> DataFrame:
+    """lang, source, feature, bucket, n: from rows (lang, source, q: `measures`)."""
+    some = lambda q: F.when(~q.base_failed, F.filter(F.array(*(F.struct(F.lit(f).alias("feature"), q[f].alias("value")) for f in FEATURES)), lambda x: x.value > 0))
+    each = rows.select("lang", "source", F.explode(some(F.col("q"))).alias("x")).select("lang", "source", "x.feature", bucket(F.col("x.value")).alias("bucket"))
+    return each.groupBy("lang", "source", "feature", "bucket").agg(F.count("*").alias("n"))
 
 
 def merged(parts: DataFrame, *by: str) -> DataFrame:
     return parts.groupBy(*by, "feature", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fences(sketch: DataFrame, by: list[str], spread: int, prefix: str) -> DataFrame:
-    """For each group: its rows, and a column low_ and high_ for each feature."""
+def fences(sketch: DataFrame, *by: str) -> DataFrame:
+    """For each group and feature: n (documents that have it), lo and hi, the outer edges of the quartiles' buckets."""
     keys = [*by, "feature"]
-    run = Window.partitionBy(*keys).orderBy("bucket")
-    total = F.sum("n").over(Window.partitionBy(*keys))
-    upto = sketch.select("*", F.sum("n").over(run).alias("upto"), total.alias("total"))
+    upto = sketch.select("*", F.sum("n").over(Window.partitionBy(*keys).orderBy("bucket")).alias("upto"), F.sum("n").over(Window.partitionBy(*keys)).alias("total"))
     quartile = lambda q: F.min(F.when(4 * F.col("upto") >= q * F.col("total"), F.col("bucket")))
-    each = upto.groupBy(*keys).agg(quartile(1).alias("a"), quartile(3).alias("b"), F.max("total").alias("rows"))
-    slack = F.element_at(F.create_map(*(F.lit(x) for kv in SLACK.items() for x in kv)), F.col("feature"))
-    each = each.select(*keys, "rows", (F.col("a") - spread * (F.col("b") - F.col("a")) - slack).alias("low"), (F.col("b") + spread * (F.col("b") - F.col("a")) + slack).alias("high"))
-    wide = [F.max(F.when(F.col("feature") == f, F.col(x))).alias(f"{prefix}{x}_{f}") for f in SLACK for x in ("low", "high")]
-    return each.groupBy(*by).agg(F.max("rows").alias(f"{prefix}rows"), *wide)
+    return upto.groupBy(*keys).agg(F.max("total").alias("n"), quartile(1).alias("lo"), upper_edge(quartile(3)).alias("hi"))
 
 
-def thresholds(docs: DataFrame, spread: int = SPREAD, min_rows: int = MIN_ROWS, lang: str = "lang", source: str = "source") -> DataFrame:
-    """lang, source, low_ and high_ of each feature: one row for each pair that has a sketch. docs: from `measured`."""
-    own = cut(sketches(docs, lang, source))
+def thresholds(rows: DataFrame, spread: int = SPREAD, min_rows: int = MIN_ROWS) -> DataFrame:
+    """lang, source, low_ and high_ of each feature: one row for each pair that has a sketch. rows: lang, source, q."""
+    own = cut(sketches(rows))
     by_lang = merged(own, "lang")
-    out = fences(own, ["lang", "source"], spread, "s_").join(fences(by_lang, ["lang"], spread, "l_"), "lang")
-    out = out.join(F.broadcast(fences(merged(by_lang), [], spread, "c_")))  # one row
-    pick = lambda c: F.when(F.col("s_rows") >= min_rows, F.col(f"s_{c}")).when(F.col("l_rows") >= min_rows, F.col(f"l_{c}")).otherwise(F.col(f"c_{c}"))
-    return out.select("lang", "source", *(pick(f"{x}_{f}").alias(f"{x}_{f}") for f in SLACK for x in ("low", "high")))
-
-
-def judged(docs: DataFrame, spread: int = SPREAD, min_rows: int = MIN_ROWS, text: str = "text", lang: str = "lang", source: str = "source", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """docs with __q and the verdict __kept."""
-    by_text = measured(docs, text)
-    limits = cut(thresholds(by_text, spread, min_rows, lang, source)).withColumnsRenamed({"lang": "__lang", "source": "__source"})
-    limits = limits.select("__lang", "__source", F.struct(*(c for c in limits.columns if c[:2] != "__")).alias("__t"))
-    out = by_text.withColumns({"__l": F.coalesce(F.col(f"`{lang}`"), F.lit("")), "__o": F.coalesce(F.col(f"`{source}`"), F.lit(""))})
-    on = (F.col("__l") == F.col("__lang")) & (F.col("__o") == F.col("__source"))
+    level = lambda sketch, name, *by: fences(sketch, *by).select(*by, "feature", F.struct("n", "lo", "hi").alias(name))
+    out = level(own, "s", "lang", "source").join(level(by_lang, "l", "lang"), ["lang", "feature"])
+    out = out.join(F.broadcast(level(merged(by_lang), "c")), "feature")  # a row a feature
+    pick = lambda x: F.when(F.col("s.n") >= min_rows, F.col(f"s.{x}")).when(F.col("l.n") >= min_rows, F.col(f"l.{x}")).otherwise(F.col(f"c.{x}"))
+    each = out.select("lang", "source", "feature", pick("lo").alias("lo"), pick("hi").alias("hi"))
+    each = each.select("lang", "source", "feature", (F.col("lo") - spread * (F.col("hi") - F.col("lo"))).alias("low"), (F.col("hi") + spread * (F.col("hi") - F.col("lo"))).alias("high"))
+    return each.groupBy("lang", "source").agg(*(F.max(F.when(F.col("feature") == f, F.col(x))).alias(f"{x}_{f}") for f in FEATURES for x in ("low", "high")))
+
+
+def judged(docs: DataFrame, spread: int = SPREAD, min_rows: int = MIN_ROWS, text: str = "text", lang: str = "lang", source: str = "source", max_broadcast: int = MAX_BROADCAST, drop_text: bool = False) -> DataFrame:
+    """row (a struct of docs' columns, without the text if drop_text), q (`measures`) and kept."""
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns if not (drop_text and c == text)))
+    group = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(name) for c, name in ((lang, "lang"), (source, "source"))]
+    out = cut(docs.select(own.alias("row"), *group, measures(text).alias("q")))
+    limits = cut(thresholds(out, spread, min_rows))
+    limits = limits.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), F.struct(*limits.columns[2:]).alias("t"))
+    on = (F.col("lang") == F.col("of_lang")) & (F.col("source") == F.col("of_source"))
     if is_small(limits, max_broadcast):
         out = out.join(F.broadcast(limits), on, "left")
     else:
-        out = out.withColumn("__salt", F.pmod(F.xxhash64(F.col(f"`{text}`")), F.lit(SALTS)))
-        limits = limits.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        out = out.join(limits, on & (F.col("__salt") == F.col("__copy")), "left")
-    above = [F.col(f"__q.{f}") > F.col(f"__t.high_{f}") for f in SLACK]
-    outside = F.coalesce(above[0] | above[1] | above[2] | above[3] | above[4] | (F.col("__q.length") < F.col("__t.low_length")), F.lit(False))
-    # a sum, as the parts of a conjunction would be pushed below the join and measured once more
-    out = out.withColumn("__kept", F.col("__q.base_failed").cast("int") + outside.cast("int") == 0)
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns), "__q", "__kept")
+        out = out.withColumn("salt", F.pmod(F.xxhash64("q"), F.lit(SALTS)))
+        limits = limits.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = out.join(limits, on & (F.col("salt") == F.col("copy")), "left")
+    outside = reduce(lambda a, b: a | b, (F.coalesce(F.col(f"q.{f}") > F.col(f"t.high_{f}"), F.lit(False)) for f in FEATURES))
+    outside = outside | F.coalesce(F.col("q.length") < F.col("t.low_length"), F.lit(False))
+    return out.select("row", "q", (~F.col("q.base_failed") & ~outside).alias("kept"))
 
 
 def keep(docs: DataFrame, **options) -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    return judged(docs, **options).where("__kept").drop("__q", "__kept")
+    return judged(docs, **options).where("kept").select("row.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    out = judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), drop_text=True)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return out.select("doc_id", *(F.col(f"__q.{c}") for c in counts), F.col("__kept").alias("kept"))
+    return out.select("row.doc_id", *(F.col(f"q.{c}") for c in counts), "kept")
 
 
 def _limits_sql(level: str, by: str) -> str:
-    """Quartiles, then fences, of the sketches at one level."""
+    """Quartiles' outer edges of the sketches at one level."""
     return f"""
 {level}_run AS (SELECT *, sum(n) OVER (PARTITION BY {by} feature ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by} feature) AS total FROM {level}),
-{level}_q AS (SELECT {by} feature, min(bucket) FILTER (4 * upto >= total) AS a, min(bucket) FILTER (4 * upto >= 3 * total) AS b, max(total) AS docs FROM {level}_run GROUP BY {by} feature),
-{level}_f AS (SELECT {by} feature, docs, a - {SPREAD} * (b - a) - slack AS low, b + {SPREAD} * (b - a) + slack AS high FROM {level}_q JOIN slacks USING (feature))"""
+{level}_q AS (SELECT {by} feature, min(bucket) FILTER (4 * upto >= total) AS lo, min(bucket) FILTER (4 * upto >= 3 * total) AS b, max(total) AS docs FROM {level}_run GROUP BY {by} feature),
+{level}_f AS (SELECT {by} feature, docs, lo, b + (1::BIGINT << greatest(0, length(bin(b)) - 4)::BIGINT) AS hi FROM {level}_q)"""
 
 
 _SPLIT = "[ \\t-\\r]+"
@@ -182,27 +188,25 @@ WITH w AS (
   FROM w JOIN lines USING (r) LEFT JOIN covered USING (r)
 ), features AS (
   SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words AS base_failed,
-         least(1000, 1000 * n_symbols // greatest(1, word_chars)) AS symbols, least(1000, 1000 * n_capitals // greatest(1, word_chars)) AS capitals,
-         least(1000, 1000 * n_dup_lines // greatest(1, n_lines)) AS lines, least(1000, 1000 * n_repeat_words // greatest(1, n_words)) AS repeated,
-         least(1000, 10 * word_chars // greatest(1, n_words)) AS length
+         1000 * n_symbols // greatest(1, word_chars) AS symbols, 1000 * n_capitals // greatest(1, word_chars) AS capitals,
+         1000 * n_dup_lines // greatest(1, n_lines) AS lines, 1000 * n_repeat_words // greatest(1, n_words) AS repeated, 10 * word_chars // greatest(1, n_words) AS length
   FROM counts
 ), long AS (
   SELECT r, lang, source, unnest(['symbols', 'capitals', 'lines', 'repeated', 'length']) AS feature, unnest([symbols, capitals, lines, repeated, length]) AS v, base_failed FROM features
-), slacks(feature, slack) AS (VALUES {", ".join(f"('{k}', {v})" for k, v in SLACK.items())}
 ), s AS (
   SELECT lang, source, feature, CASE WHEN v < 16 THEN v ELSE (v >> (length(bin(v)) - 4)::BIGINT) << (length(bin(v)) - 4)::BIGINT END AS bucket, count(*) AS n
-  FROM long WHERE NOT base_failed GROUP BY ALL
+  FROM long WHERE NOT base_failed AND v > 0 GROUP BY ALL
 ), l AS (SELECT lang, feature, bucket, sum(n) AS n FROM s GROUP BY ALL),
 c AS (SELECT feature, bucket, sum(n) AS n FROM l GROUP BY ALL),
 {_limits_sql("s", "lang, source,")},
 {_limits_sql("l", "lang,")},
 {_limits_sql("c", "")},
 picked AS (
-  SELECT s_f.lang, s_f.source, s_f.feature, CASE WHEN s_f.docs >= {MIN_ROWS} THEN s_f.low WHEN l_f.docs >= {MIN_ROWS} THEN l_f.low ELSE c_f.low END AS low,
-         CASE WHEN s_f.docs >= {MIN_ROWS} THEN s_f.high WHEN l_f.docs >= {MIN_ROWS} THEN l_f.high ELSE c_f.high END AS high
+  SELECT s_f.lang, s_f.source, s_f.feature, CASE WHEN s_f.docs >= {MIN_ROWS} THEN s_f.lo WHEN l_f.docs >= {MIN_ROWS} THEN l_f.lo ELSE c_f.lo END AS lo,
+         CASE WHEN s_f.docs >= {MIN_ROWS} THEN s_f.hi WHEN l_f.docs >= {MIN_ROWS} THEN l_f.hi ELSE c_f.hi END AS hi
   FROM s_f JOIN l_f ON s_f.lang = l_f.lang AND s_f.feature = l_f.feature JOIN c_f ON s_f.feature = c_f.feature
 ), bad AS (
-  SELECT DISTINCT r FROM long JOIN picked USING (lang, source, feature) WHERE v > high OR (feature = 'length' AND v < low)
+  SELECT DISTINCT r FROM long JOIN picked USING (lang, source, feature) WHERE v > hi + {SPREAD} * (hi - lo) OR (feature = 'length' AND v < lo - {SPREAD} * (hi - lo))
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.r IS NULL AS kept
 FROM features LEFT JOIN bad ON features.r = bad.r

@@ -15,7 +15,8 @@ spans each: parts are keyed by doc_id and a digest of the text, nulls equal. Equ
 empty table gives an empty result. Columns the input has besides are kept by `redact`, whatever their names.
 
 Scale: the scan is one narrow pass; rows exist only for matches. Pairs within a bin are bounded by the bin's width
-over a part's least length, whatever the document's length. Only match lengths and keys are shuffled by the query.
+over a part's least length, whatever the document's length. Only match lengths and keys are shuffled by the query; `redact`
+broadcasts the spans where they are `max_broadcast` at most, and shuffles the texts to them beyond that.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeworks.runtime import table
+from lodeworks.runtime import cut, table
 
 KEYWORDS = ("password", "passwd", "secret", "token", "api_?key")
 SCOPE = 256
@@ -32,6 +33,7 @@ BIN = 512
 KINDS = ("assign", "access", "hex", "weak_access", "weak_secret", "endpoint")
 BASE, ENDPOINT = 3, 5
 MARK = "[SECRET]"
+MAX_BROADCAST = 500_000
 
 
 def _either_case(word: str) -> str:
@@ -114,20 +116,23 @@ def scan(docs: DataFrame, scope: int = SCOPE, doc_id: str = "doc_id", text: str
     )
 
 
-def redact(docs: DataFrame, scope: int = SCOPE, mark: str = MARK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, scope: int = SCOPE, mark: str = MARK, doc_id: str = "doc_id", text: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """docs, the same columns, with each span in the text replaced by mark (overlapping spans by one mark)."""
     key = ["__id", "__digest"]
     order = Window.partitionBy(*key).orderBy("start", "end")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = spans(docs, scope, doc_id, text).withColumn("__new", F.coalesce((F.col("start") >= before).cast("int"), F.lit(1)))
     runs = runs.withColumn("__run", F.sum("__new").over(order)).groupBy(*key, "__run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    cuts = runs.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cuts")).alias("e")
-    whole = F.col(f"`{text}`")
-    d = docs.withColumns({"__key": F.md5(F.coalesce(whole, F.lit("")))}).alias("d")
-    out = d.join(cuts, F.col(f"d.`{doc_id}`").eqNullSafe(F.col("e.__id")) & (F.col("d.__key") == F.col("e.__digest")), "left")
-    n = F.size("__cuts")
-    piece = lambda i: F.substring(whole, F.when(i == 0, 0).otherwise(F.get("__cuts", i - 1).end).cast("int") + 1, (F.when(i == n, F.length(whole)).otherwise(F.get("__cuts", i).start) - F.when(i == 0, 0).otherwise(F.get("__cuts", i - 1).end)).cast("int"))
-    clean = F.when(F.col("__cuts").isNull(), whole).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), n), piece), mark))
+    cuts = cut(runs.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts")))
+    if (cuts.agg(F.sum(F.size("cuts"))).first()[0] or 0) <= max_broadcast:
+        cuts = F.broadcast(cuts)
+    whole = F.col(f"d.`{text}`")
+    same = F.col(f"d.`{doc_id}`").eqNullSafe(F.col("e.__id")) & (F.md5(F.coalesce(whole, F.lit(""))) == F.col("e.__digest"))
+    out = docs.alias("d").join(cuts.alias("e"), same, "left")
+    found = F.col("e.cuts")
+    n = F.size(found)
+    piece = lambda i: F.substring(whole, F.when(i == 0, 0).otherwise(F.get(found, i - 1).end).cast("int") + 1, (F.when(i == n, F.length(whole)).otherwise(F.get(found, i).start) - F.when(i == 0, 0).otherwise(F.get(found, i - 1).end)).cast("int"))
+    clean = F.when(found.isNull(), whole).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), n), piece), mark))
     return out.select(*(clean.alias(c) if c == text else F.col(f"d.`{c}`") for c in docs.columns))
 
 

@@ -10,7 +10,8 @@ empty result; other columns are not read by the query and are passed through, un
 that already has one of its result columns.
 
 Scale: a narrow map, no shuffle, and only the url column is read. The rules are cut into blocks of at most
-`max_block_chars`, so what is broadcast at once is bounded; each block is one pass that keeps the best rule so far.
+`max_block_chars`, about 130 MB of trie in a worker, so what is broadcast at once is bounded; each block is one pass that keeps the
+best rule so far. Rules are sent flat and each worker builds its trie, so that a rule may be as deep as it likes.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 from lodeworks.llm.text import UPPER, ascii_lower
 from lodeworks.runtime import cut, table
 
-MAX_BLOCK_CHARS = 32_000_000
+MAX_BLOCK_CHARS = 3_000_000
 
 
 class Rule(NamedTuple):
@@ -88,9 +89,13 @@ class HostNode:
 class Trie:
     def __init__(self, rules: Iterable[Rule]) -> None:
         self.root = HostNode()
-        for r in rules:
+        self.rules = list(rules)
+        for r in self.rules:
             self._add(r)
 
+    def __reduce__(self):
+        return Trie, (self.rules,)
+
     def _add(self, r: Rule) -> None:
         node = self.root
         for label in reversed(r.host.split(".")):

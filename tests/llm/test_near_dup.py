@@ -100,3 +100,57 @@ def test_texts_four_fifths_alike_are_one(spark):
     assert found_by_sets > 10
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in n.one_of_each(docs, 5, 3, least=80).collect()) == sorted(set(root.values()))
+
+
+def test_hubs_and_the_pairs_left_after_them(spark, monkeypatch):
+    """Copies of one original, further from each other than from it; with no rounds of hubs all pairs are compared at once."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 40):
+        words = list(base)
+        for at in rng.sample(range(200), 3):
+            words[at] = f"edit{i}x{at}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, " ".join(f"o{rng.randrange(10**6)}" for _ in range(50))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = [0, *range(100, 120)]
+    assert sorted(r.doc_id for r in n.one_of_each(docs, 5, 1, least=80).collect()) == wanted
+    marks, texts = n.cut(n.marked(docs, 5)), docs.select(n.F.xxhash64("text").alias("__key"), n.F.col("text").alias("__text"))
+    none = spark.createDataFrame([], "a long, b long")
+    for rounds in (0, 1):
+        roots = n.components(n.alike(marks, texts, none, 80, 5, rounds)).collect()
+        assert len(roots) == 40 and len({r.root for r in roots}) == 1
+
+
+def test_bands_catch_what_is_alike():
+    rng = random.Random(9)
+    for share in (0.8, 0.9):
+        for size in (10, 60, 400):
+            caught = 0
+            for _ in range(40):
+                both = [rng.getrandbits(64) for _ in range(int(size * share))]
+                a, b = ([rng.getrandbits(64) for _ in range((size - len(both)) // 2)] for _ in range(2))
+                keys = n.bands(n.np.array([n.minima(n.np.array(both + x, "<u8")) for x in (a, b)]))
+                caught += bool((keys[0] == keys[1]).any())
+            assert caught == 40
+
+
+def test_repeated_ids_and_clashing_names(spark):
+    rows = [(0, "B b b b b b", 1), (1, "b b b b b b", 1), (1, "other text of its own", 2), (2, "same row here", 3), (2, "same row here", 3), (2, "same row here", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id int").withColumns({"__stays": n.F.lit(1), "component": n.F.lit(2), "n": n.F.lit(3), "k": n.F.lit(4)})
+    out = n.one_of_each(docs, least=80)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id, r.text, r["__id"]) for r in out.collect()) == [(0, "B b b b b b", 1), (1, "other text of its own", 2), (2, "same row here", 3)]
+    # near copies of one id: one text of theirs stays
+    near = spark.createDataFrame([(4, "x y z"), (4, "X y z")], "doc_id long, text string")
+    assert n.one_of_each(near).count() == 1
+
+
+def test_registered_query(spark):
+    rows = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    out = n.op4_simhash(spark, "/root/testdata/sf0.001")
+    assert out.columns == ["doc_id", "fingerprint", "component_id"]
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in out.collect()}
+    assert {i: x[0] for i, x in got.items()} == {i: f"{plain(t):016x}" for i, t in rows.items()}
+    assert {i: x[1] for i, x in got.items()} == groups(sorted((i, plain(t)) for i, t in rows.items()), 2)

@@ -27,9 +27,14 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, kept string")
 
 
+def measured(rows):
+    group = [F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")]
+    return rows.select("doc_id", "text", *group, q.measures().alias("q"))
+
+
 def test_counts_against_plain_python(spark):
-    for r in q.measured(docs(spark)).collect():
-        c = r["__q"]
+    for r in measured(docs(spark)).collect():
+        c = r.q
         assert (c.n_words, c.word_chars, c.n_symbols, c.n_dup_lines, c.n_repeat_words) == plain(r.text), r.text
         assert c.base_failed == (c.n_words < 10 or 100 * c.n_repeat_words > 20 * c.n_words)
 
@@ -52,18 +57,41 @@ def test_salted_join_gives_the_same(spark):
 
 
 def test_small_groups_use_larger_ones(spark):
-    few = q.measured(docs(spark)).withColumn("source", F.when(F.col("doc_id") == 0, "tiny").otherwise(F.col("source")))
+    few = measured(docs(spark)).withColumn("source", F.when(F.col("doc_id") == 0, "tiny").otherwise(F.col("source")))
     rows = {(r.lang, r.source): r for r in q.thresholds(few).collect()}
     own = {(r.lang, r.source): r for r in q.thresholds(few.withColumn("source", F.lit("all"))).collect()}
-    assert rows["", "tiny"].high_symbols == own["", "all"].high_symbols
+    assert rows["", "tiny"].high_length == own["", "all"].high_length
 
 
 def test_sketches_merge(spark):
-    rows = q.measured(docs(spark)).withColumns({"lang": F.lit("x"), "source": F.lit("y")})
+    rows = measured(docs(spark)).withColumns({"lang": F.lit("x"), "source": F.lit("y")})
     whole = {(r.feature, r.bucket): r.n for r in q.sketches(rows).collect()}
     halves = [q.sketches(rows.where(f"doc_id % 2 = {i}")) for i in (0, 1)]
     assert {(r.feature, r.bucket): r.n for r in q.merged(halves[0].union(halves[1]), "lang", "source").collect()} == whole
-    assert all(b == v or (b < v and b * 9 > v * 8 - 9) for v in range(1001) for b in [v >> max(0, v.bit_length() - 4) << max(0, v.bit_length() - 4)])
+    values = spark.range(1, 3000).select("id", q.bucket(F.col("id")).alias("b"), q.upper_edge(q.bucket(F.col("id"))).alias("u")).collect()
+    assert all(r.b <= r.id < r.u and 8 * (r.u - r.b) <= max(8, r.b) for r in values)
+
+
+def test_thresholds_come_from_the_group_and_keep_what_is_alike(spark):
+    """Long words throughout, as in languages without spaces; a group with more symbols than another; no repeated lines at all."""
+    r = random.Random(3)
+    word = lambda n: "".join(r.choices("abcdefgh", k=n))
+    marked = lambda k: " ".join(word(6) + "#" * (i < k) for i in range(50))
+    rows = [(i, " ".join(word(62) for _ in range(20)), "ja", "a") for i in range(50)] + [(100 + i, " ".join(word(120) for _ in range(20)), "th", "a") for i in range(50)]
+    rows += [(200 + i, marked(1 + i % 3), "en", "few") for i in range(50)]
+    rows += [(300 + i, marked(20 + i % 20), "en", "many") for i in range(50)]
+    rows += [(400, marked(30), "en", "few"), (401, marked(30), "en", "many"), (402, " ".join(word(1) for _ in range(50)), "ja", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {x.doc_id for x in q.keep(df).collect()}
+    assert kept == {i for i, *_ in rows} - {400, 402}
+    limits = {(x.lang, x.source): x for x in q.thresholds(measured(df)).collect()}
+    assert limits["en", "few"].high_symbols < limits["en", "many"].high_symbols and limits["ja", "a"].high_length < limits["th", "a"].high_length
+
+
+def test_columns_named_like_its_own(spark):
+    clash = docs(spark).withColumns({c: F.lit(1) for c in ("q", "row", "t", "__q", "salt", "of_lang", "high_length")})
+    out = q.keep(clash)
+    assert out.columns == clash.columns and out.count() == q.keep(docs(spark)).count()
 
 
 def test_native(spark):
