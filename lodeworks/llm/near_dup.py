@@ -48,7 +48,7 @@ _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 _CHUNK = 65_536  # hashes whose bits are counted at once
 BANDS, ROWS = 50, 6
 #: Rounds in which a band's texts meet the one with most neighbours, before all pairs that are left do.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 1
 #: Rows that may be broadcast: two or three numbers each.
 MAX_BROADCAST = 500_000
 _SEED = np.random.default_rng(11)
@@ -173,7 +173,7 @@ def alike(marks: DataFrame, texts: DataFrame, edges: DataFrame, least: int, size
 
     def homed(rows: DataFrame) -> DataFrame:
         roots = components(edges).withColumnsRenamed({"node": "__node", "root": "__root"})
-        return rows.join(_few(roots), F.col("__fp") == F.col("__node"), "left").select(*own, F.coalesce("__root", "__fp").alias("home"))
+        return rows.join(roots, F.col("__fp") == F.col("__node"), "left").select(*own, F.coalesce("__root", "__fp").alias("home"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """pairs: ka, a, kb, b (keys and fingerprints)."""
@@ -181,7 +181,7 @@ def alike(marks: DataFrame, texts: DataFrame, edges: DataFrame, least: int, size
         both = pairs.distinct().join(side("a"), "ka").join(side("b"), "kb").withColumn("common", F.size(F.array_intersect("sa", "sb")))
         return both.where(100 * F.col("common") >= least * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
-    for _ in range(rounds):
+    for _ in range(rounds):  # bands with one component are settled
         shared = cut(homed(shared))
         hub = F.max_by(F.struct("__key", "__fp", "n", "home"), F.struct("degree", "__key"))
         groups = shared.groupBy("band").agg(F.min("home").alias("lo"), F.max("home").alias("hi"), hub.alias("hub")).where("lo <> hi").select("band", "hub")
@@ -225,23 +225,22 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
 
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """node, root: the smallest node of the component of every node that has an edge. edges: a, b."""
-    both = cut(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a")))
-    label = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root"))
-    label = cut(label)
-    hint = F.broadcast if is_small(label, MAX_BROADCAST) else lambda rows: rows
+    pairs = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("x"))
+    both = pairs.select("x.*")
+    both = cut(both.union(both.select("node", F.col("node").alias("other"))).distinct())  # each node is next to itself, too
+    label = both.groupBy("node").agg(F.min("other").alias("root"))
     for _ in range(most_rounds):
         # the smallest label next to a node goes to the node and to its root (hook), then labels take their label's (jump)
-        near = both.join(hint(label.withColumnsRenamed({"node": "other", "root": "theirs"})), "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
-        best = label.join(hint(near), "node").select("node", "root", F.least("root", "theirs").alias("best"))
+        near = both.join(label.withColumnsRenamed({"node": "other", "root": "theirs"}), "other")
+        best = near.groupBy("node").agg(F.min("theirs").alias("best"), F.max(F.when(F.col("node") == F.col("other"), F.col("theirs"))).alias("root"))
+        best = cut(best)
+        changed = best.where("best < root").limit(1).count()
+        if not changed:
+            return best.select("node", "root")
         hook = best.where("best < root").groupBy(F.col("root").alias("node")).agg(F.min("best").alias("hooked"))
-        new = best.join(hint(hook), "node", "left").select("node", F.col("root").alias("old"), F.least("best", F.coalesce("hooked", "best")).alias("root"))
-        new = cut(new)
+        new = best.join(hook, "node", "left").select("node", F.least("best", F.coalesce("hooked", "best")).alias("root"))
         up = new.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        new = cut(new.join(hint(up), "root").select("node", "old", F.col("up").alias("root")))
-        changed = new.where("old <> root").limit(1).count()
-        label = new.drop("old")
-        if not changed:
-            return label
+        label = cut(new.join(up, "root").select("node", F.col("up").alias("root")))
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
