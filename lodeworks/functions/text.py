@@ -16,6 +16,11 @@ AMOUNT = r"(?i)^\s*\(?\s*[$£€]?\s*(-?\d+(?:,\d{3})*(?:\.\d+)?)\s*(thousand|mi
 UNITS = {"k": 10**3, "thousand": 10**3, "m": 10**6, "million": 10**6, "b": 10**9, "billion": 10**9, "t": 10**12, "trillion": 10**12}
 
 
+def bound(value: Column, body) -> Column:
+    """body(value), with value worked out once however often body uses it, in lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space at either end, non-breaking spaces among it."""
     return F.regexp_replace(c, EDGES, "")

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions import metrics as m
 from lodeworks.functions import text as t
+from lodeworks.jobs import runs
 from lodeworks.operators import experiment as x
+from lodeworks.operators import logs
 from lodeworks.operators import nodes as n
 from lodeworks.operators import retrieval as r
-from lodeworks.runtime import table
+from lodeworks.runtime import cut, scratch, table
 from lodeworks.sources import store
 from lodeworks.streaming import usage
 
@@ -18,6 +20,10 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
+#: Levels of parents that the SQL twins of the summary tree write out.
+_LEVELS = 5
+
+
 def query(sql: str | None):
     def register(f):
         QUERIES[f.__name__] = f
@@ -65,11 +71,12 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
-    return r.questions(r.ground_truth(_nodes(spark, d), table(spark, d, "benchmark")))
+    """The questions, found once for a query."""
+    return cut(r.questions(r.ground_truth(_nodes(spark, d), table(spark, d, "benchmark"))))
 
 
-def _ranked(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
-    return r.bm25(_asked(spark, d), _nodes(spark, d), k)
+def _ranked(spark: SparkSession, d: str, k: int = 10, asked: DataFrame | None = None) -> DataFrame:
+    return r.bm25(_asked(spark, d) if asked is None else asked, _nodes(spark, d), k)
 
 
 @query(rf"WITH {NODES} SELECT node_id, document_id, 'text' AS node_type, content, len(regexp_split_to_array(content, '\s+'))::INTEGER AS token_count, node_seq FROM nodes")
@@ -92,11 +99,19 @@ def audit_sample(spark: SparkSession, d: str) -> DataFrame:
     return x.audit_sample(_nodes(spark, d).select("node_id", "content"), 30)
 
 
-@query("""SELECT conv_id, turn, last_value(CASE WHEN role = 'system' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section FROM conversations""")
-def section_forward_fill(spark: SparkSession, d: str) -> DataFrame:
-    order = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    title = F.when(F.col("role") == "system", F.col("text"))
-    return table(spark, d, "conversations").select("conv_id", "turn", F.last(title, ignorenulls=True).over(order).alias("section"))
+_MARKED = r"""marked AS (SELECT document_id, u.i AS i, regexp_replace(u.c, '^\s+|\s+$', '', 'g') AS content, CASE WHEN u.i % 7 = 1 THEN regexp_replace(u.c, '\s+$', '') END AS title
+  FROM (SELECT doc_id AS document_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'i': i, 'c': CASE WHEN i % 7 = 1 THEN 'Item ' || i || '. of ' || doc_id ELSE x END})) AS u FROM documents)),
+sections AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY i)::INTEGER AS node_seq, content, section FROM (
+  SELECT *, last_value(title IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS section FROM marked) WHERE title IS NULL AND content <> '')"""
+
+
+@query(rf"""WITH {_MARKED} SELECT document_id || '_n' || lpad(node_seq::VARCHAR, greatest(4, length(node_seq::VARCHAR))::INTEGER, '0') AS node_id, section AS parent_item_header, node_seq, len(regexp_split_to_array(content, '\s+'))::INTEGER AS token_count FROM sections""")
+def nodes_from_markdown(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as Markdown whose every seventh line is a heading: blocks, sections filled forward, ids."""
+    heading = lambda i: F.concat(F.lit("## Item "), (i + 1).cast("string"), F.lit(". of "), F.col("doc_id").cast("string"))
+    blocks = F.transform(F.split("text", "\n", -1), lambda line, i: F.when(i % 7 == 0, heading(i)).otherwise(line))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.array_join(blocks, "\n\n").alias("markdown"))
+    return n.from_markdown(docs).select("node_id", "parent_item_header", "node_seq", "token_count")
 
 
 @query(rf"""WITH {NODES}, sized AS (SELECT document_id, len({TOKENS.format("content")}) AS dl FROM nodes)
@@ -137,7 +152,8 @@ def bm25_smoothed_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {METRICS} SELECT query_id, k_value, precision_at_k, recall_at_k, evidence_hit FROM metrics")
 def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return x.retrieval_metrics(_ranked(spark, d), _asked(spark, d))
+    asked = _asked(spark, d)
+    return x.retrieval_metrics(_ranked(spark, d, asked=asked), asked)
 
 
 _COSINE = "list_dot_product(a::DOUBLE[], b::DOUBLE[]) / (sqrt(list_dot_product(a::DOUBLE[], a::DOUBLE[])) * sqrt(list_dot_product(b::DOUBLE[], b::DOUBLE[])))"
@@ -309,12 +325,12 @@ def cross_check(spark: SparkSession, d: str) -> DataFrame:
     return x.cross_checked(a, b)
 
 
-@query("""WITH g AS (SELECT p_partkey, p_name, p_type, p_size, 'Q' || (1 + p_partkey % 4) AS quadrant FROM part WHERE p_partkey BETWEEN 1 AND 20)
-SELECT quadrant, 'Score the answer.' || chr(10) || chr(10) || string_agg('Q: ' || p_name || chr(10) || 'A: ' || p_type || chr(10) || 'Score: ' || p_size, chr(10) || chr(10) ORDER BY p_partkey) AS prefix FROM g GROUP BY ALL""")
+@query("""WITH g AS (SELECT p_partkey, p_name, p_type, p_size, 'Q' || (1 + p_partkey % 4) AS quadrant, row_number() OVER (PARTITION BY p_partkey % 4 ORDER BY p_partkey) AS place FROM part)
+SELECT quadrant, 'Score the answer.' || chr(10) || chr(10) || string_agg('Q: ' || p_name || chr(10) || 'A: ' || p_type || chr(10) || 'Score: ' || p_size, chr(10) || chr(10) ORDER BY p_partkey) AS prefix FROM g WHERE place <= 5 GROUP BY ALL""")
 def fewshot_prefix(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "part").where("p_partkey BETWEEN 1 AND 20")
-    golden = rows.select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("Q"), (1 + F.col("p_partkey") % 4).cast("string")).alias("quadrant"), F.col("p_name").alias("query_text"), F.col("p_type").alias("ground_truth_answer"), F.col("p_size").alias("human_score"))
-    return x.prompt_prefixes(golden, "Score the answer.")
+    """The prefix has the first five exemplars of a quadrant, of all there are."""
+    golden = table(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("Q"), (1 + F.col("p_partkey") % 4).cast("string")).alias("quadrant"), F.col("p_name").alias("query_text"), F.col("p_type").alias("ground_truth_answer"), F.col("p_size").alias("human_score"))
+    return x.prompt_prefixes(x.first_each(golden, 5), "Score the answer.")
 
 
 @query("""SELECT count(*) AS n, round(avg((abs(quality - toxic) <= 0)::INTEGER), 6) AS agreement, round(avg((abs(quality - toxic) <= 0)::INTEGER), 6) > 0.8 AS passed FROM labels""")
@@ -327,7 +343,8 @@ _RESULTS = rf"""{METRICS}, results AS (SELECT metrics.*, 'Q' || (1 + item_id % 4
 
 def _results(spark: SparkSession, d: str) -> DataFrame:
     """P2's cells with their scores; quadrants and answers' sizes are stand-ins."""
-    rows = x.retrieval_metrics(_ranked(spark, d), _asked(spark, d))
+    asked = _asked(spark, d)
+    rows = x.retrieval_metrics(_ranked(spark, d, asked=asked), asked)
     item = F.split("query_id", "_")[1].cast("int")
     rows = rows.withColumns({"source_set": F.lit("PQ"), "pipeline": F.lit("P2"), "output_tokens": 10 + F.col("k_value"), "token_f1": F.round(F.col("precision_at_k") / 2, 6), "q": F.concat(F.lit("Q"), (1 + item % 4).cast("string"))})
     pq = rows.select("query_id", F.col("q").alias("quadrant")).distinct()
@@ -355,32 +372,76 @@ def tree_levels(spark: SparkSession, d: str) -> DataFrame:
     return r.tree_levels(_nodes(spark, d))
 
 
-@query(rf"""WITH {ASKED},
-leaf AS (SELECT document_id, node_seq - 1 AS leaf, ({TOKENS.format("content")})[:20] AS words, count(*) OVER (PARTITION BY document_id) AS n FROM nodes WHERE document_id IN (SELECT document_id FROM asked)),
-parent AS (SELECT document_id, CASE WHEN n > 1 THEN leaf // 10 ELSE 0 END AS pos, min(leaf) AS a, max(leaf) AS b, arg_min(words, leaf) AS words FROM leaf GROUP BY ALL),
-s AS (SELECT query_id, document_id, len(list_intersect({TOKENS.format("query_text")}, words))::DOUBLE AS score, (unnest(range(a, b + 1)) + 1)::INTEGER AS node_seq FROM asked JOIN parent USING (document_id)),
-o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_seq)::INTEGER AS rank FROM s)
-SELECT query_id, document_id, rank, node_seq, score FROM o WHERE rank <= 10""")
+def _tree_sql(where: str = "") -> str:
+    """Words of every node of the trees: leaves, then as many levels of parents as any document of the tables needs."""
+    levels = "".join(f""",
+t{k} AS (SELECT document_id, {k} AS level, pos // 10 AS pos, flatten(list(words[:5] ORDER BY pos)) AS words FROM t{k - 1} WHERE document_id IN (SELECT document_id FROM t{k - 1} WHERE pos > 0) GROUP BY document_id, pos // 10)""" for k in range(1, _LEVELS + 1))
+    return f"""t0 AS (SELECT document_id, 0 AS level, (node_seq - 1)::BIGINT AS pos, ({TOKENS.format("content")})[:20] AS words FROM nodes {where}){levels},
+tree AS ({" UNION ALL ".join(f"SELECT * FROM t{k}" for k in range(_LEVELS + 1))}),
+tops AS (SELECT document_id, max(level) AS level FROM tree GROUP BY document_id)"""
+
+
+def _descend_sql() -> str:
+    """From the roots down: two children are held at each level, all leaves met at the end."""
+    out = ""
+    for k in range(_LEVELS, 0, -1):
+        above = f" UNION ALL SELECT query_id, document_id, q, pos FROM b{k + 1}" if k < _LEVELS else ""
+        out += f""",
+h{k} AS (SELECT query_id, document_id, q, 0 AS pos FROM wanted JOIN tops USING (document_id) WHERE level = {k}{above}),
+m{k} AS (SELECT query_id, document_id, q, t.pos, len(list_intersect(q, t.words))::DOUBLE AS score FROM h{k} JOIN t{k - 1} t USING (document_id) WHERE t.pos // 10 = h{k}.pos),
+b{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS place FROM m{k}) WHERE place <= 2)"""
+    return f"""wanted AS (SELECT query_id, document_id, list_distinct({TOKENS.format("query_text")}) AS q FROM asked){out},
+leaves AS (SELECT query_id, document_id, (pos + 1)::INTEGER AS node_seq, score FROM m1 UNION ALL
+  SELECT query_id, document_id, 1, len(list_intersect(q, words))::DOUBLE FROM wanted JOIN tops USING (document_id) JOIN t0 USING (document_id) WHERE tops.level = 0),
+by_tree AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_seq)::INTEGER AS rank FROM leaves)"""
+
+
+
+@query(f"WITH {ASKED}, {_tree_sql('WHERE document_id IN (SELECT document_id FROM asked)')}, {_descend_sql()} SELECT query_id, document_id, rank, node_seq, score FROM by_tree WHERE rank <= 10")
 def tree_topk(spark: SparkSession, d: str) -> DataFrame:
     return r.by_tree(_asked(spark, d), _nodes(spark, d), 10)
 
 
+_CALL = "'call ' || event_id || CASE WHEN event_id % 5 = 0 THEN ' -- of ' || user_id ELSE '' END"
+_STATUS = "['success', 'partial', 'failure'][1 + user_id % 3]"
+
+
+@query(f"""SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') || ',' || lpad((millisecond(ts) % 1000)::VARCHAR, 3, '0') AS timestamp, 'INFO' AS level, event_type AS operation, 'user (' || user_id || ')' AS tool, {_CALL} AS summary, {_STATUS} AS status,
+ CASE WHEN event_id % 3 = 0 THEN 'b' || user_id END AS branch, CASE WHEN event_id % 4 = 0 THEN ['a.py', 'c/' || user_id] ELSE [] END AS files, event_type || ': ' || event_id AS details, event_id::VARCHAR AS event, NULL::VARCHAR AS fragment FROM events""")
+def log_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Events written as log entries, in files, and read back."""
+    folder = scratch(spark, "log")
+    logs.append(_entries(spark, d), folder)
+    back = logs.parsed(logs.read(spark, folder))
+    return back.select("timestamp", "level", "operation", "tool", "summary", "status", "branch", "files", "details", F.col("extra")["event"].alias("event"), "fragment")
+
+
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    event, user = F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    summary = F.concat(F.lit("call "), event, F.when(F.col("event_id") % 5 == 0, F.concat(F.lit(" -- of "), user)).otherwise(""))
+    return table(spark, d, "events").select(
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS").alias("timestamp"), F.lit("INFO").alias("level"), F.col("event_type").alias("operation"), F.concat(F.lit("user ("), user, F.lit(")")).alias("tool"),
+        summary.alias("summary"), F.get(F.array(*map(F.lit, ("success", "partial", "failure"))), (F.col("user_id") % 3).cast("int")).alias("status"),
+        F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("b"), user)).alias("branch"), F.lit("").alias("task"),
+        F.when(F.col("event_id") % 4 == 0, F.array(F.lit("a.py"), F.concat(F.lit("c/"), user))).otherwise(F.array().cast("array<string>")).alias("files"),
+        F.concat("event_type", F.lit(": "), event).alias("details"), F.create_map(F.lit("event"), event).alias("extra"),
+    )
+
+
 @query(None)
 def html_to_nodes(spark: SparkSession, d: str) -> DataFrame:
     return n.from_markdown(store.parsed_pages(table(spark, d, "pages")))
 
 
-@query("SELECT event_type AS status, count(*) AS n, max(event_id) FILTER (ts = m) AS latest FROM (SELECT *, max(ts) OVER (PARTITION BY event_type) AS m FROM events) GROUP BY event_type")
+@query(f"""WITH e AS (SELECT {_STATUS} AS status, strftime(ts, '%Y-%m-%d %H:%M:%S') || ',' || lpad((millisecond(ts) % 1000)::VARCHAR, 3, '0') AS moment, {_CALL} AS summary FROM events)
+SELECT status, count(*) AS n, max_by(summary, (moment, summary)) AS latest FROM e GROUP BY status""")
 def status_counts(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").groupBy(F.col("event_type").alias("status"))
-    return rows.agg(F.count("*").alias("n"), F.max_by("event_id", F.struct("ts", "event_id")).alias("latest"))
+    return logs.activity(_entries(spark, d))
 
 
 @query("SELECT event_id, user_id, coalesce(ts::DATE <> lag(ts::DATE) OVER (PARTITION BY user_id ORDER BY ts, event_id), true) AS new_day FROM events")
 def day_divider(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").withColumn("at", F.struct("ts", "event_id"))
-    before = F.lag(F.to_date("ts")).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return rows.select("event_id", "user_id", F.coalesce(F.to_date("ts") != before, F.lit(True)).alias("new_day"))
+    return x.day_dividers(table(spark, d, "events"), "ts", "user_id", "event_id").select("event_id", "user_id", "new_day")
 
 
 @query("SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) AS p FROM events) WHERE p > 100")
@@ -388,19 +449,114 @@ def newest_n_dropped(spark: SparkSession, d: str) -> DataFrame:
     return x.without_newest(table(spark, d, "events").select("event_id", "ts"), 100, "ts", "event_id").select("event_id")
 
 
-@query("SELECT c_custkey AS key, c_name AS value FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
+@query("SELECT c_custkey AS key, c_name AS value FROM customer UNION ALL SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT c_custkey FROM customer)")
 def additive_merge(spark: SparkSession, d: str) -> DataFrame:
-    existing = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("value"))
-    return x.merged_by_key(existing, table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("value")))
+    """Customers are there; parts come in under the keys that no customer has."""
+    existing = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("value"))
+    return x.merged_by_key(existing, table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("value")))
 
 
-@query("""SELECT n_regionkey AS key, min_by(name, (part, pos)) AS name FROM (SELECT n_regionkey, n_name AS name, 0 AS part, n_nationkey AS pos FROM nation WHERE n_nationkey < 12 UNION ALL SELECT r_regionkey, r_name, 1, r_regionkey FROM region) GROUP BY ALL""")
+@query("""SELECT key, min_by(name, (part, pos)) AS name FROM (SELECT o_custkey AS key, o_orderpriority AS name, 0 AS part, o_orderkey AS pos FROM orders UNION ALL SELECT c_custkey, c_name, 1, c_custkey FROM customer) GROUP BY ALL""")
 def seeded_manifest(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "nation").where("n_nationkey < 12").select(F.col("n_regionkey").alias("key"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("pos"))
-    b = table(spark, d, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"), F.col("r_regionkey").alias("pos"))
+    """The priority of a customer's first order, or the name of one without orders."""
+    a = table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderpriority").alias("name"), F.col("o_orderkey").alias("pos"))
+    b = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_custkey").alias("pos"))
     return x.first_by_key([a, b], "key").drop("pos")
 
 
+@query(f"WITH {NODES}, c AS (SELECT document_id, count(*) AS n_nodes FROM nodes GROUP BY ALL) SELECT document_id::VARCHAR AS document_id, n_nodes, document_id % 3 = 0 AS skipped FROM c")
+def ingestion(spark: SparkSession, d: str) -> DataFrame:
+    """A run over a third of the documents, then one over all, which skips those."""
+    docs, root = table(spark, d, "documents"), scratch(spark, "store")
+    build = lambda rows: n.from_lines(rows).withColumns({"parent_item_header": F.lit(None).cast("string"), "source_page_num": F.lit(None).cast("int")})
+    runs.ingest(spark, docs.where("doc_id % 3 = 0"), build, root, "doc_id")
+    return runs.ingest(spark, docs, build, root, "doc_id")
+
+
+@query(rf"""WITH {NODES}, {_tree_sql()}, spent AS (
+  SELECT document_id, coalesce(sum(len(words)) FILTER (tree.level < tops.level), 0)::BIGINT AS input_tokens, coalesce(sum(len(words)) FILTER (tree.level > 0), 0)::BIGINT AS output_tokens FROM tree JOIN tops USING (document_id) GROUP BY document_id)
+SELECT document_id::VARCHAR AS document_id, 1::BIGINT AS builds, (document_id % 2 = 0)::BIGINT AS skips, 0.0::DOUBLE AS wall_clock_sec, input_tokens, output_tokens FROM spent""")
+def tree_build_costs(spark: SparkSession, d: str) -> DataFrame:
+    """Trees of half of the documents, then of all, with the costs of both runs from their log."""
+    root = scratch(spark, "trees")
+    nodes = _nodes(spark, d).withColumn("document_id", F.col("document_id").cast("string"))
+    documents = nodes.select("document_id").distinct()
+    for run, some in enumerate((documents.where("CAST(document_id AS long) % 2 = 0"), documents), 1):
+        store.log_costs(runs.build_trees(spark, some, nodes, root, run), f"{root}/costs")
+    return x.costs_by_document(store.costs(spark, f"{root}/costs"))
+
+
+@query("SELECT ts::DATE AS day, event_type AS role, count(*) AS n, sum(user_id)::BIGINT AS input_tokens, sum(event_id % 100)::BIGINT AS output_tokens, round(avg(value), 6) AS mean_latency_sec FROM events GROUP BY ALL")
+def usage_by_day(spark: SparkSession, d: str) -> DataFrame:
+    """Calls by day and role: tokens sent and received, and how long they took."""
+    calls = table(spark, d, "events").select("ts", F.col("event_type").alias("role"), F.col("user_id").alias("input_tokens"), (F.col("event_id") % 100).alias("output_tokens"), F.col("value").alias("latency_sec"))
+    return x.usage_by_day(calls)
+
+
+@query("SELECT 'Q' || (1 + doc_id % 4) AS quadrant, count(*) AS tried, count(*) FILTER (quality = 1) AS kept, round(avg((quality = 1)::INTEGER), 6) AS share FROM labels GROUP BY ALL")
+def generation_yield(spark: SparkSession, d: str) -> DataFrame:
+    return x.yields(table(spark, d, "labels").select(F.concat(F.lit("Q"), (1 + F.col("doc_id") % 4).cast("string")).alias("quadrant"), (F.col("quality") == 1).alias("accepted")))
+
+
+@query(f"""WITH {NODES}, s AS (SELECT * FROM nodes ORDER BY md5(node_id || ':7'), node_id LIMIT 20)
+SELECT '# Parsing Validation Audit' || chr(10) || chr(10) || 'Sampled ' || count(*) || ' node(s) for manual review.' || chr(10) || chr(10) || string_agg('## ' || node_id || ' (text)' || chr(10) || '- Document: ' || document_id || chr(10) || '- Section: (none)' || chr(10) || '- Token count: ' || len(regexp_split_to_array(content, '\\s+')) || chr(10) || chr(10) || '```' || chr(10) || content || chr(10) || '```' || chr(10), chr(10) ORDER BY node_id) AS value FROM s""")
+def audit_report(spark: SparkSession, d: str) -> DataFrame:
+    return store.audit_report(x.audit_sample(_nodes(spark, d).withColumn("parent_item_header", F.lit(None).cast("string")), 20))
+
+
+_JEQ = "item_id % 5 = 0"
+_QUOTED = r"array_to_string(regexp_split_to_array(context, '\s+')[:40], ' ')"
+_RUN_CELLS = rf"""{BM25}, {_tree_sql("WHERE document_id IN (SELECT document_id FROM asked)")}, {_descend_sql()},
+hashed AS (SELECT query_id, document_id, node_id, node_seq, {_HASHES.format(TOKENS.format("content"))} AS hb, {_HASHES.format(TOKENS.format("query_text"))} AS ha FROM asked JOIN nodes USING (document_id)),
+vectors AS (SELECT query_id, node_id, node_seq, {_HASHED.format("ha")} AS a, {_HASHED.format("hb")} AS b FROM hashed),
+near AS (SELECT query_id, node_id, node_seq, round(coalesce(CASE WHEN list_sum(a) > 0 AND list_sum(b) > 0 THEN {_COSINE} END, 0), 6) + 0.0 AS score FROM vectors),
+lists AS (
+  SELECT query_id, 'P1' AS pipeline, node_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_seq) AS rank FROM near
+  UNION ALL SELECT query_id, 'P2', node_id, rank FROM ranked
+  UNION ALL SELECT query_id, 'P3', node_id, rank FROM by_tree JOIN nodes USING (document_id, node_seq)),
+cells AS (
+  SELECT 'PQ' AS source_set, query_id, item_id, p AS pipeline, k AS k_value FROM asked, (VALUES ('P1'), ('P2'), ('P3')) AS ps(p), (VALUES (3), (5), (10)) AS ks(k)
+  UNION ALL SELECT 'JEQ', query_id, item_id, p, 5 FROM asked, (VALUES ('P1'), ('P2'), ('P3')) AS ps(p) WHERE {_JEQ}),
+got AS (SELECT source_set, query_id, pipeline, k_value, list(node_id ORDER BY rank) AS ids, string_agg(content, chr(10) || chr(10) ORDER BY rank) AS context
+  FROM cells JOIN lists USING (query_id, pipeline) JOIN nodes USING (node_id) WHERE rank <= k_value AND NOT (source_set = 'PQ' AND pipeline = 'P1' AND k_value = 3) GROUP BY ALL),
+said AS (SELECT got.*, gt_citations, query_text, item_id, array_to_string(regexp_split_to_array(context, '\s+')[:40], ' ') || ' [[node:' || ids[1] || ']]' AS output FROM got JOIN asked USING (query_id)),
+tokens AS (SELECT *, {TOKENS.format(_QUOTED)} AS a, {TOKENS.format("query_text")} AS b FROM said),
+graded AS (SELECT *, len(list_intersect(ids, gt_citations)) AS h, 2.0 * coalesce(list_sum(list_transform(list_intersect(a, b), lambda w: least(len(list_filter(a, lambda v: v = w)), len(list_filter(b, lambda v: v = w))))), 0) / (len(a) + len(b)) AS f FROM tokens)"""
+
+
+@query(rf"""WITH {_RUN_CELLS}
+SELECT source_set, query_id, pipeline, k_value, ids AS retrieved_node_ids, output AS pipeline_output, [ids[1]] AS cited_node_ids, round(h / k_value, 6) AS precision_at_k, round(h / len(gt_citations), 6) AS recall_at_k,
+ (h > 0)::INTEGER AS evidence_hit, list_contains(gt_citations, ids[1])::INTEGER AS citation_match, round(f, 6)::DOUBLE AS token_f1, round(1 + 9 * f)::INTEGER AS judge_score,
+ (len(regexp_split_to_array(query_text, '\s+')) + len(regexp_split_to_array(context, '\s+')))::INTEGER AS input_tokens, len(regexp_split_to_array(output, '\s+'))::INTEGER AS output_tokens FROM graded""")
+def benchmark_cells(spark: SparkSession, d: str) -> DataFrame:
+    """All cells of both question sets but those that an earlier run finished: three pipelines, retrieved, answered, cited and scored."""
+    cells, asked, nodes = _cell_setup(spark, d)
+    done = cells.where("source_set = 'PQ' AND pipeline = 'P1' AND k_value = 3")
+    return runs.run_cells(cells, asked, nodes, done).drop("result_id", "human_score", "latency_sec", "exact_match")
+
+
+def _cell_setup(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    asked = _asked(spark, d)
+    item = F.split("query_id", "_")[1].cast("int")
+    asked = asked.withColumns({"ground_truth_answer": F.col("query_text"), "quadrant": F.concat(F.lit("Q"), (1 + item % 4).cast("string"))})
+    cells = x.matrix(asked).unionByName(x.matrix(asked.where(item % 5 == 0), "JEQ", ks=(5,)))
+    return cells, asked, _nodes(spark, d)
+
+
+@query(rf"""WITH {_RUN_CELLS}, q AS (SELECT *, 'Q' || (1 + item_id % 4) AS quadrant FROM graded)
+SELECT source_set, pipeline, k_value, quadrant, count(*) AS n, round(avg(round(h / k_value, 6)), 6) AS mean_precision_at_k, round(avg(round(h / len(gt_citations), 6)), 6) AS mean_recall_at_k, round(avg((h > 0)::INTEGER), 6) AS mean_evidence_hit,
+ round(avg(round(f, 6)), 6)::DOUBLE AS mean_token_f1, sum(len(regexp_split_to_array(output, '\s+')))::BIGINT AS output_tokens FROM q GROUP BY ALL""")
+def benchmark_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The cells written to the store's results table, then read, given their quadrant by question set, and summed up."""
+    cells, asked, nodes = _cell_setup(spark, d)
+    root = scratch(spark, "store")
+    store.create(spark, root)
+    done = cells.where("source_set = 'PQ' AND pipeline = 'P1' AND k_value = 3")
+    store.append(cut(runs.run_cells(cells, asked, nodes, done)), root, "results")
+    quadrants = lambda some: cells.where(F.col("source_set") == some).select("query_id").distinct().join(asked.select("query_id", "quadrant"), "query_id")
+    return x.summary(x.with_quadrant(store.read(spark, root, "results"), quadrants("PQ"), quadrants("JEQ")), "source_set", "pipeline", "k_value", "quadrant")
+
+
 @query("SELECT ts::DATE AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def daily_usage(spark: SparkSession, d: str) -> DataFrame:
     return usage.daily(table(spark, d, "events"))
@@ -414,5 +570,6 @@ def daily_usage_stream(spark: SparkSession, d: str) -> DataFrame:
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Top three nodes for each question, beside the scores of the list they are in."""
-    asked, ranked = _asked(spark, d), _ranked(spark, d)
+    asked = _asked(spark, d)
+    ranked = _ranked(spark, d, asked=asked)
     return ranked.where("rank <= 3").join(x.retrieval_metrics(ranked, asked, (3,)), "query_id")

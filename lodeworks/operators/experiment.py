@@ -99,6 +99,34 @@ def cross_checked(generated: DataFrame, critic: DataFrame) -> DataFrame:
     return a.join(b, "query_id", "left").select("query_id", F.coalesce(same, F.lit(False)).alias("accepted"))
 
 
+def first_each(rows: DataFrame, n: int, by: str = "quadrant", key: str = "query_id") -> DataFrame:
+    """The first n rows of each group, by key."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(key))
+    return rows.withColumn("__place", place).where(F.col("__place") <= n).drop("__place")
+
+
+def prompts(prefixes: DataFrame, cells: DataFrame) -> DataFrame:
+    """cells (quadrant, query_text, pipeline_output, ...) with prompt: the prefix of their quadrant, then the question and its output."""
+    return cells.join(F.broadcast(prefixes), "quadrant").withColumn("prompt", F.concat("prefix", F.lit("\n\nQ: "), "query_text", F.lit("\nA: "), "pipeline_output", F.lit("\nScore:"))).drop("prefix")
+
+
+def costs_by_document(costs: DataFrame) -> DataFrame:
+    """document_id, builds, skips, wall_clock_sec, input_tokens, output_tokens: what building the trees took; skipped builds took nothing."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return costs.groupBy("document_id").agg(F.count_if(~F.col("skipped")).alias("builds"), F.count_if("skipped").alias("skips"), total("wall_clock_sec"), total("input_tokens"), total("output_tokens"))
+
+
+def usage_by_day(calls: DataFrame) -> DataFrame:
+    """day, role, n, input_tokens, output_tokens, mean_latency_sec of calls (ts, role, input_tokens, output_tokens, latency_sec)."""
+    by = calls.groupBy(F.to_date("ts").alias("day"), "role")
+    return by.agg(F.count("*").alias("n"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.round(F.avg("latency_sec"), 6).alias("mean_latency_sec"))
+
+
+def yields(attempts: DataFrame) -> DataFrame:
+    """quadrant, tried, kept, share: how many generated questions were accepted."""
+    return attempts.groupBy("quadrant").agg(F.count("*").alias("tried"), F.count_if("accepted").alias("kept"), F.round(F.avg(F.col("accepted").cast("int")), 6).alias("share"))
+
+
 def prompt_prefixes(golden: DataFrame, rubric: str, each: int = 5) -> DataFrame:
     """quadrant, prefix: the rubric and a quadrant's exemplars by id; a quadrant with another number of them fails."""
     line = F.concat(F.lit("Q: "), F.col("query_text"), F.lit("\nA: "), F.col("ground_truth_answer"), F.lit("\nScore: "), F.col("human_score").cast("string"))
@@ -149,20 +177,20 @@ def merged_by_key(existing: DataFrame, defaults: DataFrame, key: str = "key") ->
 
 
 def first_by_key(parts: list[DataFrame], key: str) -> DataFrame:
-    """The union of parts with one row for each key, from the first part that has it (then its smallest `pos`)."""
+    """The union of parts with one row for each key, from the first part that has it (then its smallest `pos`). Combined before the shuffle."""
     rows = reduce(DataFrame.unionByName, (p.withColumn("__part", F.lit(i)) for i, p in enumerate(parts)))
-    order = Window.partitionBy(key).orderBy("__part", "pos")
-    return rows.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__part", "__n")
+    row = F.struct(*(c for c in parts[0].columns if c != key))
+    return rows.groupBy(key).agg(F.min_by(row, F.struct("__part", "pos")).alias("__row")).select(key, "__row.*")
 
 
 def without_newest(rows: DataFrame, n: int, date: str, tie: str) -> DataFrame:
-    """All but the n newest rows; among equal dates the smaller tie is newer. Only those n are found and removed, so nothing is ranked in one task."""
-    newest = rows.orderBy(F.col(date).desc(), F.col(tie)).limit(max(0, n)).select(tie)
-    return rows.join(newest, tie, "left_anti")
+    """All but the n newest rows; among equal dates the smaller tie is newer, and tie is unique. Only those n are found and removed, so nothing is ranked in one task."""
+    newest = rows.orderBy(F.col(date).desc_nulls_last(), F.col(tie)).limit(max(0, n)).select(F.col(date).alias("__d"), F.col(tie).alias("__t"))
+    return rows.join(newest, F.col(date).eqNullSafe(F.col("__d")) & F.col(tie).eqNullSafe(F.col("__t")), "left_anti")
 
 
-def day_dividers(rows: DataFrame, ts: str, group: str) -> DataFrame:
-    """rows with new_day: the date differs from that of the group's row before."""
+def day_dividers(rows: DataFrame, ts: str, group: str, tie: str) -> DataFrame:
+    """rows with new_day: the date differs from that of the group's row before, by ts, then by tie."""
     day = F.to_date(ts)
-    before = F.lag(day).over(Window.partitionBy(group).orderBy(ts))
+    before = F.lag(day).over(Window.partitionBy(group).orderBy(ts, tie))
     return rows.withColumn("new_day", F.coalesce(day != before, F.lit(True)))

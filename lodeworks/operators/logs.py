@@ -1,16 +1,25 @@
-"""Operation logs: blocks of text to rows and back."""
+"""Operation logs: blocks of text to rows and back.
+
+An entry is a header, `time LEVEL [operation] (tool) summary -- status`, then lines of `key: value`; a line of 80 "=" ends it.
+A log is a folder of such text that only grows; `newest_first` gives its order.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeworks import schemas
+from lodeworks.functions.text import bound
+
+#: The line between entries, a header, the keys that have columns of their own, what an entry must have, and levels.
 SEPARATOR = "\n" + "=" * 80 + "\n"
-#: A header line, the keys that have columns of their own, and what an entry must have.
-HEADER = r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d,\d{3}) \[(\w+)\] (.*)$"
-KNOWN = ("files", "details", "branch")
-REQUIRED = ("ts", "level", "tool", "summary", "status")
-LEVELS = ("INFO", "WARNING", "ERROR")
+HEADER = r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d,\d+) (\w+) \[([^\]]*)\] (.*)$"
+KNOWN = ("branch", "task", "files", "details")
+REQUIRED = ("timestamp", "level", "operation", "tool", "summary", "status")
+LEVELS = ("DEBUG", "INFO", "WARNING", "ERROR")
+#: How the known keys are written, in this order; other keys stand before the details.
+LABELS = {"branch": "branch:  ", "task": "task:    ", "files": "files:   ", "details": "details: "}
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -31,47 +40,72 @@ def _tool_end(rest: Column) -> Column:
 
 
 def parsed(blocks: DataFrame) -> DataFrame:
-    """ts, level, tool, summary, status, files, details, branch, extra (a map), fragment (lines before the first header).
+    """timestamp, level, operation, tool, summary, status, branch, task, files (a list), details, extra (a map), fragment.
 
-    A header reads `time [LEVEL] (tool) summary -- status`; the status follows the last " -- ". Lines after it are
-    `key: value`; a line without a colon is dropped. A block without a header is a fragment only.
+    Lines before a block's first header are a row of their own, of which only `fragment` is not null; so is a block without
+    one. What follows the last " -- " is the status if it is one of the three, else part of the summary. The tool is what
+    the first bracket holds, brackets in it counted; one that is never closed is part of the summary. Of `key: value` lines
+    with one key the last counts; a line without a colon is dropped.
     """
-    lines = F.split("value", "\n", -1)
-    rows = blocks.select(lines.alias("lines")).where(F.exists("lines", lambda x: F.trim(x) != ""))
+    lines = F.split(F.regexp_replace("value", r"^\n+|\n+\z", ""), "\n", -1)
+    rows = blocks.select(lines.alias("lines")).where(F.array_join("lines", "") != "")
     at = F.array_position(F.transform("lines", lambda x: x.rlike(HEADER)), True)
-    rows = rows.withColumn("at", F.when(at > 0, at.cast("int")))
-    rows = rows.withColumn("head", F.get("lines", F.col("at") - 1)).withColumn("rest", F.regexp_extract("head", HEADER, 3))
-    rows = rows.withColumn("end", _tool_end(F.col("rest"))).withColumn("text", F.expr("trim(substring(rest, end + 1))"))
-    status = F.when(F.col("text").contains(" -- "), F.substring_index("text", " -- ", -1))
-    summary = F.when(status.isNull(), F.col("text")).otherwise(F.expr("substring(text, 1, length(text) - length(substring_index(text, ' -- ', -1)) - 4)"))
-    pairs = F.filter(F.expr("slice(lines, coalesce(at, size(lines)) + 1, size(lines))"), lambda x: x.contains(":"))
+    rows = rows.select("lines", F.when(at > 0, at.cast("int")).alias("at"))
+    rows = rows.select("*", F.get("lines", F.col("at") - 1).alias("head"))
+    part = lambda i: F.regexp_extract("head", HEADER, i)
+    tail = F.trim(F.substring_index(part(4), " -- ", -1))
+    closed = part(4).contains(" -- ") & tail.isin(*schemas.STATUSES)
+    without = F.regexp_replace(part(4), r" -- (?:(?! -- ).)*\z", "")
+    rows = rows.select("*", F.when(closed, tail).alias("status"), F.when(closed, without).otherwise(part(4)).alias("rest"))
+    rows = rows.select("*", _tool_end(F.col("rest")).alias("end"))
     entry = lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("value"))
-    rows = rows.withColumn("pairs", F.transform(pairs, entry))
+    pairs = F.transform(F.filter(F.expr("slice(lines, coalesce(at, size(lines)) + 1, size(lines))"), lambda x: x.contains(":")), entry)
+    last = bound(pairs, lambda p: F.filter(p, lambda x, i: ~F.exists(F.slice(p, i + 2, F.size(p)), lambda y: y.key == x.key)))
+    rows = rows.select("*", last.alias("pairs"))
     value = lambda key: F.get(F.transform(F.filter("pairs", lambda p: p.key == key), lambda p: p.value), F.lit(0))
-    extra = F.map_from_entries(F.filter("pairs", lambda p: ~p.key.isin(*KNOWN)))
-    before = F.array_join(F.filter(F.expr("slice(lines, 1, coalesce(at - 1, size(lines)))"), lambda x: F.trim(x) != ""), "\n")
-    return rows.select(
-        F.to_timestamp(F.regexp_extract("head", HEADER, 1), "yyyy-MM-dd HH:mm:ss,SSS").alias("ts"), F.regexp_extract("head", HEADER, 2).alias("level"),
-        F.when(F.col("end") > 0, F.expr("substring(rest, 2, end - 2)")).alias("tool"), summary.alias("summary"), status.alias("status"), *(value(k).alias(k) for k in KNOWN), extra.alias("extra"),
-        F.nullif(before, F.lit("")).alias("fragment"),
-    )
+    files = F.filter(F.transform(F.split(F.coalesce(value("files"), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    columns = {
+        "timestamp": part(1), "level": part(2), "operation": part(3), "tool": F.when(F.col("end") > 0, F.expr("substring(rest, 2, end - 2)")).otherwise(""),
+        "summary": F.when(F.col("end") > 0, F.expr("trim(substring(rest, end + 1))")).otherwise(F.col("rest")), "status": F.col("status"), "branch": value("branch"), "task": value("task"),
+        "files": files, "details": value("details"), "extra": F.map_from_entries(F.filter("pairs", lambda p: ~p.key.isin(*KNOWN))),
+    }
+    kinds = {"files": "array<string>", "extra": "map<string,string>"}
+    before = F.array_join(F.expr("slice(lines, 1, coalesce(at - 1, size(lines)))"), "\n")
+    none = F.lit(None)
+    whole = F.when(F.col("at").isNotNull(), F.struct(*(c.alias(k) for k, c in columns.items()), none.cast("string").alias("fragment")))
+    lost = F.when(F.coalesce(F.col("at"), F.lit(2)) > 1, F.struct(*(none.cast(kinds.get(k, "string")).alias(k) for k in columns), before.alias("fragment")))
+    return rows.select(F.inline(F.array_compact(F.array(lost, whole))))
+
+
+def newest_first(rows: DataFrame) -> DataFrame:
+    """In the order of a log; fragments, which have no time, last."""
+    return rows.orderBy(F.col("timestamp").desc_nulls_last(), "operation", "summary")
 
 
 def rendered(rows: DataFrame) -> DataFrame:
-    """value: an entry as text, null parts left out; ends with the separator."""
-    head = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS"), F.lit(" ["), F.col("level"), F.lit("] ("), F.col("tool"), F.lit(") "), F.col("summary"), F.lit(" -- "), F.col("status"))
-    known = [F.concat(F.lit(f"{k}: "), F.col(k)) for k in KNOWN]
-    extra = F.array_join(F.transform(F.array_sort(F.map_entries("extra")), lambda e: F.concat(e.key, F.lit(": "), e.value)), "\n")
-    return rows.select(F.concat(F.concat_ws("\n", head, *known, F.nullif(extra, F.lit(""))), F.lit(SEPARATOR)).alias("value"))
+    """value: an entry as text, null and empty parts left out."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    head = F.concat(text("timestamp"), F.lit(" "), text("level"), F.lit(" ["), text("operation"), F.lit("] ("), text("tool"), F.lit(") "), text("summary"), F.lit(" -- "), text("status"))
+    values = {k: F.nullif(F.array_join("files", ", ") if k == "files" else F.col(k), F.lit("")) for k in LABELS}
+    known = {k: F.concat(F.lit(label), values[k]) for k, label in LABELS.items()}
+    extra = F.nullif(F.array_join(F.transform(F.array_sort(F.map_entries("extra")), lambda e: F.concat(e.key, F.lit(": "), e.value)), "\n"), F.lit(""))
+    return rows.select(F.concat_ws("\n", head, known["branch"], known["task"], known["files"], extra, known["details"]).alias("value"))
+
+
+def append(rows: DataFrame, path: str) -> None:
+    """Add entries to a log; fails, adding none, if one is not valid."""
+    if bad := invalid(rows).select("why").first():
+        raise ValueError(f"an entry is not valid: {bad['why']}")
+    rendered(rows).write.mode("append").option("lineSep", SEPARATOR).text(path)
 
 
-def invalid(rows: DataFrame, statuses: tuple[str, ...]) -> DataFrame:
+def invalid(rows: DataFrame, statuses: tuple[str, ...] = schemas.STATUSES, levels: tuple[str, ...] = LEVELS) -> DataFrame:
     """Rows that lack a required value or have one that is not allowed, and why."""
     lacks = [F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", F.lit(f"no {c}")) for c in REQUIRED]
-    wrong = [F.when(~F.col("level").isin(*LEVELS), F.lit("level")), F.when(~F.col("status").isin(*statuses), F.lit("status"))]
+    wrong = [F.when(F.col(c) != "", F.when(~F.col(c).isin(*allowed), F.lit(c))) for c, allowed in (("level", levels), ("status", statuses))]
     return rows.withColumn("why", F.array_compact(F.array(*lacks, *wrong))).where(F.size("why") > 0)
 
 
 def activity(rows: DataFrame) -> DataFrame:
-    """status, n, and the summary of its latest entry; fragments count under null."""
-    return rows.groupBy("status").agg(F.count("*").alias("n"), F.max_by("summary", "ts").alias("latest"))
+    """status, n, and the summary of its latest entry, the last in order of equally late ones; fragments count under null."""
+    return rows.groupBy("status").agg(F.count("*").alias("n"), F.max_by("summary", F.struct("timestamp", "summary")).alias("latest"))

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeworks.functions import text as t
+from lodeworks.functions.text import bound
+from lodeworks.runtime import cut
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 FANOUT = 10
@@ -23,39 +25,27 @@ def top(scored: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), tie: str
 
 
 def ground_truth(nodes: DataFrame, benchmark: DataFrame, size: int = 80) -> DataFrame:
-    """query_id (item_id), document_id, node_id, node_seq: nodes that contain the first `size` characters of an item.
+    """query_id (item_id), query_text, document_id, node_id, node_seq: nodes that contain the first `size` characters of an item.
 
-    Three whole words from within those characters are the join key, so nodes and items meet in an equality join and are
-    then verified. Items with too few words for such a key (short ones, and languages written without spaces) meet nodes in
-    runs of characters, see `_by_characters`.
+    Nodes and items meet in an equality join on a key of the item's head, and are then verified. The key is three whole words
+    from within the head; for an item with too few words for that (short ones, and languages written without spaces) the
+    middle of its head: 1, 2, 4, 8 or 16 characters, as many as it has. Nodes give keys of the kinds that occur only, as hashes
+    with the node's place; the contents come back for the pairs that met.
     """
     items = benchmark.select(F.col("item_id").alias("query_id"), F.substring("text", 1, size).alias("head"), F.col("text").alias("query_text")).where("head <> ''")
-    words = F.split("head", " ", -1)
-    items = items.withColumn("key", F.when(F.size(words) >= 5, F.array_join(F.slice(words, 2, 3), " ")))
-    own = F.split("content", " ", -1)
-    three = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(own) - 2)), lambda i: F.array_join(F.slice(own, i, 3), " "))
-    keyed = nodes.select("document_id", "node_id", "node_seq", "content", F.explode(F.array_distinct(three)).alias("key"))
-    met = keyed.join(items.where("key IS NOT NULL"), "key").where(F.col("content").contains(F.col("head")))
-    short = _by_characters(nodes, items.where("key IS NULL").drop("key"))
-    columns = ["query_id", "query_text", "document_id", "node_id", "node_seq"]
-    return met.select(columns).union(short.select(columns)).distinct()
-
-
-def _by_characters(nodes: DataFrame, items: DataFrame) -> DataFrame:
-    """Nodes with each item whose head they contain. The key is the middle of the head: 1, 2, 4, 8 or 16 characters, as many as it has.
-
-    Nodes give keys of the sizes that occur only, and none where there are no items. Keys travel without the content.
-    """
-    size = F.length("head")
-    items = items.withColumn("n", F.when(size >= 16, 16).when(size >= 8, 8).when(size >= 4, 4).when(size >= 2, 2).otherwise(1))
-    items = items.withColumn("key", F.substring(F.col("head"), F.floor((size - F.col("n")) / 2).cast("int") + 1, F.col("n")))
-    sizes = [row["n"] for row in items.select("n").distinct().collect()]  # five rows at most
-    runs = lambda chars, n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(chars) - n + 1)), lambda i: F.array_join(F.slice(chars, i, n), ""))
-    # an array of one binds the characters once: inside the lambda the content would be split again for each of them
-    keys = lambda chars: F.array_distinct(F.concat(F.array().cast("array<string>"), *(runs(chars, n) for n in sizes)))
-    own = F.flatten(F.transform(F.array(F.split("content", "")), keys))
-    met = nodes.select("document_id", "node_seq", F.explode(own).alias("key")).join(items, "key").select(F.col("document_id").alias("of"), F.col("node_seq").alias("at"), "query_id", "query_text", "head").distinct()
-    return nodes.join(met, F.col("document_id").eqNullSafe(F.col("of")) & F.col("node_seq").eqNullSafe(F.col("at")) & F.col("content").contains(F.col("head")))
+    words, length = F.split("head", " ", -1), F.length("head")
+    few = F.when(length >= 16, 16).when(length >= 8, 8).when(length >= 4, 4).when(length >= 2, 2).otherwise(1)
+    middle = F.substring(F.col("head"), F.floor((length - F.col("n")) / 2).cast("int") + 1, F.col("n"))
+    items = items.withColumn("n", F.when(F.size(words) >= 5, 0).otherwise(few))
+    items = items.withColumn("key", F.xxhash64("n", F.when(F.col("n") == 0, F.array_join(F.slice(words, 2, 3), " ")).otherwise(middle)))
+    kinds = [row["n"] for row in items.select("n").distinct().collect()]  # six rows at most
+    runs = lambda parts, n, size, gap: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - size + 1)), lambda i: F.xxhash64(F.lit(n), F.array_join(F.slice(parts, i, size), gap)))
+    of = lambda n: bound(F.split("content", "" if n else " ", -1), lambda parts: runs(parts, n, n or 3, "" if n else " "))
+    keys = list(map(of, kinds))
+    keyed = nodes.select("document_id", "node_seq", F.explode(F.array_distinct(F.concat(F.array().cast("array<bigint>"), *keys))).alias("key"))
+    met = keyed.join(items, "key").select(F.col("document_id").alias("of"), F.col("node_seq").alias("at"), "query_id", "query_text", "head").distinct()
+    found = nodes.join(met, F.col("document_id").eqNullSafe(F.col("of")) & F.col("node_seq").eqNullSafe(F.col("at")) & F.col("content").contains(F.col("head")))
+    return found.select("query_id", "query_text", "document_id", "node_id", "node_seq").distinct()
 
 
 def questions(truth: DataFrame) -> DataFrame:
@@ -83,7 +73,7 @@ def bm25(asked: DataFrame, nodes: DataFrame, k: int, smoothed: bool = False) ->
     smoothed: ln(1 + (N - df + 0.5) / (df + 0.5)).
     """
     few = nodes.join(asked.select("document_id").distinct(), "document_id", "left_semi")
-    few = few.withColumn("tokens", t.tokens(F.col("content"))).withColumn("dl", F.size("tokens"))
+    few = cut(few.select("document_id", "node_id", "node_seq", t.tokens(F.col("content")).alias("tokens"))).withColumn("dl", F.size("tokens"))
     stats = few.groupBy("document_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     tf = few.select("document_id", "node_seq", "dl", F.explode("tokens").alias("term")).groupBy("document_id", "node_seq", "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("document_id", "term").agg(F.count("*").alias("df")).join(stats, "document_id")
@@ -107,13 +97,20 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    """Nought where either has no length."""
+    size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(size > 0, dot(a, b) / F.nullif(size, F.lit(0.0))).otherwise(0.0)
 
 
-def by_vector(asked: DataFrame, vectors: DataFrame, k: int, scope: str = "document_id", score=cosine) -> DataFrame:
-    """Exact top k by cosine within the scope. asked: query_id, scope, query_vector; vectors: scope, node_seq, vector."""
-    met = asked.join(vectors, scope)
-    return top(met.withColumn("score", F.round(score(F.col("query_vector"), F.col("vector")), 6) + 0.0), k).select("query_id", scope, "rank", "node_seq", "score")
+def by_vector(asked: DataFrame, vectors: DataFrame, k: int, scope: str = "document_id", score=cosine, blocks: int = 16) -> DataFrame:
+    """Exact top k by cosine within the scope. asked: query_id, scope, query_vector; vectors: scope, node_seq, vector.
+
+    A scope's vectors are dealt over `blocks` blocks, each question goes to all of them; the k best of each are merged.
+    """
+    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("node_seq"), F.lit(blocks)).cast("int"))
+    met = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, [scope, "block"])
+    scored = met.select("query_id", scope, "block", "node_seq", (F.round(score(F.col("query_vector"), F.col("vector")), 6) + 0.0).alias("score"))
+    return top(top(scored, k, ("query_id", "block")), k).select("query_id", scope, "rank", "node_seq", "score")
 
 
 def reranked(ranked: DataFrame, rescored: Column, k: int) -> DataFrame:
@@ -137,7 +134,7 @@ def hybrid(asked: DataFrame, nodes: DataFrame, k: int, n: int) -> DataFrame:
     """BM25 narrows a document to n nodes, hashed vectors rank those."""
     some = bm25(asked, nodes, n).select("query_id", "document_id", "node_seq", "node_id")
     rows = some.join(asked.select("query_id", "query_text"), "query_id").join(nodes.select("document_id", "node_seq", "content"), ["document_id", "node_seq"])
-    near = F.coalesce(F.nullif(cosine(hashed_vector(F.col("query_text")), hashed_vector(F.col("content"))), F.lit(float("nan"))), F.lit(0.0))
+    near = cosine(hashed_vector(F.col("query_text")), hashed_vector(F.col("content")))
     return top(rows.withColumn("score", F.round(near, 6) + 0.0), k).select("query_id", "document_id", "rank", "node_id", "node_seq", "score")
 
 
@@ -153,25 +150,39 @@ def tree_levels(nodes: DataFrame, fanout: int = FANOUT, most_levels: int = 20) -
     return rows.select("document_id", "level", "pos", F.when(F.col("width") > 1, F.floor(F.col("pos") / fanout)).alias("parent"))
 
 
-def tree_texts(nodes: DataFrame, fanout: int = FANOUT, most_tokens: int = 20) -> DataFrame:
-    """document_id, level, pos, first_leaf, last_leaf, tokens: a parent's stand-in summary is its leaves' first tokens."""
-    tree = tree_levels(nodes, fanout)
-    leaf = nodes.select("document_id", (F.col("node_seq") - 1).cast("long").alias("leaf"), F.slice(t.tokens(F.col("content")), 1, most_tokens).alias("words"))
-    depth = tree.groupBy("document_id").agg(F.max("level").alias("top"))
-    at = leaf.join(depth, "document_id").select("*", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("level"))
-    at = at.withColumn("pos", F.floor(F.col("leaf") / F.pow(F.lit(fanout), "level")).cast("long"))
-    # leaf order within a parent; a parent keeps the first tokens only, so each leaf hands up no more than those
-    rows = at.groupBy("document_id", "level", "pos").agg(F.min("leaf").alias("first_leaf"), F.max("leaf").alias("last_leaf"), F.min_by("words", "leaf").alias("words"))
-    return rows
-
-
-def by_tree(asked: DataFrame, nodes: DataFrame, k: int, fanout: int = FANOUT) -> DataFrame:
-    """Score each parent of leaves by token overlap with the question, take its leaves, best parents first, k in all."""
-    parents = tree_texts(nodes.join(asked.select("document_id").distinct(), "document_id", "left_semi"), fanout)
-    met = asked.join(parents.where("level = 1 OR (level = 0 AND pos = 0)"), "document_id")
-    met = met.withColumn("most", F.max("level").over(Window.partitionBy("query_id"))).where("level = most")
-    q = F.array_distinct(t.tokens(F.col("query_text")))
-    met = met.withColumn("of_parent", F.size(F.array_intersect(q, F.col("words"))).cast("double"))
-    leaves = met.select("query_id", "document_id", F.col("of_parent").alias("score"), F.explode(F.sequence("first_leaf", "last_leaf")).alias("leaf"))
-    leaves = leaves.withColumn("node_seq", (F.col("leaf") + 1).cast("int"))
-    return top(leaves, k).select("query_id", "document_id", "rank", "node_seq", "score")
+def tree_texts(nodes: DataFrame, fanout: int = FANOUT, each: int = 5, most_tokens: int = 20) -> DataFrame:
+    """document_id, level, pos, words: a leaf has its first most_tokens tokens, a parent the first `each` of each child, in their order.
+
+    One small aggregation a level: a parent has fanout times `each` words at most, whatever is below it.
+    """
+    pos = (F.col("node_seq") - 1).cast("long")
+    level = cut(nodes.select("document_id", F.lit(0).alias("level"), pos.alias("pos"), F.slice(t.tokens(F.col("content")), 1, most_tokens).alias("words")))
+    out = level
+    widest = level.groupBy("document_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    while widest > 1:
+        widest = -(-widest // fanout)
+        wide = level.groupBy("document_id").agg(F.max("pos").alias("last")).where("last > 0").select("document_id")
+        below = level.join(wide, "document_id").select("document_id", "level", F.floor(F.col("pos") / fanout).alias("parent"), F.struct("pos", F.slice("words", 1, each).alias("w")).alias("x"))
+        words = F.flatten(F.transform(F.array_sort(F.collect_list("x")), lambda x: x.w))
+        level = cut(below.groupBy("document_id", "parent", "level").agg(words.alias("words")).select("document_id", (F.col("level") + 1).alias("level"), F.col("parent").alias("pos"), "words"))
+        out = out.unionByName(level)
+    return out
+
+
+def by_tree(asked: DataFrame, nodes: DataFrame, k: int, fanout: int = FANOUT, beam: int = 2, each: int = 5, most_tokens: int = 20) -> DataFrame:
+    """From the root of the question's document downwards: of the children of the nodes held, the `beam` that share most tokens
+    with the question are held, those further left of equal ones; the leaves met in the end are ranked so, k of them."""
+    tree = cut(tree_texts(nodes.join(asked.select("document_id").distinct(), "document_id", "left_semi"), fanout, each, most_tokens))
+    roots = tree.groupBy("document_id").agg(F.max("level").alias("level"))
+    depth = roots.agg(F.max("level")).first()[0] or 0
+    wanted = asked.select("query_id", "document_id", F.array_distinct(t.tokens(F.col("query_text"))).alias("q"))
+    held = wanted.join(roots, "document_id").select("query_id", "document_id", "q", "level", F.lit(0).cast("long").alias("pos"))
+    for level in range(depth, 0, -1):  # as many rounds as the tallest tree has levels
+        here = held.where(F.col("level") == level).withColumn("parent", F.col("pos")).drop("level", "pos")
+        children = tree.where(F.col("level") == level - 1).withColumn("parent", F.floor(F.col("pos") / fanout))
+        met = here.join(children, ["document_id", "parent"]).withColumn("score", F.size(F.array_intersect("q", "words")).cast("double"))
+        best = top(met, beam, tie="pos") if level > 1 else met
+        held = held.where(F.col("level") < level).unionByName(best.select("query_id", "document_id", "q", "level", "pos"))
+    leaves = held.join(tree.where("level = 0").select("document_id", "pos", "words"), ["document_id", "pos"])
+    scored = leaves.select("query_id", "document_id", (F.col("pos") + 1).cast("int").alias("node_seq"), F.size(F.array_intersect("q", "words")).cast("double").alias("score"))
+    return top(scored, k).select("query_id", "document_id", "rank", "node_seq", "score")

@@ -5,17 +5,10 @@ from __future__ import annotations
 import shutil
 import tempfile
 from pathlib import Path
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Settings this library asks for where the session leaves them unset.
-SESSION_DEFAULTS = {
-    "spark.sql.session.timeZone": "UTC",
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-}
-
-
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once a session, so that functions in it can be found there."""
     context = spark.sparkContext
@@ -45,6 +38,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder where driver and executors can both write."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut: written to the shared checkpoint folder, where any executor can read them."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -11,7 +11,7 @@ SOURCE_SETS = ("PQ", "JEQ")
 PIPELINES = ("P1", "P2", "P3")
 K_VALUES = (3, 5, 10)
 SCORES = tuple(range(1, 11))
-STATUSES = ("ok", "warn", "error")
+STATUSES = ("success", "partial", "failure")
 
 _S, _I, _D, _B = T.StringType(), T.IntegerType(), T.DoubleType(), T.BooleanType()
 _IDS = T.ArrayType(T.StringType(), False)
@@ -37,4 +37,5 @@ BUILD_COST = _table("document_id skipped", "wall_clock_sec input_tokens output_t
 
 TABLES = {"nodes": NODES, "queries": QUERIES, "golden_queries": GOLDEN, "judge_validation": JUDGE_VALIDATION, "results": RESULTS}
 KEYS = {"nodes": ["node_id"], "queries": ["query_id"], "golden_queries": ["query_id"], "judge_validation": ["query_id"], "results": ["source_set", "query_id", "pipeline", "k_value"]}
-PARTITIONED = {"nodes": ["document_id"], "results": ["pipeline", "k_value"]}
+#: By columns of few values only: a folder a document would be as many small files.
+PARTITIONED = {"results": ["pipeline", "k_value"]}

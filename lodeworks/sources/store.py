@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -16,6 +17,7 @@ from lodeworks.runtime import ship
 FORM = "10-K"
 ARCHIVE = "https://www.sec.gov/Archives/edgar/data/%d/%s/%s"
 FRESH_HOURS = 48
+TREES = "document_id string, level int, pos long, words array<string>, run int"
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -81,66 +83,105 @@ def parsed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 class _Markdown(HTMLParser):
-    """Headings, paragraphs and tables of a page as Markdown blocks; scripts and styles left out."""
+    """Headings, paragraphs and tables of a page as Markdown blocks; scripts and styles left out.
 
-    BLOCKS = frozenset("p div section article header footer nav ul ol li br h1 h2 h3 h4 h5 h6 table title".split())
+    Only tags of blocks, line breaks and cells part words. A tag with a prefix marks a figure inside a sentence, often on lines of its own:
+    between it and a currency sign before it, or a closing mark after it, there is no space. A cell that spans columns stands
+    in the first of them; columns that are empty in every row are left out.
+    """
+
+    BLOCKS = frozenset("p div section article header footer nav ul ol li br h1 h2 h3 h4 h5 h6 table title hr form dl dt dd blockquote pre".split())
     SILENT = frozenset(("script", "style"))
+    HEADINGS = {f"h{n}": "#" * n + " " for n in range(1, 7)}
+    EDGE = "\ufdd0"  # no character of any text
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.blocks: list[str] = []
-        self.words: list[str] = []
-        self.table: list[list[str]] | None = None
-        self.silent = 0
+        self.text: list[str] = []
+        self.table: list[list[tuple[str, int]]] | None = None
+        self.span = self.silent = 0
         self.lead = ""
 
+    def taken(self) -> str:
+        text = " ".join("".join(self.text).split())
+        self.text = []
+        if self.EDGE in text:
+            text = re.sub(rf"([$£€(]) ?{self.EDGE} ?(?=[\d(])|(?<=[\d)]) ?{self.EDGE} ?(?=[.,;:%)])", r"\1", text)
+            text = " ".join(text.replace(self.EDGE, "").split())
+        return text
+
     def flush(self) -> None:
-        text = " ".join(" ".join(self.words).split())
-        self.words = []
-        if text:
+        if text := self.taken():
             self.blocks.append(self.lead + text)
 
+    def cell(self) -> None:
+        """End the open cell, if there is one."""
+        if self.table and self.span:
+            self.table[-1].append((self.taken(), self.span))
+        self.text, self.span = [], 0
+
+    def rows(self) -> list[str]:
+        grid = [[x for text, span in row for x in (text, *[""] * (span - 1))] for row in self.table or []]
+        width = max(map(len, grid), default=0)
+        used = [k for k in range(width) if any(k < len(r) and r[k] for r in grid)]
+        return ["| " + " | ".join(r[k] if k < len(r) else "" for k in used) + " |" for r in grid if any(r)]
+
     def handle_starttag(self, tag, attrs) -> None:
         if tag in self.SILENT:
             self.silent += 1
         elif self.table is not None:
             if tag == "tr":
+                self.cell()
                 self.table.append([])
             elif tag in ("td", "th"):
-                self.words = []
+                self.cell()
+                wide = dict(attrs).get("colspan") or ""
+                self.span = min(1000, int(wide)) if wide.isdigit() and int(wide) else 1
+            elif tag in self.BLOCKS:
+                self.text.append(" ")
         elif tag in self.BLOCKS:
             self.flush()
-            self.lead = "#" * int(tag[1]) + " " if tag in ("h1", "h2", "h3", "h4", "h5", "h6") else ""
+            self.lead = self.HEADINGS.get(tag, "")
             if tag == "table":
                 self.table = []
+        if ":" in tag:
+            self.text.append(self.EDGE)
 
     def handle_endtag(self, tag) -> None:
+        if ":" in tag:
+            self.text.append(self.EDGE)
         if tag in self.SILENT:
             self.silent = max(0, self.silent - 1)
         elif self.table is not None:
-            if tag in ("td", "th"):
-                if self.table:
-                    self.table[-1].append(" ".join(" ".join(self.words).split()))
-                self.words = []
+            if tag in ("td", "th", "tr"):
+                self.cell()
             elif tag == "table":
-                rows = ["| " + " | ".join(r) + " |" for r in self.table if any(r)]
-                if rows:
+                self.cell()
+                if rows := self.rows():
                     self.blocks.append("\n".join(rows))
                 self.table = None
+            elif tag in self.BLOCKS:
+                self.text.append(" ")
         elif tag in self.BLOCKS:
             self.flush()
             self.lead = ""
 
     def handle_data(self, data) -> None:
         if not self.silent:
-            self.words.append(data)
+            self.text.append(data)
+
+    def close(self) -> None:
+        super().close()
+        if self.table is not None:
+            self.handle_endtag("table")
+        self.flush()
 
 
 def to_markdown(html: str | None) -> str:
     parser = _Markdown()
     parser.feed(html or "")
     parser.close()
-    parser.flush()
     return "\n\n".join(parser.blocks)
 
 
@@ -197,9 +238,17 @@ def with_scores(results: DataFrame, scores: DataFrame) -> DataFrame:
     return results.join(s, keys, "left").withColumns({"human_score": F.coalesce("__h", "human_score"), "judge_score": F.coalesce("__j", "judge_score")}).drop("__h", "__j")
 
 
-def save_tree(tree: DataFrame, root: str) -> None:
-    """Spark's committer publishes a document's tree whole or not at all."""
-    tree.write.mode("append").partitionBy("document_id").parquet(f"{root}/trees")
+def save_trees(trees: DataFrame, root: str) -> None:
+    """Add trees (document_id, level, pos, words, run): one write, which the committer publishes whole or not at all."""
+    trees.select("document_id", "level", "pos", "words", "run").write.mode("append").parquet(f"{root}/trees")
+
+
+def trees(spark: SparkSession, root: str) -> DataFrame:
+    """Each document's tree of its newest run; none where none was saved."""
+    spark.createDataFrame([], TREES).write.mode("ignore").parquet(f"{root}/trees")
+    rows = spark.read.schema(TREES).parquet(f"{root}/trees")
+    newest = rows.groupBy("document_id").agg(F.max("run").alias("run"))
+    return rows.join(newest, ["document_id", "run"])
 
 
 def to_build(documents: DataFrame, built: DataFrame) -> DataFrame:
@@ -216,6 +265,12 @@ def costs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def audit_report(nodes: DataFrame) -> DataFrame:
-    """value: one text block for each sampled node."""
-    head = F.format_string("## %s (%s, %s, %d tokens)", "node_id", "node_type", F.coalesce(F.nullif("parent_item_header", F.lit("")), F.lit("(none)")), "token_count")
-    return nodes.select(F.concat_ws("\n\n", head, "content").alias("value"))
+    """value: the whole report over a sample of nodes, in the order of their ids: one row, as long as the sample."""
+    section = F.coalesce(F.nullif("parent_item_header", F.lit("")), F.lit("(none)"))
+    one = F.concat(
+        F.lit("## "), F.col("node_id"), F.lit(" ("), F.col("node_type"), F.lit(")\n- Document: "), F.col("document_id").cast("string"), F.lit("\n- Section: "), section,
+        F.lit("\n- Token count: "), F.col("token_count").cast("string"), F.lit("\n\n```\n"), F.col("content"), F.lit("\n```\n"),
+    )
+    all_ = nodes.agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("node_id", one.alias("text")))).alias("x"))
+    head = F.concat(F.lit("# Parsing Validation Audit\n\nSampled "), F.col("n").cast("string"), F.lit(" node(s) for manual review.\n\n"))
+    return all_.select(F.concat(head, F.array_join("x.text", "\n")).alias("value"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeworks.runtime import scratch
+
 
 def daily(events: DataFrame, late: str = "2 days") -> DataFrame:
     """day, event_type, n, total of a stream or a table of events; with a watermark, days close when they are `late` past."""
@@ -25,13 +27,16 @@ def first_only(events: DataFrame, key: str, late: str = "2 days") -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def drained(rows: DataFrame) -> DataFrame:
-    """All rows of a streaming aggregate once its source is read to the end, kept as a table of the session."""
-    from uuid import uuid4
+def drained(rows: DataFrame, folder: str | None = None) -> DataFrame:
+    """All rows of a streaming aggregate once its source is read to the end, in files under folder: each batch replaces the one before."""
+    spark, out = rows.sparkSession, folder or scratch(rows.sparkSession, "stream")
+
+    def replace(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/rows")
 
-    name = f"drained_{uuid4().hex}"
-    run = rows.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    spark.createDataFrame([], rows.schema).write.parquet(f"{out}/rows")
+    run = rows.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     if run.exception() is not None:
         raise run.exception()
-    return rows.sparkSession.table(name)
+    return spark.read.schema(rows.schema).parquet(f"{out}/rows")

@@ -2,9 +2,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeworks import schemas
+from lodeworks.jobs import runs
 from lodeworks.operators import experiment as x
 from lodeworks.operators import logs
+from lodeworks.operators import nodes as n
 from lodeworks.sources import store
+from lodeworks.streaming import usage
 
 
 @pytest.fixture(scope="module")
@@ -106,14 +109,117 @@ def test_model_families():
         x.families_differ({"a": "one/x", "b": "one-y"}, ("a", "b"))
 
 
-def test_log_round_trip(spark, tmp_path):
-    block = "garbage\n2025-01-02 03:04:05,678 [INFO] (Run(a (b))) did x -- y -- ok\nfiles: a, b\nno colon here\nnote: k: v"
-    (tmp_path / "log.txt").write_text(block + logs.SEPARATOR + "only garbage" + logs.SEPARATOR)
+ENTRY = """2026-07-22 08:35:29,659 INFO [wiki-update] (Tool Code (graph + wiki:all update)) Refreshed the graph -- and 3 pages -- success
+branch:  phase2-parsing
+task:    Phase 2 sync
+files:   out/, wiki/start.md, A.md
+note: k: v
+note: again
+details: before: after
+no colon here"""
+
+
+def test_logs_of_the_true_shape(spark, tmp_path):
+    blocks = [ENTRY, "garbage\nmore\n2025-01-02 03:04:05,678 WARNING [] (open bracket did x -- done", "only garbage", "\n", "2025-01-02 03:04:05,6789 ERROR [a] no tool"]
+    (tmp_path / "log.txt").write_text(logs.SEPARATOR.join(blocks) + logs.SEPARATOR)
     rows = logs.parsed(logs.read(spark, str(tmp_path / "log.txt")))
-    a, b = sorted(rows.collect(), key=lambda r: r.ts is None)
-    assert (a.level, a.tool, a.summary, a.status, a.files, a.extra, a.fragment) == ("INFO", "Run(a (b))", "did x -- y", "ok", "a, b", {"note": "k: v"}, "garbage")
-    assert b.ts is None and b.fragment == "only garbage"
-    again = logs.parsed(logs.rendered(rows.where("ts IS NOT NULL")).select(F.expr("replace(value, repeat('=', 80), '')").alias("value"))).first()
-    assert (again.ts, again.tool, again.summary, again.status, again.extra) == (a.ts, a.tool, a.summary, a.status, a.extra)
-    assert logs.invalid(rows, ("ok",)).count() == 1
-    assert {r.status: r.n for r in logs.activity(rows).collect()} == {"ok": 1, None: 1}
+    got = logs.newest_first(rows).collect()
+    assert [r.timestamp for r in got] == ["2026-07-22 08:35:29,659", "2025-01-02 03:04:05,6789", "2025-01-02 03:04:05,678", None, None]
+    a, c, b = got[:3]
+    assert a.asDict(True) == {
+        "timestamp": "2026-07-22 08:35:29,659", "level": "INFO", "operation": "wiki-update", "tool": "Tool Code (graph + wiki:all update)", "summary": "Refreshed the graph -- and 3 pages", "status": "success",
+        "branch": "phase2-parsing", "task": "Phase 2 sync", "files": ["out/", "wiki/start.md", "A.md"], "details": "before: after", "extra": {"note": "again"}, "fragment": None,
+    }
+    assert (b.level, b.operation, b.tool, b.summary, b.status, b.files, b.extra) == ("WARNING", "", "", "(open bracket did x -- done", None, [], {})
+    assert (c.tool, c.summary, c.status) == ("", "no tool", None)
+    assert sorted(r.fragment for r in got[3:]) == ["garbage\nmore", "only garbage"]
+    assert sorted(len(r.why) for r in logs.invalid(rows.where("fragment IS NULL")).collect()) == [2, 3]
+    assert {r.status: (r.n, r.latest) for r in logs.activity(rows.where("fragment IS NULL")).collect()}["success"] == (1, a.summary)
+    whole = rows.where("status = 'success'")
+    logs.append(whole, str(tmp_path / "again"))
+    logs.append(whole, str(tmp_path / "again"))
+    assert logs.parsed(logs.read(spark, str(tmp_path / "again"))).collect() == [a, a]
+    with pytest.raises(ValueError):
+        logs.append(whole.withColumn("status", F.lit("ok")), str(tmp_path / "again"))
+
+
+def test_inline_tags_and_tables():
+    page = "<p>was $<ix:nonFraction>394.3</ix:nonFraction>B, <b>up</b>ward <i>4</i>%</p><div>a<br>b</div>"
+    assert store.to_markdown(page) == "was $394.3B, upward 4%\n\na\n\nb"
+    assert store.to_markdown("<p>about $\n <ix:a>\n 3,253\n </ix:a>\n . Then <ix:b>5</ix:b> million</p>") == "about $3,253. Then 5 million"
+    table = "<table><tr><td colspan=3><div>Interest</div><div>Rate</div></td><td colspan='3' /><td colspan=2>2025</td></tr><tr><td colspan=3>Debt</td><td colspan=3></td><td>$</td><td>1<b>29</b></td></tr></table>"
+    assert store.to_markdown(table) == "| Interest Rate | 2025 |  |\n| Debt | $ | 129 |"
+    assert store.to_markdown(None) == "" and store.to_markdown("<table><tr><td>open<tr><td>end") == "| open |\n| end |"
+
+
+def lines(spark):
+    return spark.createDataFrame([(1, "alpha beta\ngamma delta\nred green"), (2, "one two three"), (3, "")], "doc_id long, text string")
+
+
+def build(rows):
+    return n.from_lines(rows).withColumns({"parent_item_header": F.lit(None).cast("string"), "source_page_num": F.lit(None).cast("int")})
+
+
+def test_ingestion_skips_what_is_there(spark, tmp_path):
+    docs = lines(spark)
+    first = runs.ingest(spark, docs.where("doc_id = 1"), build, str(tmp_path), "doc_id").collect()
+    assert [tuple(r) for r in first] == [("1", 3, False)]
+    again = {tuple(r) for r in runs.ingest(spark, docs, build, str(tmp_path), "doc_id").collect()}
+    assert again == {("1", 3, True), ("2", 1, False)}
+    assert store.read(spark, str(tmp_path), "nodes").count() == 4
+
+
+def test_trees_are_built_once_replaced_by_a_newer_run_and_never_empty(spark, tmp_path):
+    root = str(tmp_path)
+    nodes = n.from_lines(lines(spark)).withColumn("document_id", F.col("document_id").cast("string"))
+    some = nodes.select("document_id").distinct()
+    costs = {r.document_id: (r.skipped, r.input_tokens, r.output_tokens) for r in runs.build_trees(spark, some, nodes, root, 1).collect()}
+    assert costs == {"1": (False, 6, 6), "2": (False, 0, 0)}
+    store.log_costs(runs.build_trees(spark, some, nodes, root, 2), f"{root}/costs")
+    assert {r.document_id: (r.builds, r.skips, r.input_tokens) for r in x.costs_by_document(store.costs(spark, f"{root}/costs")).collect()} == {"1": (0, 1, 0), "2": (0, 1, 0)}
+    before = store.trees(spark, root).count()
+    with pytest.raises(ValueError, match="no nodes"):
+        runs.build_trees(spark, some.union(spark.createDataFrame([("9",)], "document_id string")), nodes, root, 3)
+    assert store.trees(spark, root).count() == before == 5
+    store.save_trees(store.trees(spark, root).where("document_id = '2'").withColumn("run", F.lit(7)), root)
+    assert {(r.document_id, r.run) for r in store.trees(spark, root).collect()} == {("1", 1), ("2", 7)}
+
+
+def test_cells_with_another_answerer_and_judge(spark):
+    nodes = n.from_lines(lines(spark))
+    asked = spark.createDataFrame([("q", "gamma red", "red", "Q1", 1, ["1_n0003"])], "query_id string, query_text string, ground_truth_answer string, quadrant string, document_id long, gt_citations array<string>")
+    cells = x.matrix(asked, pipelines=("P2",), ks=(3,))
+    say = lambda questions, contexts: [f"red [[node:1_n0003]] {len(c)}" for q, c in zip(questions, contexts, strict=True)]
+    (row,) = runs.run_cells(cells, asked, nodes, cells.limit(0), say, lambda said, truth: F.lit(9)).collect()
+    assert (row.precision_at_k, row.recall_at_k, row.evidence_hit, row.citation_match, row.judge_score, row.exact_match) == (round(1 / 3, 6), 1.0, 1, 1, 9, 0)
+    assert row.cited_node_ids == ["1_n0003"] and row.pipeline_output.endswith(str(len("alpha beta\n\ngamma delta\n\nred green"))) and row.latency_sec >= 0 and row.output_tokens == 3
+    assert sorted(row.retrieved_node_ids) == ["1_n0001", "1_n0002", "1_n0003"]
+    assert runs.run_cells(cells, asked, nodes, cells).count() == 0
+
+
+def test_prompts_yields_and_daily_usage(spark):
+    golden = spark.createDataFrame([(i, "Q1", f"q{i}", f"a{i}", i) for i in range(9)], "query_id int, quadrant string, query_text string, ground_truth_answer string, human_score int")
+    prefix = x.prompt_prefixes(x.first_each(golden, 5), "Rubric")
+    cells = spark.createDataFrame([("Q1", "why", "so")], "quadrant string, query_text string, pipeline_output string")
+    prompt = x.prompts(prefix, cells).first().prompt
+    assert prompt.startswith("Rubric\n\nQ: q0") and prompt.count("Score:") == 6 and prompt.endswith("Q: why\nA: so\nScore:")
+    tried = spark.createDataFrame([("Q1", True), ("Q1", False), ("Q2", True)], "quadrant string, accepted boolean")
+    assert {tuple(r) for r in x.yields(tried).collect()} == {("Q1", 2, 1, 0.5), ("Q2", 1, 1, 1.0)}
+
+
+def test_manifest_lists_and_rules(spark, tmp_path):
+    (tmp_path / "m.json").write_text('[{"document_id": "A_2025", "ticker": "A", "fiscal_year": 2025},\n {"document_id": "B_2025", "ticker": "B", "fiscal_year": 2025}]')
+    wanted = store.manifest(spark, str(tmp_path / "m.json"))
+    assert [r.fiscal_year for r in wanted.collect()] == [2025, 2025] and store.duplicated(wanted, "document_id").count() == 0
+    assert [r.document_id for r in store.to_fetch(wanted, wanted.where("ticker = 'A'")).collect()] == ["B_2025"]
+    assert spark.range(1).select(store.from_json(store.as_json(F.array(F.lit("a"), F.lit("b"))))).first()[0] == ["a", "b"]
+    rows = spark.createDataFrame([("PQ", "P1", 3, 0.5, 0.5, 11, None), ("XX", "P9", 4, 1.5, 0.5, 1, 1)], "source_set string, pipeline string, k_value int, precision_at_k double, recall_at_k double, judge_score int, human_score int")
+    assert {r.rule: r.n for r in x.violations(rows, x.result_rules()).collect()} == {"source_set": 1, "pipeline": 1, "k_value": 1, "precision": 1, "recall": 0, "judge_score": 1, "human_score": 0}
+
+
+def test_later_rows_of_a_key_are_dropped(spark, tmp_path):
+    spark.createDataFrame([(1, "2025-01-01 00:00:00"), (1, "2025-01-01 01:00:00"), (2, "2025-01-01 02:00:00")], "k int, ts string").coalesce(1).write.parquet(f"{tmp_path}/in")
+    out = usage.first_only(usage.stream(spark, f"{tmp_path}/in", "*.parquet"), "k")
+    run = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert sorted(r.k for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2]

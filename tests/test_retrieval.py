@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -82,3 +83,24 @@ def test_tree_has_one_root(spark):
 
 def test_no_questions_no_rows(spark, nodes, asked):
     assert r.bm25(asked.limit(0), nodes, 3).count() == 0
+
+
+def test_a_parents_words_come_from_all_of_its_children(spark):
+    rows = [("D", i + 1, f"word{chr(97 + i)} " + " ".join(chr(97 + i) + chr(97 + k) + "z" for k in range(26))) for i in range(25)]
+    nodes = spark.createDataFrame(rows, "document_id string, node_seq int, content string")
+    tree = {(y.level, y.pos): y.words for y in r.tree_texts(nodes, each=3).collect()}
+    assert sorted(tree) == [(0, i) for i in range(25)] + [(1, 0), (1, 1), (1, 2), (2, 0)]
+    assert all(len(tree[0, i]) == 20 for i in range(25))
+    assert tree[1, 1] == [w for i in range(10, 20) for w in tree[0, i][:3]] and tree[2, 0] == [w for p in range(3) for w in tree[1, p][:3]]
+    asked = spark.createDataFrame([("q", "where is wordr or wordd", "D"), ("none", "zzz", "D")], "query_id string, query_text string, document_id string")
+    got = r.by_tree(asked, nodes, 3, each=3).collect()
+    assert [y.node_seq for y in sorted(got, key=lambda y: y.rank) if y.query_id == "q"][:2] == [4, 18]
+    assert [y.node_seq for y in sorted(got, key=lambda y: y.rank) if y.query_id == "none"] == [1, 2, 3]
+
+
+def test_blocks_do_not_change_the_nearest(spark):
+    rng = random.Random(2)
+    vectors = spark.createDataFrame([("D", i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)], "document_id string, node_seq int, vector array<double>")
+    asked = vectors.where("node_seq < 5").select(F.concat(F.lit("q"), "node_seq").alias("query_id"), "document_id", F.col("vector").alias("query_vector"))
+    a, b = (sorted(map(tuple, r.by_vector(asked, vectors, 7, blocks=k).collect())) for k in (1, 9))
+    assert a == b and len(a) == 35
