@@ -12,7 +12,8 @@ short enough to find them would fill up with the square of the corpus. Such pair
 (`alike`): equal bands of minimal hashes make candidates, and every link is verified on the whole sets. BANDS bands of ROWS
 hashes miss a pair at 0.8 with a chance of 3e-7, one that is more alike with less. In a band, texts are compared with the
 one that has most neighbours, which links the copies of one original without comparing the copies with each other; bands in
-which several components are left go on, without that one, and after `rounds` rounds all pairs that are left are compared.
+which several components are left go on, without that one, and after `rounds` rounds the texts of different components that are
+left in a band are compared, each pair once.
 
 Words: `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased; `size`-word shingles, repeats included; a text with fewer
 words is one shingle, one with none has fingerprint zero and is linked like any other, but is alike to none by sets.
@@ -175,10 +176,11 @@ def alike(marks: DataFrame, texts: DataFrame, edges: DataFrame, least: int, size
         roots = components(edges).withColumnsRenamed({"node": "__node", "root": "__root"})
         return rows.join(roots, F.col("__fp") == F.col("__node"), "left").select(*own, F.coalesce("__root", "__fp").alias("home"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """pairs: ka, a, kb, b (keys and fingerprints)."""
-        side = lambda x: sets.select(F.col("__key").alias(f"k{x}"), F.col("set").alias(f"s{x}"))
-        both = pairs.distinct().join(side("a"), "ka").join(side("b"), "kb").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+        few = (sets.agg(F.sum(F.size("set"))).first()[0] or 0) <= MAX_BROADCAST
+        side = lambda x: (F.broadcast if few else lambda rows: rows)(sets.select(F.col("__key").alias(f"k{x}"), F.col("set").alias(f"s{x}")))
+        both = pairs.join(side("a"), "ka").join(side("b"), "kb").withColumn("common", F.size(F.array_intersect("sa", "sb")))
         return both.where(100 * F.col("common") >= least * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
     for _ in range(rounds):  # bands with one component are settled
@@ -187,17 +189,23 @@ def alike(marks: DataFrame, texts: DataFrame, edges: DataFrame, least: int, size
         groups = shared.groupBy("band").agg(F.min("home").alias("lo"), F.max("home").alias("hi"), hub.alias("hub")).where("lo <> hi").select("band", "hub")
         against = cut(shared.join(groups, "band").where(F.col("__key") != F.col("hub.__key")))
         pairs = against.where((F.col("home") != F.col("hub.home")) & near(F.col("n"), F.col("hub.n")))
-        found = cut(verified(pairs.select(F.col("__key").alias("ka"), F.col("__fp").alias("a"), F.col("hub.__key").alias("kb"), F.col("hub.__fp").alias("b"))))
+        pairs = pairs.select(F.col("__key").alias("ka"), F.col("__fp").alias("a"), F.col("hub.__key").alias("kb"), F.col("hub.__fp").alias("b")).distinct()
+        found = cut(verified(pairs, sets))
         edges = cut(edges.unionByName(found))
         shared = against.select(*own)  # without the hubs, whose pairs are all done
         if not shared.limit(1).count():
             return edges
     shared = cut(homed(shared))
     left = shared.groupBy("band").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo <> hi").select("band")
-    shared = cut(shared.join(left, "band"))
+    shared = shared.join(left, "band")
+    lists = cut(shared.groupBy("__key").agg(F.collect_set("band").alias("bands")))
+    sets = cut(sets.join(lists.select("__key"), "__key", "left_semi"))
+    shared = cut(shared.join(lists, "__key"))
     a, b = shared.alias("x"), shared.alias("y")
-    pairs = a.join(b, (F.col("x.band") == F.col("y.band")) & (F.col("x.__key") < F.col("y.__key")) & (F.col("x.home") != F.col("y.home")) & near(F.col("x.n"), F.col("y.n")))
-    found = verified(pairs.select(F.col("x.__key").alias("ka"), F.col("x.__fp").alias("a"), F.col("y.__key").alias("kb"), F.col("y.__fp").alias("b")))
+    apart = (F.col("x.__key") < F.col("y.__key")) & (F.col("x.home") != F.col("y.home")) & near(F.col("x.n"), F.col("y.n"))
+    first = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.band")  # a pair meets in one of its bands
+    pairs = a.join(b, (F.col("x.band") == F.col("y.band")) & apart & first)
+    found = verified(pairs.select(F.col("x.__key").alias("ka"), F.col("x.__fp").alias("a"), F.col("y.__key").alias("kb"), F.col("y.__fp").alias("b")), sets)
     return cut(edges.unionByName(found))
 
 
