@@ -11,6 +11,7 @@ from lodeworks.jobs import runs
 from lodeworks.operators import experiment as x
 from lodeworks.operators import logs
 from lodeworks.operators import nodes as n
+from lodeworks.operators import reports
 from lodeworks.operators import retrieval as r
 from lodeworks.runtime import cut, scratch, table
 from lodeworks.sources import store
@@ -444,6 +445,24 @@ def day_divider(spark: SparkSession, d: str) -> DataFrame:
     return x.day_dividers(table(spark, d, "events"), "ts", "user_id", "event_id").select("event_id", "user_id", "new_day")
 
 
+@query("""WITH e AS (SELECT event_id, user_id, strftime(ts, '%Y-%m-%d') AS day, event_type FROM events),
+first AS (SELECT day || '-' || event_type || '-' || user_id || '.html' AS file, min_by(event_id, event_id) AS event_id, any_value(day) AS day FROM e WHERE event_id % 2 = 0 GROUP BY 1),
+lone AS (SELECT DISTINCT day || '-' || event_type || '-' || user_id || '.html' AS file, day FROM e WHERE file NOT IN (SELECT file FROM first))
+SELECT day AS date, file, 'R & D <' || event_id || '>' AS title, 'about ' || event_id || '; "it"' AS description FROM first UNION ALL SELECT day, file, 'Report ' || file, '' FROM lone""")
+def report_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Events as rows of a day's index page, some escaped twice, and as report files; then the manifest read from both."""
+    rows = table(spark, d, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    file = F.concat_ws("-", "day", "event_type", F.concat(F.col("user_id").cast("string"), F.lit(".html")))
+    event = F.col("event_id").cast("string")
+    title = F.concat(F.lit("R & D <"), event, F.lit(">"))
+    title = F.when(F.col("event_id") % 4 == 0, reports.escaped(reports.escaped(title))).otherwise(reports.escaped(title))
+    row = F.concat(F.lit('<td class="timestamp">12:00</td>\n<td><a href="reports/'), file, F.lit('">'), title, F.lit('</a></td> <td class="description"> about '), event, F.lit("; &quot;it&quot; </td>"))
+    in_index = rows.where("event_id % 2 = 0").select("day", "event_id", row.alias("row")).groupBy("day").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "row"))), lambda e: e.row), "<tr>").alias("value"))
+    pages = in_index.select(F.datediff(F.to_date("day"), F.lit("2000-01-01").cast("date")).alias("page"), "value")
+    files = rows.select(file.alias("file")).distinct().select("file", F.concat(F.lit("<h1>Report\n "), F.col("file"), F.lit("</h1>")).alias("value"))
+    return reports.seeded(pages, files)
+
+
 @query("SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) AS p FROM events) WHERE p > 100")
 def newest_n_dropped(spark: SparkSession, d: str) -> DataFrame:
     return x.without_newest(table(spark, d, "events").select("event_id", "ts"), 100, "ts", "event_id").select("event_id")

@@ -6,6 +6,7 @@ from lodeworks.jobs import runs
 from lodeworks.operators import experiment as x
 from lodeworks.operators import logs
 from lodeworks.operators import nodes as n
+from lodeworks.operators import reports
 from lodeworks.sources import store
 from lodeworks.streaming import usage
 
@@ -223,3 +224,20 @@ def test_later_rows_of_a_key_are_dropped(spark, tmp_path):
     run = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     assert sorted(r.k for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2]
+
+
+def test_manifest_of_reports(spark):
+    row = '<td class="timestamp">{}</td>\n <td><a href="{}">{}</a></td><td class="description">{}</td>'
+    first = row.format("2025-01-01", "reports/2025-02-03-b.html", "B &amp;amp;lt;x&gt;", " d ") + row.format("2025-05-05", "undated.html", "U", "") + row.format("x", "index.html", "skip", "")
+    second = row.format("2024-01-01", "2025-02-03-b.html", "later", "later") + row.format("", "2025-02-03-a.html", "A", "a\nb")
+    pages = spark.createDataFrame([(0, first), (1, second)], "page int, value string")
+    files = spark.createDataFrame([("2025-02-03-z.html", "<h1>Zed\n  z</h1>"), ("2026-01-01-y.html", "none"), ("index.html", "<h1>no</h1>"), ("2025-02-03-b.html", "<h1>B</h1>"), ("notes.html", "")], "file string, value string")
+    got = [tuple(r) for r in reports.seeded(pages, files).collect()]
+    assert got == [
+        ("2026-01-01", "2026-01-01-y.html", "2026-01-01-y", ""), ("2025-05-05", "undated.html", "U", ""), ("2025-02-03", "2025-02-03-b.html", "B <x>", "d"),
+        ("2025-02-03", "2025-02-03-a.html", "A", "a\nb"), ("2025-02-03", "2025-02-03-z.html", "Zed z", ""),
+    ]
+    fields = spark.createDataFrame([("level", True, ["INFO"]), ("note", False, None)], "key string, required boolean, enum array<string>")
+    assert reports.log_rules(fields) == (["level"], {"level": ["INFO"]})
+    old, new = spark.createDataFrame([("a", "x", 1)], "key string, value string, added_in int"), spark.createDataFrame([("a", "y"), ("b", "z")], "key string, value string")
+    assert sorted(map(tuple, reports.reconciled(old, new, 2).collect())) == [("a", "x", 1), ("b", "z", 2)]
