@@ -1,7 +1,7 @@
 """Quality rules: base limits, then thresholds that each language and source sets for itself.
 
-A sketch holds, for a language, a source and a feature, how many documents fall into each bucket; a bucket keeps the four
-leading bits of a value, so a quantile read from it is within an eighth. Sketches merge by adding counts: those of a
+A sketch holds, for a language, a source and a feature, how many documents fall into each bucket; a bucket keeps the six
+leading bits of a value, so a quantile read from it is within a 32nd. Sketches merge by adding counts: those of a
 language's sources give the language's, those of all languages the corpus's. They hold the documents that have the feature
 at all: most have no symbol, no line twice and no words in repeats, and quartiles over all would be nought. The upper threshold
 is the upper edge of the third quartile's bucket plus `spread` times its distance to the lower edge of the first's (word
@@ -16,7 +16,7 @@ group none of whose documents pass the base limits has no thresholds and needs n
 one, and count in the sketches as often as they occur. An empty table gives an empty result. `keep` returns the input's
 columns whatever their names. Whole texts are used.
 
-Scale: one narrow pass over the texts, whose measures are kept in the shared folder, and an aggregation of at most 64 buckets a feature and group, combined before
+Scale: one narrow pass over the texts, whose measures are kept in the shared folder, and an aggregation of at most 32 buckets for each doubling of a value, by feature and group, combined before
 its shuffle, so that a source with a third of all rows costs no more than another. The thresholds are broadcast where
 they are `max_broadcast` rows at most; beyond that they are copied `salts` times and joined on a salted key.
 """
@@ -34,7 +34,9 @@ from lodeworks.runtime import cut, is_small, table
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEATED = 20  # per cent of the words
-SPREAD = 3
+SPREAD = 4
+#: Leading bits of a value that its bucket keeps.
+BITS = 6
 MIN_ROWS = 30
 #: Thousandths of the characters, of the lines or of the words; tenths of a character.
 FEATURES = ("symbols", "capitals", "lines", "repeated", "length")
@@ -85,11 +87,11 @@ def measures(text: str = "text") -> Column:
 
 
 def _shift(value: Column) -> Column:
-    return F.greatest(F.lit(0), F.length(F.bin(value)) - 4)
+    return F.greatest(F.lit(0), F.length(F.bin(value)) - BITS)
 
 
 def bucket(value: Column) -> Column:
-    """The lower edge of a value's bucket: its four leading bits."""
+    """The lower edge of a value's bucket: its leading bits."""
     return F.call_function("shiftleft", F.call_function("shiftright", value, _shift(value)), _shift(value))
 
 
@@ -165,7 +167,7 @@ def _limits_sql(level: str, by: str) -> str:
     return f"""
 {level}_run AS (SELECT *, sum(n) OVER (PARTITION BY {by} feature ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by} feature) AS total FROM {level}),
 {level}_q AS (SELECT {by} feature, min(bucket) FILTER (4 * upto >= total) AS lo, min(bucket) FILTER (4 * upto >= 3 * total) AS b, max(total) AS docs FROM {level}_run GROUP BY {by} feature),
-{level}_f AS (SELECT {by} feature, docs, lo, b + (1::BIGINT << greatest(0, length(bin(b)) - 4)::BIGINT) AS hi FROM {level}_q)"""
+{level}_f AS (SELECT {by} feature, docs, lo, b + (1::BIGINT << greatest(0, length(bin(b)) - {BITS})::BIGINT) AS hi FROM {level}_q)"""
 
 
 _SPLIT = "[ \\t-\\r]+"
@@ -194,7 +196,7 @@ WITH w AS (
 ), long AS (
   SELECT r, lang, source, unnest(['symbols', 'capitals', 'lines', 'repeated', 'length']) AS feature, unnest([symbols, capitals, lines, repeated, length]) AS v, base_failed FROM features
 ), s AS (
-  SELECT lang, source, feature, CASE WHEN v < 16 THEN v ELSE (v >> (length(bin(v)) - 4)::BIGINT) << (length(bin(v)) - 4)::BIGINT END AS bucket, count(*) AS n
+  SELECT lang, source, feature, (v >> greatest(0, length(bin(v)) - {BITS})::BIGINT) << greatest(0, length(bin(v)) - {BITS})::BIGINT AS bucket, count(*) AS n
   FROM long WHERE NOT base_failed AND v > 0 GROUP BY ALL
 ), l AS (SELECT lang, feature, bucket, sum(n) AS n FROM s GROUP BY ALL),
 c AS (SELECT feature, bucket, sum(n) AS n FROM l GROUP BY ALL),

@@ -20,5 +20,6 @@ QUERIES = {
 ORACLES = {
     "op1_url_filter": url_filter.OP1_SQL,
     "op2_decontaminate": decontaminate.OP2_SQL,
+    "op3_secret_scan": secret_scan.OP3_SQL,
     "op5_quality_rules": quality_rules.OP5_SQL,
 }

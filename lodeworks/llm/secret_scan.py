@@ -138,3 +138,28 @@ def redact(docs: DataFrame, scope: int = SCOPE, mark: str = MARK, doc_id: str =
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+def _sql_rules() -> tuple[str, str]:
+    """Matches of each rule and what stands between them, by row; and the length of an assigned value."""
+    quoted = lambda p: p.replace("\\s", " \\t-\\r").replace("'", "''")
+    each = [f"SELECT r, {i} AS rule, regexp_extract_all(t, '{quoted(p)}') AS ms, string_split_regex(t, '{quoted(p)}') AS gs FROM d" for i, p in enumerate((ASSIGN, ACCESS, HEX, SECRET, URL))]
+    return " UNION ALL ".join(each), f"length(regexp_extract(m, '{quoted(ASSIGN)}', 2))"
+
+
+_RULES, _VALUE = _sql_rules()
+#: Every weak candidate is compared with every part of its row, without bins.
+OP3_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({_RULES}),
+places AS (SELECT r, rule, ms[k] AS m, list_sum(list_transform(gs[:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[:k - 1], lambda x: length(x))), 0) AS s
+  FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM found WHERE len(ms) > 0)),
+parts AS (SELECT * FROM (SELECT r, s::BIGINT AS s, (s + length(m))::BIGINT AS e, CASE
+    WHEN rule = 0 AND {_VALUE} >= 8 THEN 0 WHEN rule = 1 AND length(m) >= 16 THEN 1 WHEN rule = 1 AND length(m) >= 8 THEN 3 WHEN rule = 2 THEN 2
+    WHEN rule = 3 AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[0-9]') THEN 4 WHEN rule = 4 THEN 5 END AS kind FROM places) WHERE kind IS NOT NULL),
+linked AS (SELECT c.r, c.s, c.e, c.kind FROM parts c JOIN parts o ON c.r = o.r AND o.s < c.e + {SCOPE} AND o.e > c.s - {SCOPE} WHERE c.kind IN (3, 4) GROUP BY ALL
+  HAVING bool_or((CASE WHEN c.kind = 3 THEN o.kind IN (0, 2, 4) ELSE o.kind IN (1, 3, 5) END) AND NOT (o.s < c.e AND o.e > c.s)) AND NOT bool_or(o.s < c.e AND o.e > c.s AND o.kind IN (0, 1, 2, 5))),
+spans AS (SELECT r, s, kind, ['assign', 'access', 'hex', 'weak_access', 'weak_secret'][kind + 1] || ':' || s || ':' || e AS as_text FROM (SELECT r, s, e, kind FROM parts WHERE kind < {BASE} UNION ALL SELECT * FROM linked)),
+each AS (SELECT r, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS b, count(*) FILTER (kind = 2) AS c, string_agg(as_text, ',' ORDER BY s, kind) FILTER (kind < {BASE}) AS base, string_agg(as_text, ',' ORDER BY s, kind) AS spans FROM spans GROUP BY r)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN each USING (r)
+"""

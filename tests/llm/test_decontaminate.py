@@ -103,3 +103,10 @@ def test_ranks():
     for s in range(11):
         assert tree.rank(np.full(501, s), i).tolist() == [int((seq[:k] == s).sum()) for k in i]
     assert tree.at(np.arange(500)).tolist() == seq.tolist()
+
+
+def test_columns_named_like_its_own(spark):
+    _, docs, bench = rows(spark)
+    clash = docs.selectExpr("*", "1 AS __hits", "2 AS _hits", "3 AS hits")
+    out = d.remove(clash, bench, window=4)
+    assert out.columns == clash.columns and {(r["__hits"], r["_hits"], r.hits) for r in out.collect()} == {(1, 2, 3)}

@@ -59,3 +59,21 @@ def test_table(spark):
     assert n.segmented(docs.limit(0), n.model_path()).count() == 0
     with pytest.raises(ValueError):
         n.segmented(docs.withColumnRenamed("score", "Scores"), n.model_path())
+
+
+def test_a_long_stretch_is_bounded_and_the_same(monkeypatch):
+    import random
+    import tracemalloc
+
+    rng = random.Random(4)
+    s = n.SPACE + "".join(rng.choice("aethns\u00e9\u6f22") for _ in range(3_000))
+    plain = n.n_best(s, P, 4)
+    two = n.best_two(s, P)
+    monkeypatch.setattr(n, "MANY", 100)  # arrays, and a search that is bounded first
+    assert n.n_best(s, P, 4) == plain and n.best_two(s, P) == two
+    monkeypatch.undo()
+    long = n.SPACE + "".join(rng.choice("aethns") for _ in range(150_000))
+    tracemalloc.start()
+    assert len(n.n_best(long, P, 4)) == 4
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()

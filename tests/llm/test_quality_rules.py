@@ -69,7 +69,7 @@ def test_sketches_merge(spark):
     halves = [q.sketches(rows.where(f"doc_id % 2 = {i}")) for i in (0, 1)]
     assert {(r.feature, r.bucket): r.n for r in q.merged(halves[0].union(halves[1]), "lang", "source").collect()} == whole
     values = spark.range(1, 3000).select("id", q.bucket(F.col("id")).alias("b"), q.upper_edge(q.bucket(F.col("id"))).alias("u")).collect()
-    assert all(r.b <= r.id < r.u and 8 * (r.u - r.b) <= max(8, r.b) for r in values)
+    assert all(r.b <= r.id < r.u and 32 * (r.u - r.b) <= max(32, r.b) for r in values)
 
 
 def test_thresholds_come_from_the_group_and_keep_what_is_alike(spark):

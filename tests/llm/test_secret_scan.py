@@ -74,3 +74,21 @@ def test_native(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     plan = s.scan(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_redaction_by_shuffle_and_with_columns_named_like_its_own(spark):
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(TEXTS)], "doc_id long, text string, __key int, __id int")
+    a, b = (sorted(map(tuple, s.redact(docs, max_broadcast=m).collect()), key=repr) for m in (10**6, -1))
+    assert a == b and s.redact(docs).columns == docs.columns and all(r[2:] == (1, 2) for r in a)
+
+
+def test_sql_on_hand_made_texts(spark, tmp_path):
+    import duckdb
+
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    docs.toPandas().to_parquet(tmp_path / "d.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d.parquet'")
+    cur = con.execute(s.OP3_SQL)
+    names = [x[0] for x in cur.description]
+    assert sorted(tuple(r[c] for c in names) for r in s.scan(docs).collect()) == sorted(cur.fetchall())

@@ -50,3 +50,11 @@ def test_rules_are_checked():
         u.rule("deny", "a/")
     with pytest.raises(ValueError):
         u.rule("allow", "/a")
+
+
+def test_a_rule_may_be_deep():
+    import pickle
+
+    deep = u.rule("block", "a.org/" + "x/" * 5_000)
+    trie = pickle.loads(pickle.dumps(u.Trie([deep])))
+    assert trie.longest("a.org", "/" + "x/" * 6_000) == deep and trie.longest("a.org", "/" + "x/" * 4_999) is None
