@@ -11,9 +11,9 @@ Texts that are `least` per cent alike by their shingle sets (`one_of_each(least=
 short enough to find them would fill up with the square of the corpus. Such pairs are found by the sets themselves
 (`alike`): equal bands of minimal hashes make candidates, and every link is verified on the whole sets. BANDS bands of ROWS
 hashes miss a pair at 0.8 with a chance of 3e-7, one that is more alike with less. In a band, texts are compared with the
-one that has most neighbours, which links the copies of one original without comparing the copies with each other; bands in
-which several components are left go on, without that one, and after `rounds` rounds the texts of different components that are
-left in a band are compared, each pair once.
+one that has most neighbours, which links the copies of one original without comparing the copies with each other. After `rounds`
+such rounds the texts of bands in which several components are left meet by the rarest of their shingles, exactly: most have
+so many of their own that they meet none.
 
 Words: `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased; `size`-word shingles, repeats included; a text with fewer
 words is one shingle, one with none has fingerprint zero and is linked like any other, but is alike to none by sets.
@@ -162,11 +162,12 @@ def alike(marks: DataFrame, texts: DataFrame, edges: DataFrame, least: int, size
 
     marks: from `marked`, cut; texts: __key, __text. Texts that edges connect already are not compared.
     """
-    one = marks.where("n > 0").dropDuplicates(["__key"]).select("__key", "__fp", "n", F.explode("bands").alias("band"))
-    met = one.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
-    shared = cut(one.join(met, "band"))
-    degree = shared.groupBy("__key").agg(F.sum("c").alias("degree"))
-    shared = cut(shared.drop("c").join(degree, "__key"))
+    one = marks.where("n > 0").select("__key", "__fp", "n", F.explode("bands").alias("band"))
+    met = one.groupBy("band").agg(F.min("__key").alias("lo"), F.max("__key").alias("hi")).where("lo <> hi").select("band")
+    shared = cut(one.join(met, "band").distinct())  # equal texts are one
+    in_band = shared.groupBy("band").agg(F.count("*").alias("c"))
+    degree = shared.join(in_band, "band").groupBy("__key").agg(F.sum("c").alias("degree"))
+    shared = cut(shared.join(degree, "__key"))
     some = _few(cut(shared.select("__key").distinct()))
     sets = cut(shingle_sets(texts.join(some, "__key", "left_semi"), size).dropDuplicates(["__key"]))
     own = [F.col(c) for c in ("band", "__key", "__fp", "n", "degree")]
@@ -197,16 +198,30 @@ def alike(marks: DataFrame, texts: DataFrame, edges: DataFrame, least: int, size
             return edges
     shared = cut(homed(shared))
     left = shared.groupBy("band").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo <> hi").select("band")
-    shared = shared.join(left, "band")
-    lists = cut(shared.groupBy("__key").agg(F.collect_set("band").alias("bands")))
-    sets = cut(sets.join(lists.select("__key"), "__key", "left_semi"))
-    shared = cut(shared.join(lists, "__key"))
-    a, b = shared.alias("x"), shared.alias("y")
-    apart = (F.col("x.__key") < F.col("y.__key")) & (F.col("x.home") != F.col("y.home")) & near(F.col("x.n"), F.col("y.n"))
-    first = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.band")  # a pair meets in one of its bands
-    pairs = a.join(b, (F.col("x.band") == F.col("y.band")) & apart & first)
-    found = verified(pairs.select(F.col("x.__key").alias("ka"), F.col("x.__fp").alias("a"), F.col("y.__key").alias("kb"), F.col("y.__fp").alias("b")), sets)
-    return cut(edges.unionByName(found))
+    rest = cut(shared.join(left, "band").select("__key", "__fp", "home").distinct())
+    return cut(edges.unionByName(verified(_prefix_pairs(rest, sets, least), cut(sets.join(rest.select("__key"), "__key", "left_semi")))))
+
+
+def _prefix_pairs(rest: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """ka, a, kb, b: all pairs of different homes whose sets may be `least` per cent alike.
+
+    With shingles in one order for all, two such sets have one of the first n - ceil(least n / 100) + 1 of either in common. The order
+    is rarest first: the first ones of a text far from all others are its own, so it makes no pair, however large the group it
+    stands by. Shingles whose texts are all of one home make none either. rest: __key, __fp, home.
+    """
+    each = cut(sets.join(rest, "__key").select("__key", "__fp", "home", F.size("set").alias("n"), F.explode("set").alias("s")))
+    common = each.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
+    by_text = each.join(common, "s").groupBy("__key", "__fp", "home", "n").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("all"))
+    first = F.col("n") - F.ceil(F.col("n") * least / 100) + 1 - (F.col("n") - F.size("all"))  # without those that it alone has
+    keys = by_text.withColumn("first", first.cast("int")).where("first > 0").select("__key", "__fp", "home", "n", F.explode(F.slice("all", F.lit(1), F.col("first"))).alias("x"))
+    keys = cut(keys.select("__key", "__fp", "home", "n", "x.s"))
+    mixed = keys.groupBy("s").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo <> hi").select("s")
+    keys = cut(keys.join(mixed, "s"))
+    a, b = keys.alias("x"), keys.alias("y")
+    apart = (F.col("x.__key") < F.col("y.__key")) & (F.col("x.home") != F.col("y.home"))
+    sizes = 100 * F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n")
+    met = a.join(b, (F.col("x.s") == F.col("y.s")) & apart & sizes)
+    return met.select(F.col("x.__key").alias("ka"), F.col("x.__fp").alias("a"), F.col("y.__key").alias("kb"), F.col("y.__fp").alias("b")).distinct()
 
 
 def _halves(fp: Column) -> tuple[Column, Column]:
