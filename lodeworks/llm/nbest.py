@@ -43,7 +43,7 @@ from lodeworks.runtime import ship, table
 MODEL = "piece_bpe_32k.model"
 N_BEST = 4
 #: Bytes of stretches that a worker remembers, what Python adds to each counted too; longer stretches than LONG are not remembered.
-MEMORY = 256 << 20
+MEMORY = 128 << 20
 LONG = 256
 #: From this length on, a stretch's numbers are kept as plain ones, and its search is bounded first.
 MANY = 4_096
