@@ -43,7 +43,7 @@ from lodeworks.runtime import ship, table
 MODEL = "piece_bpe_32k.model"
 N_BEST = 4
 #: Bytes of stretches that a worker remembers, what Python adds to each counted too; longer stretches than LONG are not remembered.
-MEMORY = 128 << 20
+MEMORY = 208 << 20
 LONG = 256
 #: From this length on, a stretch's numbers are kept as plain ones, and its search is bounded first.
 MANY = 4_096
@@ -216,31 +216,31 @@ def combine(lists: list[list[Path]], n: int) -> list[tuple[int, tuple[int, ...]]
 
 
 class Segmenter:
-    _one: dict[tuple[str, int], Segmenter] = {}
+    _one: dict[tuple[str, int, int], Segmenter] = {}
 
-    def __init__(self, path: str, n: int) -> None:
-        self.pieces, self.n = Pieces(path), n
+    def __init__(self, path: str, n: int, memory: int = MEMORY) -> None:
+        self.pieces, self.n, self.memory = Pieces(path), n, memory
         #: for each stretch: ids of its best path as bytes, its score, what departing from it costs (inf: cannot), whether it decodes
         self.known: dict[str, tuple[bytes, int, float, bool]] = {}
         self.held = self.missed = 0
 
     @classmethod
-    def of(cls, path: str, n: int) -> Segmenter:
-        if (path, n) not in cls._one:
-            cls._one[path, n] = cls(path, n)
-        return cls._one[path, n]
+    def of(cls, path: str, n: int, memory: int = MEMORY) -> Segmenter:
+        if (path, n, memory) not in cls._one:
+            cls._one[path, n, memory] = cls(path, n, memory)
+        return cls._one[path, n, memory]
 
     def _learn(self, stretch: str) -> tuple[bytes, int, float, bool]:
         score, ids, loss = best_two(stretch.replace(" ", SPACE), self.pieces)
         found = np.array(ids, "<u4").tobytes(), score, loss, self.pieces.raw_of(ids) == stretch.encode("utf-8", "surrogatepass")
         if len(stretch) <= LONG:
             size = getsizeof(stretch) + getsizeof(found[0]) + 250
-            if self.held + size <= MEMORY:
+            if self.held + size <= self.memory:
                 self.held += size
                 self.known[stretch] = found
             else:
                 self.missed += size
-                if self.missed > MEMORY:
+                if self.missed > self.memory:
                     self.known.clear()
                     self.held = self.missed = 0
         return found
@@ -293,14 +293,14 @@ def split(text: str) -> list[str]:
 COLUMNS = [T.StructField("best_ids", T.BinaryType()), T.StructField("scores", T.ArrayType(T.LongType())), T.StructField("crcs", T.ArrayType(T.LongType())), T.StructField("round_trip", T.BooleanType())]
 
 
-def segmented(docs: DataFrame, path: str, n: int = N_BEST, text: str = "text", drop_text: bool = False) -> DataFrame:
-    """docs with best_ids (little-endian unsigned 32-bit), scores and crcs of the n best paths, and round_trip: whether the best decodes to the text."""
+def segmented(docs: DataFrame, path: str, n: int = N_BEST, text: str = "text", drop_text: bool = False, memory: int = MEMORY) -> DataFrame:
+    """docs with best_ids (little-endian unsigned 32-bit), scores and crcs of the n best paths, and round_trip: whether the best decodes to the text. memory: bytes a worker remembers."""
     ship(docs.sparkSession)
     if clash := {f.name for f in COLUMNS} & {c.lower() for c in docs.columns}:
         raise ValueError(f"the input already has {sorted(clash)}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = Segmenter.of(path, n)
+        tool = Segmenter.of(path, n, memory)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)

@@ -37,7 +37,7 @@ END_ID = 1
 STRIDE = 1_000
 STRIPE = 16 << 20
 #: Bytes of pieces and ids that a worker remembers, what Python adds to each counted too; longer pieces than LONG are not remembered.
-MEMORY = 128 << 20
+MEMORY = 256 << 20
 LONG = 256
 #: Marks that close a piece, right after an ASCII letter: the tokenizer never joins them with it. No apostrophe.
 WORD = re.compile(r"[a-zß-öø-ÿ]+\Z")
