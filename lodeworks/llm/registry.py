@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodeworks.llm import attention_lm, decontaminate, language_id, nbest, near_dup, orc_tokens, quality_rules, secret_scan, suffix_dedup, url_filter
+from lodeworks.llm import attention_lm, decontaminate, language_id, line_dedup, nbest, near_dup, orc_tokens, quality_rules, secret_scan, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_orc_tokens": orc_tokens.op8_orc_tokens,
     "op9_nbest_segmentation": nbest.op9_nbest_segmentation,
     "op10_language_id": language_id.op10_language_id,
+    "op12_line_dedup": line_dedup.op12_line_dedup,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op2_decontaminate": decontaminate.OP2_SQL,
     "op3_secret_scan": secret_scan.OP3_SQL,
     "op5_quality_rules": quality_rules.OP5_SQL,
+    "op12_line_dedup": line_dedup.OP12_SQL,
 }
