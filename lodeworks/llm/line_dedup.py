@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.llm.text import UPPER, ascii_lower, let, unused
-from lodeworks.runtime import table
+from lodeworks.runtime import cut, table
 
 LEAST_DOCS = 3
 LEAST_CHARS = 20
@@ -49,7 +49,8 @@ def deduplicated(docs: DataFrame, least_docs: int = LEAST_DOCS, least_chars: int
     lines = own.select("id", "row", F.posexplode(split_lines(F.col("text"))).alias("at", "line")).select("id", "row", "at", F.btrim("line", F.lit(BLANK)).alias("line"))
     lines = lines.where(F.length("line") >= least_chars).select("id", "row", "at", ascii_lower(F.col("line")).alias("line"))
     lines = lines.select("id", "row", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"))
-    gone = lines.join(shared_lines(lines, least_docs), ["h1", "h2"]).where("id IS NULL OR id <> last")
+    # cut, so that both sides of the join are shuffled for it and a hot line can be split
+    gone = lines.join(cut(shared_lines(lines, least_docs)), ["h1", "h2"]).where("id IS NULL OR id <> last")
     gone = gone.groupBy("id", "row").agg(F.collect_set("at").alias("gone"))
     i, r, g = unused(docs, "id", "row", "gone")
     gone = gone.withColumnsRenamed({"id": i, "row": r, "gone": g})
