@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodeworks.llm import attention_lm, decontaminate, language_id, line_dedup, nbest, near_dup, orc_tokens, quality_rules, secret_scan, suffix_dedup, url_filter
+from lodeworks.llm import attention_lm, decontaminate, language_id, line_dedup, nbest, near_dup, orc_tokens, periodic_runs, quality_rules, secret_scan, suffix_dedup, token_alignment, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_orc_tokens": orc_tokens.op8_orc_tokens,
     "op9_nbest_segmentation": nbest.op9_nbest_segmentation,
     "op10_language_id": language_id.op10_language_id,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "op12_line_dedup": line_dedup.op12_line_dedup,
+    "op13_token_alignment": token_alignment.op13_token_alignment,
 }
 
 ORACLES = {
