@@ -9,7 +9,7 @@ from lodeworks.functions import metrics as m
 from lodeworks.functions import text as t
 from lodeworks.jobs import runs
 from lodeworks.operators import experiment as x
-from lodeworks.operators import logs
+from lodeworks.operators import indexes, logs
 from lodeworks.operators import nodes as n
 from lodeworks.operators import reports
 from lodeworks.operators import retrieval as r
@@ -42,8 +42,11 @@ nodes AS (SELECT document_id, i::INTEGER AS node_seq, ls[i] AS content, document
           FROM lines, LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i))"""
 TOKENS = r"regexp_extract_all(lower({}), '[$£€]?\d+(?:,\d{{3}})*(?:\.\d+)?%?|\p{{L}}+')"
 ASKED = rf"""{NODES},
-truth AS (SELECT DISTINCT item_id, b.text AS query_text, document_id, node_id, node_seq FROM nodes JOIN benchmark b ON contains(content, substr(b.text, 1, 80)) WHERE b.text <> ''),
-asked AS (SELECT printf('V_%05d_%s', item_id::INTEGER, document_id::VARCHAR) AS query_id, item_id, query_text, document_id, list(node_id ORDER BY node_id) AS gt_citations FROM truth GROUP BY ALL)"""
+items AS (SELECT item_id, text AS query_text, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ps FROM benchmark),
+met AS (SELECT item_id, query_text, document_id, node_seq AS first, node_seq + len(ps) - 1 AS last FROM nodes JOIN lines USING (document_id) JOIN items ON contains(content, ps[1])
+  WHERE len(ps) = 1 OR len(ps) > 1 AND ends_with(content, ps[1]) AND ls[node_seq + 1:node_seq + len(ps) - 2] = ps[2:len(ps) - 1] AND starts_with(ls[node_seq + len(ps) - 1], ps[len(ps)])),
+truth AS (SELECT DISTINCT item_id, query_text, document_id, node_id, node_seq FROM met JOIN nodes USING (document_id) WHERE node_seq BETWEEN first AND last),
+asked AS (SELECT printf('V_%05d_%s', item_id::BIGINT, document_id::VARCHAR) AS query_id, item_id, query_text, document_id, list(node_id ORDER BY node_id) AS gt_citations FROM truth GROUP BY ALL)"""
 
 
 def _bm25_sql(idf: str) -> str:
@@ -320,7 +323,7 @@ def split_25_5_5(spark: SparkSession, d: str) -> DataFrame:
 @query(rf"""WITH {ASKED} SELECT query_id, item_id % 3 <> 0 AND item_id % 2 = 0 AS accepted FROM asked""")
 def cross_check(spark: SparkSession, d: str) -> DataFrame:
     """A critic that cites another node for each third item and gives another value for odd ones."""
-    asked = _asked(spark, d).withColumn("item", F.split("query_id", "_")[1].cast("int"))
+    asked = _asked(spark, d).withColumn("item", F.split("query_id", "_")[1].cast("long"))
     a = asked.select("query_id", F.col("gt_citations").alias("citations"), F.format_string("$%d million", F.col("item") + 100).alias("answer"))
     b = asked.select("query_id", F.when(F.col("item") % 3 != 0, F.col("gt_citations")).otherwise(F.array(F.lit("x"))).alias("citations"), F.format_string("%d,000,000", F.col("item") + 100 + F.col("item") % 2 * 50).alias("answer"))
     return x.cross_checked(a, b)
@@ -346,7 +349,7 @@ def _results(spark: SparkSession, d: str) -> DataFrame:
     """P2's cells with their scores; quadrants and answers' sizes are stand-ins."""
     asked = _asked(spark, d)
     rows = x.retrieval_metrics(_ranked(spark, d, asked=asked), asked)
-    item = F.split("query_id", "_")[1].cast("int")
+    item = F.split("query_id", "_")[1].cast("long")
     rows = rows.withColumns({"source_set": F.lit("PQ"), "pipeline": F.lit("P2"), "output_tokens": 10 + F.col("k_value"), "token_f1": F.round(F.col("precision_at_k") / 2, 6), "q": F.concat(F.lit("Q"), (1 + item % 4).cast("string"))})
     pq = rows.select("query_id", F.col("q").alias("quadrant")).distinct()
     return x.with_quadrant(rows.drop("q"), pq, pq.limit(0))
@@ -377,7 +380,7 @@ def _tree_sql(where: str = "") -> str:
     """Words of every node of the trees: leaves, then as many levels of parents as any document of the tables needs."""
     levels = "".join(f""",
 t{k} AS (SELECT document_id, {k} AS level, pos // 10 AS pos, flatten(list(words[:5] ORDER BY pos)) AS words FROM t{k - 1} WHERE document_id IN (SELECT document_id FROM t{k - 1} WHERE pos > 0) GROUP BY document_id, pos // 10)""" for k in range(1, _LEVELS + 1))
-    return f"""t0 AS (SELECT document_id, 0 AS level, (node_seq - 1)::BIGINT AS pos, ({TOKENS.format("content")})[:20] AS words FROM nodes {where}){levels},
+    return f"""t0 AS (SELECT document_id, 0 AS level, (node_seq - 1)::BIGINT AS pos, {TOKENS.format("content")} AS words FROM nodes {where}){levels},
 tree AS ({" UNION ALL ".join(f"SELECT * FROM t{k}" for k in range(_LEVELS + 1))}),
 tops AS (SELECT document_id, max(level) AS level FROM tree GROUP BY document_id)"""
 
@@ -494,7 +497,7 @@ def ingestion(spark: SparkSession, d: str) -> DataFrame:
 
 @query(rf"""WITH {NODES}, {_tree_sql()}, spent AS (
   SELECT document_id, coalesce(sum(len(words)) FILTER (tree.level < tops.level), 0)::BIGINT AS input_tokens, coalesce(sum(len(words)) FILTER (tree.level > 0), 0)::BIGINT AS output_tokens FROM tree JOIN tops USING (document_id) GROUP BY document_id)
-SELECT document_id::VARCHAR AS document_id, 1::BIGINT AS builds, (document_id % 2 = 0)::BIGINT AS skips, 0.0::DOUBLE AS wall_clock_sec, input_tokens, output_tokens FROM spent""")
+SELECT document_id::VARCHAR AS document_id, 1::BIGINT AS builds, (document_id % 2 = 0)::BIGINT AS skips, true AS timed, input_tokens, output_tokens FROM spent""")
 def tree_build_costs(spark: SparkSession, d: str) -> DataFrame:
     """Trees of half of the documents, then of all, with the costs of both runs from their log."""
     root = scratch(spark, "trees")
@@ -502,7 +505,8 @@ def tree_build_costs(spark: SparkSession, d: str) -> DataFrame:
     documents = nodes.select("document_id").distinct()
     for run, some in enumerate((documents.where("CAST(document_id AS long) % 2 = 0"), documents), 1):
         store.log_costs(runs.build_trees(spark, some, nodes, root, run), f"{root}/costs")
-    return x.costs_by_document(store.costs(spark, f"{root}/costs"))
+    out = x.costs_by_document(store.costs(spark, f"{root}/costs"))
+    return out.select("document_id", "builds", "skips", (F.col("wall_clock_sec") > 0).alias("timed"), "input_tokens", "output_tokens")
 
 
 @query("SELECT ts::DATE AS day, event_type AS role, count(*) AS n, sum(user_id)::BIGINT AS input_tokens, sum(event_id % 100)::BIGINT AS output_tokens, round(avg(value), 6) AS mean_latency_sec FROM events GROUP BY ALL")
@@ -523,16 +527,48 @@ def audit_report(spark: SparkSession, d: str) -> DataFrame:
     return store.audit_report(x.audit_sample(_nodes(spark, d).withColumn("parent_item_header", F.lit(None).cast("string")), 20))
 
 
+_PLAIN = r"trim(regexp_replace(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}\s]', '', 'g'), '\s+', ' ', 'g'))"
+_NEAR = rf"""hashed AS (SELECT query_id, document_id, query_text, content, node_id, node_seq, {_HASHES.format(TOKENS.format("content"))} AS hb, {_HASHES.format(TOKENS.format("query_text"))} AS ha FROM asked JOIN nodes USING (document_id)),
+vectors AS (SELECT *, {_HASHED.format("ha")} AS a, {_HASHED.format("hb")} AS b FROM hashed),
+scores AS (SELECT *, round(coalesce(CASE WHEN list_sum(a) > 0 AND list_sum(b) > 0 THEN {_COSINE} END, 0), 6) + 0.0 AS score FROM vectors),
+near AS (SELECT query_id, document_id, query_text, content, node_id, node_seq, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_seq)::INTEGER AS rank FROM scores)"""
+
+
+@query(rf"""WITH {ASKED}, {_NEAR} SELECT query_id, document_id, rank, node_seq, score FROM near WHERE rank <= 10""")
+def tree_vector_topk(spark: SparkSession, d: str) -> DataFrame:
+    """P3 as it is meant: the ten nearest nodes by vectors, found from the root of a tree of summaries down, the same as by comparing all."""
+    asked, nodes = _asked(spark, d), _nodes(spark, d)
+    some = nodes.join(asked.select("document_id").distinct(), "document_id", "left_semi")
+    vectors = cut(some.select("document_id", "node_seq", r.hashed_vector(F.col("content")).alias("vector")))
+    wanted = asked.select("query_id", "document_id", r.hashed_vector(F.col("query_text")).alias("query_vector"))
+    return indexes.by_vector_tree(wanted, indexes.vector_tree(vectors), vectors, 10)
+
+
+@query(f"WITH {_VECTORS} SELECT query_id, label, rank, node_seq, score FROM ranked WHERE rank <= 10")
+def stored_vectors_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of vector_topk, from lists of vectors that are written first; lists too far off are not searched."""
+    rows, root = table(spark, d, "embeddings"), scratch(spark, "vectors")
+    indexes.write_lists(rows.select("label", F.col("vec_id").alias("node_seq"), F.col("embedding").alias("vector")), root, scope="label")
+    return indexes.in_lists(rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("query_vector")), root, 10, scope="label")
+
+
+@query(f"WITH {BM25} SELECT query_id, document_id, rank, node_id, node_seq, score FROM ranked WHERE rank <= 10")
+def stored_postings_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of bm25_topk_k10, from postings of all documents that are written first; blocks that cannot hold one of the ten are not scored."""
+    root = scratch(spark, "postings")
+    indexes.write_postings(_nodes(spark, d), root)
+    return indexes.in_postings(_asked(spark, d), root, 10)
+
+
 _JEQ = "item_id % 5 = 0"
 _QUOTED = r"array_to_string(regexp_split_to_array(context, '\s+')[:40], ' ')"
-_RUN_CELLS = rf"""{BM25}, {_tree_sql("WHERE document_id IN (SELECT document_id FROM asked)")}, {_descend_sql()},
-hashed AS (SELECT query_id, document_id, node_id, node_seq, {_HASHES.format(TOKENS.format("content"))} AS hb, {_HASHES.format(TOKENS.format("query_text"))} AS ha FROM asked JOIN nodes USING (document_id)),
-vectors AS (SELECT query_id, node_id, node_seq, {_HASHED.format("ha")} AS a, {_HASHED.format("hb")} AS b FROM hashed),
-near AS (SELECT query_id, node_id, node_seq, round(coalesce(CASE WHEN list_sum(a) > 0 AND list_sum(b) > 0 THEN {_COSINE} END, 0), 6) + 0.0 AS score FROM vectors),
+_RUN_CELLS = rf"""{BM25}, {_NEAR},
+first AS (SELECT *, list_distinct({TOKENS.format("query_text")}) AS q, {TOKENS.format("content")} AS c FROM near WHERE rank <= {runs.FIRST}),
+again AS (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN len(q) = 0 THEN 0.0 ELSE round(len(list_intersect(q, c)) / len(q), 6) END DESC, rank) AS rank FROM first),
 lists AS (
-  SELECT query_id, 'P1' AS pipeline, node_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_seq) AS rank FROM near
+  SELECT query_id, 'P1' AS pipeline, node_id, rank FROM again
   UNION ALL SELECT query_id, 'P2', node_id, rank FROM ranked
-  UNION ALL SELECT query_id, 'P3', node_id, rank FROM by_tree JOIN nodes USING (document_id, node_seq)),
+  UNION ALL SELECT query_id, 'P3', node_id, rank FROM near),
 cells AS (
   SELECT 'PQ' AS source_set, query_id, item_id, p AS pipeline, k AS k_value FROM asked, (VALUES ('P1'), ('P2'), ('P3')) AS ps(p), (VALUES (3), (5), (10)) AS ks(k)
   UNION ALL SELECT 'JEQ', query_id, item_id, p, 5 FROM asked, (VALUES ('P1'), ('P2'), ('P3')) AS ps(p) WHERE {_JEQ}),
@@ -545,18 +581,18 @@ graded AS (SELECT *, len(list_intersect(ids, gt_citations)) AS h, 2.0 * coalesce
 
 @query(rf"""WITH {_RUN_CELLS}
 SELECT source_set, query_id, pipeline, k_value, ids AS retrieved_node_ids, output AS pipeline_output, [ids[1]] AS cited_node_ids, round(h / k_value, 6) AS precision_at_k, round(h / len(gt_citations), 6) AS recall_at_k,
- (h > 0)::INTEGER AS evidence_hit, list_contains(gt_citations, ids[1])::INTEGER AS citation_match, round(f, 6)::DOUBLE AS token_f1, round(1 + 9 * f)::INTEGER AS judge_score,
+ (h > 0)::INTEGER AS evidence_hit, list_contains(gt_citations, ids[1])::INTEGER AS citation_match, round(f, 6)::DOUBLE AS token_f1, CASE WHEN item_id % 2 = 0 THEN ({_PLAIN.format(_QUOTED)} = {_PLAIN.format("query_text")})::INTEGER END AS exact_match, round(1 + 9 * f)::INTEGER AS judge_score,
  (len(regexp_split_to_array(query_text, '\s+')) + len(regexp_split_to_array(context, '\s+')))::INTEGER AS input_tokens, len(regexp_split_to_array(output, '\s+'))::INTEGER AS output_tokens FROM graded""")
 def benchmark_cells(spark: SparkSession, d: str) -> DataFrame:
     """All cells of both question sets but those that an earlier run finished: three pipelines, retrieved, answered, cited and scored."""
     cells, asked, nodes = _cell_setup(spark, d)
     done = cells.where("source_set = 'PQ' AND pipeline = 'P1' AND k_value = 3")
-    return runs.run_cells(cells, asked, nodes, done).drop("result_id", "human_score", "latency_sec", "exact_match")
+    return runs.run_cells(cells, asked, nodes, done).drop("result_id", "human_score", "latency_sec")
 
 
 def _cell_setup(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     asked = _asked(spark, d)
-    item = F.split("query_id", "_")[1].cast("int")
+    item = F.split("query_id", "_")[1].cast("long")
     asked = asked.withColumns({"ground_truth_answer": F.col("query_text"), "quadrant": F.concat(F.lit("Q"), (1 + item % 4).cast("string"))})
     cells = x.matrix(asked).unionByName(x.matrix(asked.where(item % 5 == 0), "JEQ", ks=(5,)))
     return cells, asked, _nodes(spark, d)

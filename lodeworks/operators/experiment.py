@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodeworks import schemas
 from lodeworks.functions import metrics as m
 from lodeworks.functions import text as t
+from lodeworks.runtime import few, unused
 
 CELL = ["source_set", "query_id", "pipeline", "k_value"]
 
@@ -77,15 +78,16 @@ def stand_in_judge(output: Column, truth: Column) -> Column:
 def split(rows: DataFrame, sizes: dict[str, int], by: str = "quadrant", key: str = "query_id", seed: str = "1") -> DataFrame:
     """rows with `split`: within each group, in an order that a hash gives, the first rows to the first name, and so on; null beyond."""
     place = F.row_number().over(Window.partitionBy(by).orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary")), F.col(key)))
-    name, upto = F.lit(None).cast("string"), sum(sizes.values())
+    name, upto, (at,) = F.lit(None).cast("string"), sum(sizes.values()), unused(rows, "place")
     for split_name, n in reversed(sizes.items()):
-        name, upto = F.when(F.col("__place") <= upto, split_name).otherwise(name), upto - n
-    return rows.withColumn("__place", place).withColumn("split", name).drop("__place")
+        name, upto = F.when(F.col(at) <= upto, split_name).otherwise(name), upto - n
+    return rows.withColumn(at, place).withColumn("split", name).drop(at)
 
 
 def audit_sample(rows: DataFrame, n: int, key: str = "node_id", seed: str = "7") -> DataFrame:
     """n rows without replacement, the same ones each time; all rows if there are no more."""
-    return rows.withColumn("__o", F.md5(F.concat(F.col(key), F.lit(f":{seed}")).cast("binary"))).orderBy("__o", key).limit(n).drop("__o")
+    (order,) = unused(rows, "order")
+    return rows.withColumn(order, F.md5(F.concat(F.col(key), F.lit(f":{seed}")).cast("binary"))).orderBy(order, key).limit(n).drop(order)
 
 
 def throttled(rows: DataFrame, on: bool, order: str, n: int = 3) -> DataFrame:
@@ -101,13 +103,13 @@ def cross_checked(generated: DataFrame, critic: DataFrame) -> DataFrame:
 
 def first_each(rows: DataFrame, n: int, by: str = "quadrant", key: str = "query_id") -> DataFrame:
     """The first n rows of each group, by key."""
-    place = F.row_number().over(Window.partitionBy(by).orderBy(key))
-    return rows.withColumn("__place", place).where(F.col("__place") <= n).drop("__place")
+    (at,) = unused(rows, "place")
+    return rows.withColumn(at, F.row_number().over(Window.partitionBy(by).orderBy(key))).where(F.col(at) <= n).drop(at)
 
 
 def prompts(prefixes: DataFrame, cells: DataFrame) -> DataFrame:
     """cells (quadrant, query_text, pipeline_output, ...) with prompt: the prefix of their quadrant, then the question and its output."""
-    return cells.join(F.broadcast(prefixes), "quadrant").withColumn("prompt", F.concat("prefix", F.lit("\n\nQ: "), "query_text", F.lit("\nA: "), "pipeline_output", F.lit("\nScore:"))).drop("prefix")
+    return cells.join(few(prefixes, 1_000), "quadrant").withColumn("prompt", F.concat("prefix", F.lit("\n\nQ: "), "query_text", F.lit("\nA: "), "pipeline_output", F.lit("\nScore:"))).drop("prefix")
 
 
 def costs_by_document(costs: DataFrame) -> DataFrame:
@@ -178,15 +180,17 @@ def merged_by_key(existing: DataFrame, defaults: DataFrame, key: str = "key") ->
 
 def first_by_key(parts: list[DataFrame], key: str) -> DataFrame:
     """The union of parts with one row for each key, from the first part that has it (then its smallest `pos`). Combined before the shuffle."""
-    rows = reduce(DataFrame.unionByName, (p.withColumn("__part", F.lit(i)) for i, p in enumerate(parts)))
+    part, one = unused(parts[0], "part", "row")
+    rows = reduce(DataFrame.unionByName, (p.withColumn(part, F.lit(i)) for i, p in enumerate(parts)))
     row = F.struct(*(c for c in parts[0].columns if c != key))
-    return rows.groupBy(key).agg(F.min_by(row, F.struct("__part", "pos")).alias("__row")).select(key, "__row.*")
+    return rows.groupBy(key).agg(F.min_by(row, F.struct(part, "pos")).alias(one)).select(key, f"{one}.*")
 
 
 def without_newest(rows: DataFrame, n: int, date: str, tie: str) -> DataFrame:
     """All but the n newest rows; among equal dates the smaller tie is newer, and tie is unique. Only those n are found and removed, so nothing is ranked in one task."""
-    newest = rows.orderBy(F.col(date).desc_nulls_last(), F.col(tie)).limit(max(0, n)).select(F.col(date).alias("__d"), F.col(tie).alias("__t"))
-    return rows.join(newest, F.col(date).eqNullSafe(F.col("__d")) & F.col(tie).eqNullSafe(F.col("__t")), "left_anti")
+    d, t = unused(rows, "d", "t")
+    newest = rows.orderBy(F.col(date).desc_nulls_last(), F.col(tie)).limit(max(0, n)).select(F.col(date).alias(d), F.col(tie).alias(t))
+    return rows.join(newest, F.col(date).eqNullSafe(F.col(d)) & F.col(tie).eqNullSafe(F.col(t)), "left_anti")
 
 
 def day_dividers(rows: DataFrame, ts: str, group: str, tie: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions import text as t
 from lodeworks.functions.text import bound
-from lodeworks.runtime import cut
+from lodeworks.runtime import cut, few
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 FANOUT = 10
@@ -24,34 +24,77 @@ def top(scored: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), tie: str
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def ground_truth(nodes: DataFrame, benchmark: DataFrame, size: int = 80) -> DataFrame:
-    """query_id (item_id), query_text, document_id, node_id, node_seq: nodes that contain the first `size` characters of an item.
+#: Bits of the filter that keeps words of the corpus from leaving their task.
+_FILTER_BITS = 1 << 20
 
-    Nodes and items meet in an equality join on a key of the item's head, and are then verified. The key is three whole words
-    from within the head; for an item with too few words for that (short ones, and languages written without spaces) the
-    middle of its head: 1, 2, 4, 8 or 16 characters, as many as it has. Nodes give keys of the kinds that occur only, as hashes
-    with the node's place; the contents come back for the pairs that met.
+
+def _keys(text: Column, n: int) -> Column:
+    """Hashes of all runs of three words (n = 0), or of n characters, of a text."""
+    size = n or 3
+    parts = F.split(text, "" if n else " ", -1)
+    return bound(parts, lambda p: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(p) - size + 1)), lambda i: F.xxhash64(F.lit(n), F.array_join(F.slice(p, i, size), "" if n else " "))))
+
+
+def _filter(keys: DataFrame) -> Column:
+    """A condition on a hash, made of the hashes in keys: true for all of them and for few others. A bit array of fixed size, as one constant."""
+    bit = F.pmod(F.xxhash64("key"), F.lit(_FILTER_BITS))
+    rows = keys.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 64).cast("int"))).alias("bits")).collect()  # _FILTER_BITS / 64 rows at most
+    words = ["0"] * (_FILTER_BITS >> 6)
+    for row in rows:
+        words[row["word"]] = str(row["bits"])
+    array = F.split(F.lit(",".join(words)), ",").cast("array<bigint>")
+
+    def there(h: Column) -> Column:
+        at = F.pmod(F.xxhash64(h), F.lit(_FILTER_BITS))
+        return F.call_function("shiftright", F.get(array, F.shiftright(at, 6).cast("int")), (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return there
+
+
+def ground_truth(nodes: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """query_id (item_id), query_text, document_id, node_id, node_seq: nodes that an item of the benchmark runs over.
+
+    An item's lines, without white space at their ends and without empty ones, are looked for as they would be nodes: an item of
+    one line within a node; one of several lines where a node ends with the first, the next ones are the lines between, and the
+    node after those begins with the last. Nothing of an item is left out.
+
+    Nodes and items meet in an equality join on one key an item. It is made of three whole words within the item's longest line, the longest there
+    are, as those are the rarest; for a line with too few words for that (short ones, and languages written without spaces) of the
+    middle of it: 1, 2, 4, 8 or 16 characters, as many as it has. Nodes give the hashes of their keys that a bit array of
+    fixed size lets through, so what leaves a task grows with what is found, not with the words of the corpus. Then
+    every line of an item is compared with the node in its place.
     """
-    items = benchmark.select(F.col("item_id").alias("query_id"), F.substring("text", 1, size).alias("head"), F.col("text").alias("query_text")).where("head <> ''")
-    words, length = F.split("head", " ", -1), F.length("head")
-    few = F.when(length >= 16, 16).when(length >= 8, 8).when(length >= 4, 4).when(length >= 2, 2).otherwise(1)
-    middle = F.substring(F.col("head"), F.floor((length - F.col("n")) / 2).cast("int") + 1, F.col("n"))
-    items = items.withColumn("n", F.when(F.size(words) >= 5, 0).otherwise(few))
-    items = items.withColumn("key", F.xxhash64("n", F.when(F.col("n") == 0, F.array_join(F.slice(words, 2, 3), " ")).otherwise(middle)))
-    kinds = [row["n"] for row in items.select("n").distinct().collect()]  # six rows at most
-    runs = lambda parts, n, size, gap: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - size + 1)), lambda i: F.xxhash64(F.lit(n), F.array_join(F.slice(parts, i, size), gap)))
-    of = lambda n: bound(F.split("content", "" if n else " ", -1), lambda parts: runs(parts, n, n or 3, "" if n else " "))
-    keys = list(map(of, kinds))
-    keyed = nodes.select("document_id", "node_seq", F.explode(F.array_distinct(F.concat(F.array().cast("array<bigint>"), *keys))).alias("key"))
-    met = keyed.join(items, "key").select(F.col("document_id").alias("of"), F.col("node_seq").alias("at"), "query_id", "query_text", "head").distinct()
-    found = nodes.join(met, F.col("document_id").eqNullSafe(F.col("of")) & F.col("node_seq").eqNullSafe(F.col("at")) & F.col("content").contains(F.col("head")))
-    return found.select("query_id", "query_text", "document_id", "node_id", "node_seq").distinct()
+    lines = F.filter(F.transform(F.split("text", "\n", -1), t.strip), lambda x: x != "")
+    items = benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"), lines.alias("lines")).where("size(lines) > 0")
+    items = cut(items.withColumn("at", F.array_position(F.transform("lines", F.length), F.array_max(F.transform("lines", F.length))).cast("int") - 1))
+    line = F.get("lines", F.col("at"))
+    words, length = F.split(line, " ", -1), F.length(line)
+    few_ = F.when(length >= 16, 16).when(length >= 8, 8).when(length >= 4, 4).when(length >= 2, 2).otherwise(1)
+    middle = F.substring(line, F.floor((length - F.col("kind")) / 2).cast("int") + 1, F.col("kind"))
+    threes = bound(words, lambda w: F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(w) - 3)), lambda i: F.array_join(F.slice(w, i, 3), " ")))
+    three = F.array_max(F.transform(threes, lambda x, i: F.struct(F.length(x).alias("n"), (-i).alias("i"), x.alias("x"))))["x"]
+    keyed = items.withColumn("kind", F.when(F.size(words) >= 5, 0).otherwise(few_))
+    keyed = cut(keyed.withColumn("key", F.xxhash64("kind", F.when(F.col("kind") == 0, three).otherwise(middle))).select("query_id", "query_text", "lines", "at", "kind", "key"))
+    kinds = [row["kind"] for row in keyed.select("kind").distinct().collect()]  # six rows at most
+    if not kinds:
+        return nodes.limit(0).select(F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("query_id"), F.lit("").alias("query_text"), "document_id", "node_id", "node_seq")
+    there = _filter(keyed.select("key"))
+    found = nodes.select("document_id", "node_seq", F.explode(F.array_distinct(F.filter(F.concat(*(_keys(F.col("content"), n) for n in kinds)), there))).alias("key"))
+    met = found.join(few(keyed.select("query_id", "key", "lines", "at"), 10_000), "key").select("document_id", (F.col("node_seq") - F.col("at")).alias("start"), "query_id", "lines")
+    parts = met.select("document_id", "start", "query_id", F.size("lines").alias("n"), F.posexplode("lines").alias("i", "line"))
+    parts = few(cut(parts.select(F.col("document_id").alias("of"), "start", "query_id", "n", "i", "line", (F.col("start") + F.col("i")).alias("seq")).distinct()), 20_000)
+    same = F.when(F.col("n") == 1, F.col("content").contains(F.col("line"))).when(F.col("i") == 0, F.col("content").endswith(F.col("line"))).when(F.col("i") == F.col("n") - 1, F.col("content").startswith(F.col("line"))).otherwise(F.col("content") == F.col("line"))
+    held = nodes.join(parts, F.col("document_id").eqNullSafe(F.col("of")) & (F.col("node_seq") == F.col("seq")) & same)
+    held = cut(held.select("query_id", "document_id", "start", "n", "node_id", "node_seq").distinct())
+    whole = held.groupBy("query_id", "document_id", "start", "n").agg(F.count("*").alias("c")).where("c = n").select("query_id", F.col("document_id").alias("of"), "start")
+    out = held.alias("h").join(whole.alias("w"), (F.col("h.query_id") == F.col("w.query_id")) & F.col("document_id").eqNullSafe(F.col("of")) & (F.col("h.start") == F.col("w.start")))
+    return out.select("h.query_id", "document_id", "node_id", "node_seq").distinct().join(benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text")), "query_id").select("query_id", "query_text", "document_id", "node_id", "node_seq").distinct()
 
 
 def questions(truth: DataFrame) -> DataFrame:
     """query_id, query_text, document_id, gt_citations: one row for each item and document that has it."""
     rows = truth.groupBy("query_id", "query_text", "document_id").agg(F.array_sort(F.collect_list("node_id")).alias("gt_citations"))
-    return rows.withColumn("query_id", F.format_string("V_%05d_%s", F.col("query_id").cast("int"), F.col("document_id").cast("string")))
+    return rows.withColumn("query_id", F.format_string("V_%05d_%s", F.col("query_id").cast("long"), F.col("document_id").cast("string")))
 
 
 def postings(nodes: DataFrame) -> DataFrame:
@@ -66,28 +109,44 @@ def bm25_stats(nodes: DataFrame) -> DataFrame:
     return sized.groupBy("document_id").agg(F.count("*").alias("n_nodes"), F.sum("dl").alias("total_tokens"), F.avg("dl").alias("avgdl"))
 
 
+def _with_idf(df: DataFrame, smoothed: bool) -> DataFrame:
+    if smoothed:
+        return df.withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    mean = F.avg("raw").over(Window.partitionBy("document_id"))
+    return df.withColumn("raw", raw).withColumn("mean", mean).withColumn("idf", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")))
+
+
+def _impact() -> Column:
+    return F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+
+
+def impacts(nodes: DataFrame, smoothed: bool = False) -> DataFrame:
+    """document_id, node_seq, term, impact: what a term in a question adds to a node's BM25 score."""
+    some = cut(nodes.select("document_id", "node_seq", t.tokens(F.col("content")).alias("tokens"))).withColumn("dl", F.size("tokens"))
+    stats = some.groupBy("document_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    tf = some.select("document_id", "node_seq", "dl", F.explode("tokens").alias("term")).groupBy("document_id", "node_seq", "dl", "term").agg(F.count("*").alias("tf"))
+    idf = _with_idf(tf.groupBy("document_id", "term").agg(F.count("*").alias("df")).join(stats, "document_id"), smoothed)
+    return tf.join(idf, ["document_id", "term"]).select("document_id", "node_seq", "term", _impact().alias("impact"))
+
+
 def bm25(asked: DataFrame, nodes: DataFrame, k: int, smoothed: bool = False) -> DataFrame:
     """BM25 with each document as its own corpus; every node of the document is scored, so zero scores can fill a list.
 
     Inverse document frequency is ln(N - df + 0.5) - ln(df + 0.5), a negative one replaced by EPSILON times the document's mean;
     smoothed: ln(1 + (N - df + 0.5) / (df + 0.5)).
     """
-    few = nodes.join(asked.select("document_id").distinct(), "document_id", "left_semi")
-    few = cut(few.select("document_id", "node_id", "node_seq", t.tokens(F.col("content")).alias("tokens"))).withColumn("dl", F.size("tokens"))
-    stats = few.groupBy("document_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = few.select("document_id", "node_seq", "dl", F.explode("tokens").alias("term")).groupBy("document_id", "node_seq", "dl", "term").agg(F.count("*").alias("tf"))
+    some = nodes.join(asked.select("document_id").distinct(), "document_id", "left_semi")
+    some = cut(some.select("document_id", "node_id", "node_seq", t.tokens(F.col("content")).alias("tokens"))).withColumn("dl", F.size("tokens"))
+    stats = some.groupBy("document_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    tf = some.select("document_id", "node_seq", "dl", F.explode("tokens").alias("term")).groupBy("document_id", "node_seq", "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("document_id", "term").agg(F.count("*").alias("df")).join(stats, "document_id")
-    if smoothed:
-        idf = df.withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    else:
-        raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-        mean = F.avg("raw").over(Window.partitionBy("document_id"))
-        idf = df.withColumn("raw", raw).withColumn("mean", mean).withColumn("idf", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")))
+    idf = _with_idf(df, smoothed)
     terms = asked.select("query_id", "document_id", F.explode(t.tokens(F.col("query_text"))).alias("term")).groupBy("query_id", "document_id", "term").agg(F.count("*").alias("qf"))
     met = terms.join(idf, ["document_id", "term"]).join(tf, ["document_id", "term"])
-    part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    part = F.col("qf") * _impact()
     sums = met.groupBy("query_id", "document_id", "node_seq").agg(F.sum(part).alias("sum"))
-    every = asked.select("query_id", "document_id").join(few.select("document_id", "node_seq", "node_id"), "document_id")
+    every = asked.select("query_id", "document_id").join(some.select("document_id", "node_seq", "node_id"), "document_id")
     scored = every.join(sums, ["query_id", "document_id", "node_seq"], "left").withColumn("score", F.round(F.coalesce("sum", F.lit(0.0)), 6) + 0.0)
     return top(scored, k).select("query_id", "document_id", "rank", "node_id", "node_seq", "score")
 
@@ -150,13 +209,13 @@ def tree_levels(nodes: DataFrame, fanout: int = FANOUT, most_levels: int = 20) -
     return rows.select("document_id", "level", "pos", F.when(F.col("width") > 1, F.floor(F.col("pos") / fanout)).alias("parent"))
 
 
-def tree_texts(nodes: DataFrame, fanout: int = FANOUT, each: int = 5, most_tokens: int = 20) -> DataFrame:
-    """document_id, level, pos, words: a leaf has its first most_tokens tokens, a parent the first `each` of each child, in their order.
+def tree_texts(nodes: DataFrame, fanout: int = FANOUT, each: int = 5) -> DataFrame:
+    """document_id, level, pos, words: a leaf has all its tokens, a parent the first `each` of each child, in their order.
 
     One small aggregation a level: a parent has fanout times `each` words at most, whatever is below it.
     """
     pos = (F.col("node_seq") - 1).cast("long")
-    level = cut(nodes.select("document_id", F.lit(0).alias("level"), pos.alias("pos"), F.slice(t.tokens(F.col("content")), 1, most_tokens).alias("words")))
+    level = cut(nodes.select("document_id", F.lit(0).alias("level"), pos.alias("pos"), t.tokens(F.col("content")).alias("words")))
     out = level
     widest = level.groupBy("document_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     while widest > 1:
@@ -169,10 +228,12 @@ def tree_texts(nodes: DataFrame, fanout: int = FANOUT, each: int = 5, most_token
     return out
 
 
-def by_tree(asked: DataFrame, nodes: DataFrame, k: int, fanout: int = FANOUT, beam: int = 2, each: int = 5, most_tokens: int = 20) -> DataFrame:
+def by_tree(asked: DataFrame, nodes: DataFrame, k: int, fanout: int = FANOUT, beam: int = 2, each: int = 5) -> DataFrame:
     """From the root of the question's document downwards: of the children of the nodes held, the `beam` that share most tokens
-    with the question are held, those further left of equal ones; the leaves met in the end are ranked so, k of them."""
-    tree = cut(tree_texts(nodes.join(asked.select("document_id").distinct(), "document_id", "left_semi"), fanout, each, most_tokens))
+    with the question are held, those further left of equal ones; the leaves met in the end are ranked so by all their tokens, k of them.
+
+    Summaries are short, so a beam may pass a leaf by; indexes.by_vector_tree is exact."""
+    tree = cut(tree_texts(nodes.join(asked.select("document_id").distinct(), "document_id", "left_semi"), fanout, each))
     roots = tree.groupBy("document_id").agg(F.max("level").alias("level"))
     depth = roots.agg(F.max("level")).first()[0] or 0
     wanted = asked.select("query_id", "document_id", F.array_distinct(t.tokens(F.col("query_text"))).alias("q"))

@@ -8,6 +8,8 @@ from pathlib import Path
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once a session, so that functions in it can be found there."""
@@ -50,6 +52,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def few(rows: DataFrame, most: int = 500_000) -> DataFrame:
+    """rows of some narrow columns, to be broadcast if there are `most` at most. Counted and then read, so cut them first where they are dear."""
+    return F.broadcast(rows) if is_small(rows, most) else rows
+
+
 def is_small(df: DataFrame, max_rows: int) -> bool:
     """Whether df has max_rows rows at most; looks at one row more than that and no further."""
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """names, with as many underscores in front as it takes to be no column of df, in either case of letters."""
+    there = {c.lower() for c in df.columns}
+    mark = "_"
+    while any((mark + n).lower() in there for n in names):
+        mark += "_"
+    return [mark + n for n in names]

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import re
+from uuid import uuid4
 from collections.abc import Iterator
+from contextlib import contextmanager
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodeworks import schemas
-from lodeworks.runtime import ship
+from lodeworks.runtime import ship, unused
 
 #: The form a filing must have, and where archived filings are.
 FORM = "10-K"
@@ -31,8 +34,9 @@ def duplicated(rows: DataFrame, *keys: str) -> DataFrame:
 
 def with_cik(wanted: DataFrame, lookup: DataFrame) -> DataFrame:
     """wanted (ticker, ...) with cik, ten digits; null where the ticker is unknown. lookup: cik_str, ticker; its first row in `pos` wins."""
-    first = lookup.select(F.upper("ticker").alias("__t"), F.lpad(F.col("cik_str").cast("string"), 10, "0").alias("cik"), "pos").groupBy("__t").agg(F.min_by("cik", "pos").alias("cik"))
-    return wanted.join(first, F.upper("ticker") == F.col("__t"), "left").drop("__t")
+    (name,) = unused(wanted, "t")
+    first = lookup.select(F.upper("ticker").alias(name), F.lpad(F.col("cik_str").cast("string"), 10, "0").alias("cik"), "pos").groupBy(name).agg(F.min_by("cik", "pos").alias("cik"))
+    return wanted.join(first, F.upper("ticker") == F.col(name), "left").drop(name)
 
 
 def filings(recent: DataFrame) -> DataFrame:
@@ -197,24 +201,107 @@ def parsed_pages(pages: DataFrame, id_column: str = "page_id", html: str = "html
     return rows.mapInPandas(run, "document_id string, markdown string")
 
 
+class _Files:
+    """The file system that a path is on, as the driver sees it: any that Spark can write to."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def exists(self, path: str) -> bool:
+        return self._fs.exists(self._path(path))
+
+    def make(self, path: str) -> None:
+        self._fs.mkdirs(self._path(path))
+
+    def names(self, path: str) -> list[str]:
+        return [s.getPath().getName() for s in self._fs.listStatus(self._path(path))] if self.exists(path) else []
+
+    def remove(self, path: str) -> None:
+        self._fs.delete(self._path(path), True)
+
+    def rename(self, old: str, new: str) -> None:
+        if self.exists(new) or not self._fs.rename(self._path(old), self._path(new)):
+            raise FileExistsError(f"{new} is there already")
+
+
+#: Readers never look into folders whose names begin so: Spark takes them for hidden.
+ASIDE = "_aside-"
+
+
+def add(rows: DataFrame, path: str, name: str | None = None, by: tuple[str, ...] = ()) -> bool:
+    """Add rows to the files under path as one batch, which readers see whole or not at all; False if a batch of that name is there, as nothing is written then.
+
+    Written aside and published with one rename (atomic on file systems that have an atomic rename of folders). A writer that dies leaves a
+    folder that no reader sees, and the next writer of the same batch begins anew.
+    """
+    files, name = _Files(rows.sparkSession, path), name or uuid4().hex
+    if files.exists(f"{path}/batch={name}"):
+        return False
+    files.make(path)
+    aside = f"{path}/{ASIDE}{name}"
+    rows.write.mode("overwrite").partitionBy(*by).parquet(aside)
+    files.rename(aside, f"{path}/batch={name}")
+    return True
+
+
+def added(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """All batches under path; none where nothing was added."""
+    _Files(spark, path).make(path)
+    rows = spark.read.schema(schema).parquet(path)
+    return rows.select([f.name for f in (schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema))])
+
+
+@contextmanager
+def publishing(spark: SparkSession, root: str) -> Iterator[str]:
+    """A new folder to write a whole version of something to; it is published as the newest when the block ends, with one rename.
+
+    One writer at a time: what writers that died have left is removed first. If the block fails, nothing is published.
+    """
+    files = _Files(spark, root)
+    files.make(root)
+    for name in files.names(root):
+        if name.startswith(ASIDE):
+            files.remove(f"{root}/{name}")
+    aside = f"{root}/{ASIDE}{uuid4().hex}"
+    yield aside
+    files.rename(aside, f"{root}/{_version(_newest(files, root) + 1)}")
+
+
+def _version(n: int) -> str:
+    return f"version-{n:08d}"
+
+
+def _newest(files: _Files, root: str) -> int:
+    return max((int(x.removeprefix("version-")) for x in files.names(root) if x.startswith("version-")), default=0)
+
+
+def published(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A table of the newest version under root."""
+    newest = _newest(_Files(spark, root), root)
+    if not newest:
+        raise FileNotFoundError(f"nothing is published under {root}")
+    return spark.read.parquet(f"{root}/{_version(newest)}/{name}")
+
+
 def create(spark: SparkSession, root: str) -> None:
     """Empty tables where there are none yet."""
-    for name, schema in schemas.TABLES.items():
-        spark.createDataFrame([], schema).write.mode("ignore").partitionBy(*schemas.PARTITIONED.get(name, [])).parquet(f"{root}/{name}")
+    for name in schemas.TABLES:
+        _Files(spark, root).make(f"{root}/{name}")
 
 
 def read(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A table; filters on its partition columns choose folders."""
-    return spark.read.schema(schemas.TABLES[name]).parquet(f"{root}/{name}")
+    return added(spark, f"{root}/{name}", schemas.TABLES[name])
 
 
-def append(rows: DataFrame, root: str, name: str) -> None:
-    """Add rows; fails, adding none, if one of their keys is there already or occurs twice."""
+def append(rows: DataFrame, root: str, name: str, batch: str | None = None) -> None:
+    """Add rows as one batch; fails, adding none, if one of their keys is there already or occurs twice."""
     keys = schemas.KEYS[name]
     there = read(rows.sparkSession, root, name).join(rows.select(keys), keys, "left_semi").limit(1).count()
     if there or duplicated(rows, *keys).limit(1).count():
         raise ValueError(f"{name}: a row with the same {', '.join(keys)} exists")
-    rows.select([f.name for f in schemas.TABLES[name]]).write.mode("append").partitionBy(*schemas.PARTITIONED.get(name, [])).parquet(f"{root}/{name}")
+    add(rows.select([f.name for f in schemas.TABLES[name]]), f"{root}/{name}", batch, tuple(schemas.PARTITIONED.get(name, ())))
 
 
 def completed(results: DataFrame, source_set: str) -> DataFrame:
@@ -234,19 +321,19 @@ def from_json(text: Column) -> Column:
 def with_scores(results: DataFrame, scores: DataFrame) -> DataFrame:
     """results with the human and judge scores of a second table, where it has them."""
     keys = schemas.KEYS["results"]
-    s = scores.select(*keys, F.col("human_score").alias("__h"), F.col("judge_score").alias("__j"))
-    return results.join(s, keys, "left").withColumns({"human_score": F.coalesce("__h", "human_score"), "judge_score": F.coalesce("__j", "judge_score")}).drop("__h", "__j")
+    h, j = unused(results, "h", "j")
+    s = scores.select(*keys, F.col("human_score").alias(h), F.col("judge_score").alias(j))
+    return results.join(s, keys, "left").withColumns({"human_score": F.coalesce(h, "human_score"), "judge_score": F.coalesce(j, "judge_score")}).drop(h, j)
 
 
 def save_trees(trees: DataFrame, root: str) -> None:
-    """Add trees (document_id, level, pos, words, run): one write, which the committer publishes whole or not at all."""
-    trees.select("document_id", "level", "pos", "words", "run").write.mode("append").parquet(f"{root}/trees")
+    """Add trees (document_id, level, pos, words, run), whole or not at all."""
+    add(trees.select("document_id", "level", "pos", "words", "run"), f"{root}/trees")
 
 
 def trees(spark: SparkSession, root: str) -> DataFrame:
     """Each document's tree of its newest run; none where none was saved."""
-    spark.createDataFrame([], TREES).write.mode("ignore").parquet(f"{root}/trees")
-    rows = spark.read.schema(TREES).parquet(f"{root}/trees")
+    rows = added(spark, f"{root}/trees", TREES)
     newest = rows.groupBy("document_id").agg(F.max("run").alias("run"))
     return rows.join(newest, ["document_id", "run"])
 

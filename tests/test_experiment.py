@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeworks import schemas
+from lodeworks.functions.models import Model
 from lodeworks.jobs import runs
 from lodeworks.operators import experiment as x
 from lodeworks.operators import logs
@@ -190,8 +191,8 @@ def test_cells_with_another_answerer_and_judge(spark):
     nodes = n.from_lines(lines(spark))
     asked = spark.createDataFrame([("q", "gamma red", "red", "Q1", 1, ["1_n0003"])], "query_id string, query_text string, ground_truth_answer string, quadrant string, document_id long, gt_citations array<string>")
     cells = x.matrix(asked, pipelines=("P2",), ks=(3,))
-    say = lambda questions, contexts: [f"red [[node:1_n0003]] {len(c)}" for q, c in zip(questions, contexts, strict=True)]
-    (row,) = runs.run_cells(cells, asked, nodes, cells.limit(0), say, lambda said, truth: F.lit(9)).collect()
+    say = Model("say", lambda: lambda questions, contexts: [f"red [[node:1_n0003]] {len(c)}" for q, c in zip(questions, contexts, strict=True)], "string")
+    (row,) = runs.run_cells(cells, asked, nodes, cells.limit(0), say, Model("nine", lambda: lambda said, truth: [9] * len(said), "int")).collect()
     assert (row.precision_at_k, row.recall_at_k, row.evidence_hit, row.citation_match, row.judge_score, row.exact_match) == (round(1 / 3, 6), 1.0, 1, 1, 9, 0)
     assert row.cited_node_ids == ["1_n0003"] and row.pipeline_output.endswith(str(len("alpha beta\n\ngamma delta\n\nred green"))) and row.latency_sec >= 0 and row.output_tokens == 3
     assert sorted(row.retrieved_node_ids) == ["1_n0001", "1_n0002", "1_n0003"]

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeworks.operators import experiment as x
+from lodeworks.operators import indexes
 from lodeworks.operators import retrieval as r
 
 TEXTS = {"d": ["red fox runs", "blue fox sleeps", "red red wine", "green tea", "the fox the fox"], "e": ["only one line"]}
@@ -69,12 +70,32 @@ def test_ground_truth_of_many_items_without_spaces(spark):
     heads = [text[: 3 + i % 90] for i, text in enumerate(texts[:1200])] + ["x", "\U00020000", "b x", "\u865f\U00020000", "nowhere", "y" * 80]
     rows = spark.createDataFrame([("z", f"z_n{i:04d}", i, text) for i, text in enumerate(texts)], "document_id string, node_id string, node_seq int, content string")
     items = spark.createDataFrame(list(enumerate(heads)), "item_id long, text string")
-    wanted = {(q, i) for q, head in enumerate(heads) for i, text in enumerate(texts) if head[:80] in text}
+    wanted = {(q, i) for q, head in enumerate(heads) for i, text in enumerate(texts) if head in text}
     assert {q for q, _ in wanted} >= set(range(1200))
     got = [(g.query_id, g.node_seq) for g in r.ground_truth(rows, items).select("query_id", "node_seq").collect()]
     assert len(got) == len(wanted) and set(got) == wanted
 
 
+def test_items_that_differ_after_their_beginning_are_told_apart(spark):
+    long = "word " * 30
+    contents = [f"x {long}one end", f"{long}two", "begin here of it", "the middle line", "end of it and more", "begin here of it", "another middle", "end of it", "tail begin", "end it"]
+    nodes = spark.createDataFrame([("d", f"d_n{i:04d}", i, c) for i, c in enumerate(contents, 1)] + [("e", "e_n0001", 1, "end of it")], "document_id string, node_id string, node_seq int, content string")
+    items = [(1, f"{long}one"), (2, f"{long}two"), (3, f"{long}three"), (4, "here of it\n\n the middle line\t\nend of it"), (5, "begin\nend"), (6, "here of it\nthe middle"), (7, " \n "), (8, None), (3_000_000_000, "another middle")]
+    got = r.ground_truth(nodes, spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((g.query_id, g.node_seq) for g in got.collect()) == [(1, 1), (2, 2), (4, 3), (4, 4), (4, 5), (5, 9), (5, 10), (6, 3), (6, 4), (3_000_000_000, 7)]
+    assert "V_3000000000_d" in {q.query_id for q in r.questions(got).collect()}
+    assert r.ground_truth(nodes, spark.createDataFrame([(7, "")], "item_id long, text string")).count() == 0
+
+
+def test_a_passage_deep_in_a_node_is_found_through_the_tree(spark):
+    rows = [("D", i + 1, " ".join(f"w{chr(97 + i % 26)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(600)) + (" needle" if i == 17 else "")) for i in range(25)]
+    nodes = spark.createDataFrame(rows, "document_id string, node_seq int, content string")
+    asked = spark.createDataFrame([("q", "D", "needle " + rows[17][2][2_500:2_700])], "query_id string, document_id string, query_text string")
+    vectors = nodes.select("document_id", "node_seq", r.hashed_vector(F.col("content"), 512).alias("vector"))
+    wanted = asked.select("query_id", "document_id", r.hashed_vector(F.col("query_text"), 512).alias("query_vector"))
+    assert indexes.by_vector_tree(wanted, indexes.vector_tree(vectors), vectors, 1).first().node_seq == 18
+
+
 def test_tree_has_one_root(spark):
     rows = spark.createDataFrame([("t", i + 1) for i in range(101)] + [("u", 1)], "document_id string, node_seq int")
     widths = {(g.document_id, g.level): g["count"] for g in r.tree_levels(rows).groupBy("document_id", "level").count().collect()}
@@ -90,7 +111,7 @@ def test_a_parents_words_come_from_all_of_its_children(spark):
     nodes = spark.createDataFrame(rows, "document_id string, node_seq int, content string")
     tree = {(y.level, y.pos): y.words for y in r.tree_texts(nodes, each=3).collect()}
     assert sorted(tree) == [(0, i) for i in range(25)] + [(1, 0), (1, 1), (1, 2), (2, 0)]
-    assert all(len(tree[0, i]) == 20 for i in range(25))
+    assert all(len(tree[0, i]) == 27 for i in range(25))
     assert tree[1, 1] == [w for i in range(10, 20) for w in tree[0, i][:3]] and tree[2, 0] == [w for p in range(3) for w in tree[1, p][:3]]
     asked = spark.createDataFrame([("q", "where is wordr or wordd", "D"), ("none", "zzz", "D")], "query_id string, query_text string, document_id string")
     got = r.by_tree(asked, nodes, 3, each=3).collect()
