@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodeworks.runtime import unused  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Fixed value: the six ASCII white-space characters that end a word.
@@ -26,12 +28,3 @@ def words(c: Column) -> Column:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value worked out once however often body uses it, inside the body's own lambdas too."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def unused(df: DataFrame, *names: str) -> list[str]:
-    """names, with as many underscores in front as it takes to be no column of df, in either case of letters."""
-    there = {c.lower() for c in df.columns}
-    mark = "_"
-    while any((mark + n).lower() in there for n in names):
-        mark += "_"
-    return [mark + n for n in names]
