@@ -32,6 +32,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -48,8 +49,10 @@ A_JSON, A_RANKS, B_MODEL = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_
 #: Pairs that are broadcast at most.
 HEAD = 1 << 20
 #: Bytes that a worker remembers, what Python adds counted too; bytes of texts handled at once; pairs a task holds before it hands them on.
-MEMORY, SLICE, PAIRS = 200 << 20, 4 << 20, 1 << 20
-PLAIN = re.compile(r"[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+\Z")
+MEMORY, SLICE, PAIRS = 400 << 20, 4 << 20, 1 << 20
+#: Parts that are encoded together, and what they may have: letters and marks of ASCII and Latin-1, and single line ends between those.
+TOGETHER = 2_000
+PLAIN = re.compile(r"[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+(?:\n[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+)*\Z")
 CUT = re.compile(r"(?<=\S) (?=\S)")
 SPACE = "▁"
 _BITS = 32
@@ -93,25 +96,47 @@ class Tokenizers:
             raise ValueError("a piece has a space after another character: texts do not fall into parts")
         self.a_size, self.b_size = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
 
-    def a_ids(self, parts: list[str]) -> list[list[int]]:
-        """Of each part with a space in front. Plain parts are encoded in one call and told apart by their sizes."""
-        plain = [k for k, p in enumerate(parts) if PLAIN.match(p)]
-        other = [k for k, p in enumerate(parts) if not PLAIN.match(p)]
-        out: list[list[int]] = [[]] * len(parts)
+    def encoded(self, parts: list[str]) -> tuple[list[str], list[np.ndarray], list[np.ndarray]]:
+        """The parts in another order, and for A and B the ids of all of them, each with a space in front, one after the other, and how many each has.
+
+        Plain parts are encoded together and told apart by their sizes.
+        """
+        plain, other = [], []
+        for p in parts:
+            (plain if PLAIN.match(p) else other).append(p)
+        ids, counts = [[], []], [[], []]
+        for at in range(0, len(plain), TOGETHER):
+            some = plain[at : at + TOGETHER]
+            text = " ".join(some)
+            ends = np.cumsum(np.fromiter(map(len, map(str.encode, some)), np.int64, len(some)) + 1)
+            for side, found, size in ((0, self.quick.encode_ordinary(" " + text), self.a_size), (1, self.b.encode(text), self.b_size)):
+                found = np.array(found, np.int64)
+                cuts = np.searchsorted(np.cumsum(size[found]), ends) + 1
+                ids[side].append(found)
+                counts[side].append(np.diff(cuts, prepend=0))
         if other:
-            for k, e in zip(other, self.a.encode_batch_fast([" " + parts[k] for k in other], add_special_tokens=False), strict=True):
-                out[k] = e.ids
-        if plain:
-            text = "".join([" " + parts[k] for k in plain])
-            ids = np.array(self.quick.encode_ordinary(text), np.int64)
-            ends = np.searchsorted(np.cumsum(self.a_size[ids]), np.cumsum([len(parts[k].encode()) + 1 for k in plain])) + 1
-            ids, at = ids.tolist(), 0
-            for k, end in zip(plain, ends.tolist(), strict=True):
-                out[k], at = ids[at:end], end
+            for side, found in ((0, [e.ids for e in self.a.encode_batch_fast([" " + p for p in other], add_special_tokens=False)]), (1, self.b.encode(other, num_threads=1))):
+                counts[side].append(np.fromiter(map(len, found), np.int64, len(other)))
+                ids[side].append(np.fromiter(chain.from_iterable(found), np.int64, int(counts[side][-1].sum())))
+        return plain + other, [np.concatenate(x) for x in ids], [np.concatenate(x) for x in counts]
+
+    def same(self, raw: list[bytes], ids: list[np.ndarray], counts: list[np.ndarray]) -> np.ndarray:
+        """Of each part, whether its tokens have its bytes."""
+        sides, whole = [(self.a_bytes, ids[0], counts[0]), (self.b_bytes, ids[1], counts[1])], b"".join(raw)
+        if all(b"".join(map(of.__getitem__, some.tolist())) == whole and np.array_equal(self._sizes(k, some, n), list(map(len, raw))) for k, (of, some, n) in enumerate(sides)):
+            return np.ones(len(raw), bool)
+        out = np.ones(len(raw), bool)
+        for of, some, n in sides:
+            at, tokens = 0, some.tolist()
+            for k, size in enumerate(n.tolist()):
+                out[k] &= b"".join(map(of.__getitem__, tokens[at : at + size])) == raw[k]
+                at += size
         return out
 
-    def b_ids(self, parts: list[str]) -> list[list[int]]:
-        return self.b.encode(parts, num_threads=1)
+    def _sizes(self, side: int, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        total = np.concatenate(([0], np.cumsum((self.a_size, self.b_size)[side][ids])))
+        ends = np.cumsum(counts)
+        return total[ends] - total[ends - counts]
 
 
 def touching(part: str) -> bool:
@@ -156,32 +181,39 @@ class Alignments:
         self.clear()
         return True
 
-    def parts_of(self, text: str) -> list[int]:
-        """The numbers of a text's parts."""
-        parts = text.split(" ")
-        found = list(map(self.known.get, parts))
-        if None not in found:
-            return found
-        new = {p for p, x in zip(parts, found, strict=True) if x is None}
-        if any(map(touching, new)):  # a space beside other white space parts nothing
-            parts = CUT.split(text)
-            new = {p for p in parts if p not in self.known and p not in self.odd}
-        if new:
-            self.learn(list(new))
-        known, odd = self.known, self.odd
-        return [known[p] if p in known else odd[p] for p in parts]
+    def numbered(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the parts of all texts, one after the other, and how many parts each text has; what is not known yet is learnt, all at once."""
+        parts = [t.split(" ") if t else [] for t in texts]
+        while True:
+            flat = list(chain.from_iterable(parts))
+            counts = np.fromiter(map(len, parts), np.int64, len(parts))
+            found = list(map(self.known.get, flat))
+            if None not in found:
+                return np.array(found, np.int64), counts
+            missing = [i for i, x in enumerate(found) if x is None]
+            new = {flat[i] for i in missing}
+            touched = set(filter(touching, new))
+            if not touched:
+                self.learn(list(new))
+                continue
+            # texts in which a space stands beside other white space, where it parts nothing
+            owner = np.searchsorted(np.cumsum(counts), [i for i in missing if flat[i] in touched], "right")
+            odd = {k: CUT.split(texts[k]) for k in sorted(set(owner.tolist()))}
+            self.learn(list({p for k, x in enumerate(parts) if k not in odd for p in x if p not in self.known}))
+            self.learn(list({p for x in odd.values() for p in x if p not in self.known and p not in self.odd}))
+            numbers = [[self.known[p] if p in self.known else self.odd[p] for p in odd[k]] if k in odd else [self.known[p] for p in x] for k, x in enumerate(parts)]
+            return np.fromiter(chain.from_iterable(numbers), np.int64), np.fromiter(map(len, numbers), np.int64, len(numbers))
 
     def learn(self, parts: list[str]) -> None:
-        a, b = self.tools.a_ids(parts), self.tools.b_ids(parts)
-        n_a, n_b = (np.array(list(map(len, x)), np.int64) for x in (a, b))
-        ids = [np.fromiter((i for x in side for i in x), np.int64, int(n.sum())) for side, n in ((a, n_a), (b, n_b))]
-        raw = [b" " + p.encode() for p in parts]
-        a_bytes, b_bytes = self.tools.a_bytes.__getitem__, self.tools.b_bytes.__getitem__
-        same = np.array([b"".join(map(a_bytes, x)) == r and b"".join(map(b_bytes, y)) == r for x, y, r in zip(a, b, raw, strict=True)], bool)
+        if not parts:
+            return
+        parts, ids, (n_a, n_b) = self.tools.encoded(parts)
+        raw = [b" " + p for p in map(str.encode, parts)]
+        same = self.tools.same(raw, ids, [n_a, n_b])
         if not same.all():  # such a part has no tokens
             ids = [x[np.repeat(same, n)] for x, n in zip(ids, (n_a, n_b), strict=True)]
             n_a, n_b = n_a * same, n_b * same
-        sizes = np.array(list(map(len, raw)), np.int64) * same
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) * same
         part, side, number, begins, ends, group, first = coalesced(ids, (n_a, n_b), sizes, (self.tools.a_size, self.tools.b_size))
         # the groups as text: ids joined by commas, A then B, then group by group
         order = np.lexsort((np.arange(len(group)), side, group))
@@ -253,13 +285,13 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
 
 def _numbered(tool: Alignments, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The parts of all texts one after the other, and how many each has; none for a text with a part whose bytes differ."""
-    found = [tool.parts_of(t) if t else [] for t in texts]
-    numbers = tool.table()
-    bad = set(np.flatnonzero(numbers[:, 4] == 0).tolist())
-    if bad:
-        found = [[] if not bad.isdisjoint(x) else x for x in found]
-    counts = np.array(list(map(len, found)), np.int64)
-    return np.fromiter((i for x in found for i in x), np.int64, int(counts.sum())), counts
+    places, counts = tool.numbered(texts)
+    bad = tool.table()[:, 4] == 0
+    if bad.any() and (hit := bad[places]).any():
+        owner = np.repeat(np.arange(len(counts)), counts)
+        out = np.isin(np.arange(len(counts)), owner[hit])
+        return places[~out[owner]], np.where(out, 0, counts)
+    return places, counts
 
 
 def pair_counts(docs: DataFrame, paths: tuple[str, str, str], text: str = "text", memory: int = MEMORY) -> DataFrame:

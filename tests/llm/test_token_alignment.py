@@ -3,6 +3,7 @@ import random
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,22 +71,30 @@ def test_parts_have_the_tokens_of_the_whole_text(tools):
     pool = [*ODD, "the", "Queueíes", "chßn.", "of,", "THAT!!\nIn,", "can't", "x\n", "\ny", "\t", "12,345.67", "ñgaci", "|"]
     texts = ODD + [rng.choice((" ", "", "\n", "  ")).join(rng.choice(pool) for _ in range(rng.randint(1, 12))) for _ in range(1_500)]
     one = o.Alignments(o.paths())
-    for text in texts * 2:
-        found, (a, b, groups, links) = one.parts_of(text), brute(tools, text)
-        numbers = one.table()[found]
-        if not numbers[:, 4].all():
-            assert not a, text
-            continue
-        assert (";".join(one.groups[i].decode() for i in found), numbers[:, 0].sum(), numbers[:, 1].sum(), numbers[:, 3].sum()) == (";".join(groups), len(a), len(b), len(links)), text
-        pairs = [p for i in found for p in one.links[one.link_ends[i] : one.link_ends[i + 1]]]
-        assert pairs == [x << 32 | y for x, y in links], text
+    for at in range(0, len(texts) * 2, 40):
+        some = (texts * 2)[at : at + 40]
+        places, counts = one.numbered(some)
+        for text, end, n in zip(some, np.cumsum(counts).tolist(), counts.tolist(), strict=True):
+            found, (a, b, groups, links) = places[end - n : end].tolist(), brute(tools, text)
+            numbers = one.table()[found]
+            if not numbers[:, 4].all():
+                assert not a, text
+                continue
+            assert (";".join(one.groups[i].decode() for i in found), numbers[:, 0].sum(), numbers[:, 1].sum(), numbers[:, 3].sum()) == (";".join(groups), len(a), len(b), len(links)), text
+            pairs = [p for i in found for p in one.links[one.link_ends[i] : one.link_ends[i + 1]]]
+            assert pairs == [x << 32 | y for x, y in links], text
 
 
 def test_the_quick_form_has_the_tokenizers_ids(tools):
     rng = random.Random(7)
     letters = [chr(c) for c in [*range(0x21, 0x7F), *range(0xC0, 0x100)] if c not in (0xD7, 0xF7)]
     parts = ["".join(rng.choices(letters, k=rng.randint(1, 14))) for _ in range(3_000)] + ["".join(rng.choices(letters[32:], k=rng.randint(1, 9))) + rng.choice(("", ".", ",", "!!", "'s", "'ll")) for _ in range(3_000)]
-    assert tools.a_ids(parts) == [e.ids for e in tools.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
+    parts += [f"{p}\n{q}" for p, q in zip(parts[:500], parts[-500:], strict=True)]
+    order, ids, counts = tools.encoded(parts)
+    assert order == parts  # all of them are plain
+    cut = lambda flat, n: [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])]
+    assert cut(ids[0], counts[0]) == [e.ids for e in tools.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
+    assert cut(ids[1], counts[1]) == tools.b.encode(parts)
 
 
 @pytest.mark.parametrize("more", [{}, {"head": 40}, {"head": 0}, {"memory": 3_000}, {"head": 25, "memory": 20_000}])
