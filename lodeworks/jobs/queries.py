@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import math
+from functools import reduce
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,13 +14,13 @@ from lodeworks.functions import metrics as m
 from lodeworks.functions import text as t
 from lodeworks.jobs import runs
 from lodeworks.operators import experiment as x
-from lodeworks.operators import indexes, logs
+from lodeworks.operators import generation, indexes, latency, logs
 from lodeworks.operators import nodes as n
 from lodeworks.operators import reports
 from lodeworks.operators import retrieval as r
 from lodeworks.runtime import cut, scratch, table
-from lodeworks.sources import store
-from lodeworks.streaming import usage
+from lodeworks.sources import landed, store
+from lodeworks.streaming import resumable, usage
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -620,7 +625,92 @@ def daily_usage(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT ts::DATE AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def daily_usage_stream(spark: SparkSession, d: str) -> DataFrame:
     """The same totals from a file stream read to its end."""
-    return usage.drained(usage.daily(usage.stream(spark, d, "events.parquet")))
+    return usage.drained(usage.daily(usage.stream(spark, d, "events.parquet")), ("day", "event_type"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, ts FROM events), chain AS (
+  SELECT user_id, min(ts) AS t FROM e GROUP BY user_id UNION ALL SELECT c.user_id, min(e.ts) FROM chain c JOIN e ON e.user_id = c.user_id AND e.ts >= c.t + INTERVAL 48 HOUR GROUP BY c.user_id, c.t),
+first AS (SELECT e.user_id, min(event_id) AS event_id FROM e JOIN chain c ON e.user_id = c.user_id AND e.ts = c.t GROUP BY e.user_id, e.ts)
+SELECT event_id, user_id, event_id IN (SELECT event_id FROM first) AS parse FROM e""")
+def fresh_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Events as file events of a user's file, in four files by time, streamed: which find the last parse too old. State for 48 hours a file."""
+    root, rows = scratch(spark, "fresh"), cut(table(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")))
+    lo, hi = (t_.timestamp() for t_ in rows.agg(F.min("ts"), F.max("ts")).first())
+    at = F.least(F.lit(3), F.floor((F.unix_micros("ts") / 1e6 - lo) / max(1e-6, hi - lo) * 4))
+    for k in range(4):  # one write after the other, as a stream takes files in their order of time
+        rows.where(at == k).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    events = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    return resumable.collected(resumable.parses(events, "user_id", "event_id"), root).select("event_id", "user_id", "parse")
+
+
+@query(rf"""WITH {_RUN_CELLS} SELECT source_set, query_id, pipeline, k_value, ids AS retrieved_node_ids, round(h / k_value, 6) AS precision_at_k, round(f, 6)::DOUBLE AS token_f1 FROM graded WHERE pipeline = 'P2'""")
+def resumed_cells_stream(spark: SparkSession, d: str) -> DataFrame:
+    """P2's cells as a stream of two files whose run dies after it has added the first batch and before that is noted; the next run goes on from there, and a third finds nothing to do."""
+    cells, asked, nodes = _cell_setup(spark, d)
+    cells, root = cells.where("pipeline = 'P2'"), scratch(spark, "resumed")
+    for k in range(2):
+        cells.where(F.pmod(F.xxhash64("query_id"), F.lit(2)) == k).coalesce(1).write.mode("append").parquet(f"{root}/cells")
+    compute = lambda todo: runs.run_cells(todo, asked, nodes, todo.limit(0))
+    with contextlib.suppress(StreamingQueryException):
+        resumable.run_stream(resumable.cell_stream(spark, f"{root}/cells"), root, lambda todo: F.raise_error(F.lit("dies")) if store.read(spark, root, "results").limit(1).count() else compute(todo), f"{root}/state")
+    for _ in range(2):
+        resumable.run_stream(resumable.cell_stream(spark, f"{root}/cells"), root, compute, f"{root}/state")
+    return store.read(spark, root, "results").select(*x.CELL, "retrieved_node_ids", "precision_at_k", "token_f1")
+
+
+_BUCKETS = f"""s AS (SELECT ts::DATE AS day, event_type AS role, CASE WHEN value > 0 THEN ceil(ln(value) / {math.log(latency.growth())})::INTEGER END AS bucket FROM events WHERE value IS NOT NULL),
+r AS (SELECT 'all' AS span, role, bucket FROM s UNION ALL SELECT 'second week', role, bucket FROM s WHERE day BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'),
+m AS (SELECT span, role, bucket, count(*) AS n FROM r GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY span, role) AS total, sum(n) OVER (PARTITION BY span, role ORDER BY bucket NULLS FIRST) AS upto, coalesce(round(2 * pow({latency.growth()}, bucket) / ({latency.growth()} + 1), 6), 0.0) AS v FROM m)"""
+
+
+@query(f"""WITH {_BUCKETS} SELECT span, role, max(total)::BIGINT AS n, {", ".join(f"min(v) FILTER (upto >= ceil(total * {q}))::DOUBLE AS q{q * 100:g}" for q in (0.5, 0.9, 0.99))} FROM c GROUP BY span, role""")
+def latency_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """Latency quantiles by role, of all days and of one week, from sketches stored by day in two batches: each within one per cent of the exact one."""
+    path, calls = scratch(spark, "latency"), table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("role"), F.col("value").alias("latency_sec"))
+    for k in range(2):
+        latency.keep(calls.where(F.col("event_id") % 2 == k), path, f"half-{k}")
+    spans = {"all": latency.kept(spark, path), "second week": latency.kept(spark, path, "2024-01-08", "2024-01-14")}
+    return reduce(DataFrame.unionByName, (latency.quantiles(rows).select(F.lit(span).alias("span"), "*") for span, rows in spans.items()))
+
+
+@query("""SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') || ',' || lpad((millisecond(ts) % 1000)::VARCHAR, 3, '0') AS timestamp, event_type AS operation, 'user (' || user_id || ')' AS tool, event_type || ': ' || event_id AS details, event_id::VARCHAR AS event FROM events WHERE ts >= TIMESTAMP '2024-01-20'""")
+def log_source_since(spark: SparkSession, d: str) -> DataFrame:
+    """Events written as log entries through the data source for logs, and read back by ranges of bytes from a day on."""
+    landed.register(spark)
+    folder = scratch(spark, "logs")
+    entries = _entries(spark, d)
+    logs.rendered(entries).select(F.lit(None).cast("string").alias("timestamp"), "value").write.format("operation_log").mode("append").save(folder)
+    blocks = spark.read.format("operation_log").option("size", 256 << 10).option("since", "2024-01-20").load(folder)
+    return logs.parsed(blocks.select("value")).select("timestamp", "operation", "tool", "details", F.col("extra")["event"].alias("event"))
+
+
+_BUDGET = 120
+
+
+@query(rf"""WITH RECURSIVE {NODES}, t AS (SELECT document_id, node_seq, len(regexp_split_to_array(content, '\s+')) AS n FROM nodes),
+p AS (SELECT document_id, node_seq, n AS used, 0 AS chunk FROM t WHERE node_seq = 1 UNION ALL
+  SELECT t.document_id, t.node_seq, CASE WHEN used > 0 AND used + n > {_BUDGET} THEN n ELSE used + n END, chunk + CASE WHEN used > 0 AND used + n > {_BUDGET} THEN 1 ELSE 0 END FROM p JOIN t ON t.document_id = p.document_id AND t.node_seq = p.node_seq + 1)
+SELECT document_id, node_seq, chunk::INTEGER AS chunk FROM p""")
+def packed_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes packed into chunks of 120 tokens, greedily."""
+    return _packed(spark, d).select("document_id", "node_seq", "chunk")
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    return generation.packed(_nodes(spark, d).withColumn("parent_item_header", F.lit(None).cast("string")), _BUDGET)
+
+
+@query(None)
+def generated_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Three disjoint question sets over the chunks of all documents, 25, 5 and 5 questions for each quadrant, in rounds of proposals and blind criticism."""
+    return generation.generated(generation.chunks(_packed(spark, d)), _nodes(spark, d))[0].select("set", "query_id", "chunk_id", "document_id", "quadrant", "query_text", "answer", "citations")
+
+
+@query(None)
+def generation_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """What each round of that generation tried and kept."""
+    return generation.generated(generation.chunks(_packed(spark, d)), _nodes(spark, d))[1]
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -52,6 +52,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same rows from files in the shared folder. For loops: a checkpoint keeps what the optimizer has inferred of its rows, and that multiplies from round to round."""
+    path = scratch(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def few(rows: DataFrame, most: int = 500_000) -> DataFrame:
     """rows of some narrow columns, to be broadcast if there are `most` at most. Counted and then read, so cut them first where they are dear."""
     return F.broadcast(rows) if is_small(rows, most) else rows

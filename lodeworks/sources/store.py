@@ -245,6 +245,10 @@ def add(rows: DataFrame, path: str, name: str | None = None, by: tuple[str, ...]
     return True
 
 
+def has(spark: SparkSession, path: str, name: str) -> bool:
+    return _Files(spark, path).exists(f"{path}/batch={name}")
+
+
 def added(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """All batches under path; none where nothing was added."""
     _Files(spark, path).make(path)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodeworks.runtime import scratch
+from lodeworks.sources import store
 
 
 def daily(events: DataFrame, late: str = "2 days") -> DataFrame:
@@ -27,16 +29,25 @@ def first_only(events: DataFrame, key: str, late: str = "2 days") -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def drained(rows: DataFrame, folder: str | None = None) -> DataFrame:
-    """All rows of a streaming aggregate once its source is read to the end, in files under folder: each batch replaces the one before."""
+def drained(rows: DataFrame, keys: tuple[str, ...], folder: str | None = None) -> DataFrame:
+    """The rows of a streaming aggregate once its source is read to the end: of each key the newest.
+
+    Batches give the keys that changed, and are added under their number, so that a batch that is repeated changes nothing and readers always
+    see some whole state. What is kept in memory is what the watermark has not closed yet.
+    """
     spark, out = rows.sparkSession, folder or scratch(rows.sparkSession, "stream")
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/rows")
+    def change(batch: DataFrame, number: int) -> None:
+        store.add(batch.withColumn("number", F.lit(number).cast("long")), f"{out}/rows", f"{number:08d}")
 
-    spark.createDataFrame([], rows.schema).write.parquet(f"{out}/rows")
-    run = rows.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    run = rows.writeStream.outputMode("update").foreachBatch(change).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     if run.exception() is not None:
         raise run.exception()
-    return spark.read.schema(rows.schema).parquet(f"{out}/rows")
+    return newest(spark, f"{out}/rows", rows.schema, keys)
+
+
+def newest(spark: SparkSession, path: str, schema: T.StructType, keys: tuple[str, ...]) -> DataFrame:
+    """Of each key the row of the last batch that has it."""
+    whole = store.added(spark, path, T.StructType([*schema, T.StructField("number", T.LongType())]))
+    return whole.groupBy(*keys).agg(F.max_by(F.struct(*(f.name for f in schema if f.name not in keys)), "number").alias("row")).select(*keys, "row.*").select(schema.names)
