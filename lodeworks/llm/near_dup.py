@@ -13,7 +13,8 @@ short enough to find them would fill up with the square of the corpus. Such pair
 hashes miss a pair at 0.8 with a chance of 3e-7, one that is more alike with less. In a band, texts are compared with the
 one that has most neighbours, which links the copies of one original without comparing the copies with each other; bands in
 which several components are left go on, without that one, and after `rounds` rounds the texts of different components that are
-left in a band are compared, each pair once.
+left in a band are compared, each pair once, if they can be alike at all: shingles that only one of these texts has count against it. A
+loose group of copies, each with changes of its own, makes no pairs by that, though all of its texts meet.
 
 Words: `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased; `size`-word shingles, repeats included; a text with fewer
 words is one shingle, one with none has fingerprint zero and is linked like any other, but is alike to none by sets.
@@ -200,9 +201,15 @@ def alike(marks: DataFrame, texts: DataFrame, edges: DataFrame, least: int, size
     shared = shared.join(left, "band")
     lists = cut(shared.groupBy("__key").agg(F.collect_set("band").alias("bands")))
     sets = cut(sets.join(lists.select("__key"), "__key", "left_semi"))
-    shared = cut(shared.join(lists, "__key"))
+    # shingles that no other of these texts has are in no intersection: what is left of a text bounds how alike it can be to any of them
+    alone = sets.select("__key", F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("__key").alias("__key")).where("c = 1").groupBy("__key").agg(F.count("*").alias("alone"))
+    bounded = lists.join(alone, "__key", "left").select("__key", "bands", F.coalesce("alone", F.lit(0)).alias("alone"))
+    shared = shared.join(bounded, "__key").withColumn("most", F.col("n") - F.col("alone")).drop("alone")
+    shared = cut(shared.where(100 * F.col("most") >= least * F.col("n")))
     a, b = shared.alias("x"), shared.alias("y")
-    apart = (F.col("x.__key") < F.col("y.__key")) & (F.col("x.home") != F.col("y.home")) & near(F.col("x.n"), F.col("y.n"))
+    common = F.least("x.most", "y.most")
+    close = 100 * common >= least * (F.col("x.n") + F.col("y.n") - common)
+    apart = (F.col("x.__key") < F.col("y.__key")) & (F.col("x.home") != F.col("y.home")) & close
     first = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.band")  # a pair meets in one of its bands
     pairs = a.join(b, (F.col("x.band") == F.col("y.band")) & apart & first)
     found = verified(pairs.select(F.col("x.__key").alias("ka"), F.col("x.__fp").alias("a"), F.col("y.__key").alias("kb"), F.col("y.__fp").alias("b")), sets)
