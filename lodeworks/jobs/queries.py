@@ -645,14 +645,20 @@ def fresh_stream(spark: SparkSession, d: str) -> DataFrame:
 
 @query(rf"""WITH {_RUN_CELLS} SELECT source_set, query_id, pipeline, k_value, ids AS retrieved_node_ids, round(h / k_value, 6) AS precision_at_k, round(f, 6)::DOUBLE AS token_f1 FROM graded WHERE pipeline = 'P2'""")
 def resumed_cells_stream(spark: SparkSession, d: str) -> DataFrame:
-    """P2's cells as a stream of two files whose run dies after it has added the first batch and before that is noted; the next run goes on from there, and a third finds nothing to do."""
+    """P2's cells as a stream of two files whose run dies after it has added the first batch; the next run goes on from there, and a third finds nothing to do."""
     cells, asked, nodes = _cell_setup(spark, d)
     cells, root = cells.where("pipeline = 'P2'"), scratch(spark, "resumed")
     for k in range(2):
         cells.where(F.pmod(F.xxhash64("query_id"), F.lit(2)) == k).coalesce(1).write.mode("append").parquet(f"{root}/cells")
     compute = lambda todo: runs.run_cells(todo, asked, nodes, todo.limit(0))
+
+    def dying(todo: DataFrame) -> DataFrame:
+        if store.read(spark, root, "results").limit(1).count():
+            raise RuntimeError("dies in its second batch")
+        return compute(todo)
+
     with contextlib.suppress(StreamingQueryException):
-        resumable.run_stream(resumable.cell_stream(spark, f"{root}/cells"), root, lambda todo: F.raise_error(F.lit("dies")) if store.read(spark, root, "results").limit(1).count() else compute(todo), f"{root}/state")
+        resumable.run_stream(resumable.cell_stream(spark, f"{root}/cells"), root, dying, f"{root}/state")
     for _ in range(2):
         resumable.run_stream(resumable.cell_stream(spark, f"{root}/cells"), root, compute, f"{root}/state")
     return store.read(spark, root, "results").select(*x.CELL, "retrieved_node_ids", "precision_at_k", "token_f1")
