@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeworks.llm.text import UPPER, ascii_lower
+from lodeworks.llm.text import UPPER, ascii_lower, unused
 from lodeworks.runtime import cut, table
 
 MAX_BLOCK_CHARS = 3_000_000
@@ -181,24 +181,25 @@ def judge(pages: DataFrame, rules: Iterable[Rule] = RULES, default: str = "allow
     if clash := {"host", "path", "rule", "verdict"} & {c.lower() for c in pages.columns}:
         raise ValueError(f"the input already has {sorted(clash)}")
     spark, kept = pages.sparkSession, pages.columns
+    labels, found = unused(pages, "labels", "found")
     out = pages.select("*", host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"))
-    out = out.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(None).cast("string"), "__labels": F.lit(0)})
+    out = out.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(None).cast("string"), labels: F.lit(0)})
     for k, block in enumerate(blocks(rules, max_block_chars)):
         find = _finder(spark.sparkContext.broadcast(Trie(block)))
         # asNondeterministic keeps the optimizer from calling the function once for each of its fields
-        out = out.withColumn("__found", find.asNondeterministic()("host", "path"))
-        n, m = F.length("__found.rule"), F.coalesce(F.length("rule"), F.lit(-1))
-        same = (n == m) & (F.col("__found.labels") == F.col("__labels")) & (F.col("__found.action") == "block")
-        better = F.coalesce((n > m) | ((n == m) & (F.col("__found.labels") > F.col("__labels"))) | same, F.lit(False))
+        out = out.withColumn(found, find.asNondeterministic()("host", "path"))
+        n, m = F.length(f"{found}.rule"), F.coalesce(F.length("rule"), F.lit(-1))
+        same = (n == m) & (F.col(f"{found}.labels") == F.col(labels)) & (F.col(f"{found}.action") == "block")
+        better = F.coalesce((n > m) | ((n == m) & (F.col(f"{found}.labels") > F.col(labels))) | same, F.lit(False))
         out = out.select(
             *(F.col(f"`{c}`") for c in kept), "host", "path",
-            F.when(better, F.col("__found.rule")).otherwise(F.col("rule")).alias("rule"),
-            F.when(better, F.col("__found.action")).otherwise(F.col("verdict")).alias("verdict"),
-            F.when(better, F.col("__found.labels")).otherwise(F.col("__labels")).alias("__labels"),
+            F.when(better, F.col(f"{found}.rule")).otherwise(F.col("rule")).alias("rule"),
+            F.when(better, F.col(f"{found}.action")).otherwise(F.col("verdict")).alias("verdict"),
+            F.when(better, F.col(f"{found}.labels")).otherwise(F.col(labels)).alias(labels),
         )
         if k % 4 == 3:  # else all blocks would be held by one task at once
             out = cut(out)
-    return out.withColumn("verdict", F.coalesce("verdict", F.lit(default))).drop("__labels")
+    return out.withColumn("verdict", F.coalesce("verdict", F.lit(default))).drop(labels)
 
 
 def _finder(trie):

@@ -45,6 +45,12 @@ def test_empty_table_repeated_rows_and_other_columns(spark):
         u.judge(pages.withColumnRenamed("action", "Rule"))
 
 
+def test_columns_of_any_name_stay(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/", "kept", 7, "too")], "page_id long, url string, __labels string, _labels int, __found string").withColumnRenamed("_labels", "_found")
+    (row,) = u.judge(pages).collect()
+    assert (row["__labels"], row["_found"], row["__found"], row.verdict) == ("kept", 7, "too", "allow")
+
+
 def test_rules_are_checked():
     with pytest.raises(ValueError):
         u.rule("deny", "a/")
