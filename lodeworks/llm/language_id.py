@@ -37,7 +37,7 @@ BUCKETS = 8_192
 EVIDENCE = 60
 STRENGTH = 4.0
 MAX_LANGS = 500
-MAX_BROADCAST = 100_000
+MAX_BROADCAST = 2_000_000  # numbers
 MILLION = 1_000_000
 
 _OPEN = re.compile(r"<(?:(script|style)\b|(!--))?", re.I)
@@ -174,7 +174,8 @@ def fused(seen: DataFrame, langs: list[str], strength: float = STRENGTH, max_bro
     total = F.array(*(F.lit(s) for s in corpus["s"])) if corpus else F.array(*(F.lit(0).cast("long") for _ in langs))
     above = hosts.join(domains, "domain").join(suffixes, "suffix").select("host", F.col("p").alias("of_host"), "of_domain", "of_suffix")
     said = _sums(seen.where("declared IS NOT NULL"), "declared", n).withColumnRenamed("s", "of_declared")
-    out = _joined(_joined(seen, above, "host", max_broadcast), said, "declared", max_broadcast)
+    rows = max_broadcast // (4 * n)  # a row has three lists of n numbers and some more: what is broadcast is bounded in numbers, not in rows
+    out = _joined(_joined(seen, above, "host", rows), said, "declared", rows)
     # all without the page's own share
     for c, sums in (("of_host", "of_host"), ("of_domain", "of_domain"), ("of_suffix", "of_suffix"), ("of_declared", "of_declared"), ("of_all", total)):
         out = out.withColumn(c, F.zip_with(sums, "p", lambda a, b: a - b))
