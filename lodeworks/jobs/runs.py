@@ -174,3 +174,11 @@ def judged_gate(results: DataFrame, asked: DataFrame, golden: DataFrame, human:
     rows = rows.withColumn("judge_score", score.cast("int")).join(human.select(*x.CELL, "human_score"), x.CELL, "left")
     scored = cut(rows.select(*x.CELL, "quadrant", "prompt", "judge_score", "human_score"))
     return scored, x.gate(scored.withColumn("human_score", F.coalesce("human_score", F.lit(-1_000))), tolerance, least)
+
+
+def write_tables(results: DataFrame, root: str) -> None:
+    """The analysis tables of results (with their quadrant) as a version of CSV files under root: by pipeline and K, by quadrant too, and all sums above those."""
+    tables = {"by_pipeline": x.summary(results, "pipeline", "k_value"), "by_quadrant": x.summary(results, "pipeline", "k_value", "quadrant"), "cube": x.summary_cube(results, "pipeline", "k_value", "quadrant")}
+    with store.publishing(results.sparkSession, root) as aside:
+        for name, rows in tables.items():  # some dozen rows each
+            rows.coalesce(1).write.option("header", True).csv(f"{aside}/{name}")

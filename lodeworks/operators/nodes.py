@@ -55,9 +55,3 @@ def hydrated(ranked: DataFrame, nodes: DataFrame) -> DataFrame:
     rows = ranked.join(nodes.select("node_id", "content", "token_count"), "node_id")
     packed = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "content"))).alias("x"), F.sum("token_count").alias("context_tokens"))
     return packed.select("query_id", F.array_join("x.content", "\n\n").alias("context"), "context_tokens")
-
-
-def chunks(nodes: DataFrame, budget: int) -> DataFrame:
-    """nodes with a chunk number: runs of a section whose token counts add up to about budget."""
-    run = Window.partitionBy("document_id", "parent_item_header").orderBy("node_seq").rowsBetween(Window.unboundedPreceding, -1)
-    return nodes.withColumn("chunk", F.floor(F.coalesce(F.sum("token_count").over(run), F.lit(0)) / budget).cast("int"))

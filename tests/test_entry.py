@@ -12,7 +12,7 @@ from lodeworks.jobs import queries as jobs
 ROOT = Path(__file__).resolve().parent.parent
 DATA = Path("/root/testdata/sf0.001")
 #: Queries cheap enough for every run of the tests; the driver compares all of them.
-SOME = ["nodes_from_lines", "bm25_stats", "nodes_from_markdown", "retrieval_metrics", "tree_topk", "log_round_trip", "ingestion", "tree_build_costs", "benchmark_cells", "audit_report", "report_manifest", "token_f1", "exact_match_numeric", "resume_remaining", "split_25_5_5", "tree_levels", "day_divider", "daily_usage_stream"]
+SOME = ["nodes_from_lines", "bm25_stats", "nodes_from_markdown", "retrieval_metrics", "tree_topk", "log_round_trip", "ingestion", "tree_build_costs", "benchmark_cells", "audit_report", "report_manifest", "token_f1", "exact_match_numeric", "resume_remaining", "split_25_5_5", "tree_levels", "day_divider", "daily_usage_stream", "tree_vector_topk", "stored_vectors_topk", "stored_postings_topk", "fresh_stream", "resumed_cells_stream", "latency_quantiles", "log_source_since", "packed_chunks"]
 
 
 def plain(v):

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeworks import schemas
+from lodeworks.functions import metrics as m
 from lodeworks.functions.models import Model
 from lodeworks.jobs import runs
 from lodeworks.operators import experiment as x
@@ -242,3 +243,27 @@ def test_manifest_of_reports(spark):
     assert reports.log_rules(fields) == (["level"], {"level": ["INFO"]})
     old, new = spark.createDataFrame([("a", "x", 1)], "key string, value string, added_in int"), spark.createDataFrame([("a", "y"), ("b", "z")], "key string, value string")
     assert sorted(map(tuple, reports.reconciled(old, new, 2).collect())) == [("a", "x", 1), ("b", "z", 2)]
+
+
+def test_landed_and_parsed_files(spark, tmp_path):
+    (tmp_path / "A_2025.html").write_text("<p>x")
+    (tmp_path / "B_2025.html").write_bytes(b"\xff")
+    got = {r.document_id: bytes(r.content) for r in store.landed(spark, str(tmp_path)).collect()}
+    assert got == {"A_2025": b"<p>x", "B_2025": b"\xff"}
+    (tmp_path / "md").mkdir()
+    (tmp_path / "md" / "A_2025.md").write_text("one\n\ntwo")
+    assert [tuple(r) for r in store.parsed(spark, str(tmp_path / "md")).collect()] == [("A_2025", "one\n\ntwo")]
+
+
+def test_a_right_answer_with_a_wrong_citation(spark):
+    rows = spark.createDataFrame([(1, 0), (1, 1), (0, 0)], "e int, c int")
+    assert [r.x for r in rows.select(m.coincidental(F.col("e"), F.col("c")).alias("x")).collect()] == [True, False, False]
+
+
+def test_analysis_tables(spark, tmp_path):
+    rows = spark.createDataFrame([("P1", 3, q, 0.5, 1.0, 1, 0.25, 7) for q in schemas.QUADRANTS], "pipeline string, k_value int, quadrant string, precision_at_k double, recall_at_k double, evidence_hit int, token_f1 double, output_tokens int")
+    runs.write_tables(rows, str(tmp_path / "tables"))
+    version = tmp_path / "tables" / "version-00000001"
+    read = lambda name: spark.read.option("header", True).csv(str(version / name)).collect()
+    (row,) = read("by_pipeline")
+    assert (row.pipeline, row.n, row.mean_precision_at_k, row.output_tokens) == ("P1", "4", "0.5", "28") and len(read("by_quadrant")) == 4 and len(read("cube")) == 1 + 1 + 1 + 4 + 1 + 4 + 4 + 4
