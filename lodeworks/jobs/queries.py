@@ -465,8 +465,9 @@ def report_manifest(spark: SparkSession, d: str) -> DataFrame:
     title = F.concat(F.lit("R & D <"), event, F.lit(">"))
     title = F.when(F.col("event_id") % 4 == 0, reports.escaped(reports.escaped(title))).otherwise(reports.escaped(title))
     row = F.concat(F.lit('<td class="timestamp">12:00</td>\n<td><a href="reports/'), file, F.lit('">'), title, F.lit('</a></td> <td class="description"> about '), event, F.lit("; &quot;it&quot; </td>"))
-    in_index = rows.where("event_id % 2 = 0").select("day", "event_id", row.alias("row")).groupBy("day").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "row"))), lambda e: e.row), "<tr>").alias("value"))
-    pages = in_index.select(F.datediff(F.to_date("day"), F.lit("2000-01-01").cast("date")).alias("page"), "value")
+    in_index = rows.where("event_id % 2 = 0").select("day", F.floor(F.col("event_id") / 1_000).alias("part"), "event_id", row.alias("row")).groupBy("day", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "row"))), lambda e: e.row), "<tr>").alias("value"))
+    # a page has 500 events at most, and a day as many pages as it takes, in the order of events
+    pages = in_index.select((F.datediff(F.to_date("day"), F.lit("2000-01-01").cast("date")) * F.lit(10**12) + F.col("part")).alias("page"), "value")
     files = rows.select(file.alias("file")).distinct().select("file", F.concat(F.lit("<h1>Report\n "), F.col("file"), F.lit("</h1>")).alias("value"))
     return reports.seeded(pages, files)
 
