@@ -27,7 +27,8 @@ empty result. Texts are used whole. Columns the input has besides are kept by `o
 Scale: one narrow pass over the texts; from then on 8-byte fingerprints, keys and ids, and of texts that share a band their sets. Groups by fingerprint are combined
 before their shuffle. A variant table has 64 rows for each distinct fingerprint, whatever the number of copies. A
 fingerprint has at most 2,080 others within two bits (43,744 within three), so links cannot grow with the square of a group. The skew-join
-splitting of Spark's adaptive execution splits a signature that many share. What is broadcast is checked to be few rows. Lineage is cut by checkpoints in the shared folder.
+splitting of Spark's adaptive execution splits a signature that many share. Tables that grow with the corpus are joined by sorting and never broadcast: Spark
+takes exploded rows for as many as before, so it broadcast 64 variants of each fingerprint where it saw one. What is broadcast is checked to be few rows. Lineage is cut by checkpoints in the shared folder.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.llm.text import UPPER
-from lodeworks.runtime import cut, is_small, ship, table
+from lodeworks.runtime import cut, is_small, ship, sorted_side, table
 
 SIZE = 3
 BITS = 2
@@ -51,8 +52,8 @@ _CHUNK = 65_536  # hashes whose bits are counted at once
 BANDS, ROWS = 50, 6
 #: Rounds in which a band's texts meet the one with most neighbours, before all pairs that are left do.
 HUB_ROUNDS = 1
-#: Rows that may be broadcast: two or three numbers each.
-MAX_BROADCAST = 500_000
+#: Rows that may be broadcast, two or three numbers each, and shingle hashes: 380,000 such rows took a driver over 300 MB.
+MAX_BROADCAST, MAX_HASHES = 100_000, 500_000
 _SEED = np.random.default_rng(11)
 _FLIP, _TIMES = _SEED.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32), _SEED.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
@@ -155,7 +156,7 @@ def shingle_sets(texts: DataFrame, size: int = SIZE) -> DataFrame:
 
 def _few(rows: DataFrame) -> DataFrame:
     """rows, to be broadcast if they are few; read twice, so cut them first."""
-    return F.broadcast(rows) if is_small(rows, MAX_BROADCAST) else rows
+    return F.broadcast(rows) if is_small(rows, MAX_BROADCAST) else sorted_side(rows)
 
 
 def alike(marks: DataFrame, texts: DataFrame, edges: DataFrame, least: int, size: int = SIZE, rounds: int = HUB_ROUNDS) -> DataFrame:
@@ -165,9 +166,9 @@ def alike(marks: DataFrame, texts: DataFrame, edges: DataFrame, least: int, size
     """
     one = marks.where("n > 0").dropDuplicates(["__key"]).select("__key", "__fp", "n", F.explode("bands").alias("band"))
     met = one.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
-    shared = cut(one.join(met, "band"))
+    shared = cut(one.join(sorted_side(met), "band"))
     degree = shared.groupBy("__key").agg(F.sum("c").alias("degree"))
-    shared = cut(shared.drop("c").join(degree, "__key"))
+    shared = cut(shared.drop("c").join(sorted_side(degree), "__key"))
     some = _few(cut(shared.select("__key").distinct()))
     sets = cut(shingle_sets(texts.join(some, "__key", "left_semi"), size).dropDuplicates(["__key"]))
     own = [F.col(c) for c in ("band", "__key", "__fp", "n", "degree")]
@@ -175,12 +176,12 @@ def alike(marks: DataFrame, texts: DataFrame, edges: DataFrame, least: int, size
 
     def homed(rows: DataFrame) -> DataFrame:
         roots = components(edges).withColumnsRenamed({"node": "__node", "root": "__root"})
-        return rows.join(roots, F.col("__fp") == F.col("__node"), "left").select(*own, F.coalesce("__root", "__fp").alias("home"))
+        return rows.join(sorted_side(roots), F.col("__fp") == F.col("__node"), "left").select(*own, F.coalesce("__root", "__fp").alias("home"))
 
     def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """pairs: ka, a, kb, b (keys and fingerprints)."""
-        few = (sets.agg(F.sum(F.size("set"))).first()[0] or 0) <= MAX_BROADCAST
-        side = lambda x: (F.broadcast if few else lambda rows: rows)(sets.select(F.col("__key").alias(f"k{x}"), F.col("set").alias(f"s{x}")))
+        few = (sets.agg(F.sum(F.size("set"))).first()[0] or 0) <= MAX_HASHES
+        side = lambda x: (F.broadcast if few else sorted_side)(sets.select(F.col("__key").alias(f"k{x}"), F.col("set").alias(f"s{x}")))
         both = pairs.join(side("a"), "ka").join(side("b"), "kb").withColumn("common", F.size(F.array_intersect("sa", "sb")))
         return both.where(100 * F.col("common") >= least * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
@@ -188,7 +189,7 @@ def alike(marks: DataFrame, texts: DataFrame, edges: DataFrame, least: int, size
         shared = cut(homed(shared))
         hub = F.max_by(F.struct("__key", "__fp", "n", "home"), F.struct("degree", "__key"))
         groups = shared.groupBy("band").agg(F.min("home").alias("lo"), F.max("home").alias("hi"), hub.alias("hub")).where("lo <> hi").select("band", "hub")
-        against = cut(shared.join(groups, "band").where(F.col("__key") != F.col("hub.__key")))
+        against = cut(shared.join(sorted_side(groups), "band").where(F.col("__key") != F.col("hub.__key")))
         pairs = against.where((F.col("home") != F.col("hub.home")) & near(F.col("n"), F.col("hub.n")))
         pairs = pairs.select(F.col("__key").alias("ka"), F.col("__fp").alias("a"), F.col("hub.__key").alias("kb"), F.col("hub.__fp").alias("b")).distinct()
         found = cut(verified(pairs, sets))
@@ -198,20 +199,20 @@ def alike(marks: DataFrame, texts: DataFrame, edges: DataFrame, least: int, size
             return edges
     shared = cut(homed(shared))
     left = shared.groupBy("band").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo <> hi").select("band")
-    shared = shared.join(left, "band")
+    shared = shared.join(sorted_side(left), "band")
     lists = cut(shared.groupBy("__key").agg(F.collect_set("band").alias("bands")))
-    sets = cut(sets.join(lists.select("__key"), "__key", "left_semi"))
+    sets = cut(sets.join(sorted_side(lists.select("__key")), "__key", "left_semi"))
     # shingles that no other of these texts has are in no intersection: what is left of a text bounds how alike it can be to any of them
     alone = sets.select("__key", F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("__key").alias("__key")).where("c = 1").groupBy("__key").agg(F.count("*").alias("alone"))
-    bounded = lists.join(alone, "__key", "left").select("__key", "bands", F.coalesce("alone", F.lit(0)).alias("alone"))
-    shared = shared.join(bounded, "__key").withColumn("most", F.col("n") - F.col("alone")).drop("alone")
+    bounded = lists.join(sorted_side(alone), "__key", "left").select("__key", "bands", F.coalesce("alone", F.lit(0)).alias("alone"))
+    shared = shared.join(sorted_side(bounded), "__key").withColumn("most", F.col("n") - F.col("alone")).drop("alone")
     shared = cut(shared.where(100 * F.col("most") >= least * F.col("n")))
     a, b = shared.alias("x"), shared.alias("y")
     common = F.least("x.most", "y.most")
     close = 100 * common >= least * (F.col("x.n") + F.col("y.n") - common)
     apart = (F.col("x.__key") < F.col("y.__key")) & (F.col("x.home") != F.col("y.home")) & close
     first = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.band")  # a pair meets in one of its bands
-    pairs = a.join(b, (F.col("x.band") == F.col("y.band")) & apart & first)
+    pairs = a.join(sorted_side(b), (F.col("x.band") == F.col("y.band")) & apart & first)
     found = verified(pairs.select(F.col("x.__key").alias("ka"), F.col("x.__fp").alias("a"), F.col("y.__key").alias("kb"), F.col("y.__fp").alias("b")), sets)
     return cut(edges.unionByName(found))
 
@@ -234,7 +235,7 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     bit = lambda half: F.when(half == 0, 0).otherwise(F.bit_count(half - 1))
     place = F.when(F.bit_count(high) <= 1, (F.col("a.seg") == 0) & (F.col("a.out") == bit(high))).otherwise((F.col("a.seg") == 1) & (F.col("a.out") == bit(low)))
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("seg", "out", "rest")]
-    met = a.join(b, on[0] & on[1] & on[2] & (F.col("a.__fp") < F.col("b.__fp")) & (F.bit_count(apart) <= bits) & place)
+    met = a.join(sorted_side(b), on[0] & on[1] & on[2] & (F.col("a.__fp") < F.col("b.__fp")) & (F.bit_count(apart) <= bits) & place)
     return met.select(F.col("a.__fp").alias("a"), F.col("b.__fp").alias("b"))
 
 
@@ -246,16 +247,16 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     label = both.groupBy("node").agg(F.min("other").alias("root"))
     for _ in range(most_rounds):
         # the smallest label next to a node goes to the node and to its root (hook), then labels take their label's (jump)
-        near = both.join(label.withColumnsRenamed({"node": "other", "root": "theirs"}), "other")
+        near = both.join(sorted_side(label.withColumnsRenamed({"node": "other", "root": "theirs"})), "other")
         best = near.groupBy("node").agg(F.min("theirs").alias("best"), F.max(F.when(F.col("node") == F.col("other"), F.col("theirs"))).alias("root"))
         best = cut(best)
         changed = best.where("best < root").limit(1).count()
         if not changed:
             return best.select("node", "root")
         hook = best.where("best < root").groupBy(F.col("root").alias("node")).agg(F.min("best").alias("hooked"))
-        new = best.join(hook, "node", "left").select("node", F.least("best", F.coalesce("hooked", "best")).alias("root"))
+        new = best.join(sorted_side(hook), "node", "left").select("node", F.least("best", F.coalesce("hooked", "best")).alias("root"))
         up = new.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        label = cut(new.join(up, "root").select("node", F.col("up").alias("root")))
+        label = cut(new.join(sorted_side(up), "root").select("node", F.col("up").alias("root")))
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
@@ -268,10 +269,10 @@ def labelled(prints: DataFrame, bits: int = BITS, further=None) -> DataFrame:
     edges = cut(links(groups.select("__fp"), bits))
     roots = components(edges if further is None else further(edges))
     # the root is the smallest fingerprint, which names the component; its id is the smallest of its fingerprints'
-    ids = roots.join(groups, roots["node"] == groups["__fp"]).groupBy("root").agg(F.min("least").alias("linked"))
-    named = roots.join(ids, "root").select(F.col("node").alias("__fp"), "linked")
-    every = groups.join(named, "__fp", "left").select("__fp", F.coalesce("linked", "least").alias("component"))
-    return prints.join(every, "__fp", "left")
+    ids = roots.join(sorted_side(groups), roots["node"] == groups["__fp"]).groupBy("root").agg(F.min("least").alias("linked"))
+    named = roots.join(sorted_side(ids), "root").select(F.col("node").alias("__fp"), "linked")
+    every = groups.join(sorted_side(named), "__fp", "left").select("__fp", F.coalesce("linked", "least").alias("component"))
+    return prints.join(sorted_side(every), "__fp", "left")
 
 
 def one_of_each(docs: DataFrame, size: int = SIZE, bits: int = BITS, doc_id: str = "doc_id", text: str = "text", least: int | None = None) -> DataFrame:
@@ -287,7 +288,7 @@ def one_of_each(docs: DataFrame, size: int = SIZE, bits: int = BITS, doc_id: str
     found = cut(labelled(marks.select("__id", "__key", "__fp"), bits, further).select("__id", "__key", "component"))
     first = found.where("__id = component")
     several = first.groupBy("component").agg(F.min("__key").alias("lo"), F.max("__key").alias("hi")).where("lo <> hi")
-    others = first.join(several, "component").where("__key <> lo").select("__id", "__key")
+    others = first.join(sorted_side(several), "component").where("__key <> lo").select("__id", "__key")
     gone = _few(cut(found.where("__id <> component").select("__id", "__key").union(others).distinct()))
     same = (F.col(f"d.`{doc_id}`").cast("long") == F.col("g.__id")) & (F.xxhash64(F.col(f"d.`{text}`")) == F.col("g.__key"))
     docs = docs.alias("d").join(gone.alias("g"), same, "left_anti")

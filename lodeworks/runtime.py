@@ -64,6 +64,11 @@ def few(rows: DataFrame, most: int = 500_000) -> DataFrame:
     return F.broadcast(rows) if is_small(rows, most) else rows
 
 
+def sorted_side(df: DataFrame) -> DataFrame:
+    """df as a side of a join by sorting: for what grows with the corpus, where Spark would broadcast it by an estimate (it takes exploded rows for as many as before)."""
+    return df.hint("merge")
+
+
 def is_small(df: DataFrame, max_rows: int) -> bool:
     """Whether df has max_rows rows at most; looks at one row more than that and no further."""
     return df.limit(max_rows + 1).count() <= max_rows

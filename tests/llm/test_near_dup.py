@@ -185,3 +185,20 @@ def test_a_loose_group_of_copies_makes_no_pairs_and_loses_no_link(spark):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     assert kept == sorted({find(i) for i in range(len(texts))}) and len(kept) < len(texts)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exploded_rows_are_not_broadcast(spark, monkeypatch):
+    """Spark takes the 64 variants of each fingerprint for one row, and would broadcast millions of them."""
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    fps = spark.range(100).withColumnRenamed("id", "__fp")
+    assert "Broadcast" not in plan(n.links(fps))
+    prints = n.cut(fps.withColumn("__id", n.F.col("__fp")))
+    out = n.labelled(prints)
+    assert "Broadcast" not in plan(out) and out.count() == 100
+    monkeypatch.setattr(n, "MAX_BROADCAST", 10)
+    assert "Broadcast" in plan(fps.join(n._few(fps.limit(5)), "__fp", "left_anti"))
+    assert "Broadcast" not in plan(fps.join(n._few(fps), "__fp", "left_anti"))
