@@ -17,8 +17,8 @@ from lodeworks.runtime import cut, table
 #: Shingles of five words. Three bits are the most that two segments are sure to find; texts that are LEAST per cent alike
 #: and further apart are found by bands of their shingle sets, and verified.
 SHINGLE, BITS, LEAST = 5, 3, 80
-#: Bytes of stretches a worker remembers: less than where encoding is all that it does.
-MEMORY = 128 << 20
+#: Bytes of stretches a worker remembers, until its task ends: less than where encoding is all that it does, as Spark's workers go from stage to stage.
+MEMORY = 64 << 20
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's best segmentation and the scores of its best ones."""
-    out = nbest.segmented(docs.select("doc_id", "lang", "source", "text"), nbest.model_path(), drop_text=True, memory=MEMORY)
+    out = nbest.segmented(docs.select("doc_id", "lang", "source", "text"), nbest.model_path(), drop_text=True, memory=MEMORY, keep=False)
     n = (F.octet_length("best_ids") / 4).cast("long")
     return out.select("doc_id", "lang", "source", n.alias("n_ids"), F.sha2("best_ids", 256).alias("ids_sha256"), "scores", "round_trip")
 

@@ -241,10 +241,13 @@ class Segmenter:
             else:
                 self.missed += size
                 if self.missed > self.memory:
-                    self.known.clear()
-                    self.held = self.missed = 0
+                    self.forget()
         return found
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.held = self.missed = 0
+
     def paths(self, text: str) -> tuple[list[tuple[int, bytes]], bool]:
         """The n best paths of the text (score, ids as little-endian unsigned 32-bit integers), and whether the best decodes to it."""
         if not text:
@@ -293,8 +296,8 @@ def split(text: str) -> list[str]:
 COLUMNS = [T.StructField("best_ids", T.BinaryType()), T.StructField("scores", T.ArrayType(T.LongType())), T.StructField("crcs", T.ArrayType(T.LongType())), T.StructField("round_trip", T.BooleanType())]
 
 
-def segmented(docs: DataFrame, path: str, n: int = N_BEST, text: str = "text", drop_text: bool = False, memory: int = MEMORY) -> DataFrame:
-    """docs with best_ids (little-endian unsigned 32-bit), scores and crcs of the n best paths, and round_trip: whether the best decodes to the text. memory: bytes a worker remembers."""
+def segmented(docs: DataFrame, path: str, n: int = N_BEST, text: str = "text", drop_text: bool = False, memory: int = MEMORY, keep: bool = True) -> DataFrame:
+    """docs with best_ids (little-endian unsigned 32-bit), scores and crcs of the n best paths, and round_trip: whether the best decodes to the text. memory: bytes a worker remembers; keep: from one task to the next."""
     ship(docs.sparkSession)
     if clash := {f.name for f in COLUMNS} & {c.lower() for c in docs.columns}:
         raise ValueError(f"the input already has {sorted(clash)}")
@@ -313,6 +316,8 @@ def segmented(docs: DataFrame, path: str, n: int = N_BEST, text: str = "text", d
                 ]
                 old = {c: part.column(k) for k, c in enumerate(part.schema.names) if not (drop_text and c == text)}
                 yield pa.RecordBatch.from_arrays([*old.values(), *new], names=[*old, *(f.name for f in COLUMNS)])
+        if not keep:
+            tool.forget()
 
     return docs.mapInArrow(run, T.StructType([f for f in docs.schema if not (drop_text and f.name == text)] + COLUMNS))
 

@@ -77,3 +77,20 @@ def test_a_long_stretch_is_bounded_and_the_same(monkeypatch):
     assert len(n.n_best(long, P, 4)) == 4
     assert tracemalloc.get_traced_memory()[1] < 60 << 20
     tracemalloc.stop()
+
+
+def test_nothing_is_remembered_after_a_task(spark):
+    """Spark's workers go on to other stages, whose memory comes on top."""
+    docs = spark.createDataFrame([(i, f"words of text {i}") for i in range(40)], "doc_id long, text string").repartition(4)
+    probe = "held long"
+
+    def held(batches):
+        for batch in batches:
+            found = max((t.held for t in n.Segmenter._one.values() if t.memory == 1_234_567), default=0)
+            yield n.pa.RecordBatch.from_arrays([n.pa.array([found] * batch.num_rows, n.pa.int64())], names=["held"])
+
+    one = n.segmented(docs, n.model_path(), memory=1_234_567, keep=False).select("doc_id", "best_ids").collect()
+    assert max(r.held for r in docs.mapInArrow(held, probe).collect()) == 0
+    two = n.segmented(docs, n.model_path(), memory=1_234_567).select("doc_id", "best_ids").collect()
+    assert max(r.held for r in docs.mapInArrow(held, probe).collect()) > 0
+    assert sorted(one) == sorted(two)
