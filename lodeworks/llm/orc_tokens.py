@@ -3,7 +3,7 @@
 Documents are dealt by ranges of doc_id (and a hash of their text, so that rows of one id or none spread) and sorted, tokenized in that order, and written by Spark's ORC writer: integer
 run-length encoding (direct, dictionary off for numbers), row indexes every `stride` rows, a Bloom filter on doc_id,
 stripes of `stripe` bytes that separate tasks can read, minimum and maximum of doc_id in every stripe's and file's
-statistics, so that a search for some documents skips the rest (`find`). Reading back is a map over the stripes; the
+statistics, so that a search for some documents skips the rest (`find`). Reading back is one map over the stripes, whose digests are kept; the
 running start of each document is a sum within a part plus the sums of the parts before.
 
 Texts are tokenized by pieces between spaces and line ends, with a memory of pieces met before, bounded in bytes: the tokenizer's own
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeworks.runtime import ensure_checkpoint_dir, ship, table
+from lodeworks.runtime import cut, ensure_checkpoint_dir, ship, table
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -216,4 +216,4 @@ def shared_folder(spark: SparkSession) -> str:
 def op8_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark)
     write(table(spark, sf_dir, "documents"), folder, tokenizer_path())
-    return with_starts(read_digests(spark, folder)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return with_starts(cut(read_digests(spark, folder))).select("doc_id", "start", "n_tokens", "ids_crc32")

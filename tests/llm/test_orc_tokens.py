@@ -86,3 +86,9 @@ def test_empty_table(spark, tmp_path):
     folder = str(tmp_path / "none")
     o.write(spark.createDataFrame([], "doc_id long, text string"), folder, o.tokenizer_path(), parts=2)
     assert o.with_starts(o.read_digests(spark, folder)).count() == 0
+
+
+def test_the_query_reads_its_files_once(spark):
+    out = o.op8_orc_tokens(spark, "/root/testdata/sf0.001")
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()  # digests of stripes, read once, not once for the sums and once for the rows
+    assert out.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
