@@ -59,8 +59,8 @@ CELLS = BASE**DIGITS
 BEGIN, END = 50_256, 50_257
 VOCABULARY_SIZE = 50_258
 WIDTH = 16
-LENGTH = 16
-CONTEXT = 4
+LENGTH = 32
+CONTEXT = 8
 HEAD = 400_000
 HELD_OUT, FOLDS = 2, 7
 RATE = 1e-2

@@ -196,3 +196,9 @@ def test_a_full_memory_changes_nothing(monkeypatch):
     tool = a.Words(a.vocabulary_path())
     for i in range(40):
         assert tool.ids(tool.numbers([b"word%d" % i, b"other"]))[0].tolist() == tool.encoding.encode_ordinary(f" word{i} other")
+
+
+def test_eight_ids_of_context_at_least():
+    x, y, s, _ = a.windows([np.arange(200)])
+    place = np.broadcast_to(np.arange(a.LENGTH), s.shape)[s]
+    assert a.LENGTH == 32 and all(p >= min(i, 8) for i, p in enumerate(place.tolist()))
