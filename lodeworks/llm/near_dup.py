@@ -54,6 +54,8 @@ BANDS, ROWS = 50, 6
 HUB_ROUNDS = 1
 #: Rows that may be broadcast, two or three numbers each, and shingle hashes: 380,000 such rows took a driver over 300 MB.
 MAX_BROADCAST, MAX_HASHES = 100_000, 500_000
+#: Rows of a graph in each task that spreads its components, and how many tasks a small graph gets.
+GRAPH_ROWS, GRAPH_TASKS = 100_000, 8
 _SEED = np.random.default_rng(11)
 _FLIP, _TIMES = _SEED.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32), _SEED.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
@@ -240,23 +242,28 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """node, root: the smallest node of the component of every node that has an edge. edges: a, b."""
+    """node, root: the smallest node of the component of every node that has an edge. edges: a, b.
+
+    Each round leaves several shuffles and checkpoints behind; of a small graph they are in few files, however many partitions a shuffle has.
+    """
     pairs = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("x"))
     both = pairs.select("x.*")
     both = cut(both.union(both.select("node", F.col("node").alias("other"))).distinct())  # each node is next to itself, too
-    label = both.groupBy("node").agg(F.min("other").alias("root"))
+    tasks = max(GRAPH_TASKS, both.count() // GRAPH_ROWS)
+    both = both.coalesce(tasks)
+    label = both.groupBy("node").agg(F.min("other").alias("root")).coalesce(tasks)
     for _ in range(most_rounds):
         # the smallest label next to a node goes to the node and to its root (hook), then labels take their label's (jump)
         near = both.join(sorted_side(label.withColumnsRenamed({"node": "other", "root": "theirs"})), "other")
         best = near.groupBy("node").agg(F.min("theirs").alias("best"), F.max(F.when(F.col("node") == F.col("other"), F.col("theirs"))).alias("root"))
-        best = cut(best)
+        best = cut(best.coalesce(tasks))
         changed = best.where("best < root").limit(1).count()
         if not changed:
             return best.select("node", "root")
         hook = best.where("best < root").groupBy(F.col("root").alias("node")).agg(F.min("best").alias("hooked"))
         new = best.join(sorted_side(hook), "node", "left").select("node", F.least("best", F.coalesce("hooked", "best")).alias("root"))
         up = new.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        label = cut(new.join(sorted_side(up), "root").select("node", F.col("up").alias("root")))
+        label = cut(new.join(sorted_side(up), "root").select("node", F.col("up").alias("root")).coalesce(tasks))
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 

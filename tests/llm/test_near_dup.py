@@ -202,3 +202,16 @@ def test_exploded_rows_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(n, "MAX_BROADCAST", 10)
     assert "Broadcast" in plan(fps.join(n._few(fps.limit(5)), "__fp", "left_anti"))
     assert "Broadcast" not in plan(fps.join(n._few(fps), "__fp", "left_anti"))
+
+
+def test_a_small_graph_leaves_few_files_however_many_partitions_a_shuffle_has(spark):
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = n.components(spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 130)], "a long, b long"))
+        assert found.rdd.getNumPartitions() <= n.GRAPH_TASKS
+        assert {(r.node, r.root) for r in found.collect()} == {(i, 0) for i in range(31)} | {(i, 100) for i in range(100, 130)}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
