@@ -22,6 +22,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from sys import getsizeof
 from uuid import uuid4
 
@@ -39,9 +40,10 @@ STRIPE = 16 << 20
 #: Bytes of pieces and ids that a worker remembers, what Python adds to each counted too; longer pieces than LONG are not remembered.
 MEMORY = 256 << 20
 LONG = 256
-#: Marks that close a piece, right after an ASCII letter: the tokenizer never joins them with it. No apostrophe.
+#: Words that the tokenizer's rules neither change nor part, and that only have letters of their own.
 WORD = re.compile(r"[a-zß-öø-ÿ]+\Z")
-MARKS = re.compile(r"(?<=[a-zA-Z])[.,!?;:|#$%&*()\[\]{}/+=-]+\Z")
+#: Marks that close a piece, right after an ASCII letter: the tokenizer never joins them with it. No apostrophe.
+MARKS = ".,!?;:|#$%&*()[]{}/+=-"
 #: The special token put between pieces that are encoded together, and its id.
 BETWEEN, BETWEEN_ID = "<|startoftext|>", 49406
 
@@ -54,13 +56,16 @@ class Encoder:
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks already use the cores
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: for plain words between spaces, which the other's rules leave as they are
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.closes[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
-        #: ids of pieces, and of what their texts share: pieces without their closing marks
-        self.known: dict[str, bytes] = {}
-        self.bodies: dict[str, bytes] = {}
+        #: ids of pieces, those among them that others are made of: bodies and closing marks
+        self.known: dict[str, bytes] = {"": b""}
         self.held = self.missed = 0
 
     @classmethod
@@ -70,30 +75,32 @@ class Encoder:
         return cls._one[path]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(self._encode_one(self.tokenizer, t), "<u4").tobytes() for t in texts]
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Encode many pieces in few calls. Plain words stand between spaces: each is one word to the tokenizer, so its ids
         end with the only one that closes a word. Between the others stands a special token, at which it splits first."""
         plain, other, odd = [], [], []
         for p in pieces:
-            (plain if WORD.match(p) else odd if BETWEEN in p else other).append(p)
+            (plain if p.isascii() and p.isalpha() or WORD.match(p) else odd if BETWEEN in p else other).append(p)
         out = dict(zip(odd, self._encode(odd), strict=True)) if odd else {}
-        for some, between in ((plain, " "), (other, BETWEEN)):
+        for tokenizer, some, between in ((self.words, plain, " "), (self.tokenizer, other, BETWEEN)):
             for at in range(0, len(some), 2_000):
                 part = some[at : at + 2_000]
-                ids = np.array(self._encode_one(between.join(part)), "<u4")
+                ids = np.array(self._encode_one(tokenizer, between.join(part)), "<u4")
                 if between == " ":
-                    ends = np.flatnonzero(self.closes[ids]) + 1
-                    starts = np.concatenate(([0], ends[:-1]))
+                    ends = (4 * np.flatnonzero(self.closes[ids]) + 4).tolist()
+                    starts = [0, *ends[:-1]]
                 else:
-                    cuts = np.flatnonzero(ids == BETWEEN_ID)
-                    starts, ends = np.concatenate(([0], cuts + 1)), np.append(cuts, len(ids))
-                out.update((p, ids[a:b].tobytes()) for p, a, b in zip(part, starts.tolist(), ends.tolist(), strict=True))
+                    cuts = (4 * np.flatnonzero(ids == BETWEEN_ID)).tolist()
+                    starts, ends = [0, *(x + 4 for x in cuts)], [*cuts, 4 * len(ids)]
+                raw = ids.tobytes()
+                out.update(zip(part, [raw[a:b] for a, b in zip(starts, ends, strict=True)], strict=True))
         return out
 
-    def _encode_one(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+    @staticmethod
+    def _encode_one(tokenizer, text: str) -> list[int]:
+        return tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def ids(self, text: str) -> bytes:
         pieces = text.replace("\n", " ").split(" ")
@@ -103,39 +110,38 @@ class Encoder:
             return b"".join(found)
         except TypeError:  # some are not known yet
             pass
-        missing = [i for i, x in enumerate(found) if x is None]
-        new = {p: parted(p) for p in {pieces[i] for i in missing}}
-        bodies = self.bodies
-        learnt = self._learn([x for x in {part for both in new.values() for part in both} if x not in bodies])
-        got = lambda x: bodies[x] if x in bodies else learnt[x]
-        new = {p: got(body) + got(marks) for p, (body, marks) in new.items()}
-        for i in missing:
-            found[i] = new[pieces[i]]
-        new = {p: x for p, x in new.items() if len(p) <= LONG}
-        learnt = {p: x for p, x in learnt.items() if len(p) <= LONG}
-        size = sum(getsizeof(p) + getsizeof(x) + 100 for some in (new, learnt) for p, x in some.items())
+        new = dict.fromkeys([p for p, x in zip(pieces, found, strict=True) if x is None], b"")
+        parts = list(map(parted, new))
+        learnt = self._learn([x for x in dict.fromkeys(chain.from_iterable(parts)) if x not in known])
+        got = lambda x: learnt[x] if x in learnt else known[x]
+        new = {p: got(body) + got(marks) if marks else got(body) for p, (body, marks) in zip(new, parts, strict=True)}
+        out = b"".join([new[p] if x is None else x for p, x in zip(pieces, found, strict=True)])
+        learnt.update(new)
+        if len(max(learnt, key=len)) > LONG:
+            learnt = {p: x for p, x in learnt.items() if len(p) <= LONG}
+        size = sum(map(getsizeof, learnt)) + sum(map(getsizeof, learnt.values())) + 100 * len(learnt)
         if self.held + size <= MEMORY:
             self.held += size
-            known.update(new)
-            bodies.update(learnt)
+            known.update(learnt)
         else:  # full: what came first, the frequent words among it, stays, until as much was missed as is held
             self.missed += size
             if self.missed > MEMORY:
                 known.clear()
-                bodies.clear()
+                known[""] = b""
                 self.held = self.missed = 0
-        return b"".join(found)
+        return out
 
 
 def parted(piece: str) -> tuple[str, str]:
     """What the tokenizer treats alone, so that fewer are distinct: a piece up to its closing marks, and those marks. A
     capital letter of ASCII is lowered, as the tokenizer would do itself; not in what may hold a special token, as those are
-    found before letters are lowered."""
+    found before letters are lowered. What it returns is its own body."""
     if "<|" in piece:
         return piece, ""
-    found = MARKS.search(piece)
-    body, marks = (piece[: found.start()], found[0]) if found else (piece, "")
-    return body.lower() if body.isascii() else body, marks
+    body = piece.rstrip(MARKS)
+    if len(body) == len(piece) or not (body[-1:].isascii() and body[-1:].isalpha()):
+        return piece.lower() if piece.isascii() else piece, ""
+    return body.lower() if body.isascii() else body, piece[len(body) :]
 
 
 def tokenizer_path(name: str = VOCABULARY) -> str:

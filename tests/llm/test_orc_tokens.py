@@ -92,3 +92,18 @@ def test_the_query_reads_its_files_once(spark):
     out = o.op8_orc_tokens(spark, "/root/testdata/sf0.001")
     assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()  # digests of stripes, read once, not once for the sums and once for the rows
     assert out.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
+def test_a_piece_is_remembered_once_and_what_it_is_made_of_is_known(encoder):
+    fresh = o.Encoder(o.tokenizer_path())
+    fresh.ids("Zqword, zqword zqword; zqword. ſt Éa.")
+    assert set(fresh.known) == {"", "Zqword,", "zqword", "zqword;", "zqword.", ",", ";", ".", "ſt", "Éa.", "Éa"}
+    size = fresh.held
+    fresh.ids("zqword zqword, . ;")
+    assert "zqword," in fresh.known and fresh.held - size < 300  # one piece more, none of its parts again
+
+
+@pytest.mark.parametrize("piece", ["foo.", "Foo!?", "É.", "Éa.", "...", "a.b", "<|x.", "", "x|", "'s.", "foo'."])
+def test_parts_are_their_own_bodies(piece):
+    for part in o.parted(piece):
+        assert o.parted(part) == (part, "")
