@@ -36,7 +36,6 @@ from __future__ import annotations
 import base64
 import ctypes
 import math
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 from pathlib import Path
@@ -44,12 +43,12 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeworks.llm.text import UPPER
 from lodeworks.runtime import cut, ship, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -66,14 +65,16 @@ HELD_OUT, FOLDS = 2, 7
 RATE = 1e-2
 BATCH = 128
 ROUNDS = 3
-#: Distinct words a task counts before it hands them on, and bytes of words and ids a worker remembers.
-COUNTED = 500_000
+#: Bytes of words and ids a worker remembers.
 MEMORY = 192 << 20
 
-_LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 _PAST = np.tril(np.ones((LENGTH, LENGTH), np.float32))
 #: Sums of each digit's part out of one row of all of them.
 _BLOCKS = np.repeat(np.eye(DIGITS, dtype=np.float32), BASE, axis=0)
+#: Of each byte, a row of nought with one at its upper digit and, BASE further, at its lower digit.
+_HOT = np.concatenate((np.repeat(np.eye(BASE, dtype=np.float32), BASE, axis=0), np.tile(np.eye(BASE, dtype=np.float32), (BASE, 1))), axis=1)
+#: Rows of a product over many rows that are multiplied at once.
+ROWS = 256
 
 
 def one_thread() -> None:
@@ -89,8 +90,17 @@ def prefix(ids: np.ndarray, n: int) -> np.ndarray:
     return ids >> 4 * (DIGITS - n)
 
 
-def digits(ids: np.ndarray) -> tuple[np.ndarray, ...]:
-    return tuple(prefix(ids, i + 1) & 15 for i in range(DIGITS))
+def halves(ids: np.ndarray) -> np.ndarray:
+    """The ids' upper and lower bytes, two digits each (ids by 2)."""
+    return ids.ravel().astype(">u2").view(np.uint8).reshape(-1, 2)
+
+
+def over_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b for many rows of few columns, added up from products of ROWS rows."""
+    n = len(a) // ROWS * ROWS
+    out = a[n:].T @ b[n:]
+    out += (a[:n].reshape(-1, ROWS, a.shape[1]).transpose(0, 2, 1) @ b[:n].reshape(-1, ROWS, b.shape[1])).sum(axis=0)
+    return out
 
 
 def shares(counts: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
@@ -122,6 +132,8 @@ class Model:
             self._views(vector)["out"][:] = 0
             self._views(vector)["place"][:, -1] = 0
         self.base = base or shares()
+        #: the shares of all digits in one row, for each three digits that an id begins with
+        self.rows = np.concatenate([b.take(np.arange(CELLS // BASE) >> 4 * (DIGITS - 1 - i), axis=0) for i, b in enumerate(self.base)], axis=1)
         self.vector = np.ascontiguousarray(vector, np.float32)
         self.p = self._views(self.vector)
         self.moments = np.zeros((2, self.SIZE), np.float32)
@@ -135,59 +147,61 @@ class Model:
             at += a * b
         return out
 
-    def _input(self, d: tuple[np.ndarray, ...]) -> np.ndarray:
-        """The last number of an input is one: a bias, and what rows of exponents add up to where they are multiplied with inputs."""
-        out = self.p["in0"].take(d[0], axis=0)
-        for i in range(1, DIGITS):
-            out += self.p[f"in{i}"].take(d[i], axis=0)
-        out[..., -1] = 1
-        return out
+    def _pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The sum of its two digits' vectors for each upper and each lower byte.
+
+        The last number of an input is one: a bias, and what rows of exponents add up to where they are multiplied with inputs.
+        """
+        p = self.p
+        upper, lower = ((p[f"in{i}"][:, None] + p[f"in{i + 1}"]).reshape(-1, WIDTH) for i in (0, 2))
+        upper[:, -1], lower[:, -1] = 1, 0
+        return upper, lower
 
     def inputs(self) -> np.ndarray:
         """The sum of its digits' vectors for each id."""
-        return self._input(digits(np.arange(CELLS)))
+        upper, lower = self._pairs()
+        return (upper[:, None] + lower).reshape(-1, WIDTH)
 
-    def _state(self, inp: np.ndarray):
-        """inp (windows by LENGTH by WIDTH, places not added yet) and what the layer makes of it."""
+    def _state(self, inp: np.ndarray, first: int = 0):
+        """inp (windows by LENGTH by WIDTH, places not added yet) and what the layer makes of it at each window's places from `first` on."""
         p = self.p
         inp += p["place"]
-        q = (inp.reshape(-1, WIDTH) @ (p["qk"] * np.float32(WIDTH**-0.5))).reshape(inp.shape)
+        asking = inp[:, first:]
+        q = (asking.reshape(-1, WIDTH) @ (p["qk"] * np.float32(WIDTH**-0.5))).reshape(asking.shape)
         e = q @ inp.transpose(0, 2, 1)
-        if len(e) and e.max() > 60:  # far from what training gives
-            e += (_PAST - 1) * np.float32(1e9)
+        if e.size and e.max() > 60:  # far from what training gives
+            e += (_PAST[first:] - 1) * np.float32(1e9)
             e -= e.max(axis=2, keepdims=True)
         np.exp(e, out=e)
-        e *= _PAST
+        e *= _PAST[first:]
         z = e @ inp
         sums = z[:, :, -1:].copy()
         z /= sums
         h = z.reshape(-1, WIDTH) @ p["vo"]
-        h += inp.reshape(-1, WIDTH)
+        h += asking.reshape(-1, WIDTH)
         return inp, q, e, sums, z, h
 
-    def _exponents(self, h: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    def _exponents(self, h: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each state: the sum of its target's digits' logits, the exponents of all logits, and their sums by digit; then the targets' places."""
-        logits = np.empty((len(h), DIGITS * BASE), np.float32)
-        for i in range(DIGITS):
-            np.take(self.base[i], prefix(y, i), axis=0, out=logits[:, i * BASE : (i + 1) * BASE], mode="clip")
+        logits = self.rows.take(y >> 4, axis=0)
         logits += h @ self.p["out"]
         if len(h) and (logits.max() > 60 or h.max() > 1e3):  # far from what training gives
             logits = logits.reshape(-1, DIGITS, BASE)
             logits = (logits - logits.max(axis=2, keepdims=True)).reshape(-1, DIGITS * BASE)
-        row = np.arange(len(h)) * (DIGITS * BASE)
-        places = [row + (i * BASE) + d for i, d in enumerate(digits(y))]
-        flat = logits.ravel()
-        hit = flat.take(places[0]).astype(np.float64)
-        for at in places[1:]:
-            hit += flat.take(at)
+        places = y >> np.arange(4 * (DIGITS - 1), -1, -4)[:, None]
+        places &= BASE - 1
+        places += np.arange(0, DIGITS * BASE, BASE)[:, None]
+        places += np.arange(0, len(h) * DIGITS * BASE, DIGITS * BASE)
+        hit = logits.ravel().take(places).sum(axis=0, dtype=np.float64)
         np.exp(logits, out=logits)
         return hit, logits, logits @ _BLOCKS, places
 
     def log_probabilities(self, x: np.ndarray, y: np.ndarray, scored: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
         """Natural logarithms of the targets y at the scored positions of windows x, in order. table: `inputs`, if at hand."""
         table = self.inputs() if table is None else table
-        some = np.flatnonzero(scored)
-        hit, _, sums, _ = self._exponents(self._state(table.take(x, axis=0))[-1].take(some, axis=0), y.ravel().take(some))
+        first = int(scored.any(axis=0).argmax())  # nothing before it is asked for
+        some = np.flatnonzero(scored[:, first:])
+        hit, _, sums, _ = self._exponents(self._state(table.take(x, axis=0), first)[-1].take(some, axis=0), y[:, first:].ravel().take(some))
         np.log(sums, out=sums)
         return hit - sums @ np.ones(DIGITS, np.float32)
 
@@ -195,46 +209,47 @@ class Model:
         """Mean loss over the scored positions, and its gradient; without `inputs`, nought for the vectors of digits and places."""
         p, grad = self.p, np.zeros(self.SIZE, np.float32)
         g = self._views(grad)
-        own, some = digits(x) if inputs else (), np.flatnonzero(scored)
+        n = max(1, np.count_nonzero(scored))
+        # a few that are not scored weigh nothing; many are left out
+        some = slice(None) if 8 * n > 7 * scored.size else np.flatnonzero(scored)
+        weight = scored.ravel()[some] / np.float32(n)
         if inputs:
             self.table = None
+            own, (upper, lower) = halves(x), self._pairs()
+            sums = upper.take(own[:, 0], axis=0)
+            sums += lower.take(own[:, 1], axis=0)
         elif self.table is None:
             self.table = self.inputs()
-        inp, q, a, total, z, h = self._state(self._input(own) if inputs else self.table.take(x, axis=0))
-        hs = h.take(some, axis=0)
-        n = max(1, len(hs))
-        hit, e, sums, places = self._exponents(hs, y.ravel().take(some))
-        loss = float((np.log(sums).sum(axis=1) - hit).sum()) / n
-        e *= (np.float32(1 / n) / sums) @ _BLOCKS.T
-        for at in places:
-            e.ravel()[at] -= np.float32(1 / n)
-        g["out"][:] = hs.T @ e
+        inp, q, a, total, z, h = self._state(sums.reshape(*x.shape, WIDTH) if inputs else self.table.take(x, axis=0))
+        hs = h[some]
+        hit, e, sums, places = self._exponents(hs, y.ravel()[some])
+        loss = float((np.log(sums) @ np.ones(DIGITS, np.float32) - hit) @ weight)
+        e *= (weight[:, None] / sums) @ _BLOCKS.T
+        e.ravel()[places] -= weight
+        g["out"][:] = over_rows(e, hs).T
         dh = np.zeros_like(h)
         dh[some] = e @ p["out"].T
         flat = lambda m: m.reshape(-1, m.shape[-1])
         g["vo"][:] = flat(z).T @ dh
-        dz = (dh @ p["vo"].T).reshape(z.shape)
-        a /= total
+        dz = dh @ p["vo"].T
+        # of each row of scores: its own sum of gradient times share, which is the product of dz and z, taken off by the inputs' last number
+        dz[:, -1] = 0
+        dz[:, -1:] = -((dz * flat(z)) @ np.ones((WIDTH, 1), np.float32))
+        dz /= flat(total)
+        dz = dz.reshape(z.shape)
         da = dz @ inp.transpose(0, 2, 1)
-        # of each row: its own sum of gradient times share is the product of dz and z
-        da -= ((flat(dz) * flat(z)) @ np.ones((WIDTH, 1), np.float32)).reshape(total.shape)
         da *= a
         dq = flat(da @ inp)
-        dq *= np.float32(WIDTH**-0.5)
-        g["qk"][:] = flat(inp).T @ dq
+        g["qk"][:] = flat(inp).T @ dq * np.float32(WIDTH**-0.5)
         if not inputs:
             return loss, grad
         dx = dh
-        dx += dq @ p["qk"].T
+        dx += dq @ (p["qk"].T * np.float32(WIDTH**-0.5))
         dx += flat(a.transpose(0, 2, 1) @ dz)
         dx += flat(da.transpose(0, 2, 1) @ q)
         dx[:, -1] = 0
         g["place"][:] = np.ones((1, len(inp)), np.float32).dot(dx.reshape(len(inp), -1)).reshape(LENGTH, WIDTH)
-        hot = np.zeros((len(dx), DIGITS * BASE), np.float32)
-        row = np.arange(len(dx)) * (DIGITS * BASE)
-        for i, d in enumerate(own):
-            hot.ravel()[row + (i * BASE) + d.ravel()] = 1
-        into = hot.T @ dx
+        into = over_rows(_HOT.take(own, axis=0).reshape(-1, DIGITS * BASE), dx)
         for i in range(DIGITS):
             g[f"in{i}"][:] = into[i * BASE : (i + 1) * BASE]
         return loss, grad
@@ -353,8 +368,9 @@ def scores(model: Model, sequences: list[np.ndarray], table: np.ndarray | None =
     table = model.inputs() if table is None else table
     x, y, scored, who = windows(sequences)
     out = np.zeros(len(sequences))
-    for i in range(0, len(x), block):
-        part = slice(i, i + block)
+    # a sequence's first window is scored from its begin on, all others after their context
+    firsts = [np.flatnonzero(scored[:, 0]), np.flatnonzero(~scored[:, 0])]
+    for part in (some[i : i + block] for some in firsts for i in range(0, len(some), block)):
         logs = model.log_probabilities(x[part], y[part], scored[part], table)
         out += np.bincount(np.repeat(who[part], scored[part].sum(axis=1)), logs, len(sequences))
     return out / math.log(10)
@@ -400,8 +416,8 @@ def trained(rows: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, tuple[np
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(VOCABULARY_SIZE, np.int64)
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                sums += np.bincount(unpack(blob), minlength=VOCABULARY_SIZE)
+            for at in range(0, batch.num_rows, 256):
+                sums += np.bincount(np.concatenate([unpack(blob) for blob in batch.column(0).slice(at, 256).to_pylist()]), minlength=VOCABULARY_SIZE)
         some = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], names=["at", "value"])
 
@@ -428,23 +444,28 @@ def trained(rows: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, tuple[np
     return out, base
 
 
+def parted(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of texts, A-Z lower-cased; of all words one after another, which of these each is; and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    n_words = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    found = lists.flatten().dictionary_encode()
+    words, which = found.dictionary, found.indices.to_numpy()
+    real = pc.not_equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    if not real.all():  # white space at an end leaves an empty string there
+        keep = real[which]
+        n_words = np.bincount(np.repeat(np.arange(len(texts)), n_words)[keep], minlength=len(texts))
+        words, which = words.filter(pa.array(real)), (np.cumsum(real) - 1)[which[keep]]
+    return words, which, n_words
+
+
 def counted(docs: DataFrame) -> DataFrame:
     """word, c: how often each word occurs in docs (__text)."""
     ship(docs.sparkSession)
 
-    def handed(sums: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.binary()).cast(pa.string()), pa.array(list(sums.values()), pa.int64())], names=["word", "c"])
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: Counter = Counter()
-        for batch in batches:
-            for t in batch.column(0):
-                if t.is_valid:
-                    sums.update(t.as_buffer().to_pybytes().translate(_LOWER).split())
-                if len(sums) > COUNTED:
-                    yield handed(sums)
-                    sums.clear()
-        yield handed(sums)
+        for texts in (batch.column(0).slice(at, 4096) for batch in batches for at in range(0, batch.num_rows, 4096)):
+            words, which, _ = parted(texts)
+            yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(which, minlength=len(words)))], names=["word", "c"])
 
     return docs.select("__text").mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -456,20 +477,18 @@ def _looked_up(docs: DataFrame, frequent: dict[bytes, int], path: str) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = Words.of(path, name, known.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                texts = [t.as_buffer().to_pybytes().translate(_LOWER).split() if t.is_valid else [] for t in part.column(2)]
-                n_words = np.array([len(t) for t in texts])
-                words = [w for t in texts for w in t]
-                numbers = tool.numbers(words)
-                c, who = tool.counts[numbers], np.repeat(np.arange(len(texts)), n_words)
-                ids, ends = tool.ids(numbers)
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                words, which, n_words = parted(part.column(2))
+                numbers = tool.numbers(words.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist())
+                c, who = tool.counts[numbers][which], np.repeat(np.arange(part.num_rows), n_words)
+                ids, ends = tool.ids(numbers[which])
                 cuts = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(n_words)))].tolist()
                 packed = [pack(np.append(ids[a:b], END)) for a, b in zip(cuts, cuts[1:], strict=False)]
                 other = np.flatnonzero(c == 0)
-                offsets = np.concatenate(([0], np.cumsum(np.bincount(who[other], minlength=len(texts))))).astype(np.int32)
-                rare = pa.ListArray.from_arrays(pa.array(offsets), pa.array([words[i] for i in other.tolist()], pa.binary()).cast(pa.string()))
-                sums = np.bincount(who, np.log10(c + 1), len(texts))
+                offsets = np.concatenate(([0], np.cumsum(np.bincount(who[other], minlength=part.num_rows)))).astype(np.int32)
+                rare = pa.ListArray.from_arrays(pa.array(offsets), words.take(pa.array(which[other])))
+                sums = np.bincount(who, np.log10(c + 1), part.num_rows)
                 common = n_words - np.diff(offsets)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(n_words, pa.int64()), pa.array(common, pa.int64()), pa.array(sums, pa.float64()), rare, pa.array(packed, pa.binary())],

@@ -202,3 +202,49 @@ def test_eight_ids_of_context_at_least():
     x, y, s, _ = a.windows([np.arange(200)])
     place = np.broadcast_to(np.arange(a.LENGTH), s.shape)[s]
     assert a.LENGTH == 32 and all(p >= min(i, 8) for i, p in enumerate(place.tolist()))
+
+
+def test_states_are_worked_out_where_they_are_scored():
+    class Counting(a.Model):
+        rows = 0
+
+        def _state(self, *args):
+            out = super()._state(*args)
+            Counting.rows += len(out[-1])
+            return out
+
+    model, n = Counting(), a.LENGTH + 50 * (a.LENGTH - a.CONTEXT)
+    a.scores(model, [np.arange(n)])
+    assert Counting.rows == n
+
+
+def test_a_window_from_its_context_on_has_the_same_states():
+    model = a.Model()
+    model.vector[:] = np.random.default_rng(4).normal(0, 0.4, model.SIZE)
+    inputs = lambda: model.inputs().take(np.arange(10 * a.LENGTH).reshape(10, -1) * 31, axis=0)
+    whole, part = model._state(inputs())[-1], model._state(inputs(), a.CONTEXT)[-1]
+    assert np.allclose(whole.reshape(10, a.LENGTH, -1)[:, a.CONTEXT :], part.reshape(10, a.LENGTH - a.CONTEXT, -1), atol=1e-5)
+
+
+def test_padding_changes_no_gradient():
+    model = a.Model()
+    model.vector[:] = np.random.default_rng(5).normal(0, 0.3, model.SIZE)
+    model.p["place"][:, -1] = 0
+    few, many = a.windows([np.arange(5)], 0)[:3], a.windows([np.arange(5)] + [np.arange(a.LENGTH) * 3] * 9, 0)[:3]
+    dense, wide = model.gradient(*(m[1:] for m in many)), model.gradient(*many)
+    lone = model.gradient(*few)
+    share = 5 / (5 + 9 * a.LENGTH)
+    assert wide[0] == pytest.approx(share * lone[0] + (1 - share) * dense[0], rel=1e-5)
+    assert np.allclose(wide[1], share * lone[1] + (1 - share) * dense[1], atol=1e-5)
+
+
+def test_words_are_parted_as_python_parts_them():
+    import pyarrow as pa
+
+    texts = [None, "", " \t\n", "The the\x0bcat.\x0c", "A\x1cb É é x y  Z\r", "the"]
+    for part in (pa.array(texts), pa.array(["x", *texts]).slice(1), pa.array([None, None], pa.string()), pa.array(texts[1:3]), pa.array([], pa.string())):
+        words, which, n_words = a.parted(part)
+        own = [(t.as_py() or "").encode().lower().split() for t in part]
+        known = words.cast(pa.binary()).to_pylist()
+        assert [known[i] for i in which.tolist()] == [w for t in own for w in t]
+        assert n_words.tolist() == [len(t) for t in own] and len(set(known)) == len(known) and b"" not in known
