@@ -181,8 +181,8 @@ class Model:
         h += asking.reshape(-1, WIDTH)
         return inp, q, e, sums, z, h
 
-    def _exponents(self, h: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each state: the sum of its target's digits' logits, the exponents of all logits, and their sums by digit; then the targets' places."""
+    def _exponents(self, h: np.ndarray, y: np.ndarray, hits: bool = True) -> tuple[np.ndarray | None, np.ndarray, np.ndarray, np.ndarray]:
+        """For each state: the sum of its target's digits' logits (if `hits`), the exponents of all logits, and their sums by digit; then the targets' places."""
         logits = self.rows.take(y >> 4, axis=0)
         logits += h @ self.p["out"]
         if len(h) and (logits.max() > 60 or h.max() > 1e3):  # far from what training gives
@@ -192,7 +192,7 @@ class Model:
         places &= BASE - 1
         places += np.arange(0, DIGITS * BASE, BASE)[:, None]
         places += np.arange(0, len(h) * DIGITS * BASE, DIGITS * BASE)
-        hit = logits.ravel().take(places).sum(axis=0, dtype=np.float64)
+        hit = logits.ravel().take(places).sum(axis=0, dtype=np.float64) if hits else None
         np.exp(logits, out=logits)
         return hit, logits, logits @ _BLOCKS, places
 
@@ -205,8 +205,8 @@ class Model:
         np.log(sums, out=sums)
         return hit - sums @ np.ones(DIGITS, np.float32)
 
-    def gradient(self, x: np.ndarray, y: np.ndarray, scored: np.ndarray, inputs: bool = True) -> tuple[float, np.ndarray]:
-        """Mean loss over the scored positions, and its gradient; without `inputs`, nought for the vectors of digits and places."""
+    def gradient(self, x: np.ndarray, y: np.ndarray, scored: np.ndarray, inputs: bool = True, losses: bool = True) -> tuple[float | None, np.ndarray]:
+        """Mean loss over the scored positions (if `losses`), and its gradient; without `inputs`, nought for the vectors of digits and places."""
         p, grad = self.p, np.zeros(self.SIZE, np.float32)
         g = self._views(grad)
         n = max(1, np.count_nonzero(scored))
@@ -222,13 +222,15 @@ class Model:
             self.table = self.inputs()
         inp, q, a, total, z, h = self._state(sums.reshape(*x.shape, WIDTH) if inputs else self.table.take(x, axis=0))
         hs = h[some]
-        hit, e, sums, places = self._exponents(hs, y.ravel()[some])
-        loss = float((np.log(sums) @ np.ones(DIGITS, np.float32) - hit) @ weight)
+        hit, e, sums, places = self._exponents(hs, y.ravel()[some], losses)
+        loss = float((np.log(sums) @ np.ones(DIGITS, np.float32) - hit) @ weight) if losses else None
         e *= (weight[:, None] / sums) @ _BLOCKS.T
         e.ravel()[places] -= weight
         g["out"][:] = over_rows(e, hs).T
-        dh = np.zeros_like(h)
-        dh[some] = e @ p["out"].T
+        dh = e @ p["out"].T
+        if len(dh) < len(h):
+            part, dh = dh, np.zeros_like(h)
+            dh[some] = part
         flat = lambda m: m.reshape(-1, m.shape[-1])
         g["vo"][:] = flat(z).T @ dh
         dz = dh @ p["vo"].T
@@ -254,16 +256,15 @@ class Model:
             g[f"in{i}"][:] = into[i * BASE : (i + 1) * BASE]
         return loss, grad
 
-    def learn(self, x: np.ndarray, y: np.ndarray, scored: np.ndarray, inputs: bool = True, rate: float = RATE) -> float:
+    def learn(self, x: np.ndarray, y: np.ndarray, scored: np.ndarray, inputs: bool = True, rate: float = RATE) -> None:
         """One step of Adam, the smaller the later."""
-        loss, grad = self.gradient(x, y, scored, inputs)
+        grad = self.gradient(x, y, scored, inputs, losses=False)[1]
         self.steps += 1
         m, s = self.moments
         m += (1 - np.float32(0.9)) * (grad - m)
         s += (1 - np.float32(0.999)) * (grad * grad - s)
         rate /= math.sqrt(1 + self.steps / 400)
         self.vector -= np.float32(rate) * (m / (1 - 0.9**self.steps)) / (np.sqrt(s / (1 - 0.999**self.steps)) + np.float32(1e-8))
-        return loss
 
 
 def windows(sequences: list[np.ndarray], context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -273,10 +274,10 @@ def windows(sequences: list[np.ndarray], context: int = CONTEXT) -> tuple[np.nda
     many = np.where(sizes <= LENGTH, (sizes > 0).astype(np.int64), 1 + -(-(sizes - LENGTH) // step))
     room = np.where(many > 0, (many - 1) * step + LENGTH, 0)  # what a sequence's windows cover, more or less its size
     first = np.cumsum(room) - room
-    at = np.arange(sizes.sum()) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
     y, real = np.full(int(room.sum()) + LENGTH, END), np.zeros(int(room.sum()) + LENGTH, bool)
-    y[at] = np.concatenate([*sequences, np.empty(0, np.int64)])
-    real[at] = True
+    for at, ids in zip(first.tolist(), sequences, strict=True):
+        y[at : at + len(ids)] = ids
+        real[at : at + len(ids)] = True
     x = np.concatenate(([BEGIN], y[:-1]))
     x[first[many > 0]] = BEGIN
     x[~real] = END
@@ -372,7 +373,7 @@ def scores(model: Model, sequences: list[np.ndarray], table: np.ndarray | None =
     firsts = [np.flatnonzero(scored[:, 0]), np.flatnonzero(~scored[:, 0])]
     for part in (some[i : i + block] for some in firsts for i in range(0, len(some), block)):
         logs = model.log_probabilities(x[part], y[part], scored[part], table)
-        out += np.bincount(np.repeat(who[part], scored[part].sum(axis=1)), logs, len(sequences))
+        out += np.bincount(np.repeat(who[part], np.count_nonzero(scored[part], axis=1)), logs, len(sequences))
     return out / math.log(10)
 
 
