@@ -8,13 +8,18 @@ vector of nought has the cosine nought, and is its own unit vector).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeworks.functions import text as t
 from lodeworks.functions.text import bound
 from lodeworks.operators import retrieval as r
-from lodeworks.runtime import cut, few
+from lodeworks.runtime import cut, few, written
 from lodeworks.sources import store
 
 #: Scores are rounded to six digits; what is this close to a bound is looked at.
@@ -36,10 +41,10 @@ def kth(rows: DataFrame, k: int, score: str, n: str | None = None) -> DataFrame:
     return best.withColumn("upto", before).where(F.col("upto") >= k).groupBy("query_id").agg(F.max("score").alias("least"))
 
 
-def _write(rows: DataFrame, path: str, by: str) -> None:
-    """A folder for each value of `by`; a table without rows keeps its columns in a file without any."""
-    writer = rows.write.partitionBy(by) if rows.limit(1).count() else rows.write
-    writer.parquet(path)
+def _write(rows: DataFrame, path: str, by: str, there: bool) -> None:
+    """A folder for each value of `by`; a table without rows (not there) keeps its columns in a file without any."""
+    rows = rows.write.option("compression", "zstd")
+    (rows.partitionBy(by) if there else rows).parquet(path)
 
 
 # A tree of vectors over the nodes of a document, in their order.
@@ -124,7 +129,7 @@ def write_lists(vectors: DataFrame, root: str, scope: str = "document_id", lists
     sizes = placed.groupBy(scope, "list").agg(F.count("*").alias("n"), F.max(distance(F.col("u"), F.get(given, F.col("list")))).alias("radius"))
     sizes = sizes.withColumn("centre", F.get(given, F.col("list")))
     with store.publishing(spark, root) as aside:
-        _write(placed.drop("u").repartition("list", F.pmod(F.xxhash64("node_seq"), F.lit(8))), f"{aside}/vectors", "list")
+        _write(placed.drop("u").repartition("list", F.pmod(F.xxhash64("node_seq"), F.lit(8))), f"{aside}/vectors", "list", bool(centres))
         sizes.write.parquet(f"{aside}/lists")
 
 
@@ -151,26 +156,89 @@ def in_lists(asked: DataFrame, root: str, k: int, scope: str = "document_id") ->
 # Postings with block maxima.
 
 
+#: What is stored of a term and some nodes that follow each other.
+POSTINGS = "part int, document_id {}, block long, term string, idf double, avgdl double, most double, list array<struct<node_seq: int, tf: int, dl: int>>"
+
+
+def _counted(batch: pa.RecordBatch, block: int, smoothed: bool) -> pa.RecordBatch:
+    """POSTINGS of all nodes of some documents. batch: part, document_id, node_seq, tokens, in this order."""
+    part, document, seq, tokens = batch.columns
+    seq = seq.to_numpy()
+    own = np.cumsum(np.isin(np.arange(len(seq)), _changes(document)))
+    n = np.bincount(own)
+    dl = tokens.value_lengths()
+    avgdl = np.bincount(own, dl.fill_null(0).to_numpy()) / np.maximum(1, np.bincount(own, dl.is_valid().to_numpy(zero_copy_only=False)))
+    dl = dl.fill_null(0).to_numpy()
+    words = tokens.flatten().dictionary_encode()
+    order = pc.sort_indices(words.dictionary).to_numpy()
+    names, codes = words.dictionary.take(pa.array(order)), np.argsort(order)[words.indices.to_numpy()]
+    node = np.repeat(np.arange(len(seq)), dl)
+    term, node = np.divmod(np.sort((own[node] * len(names) + codes) * len(seq) + node), len(seq))  # by document, term and node
+    first = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(node, prepend=-1))
+    tf, term, node = np.diff(first, append=len(term)), term[first], node[first]
+    here = np.diff(term, prepend=-1) != 0  # where a term of a document begins
+    df, of = np.diff(np.flatnonzero(here), append=len(term)), own[node[here]]
+    raw = np.log(n[of] - df + 0.5) - np.log(df + 0.5)
+    if smoothed:
+        idf = np.log(1 + (n[of] - df + 0.5) / (df + 0.5))
+    else:
+        idf = np.where(raw < 0, r.EPSILON * (np.bincount(of, raw, len(n)) / np.maximum(1, np.bincount(of, minlength=len(n))))[of], raw)
+    idf, at = idf[np.cumsum(here) - 1], (seq[node] - 1) // block
+    impact = idf * tf * (r.K1 + 1) / (tf + r.K1 * (1 - r.B + r.B * dl[node] / avgdl[own[node]]))
+    begins = np.flatnonzero(here | (np.diff(at, prepend=-1) != 0))
+    lists = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (seq[node], tf, dl[node])], ["node_seq", "tf", "dl"])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(node)).astype(np.int32)), lists)
+    rows, most = pa.array(node[begins]), np.maximum.reduceat(impact, begins) if len(begins) else impact
+    out = [part.take(rows), document.take(rows), pa.array(at[begins].astype(np.int64)), names.take(pa.array(term[begins] % max(1, len(names)))), pa.array(idf[begins]), pa.array(avgdl[own[node[begins]]]), pa.array(most), lists]
+    return pa.RecordBatch.from_arrays(out, ["part", "document_id", "block", "term", "idf", "avgdl", "most", "list"])
+
+
+def _changes(ids: pa.Array) -> np.ndarray:
+    """Places of values that differ from the one before."""
+    codes = ids.dictionary_encode().indices.fill_null(-1).to_numpy()
+    return np.flatnonzero(codes[1:] != codes[:-1]) + 1
+
+
+def stored_postings(nodes: DataFrame, block: int, part: Column, smoothed: bool = False) -> DataFrame:
+    """POSTINGS of nodes: of each term of a document and `block` nodes that follow each other, which have it how often, and the most it adds to a score there.
+
+    A document is its own corpus, so its nodes meet in one shuffle, of texts, and are counted where they are, as many documents at once as
+    an Arrow batch has; words never leave their task. part: a function of document_id.
+    """
+    dealt = nodes.select(part.alias("part"), "document_id", "node_seq", "content").repartition("document_id").sortWithinPartitions("part", "document_id", "node_seq")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the document that the last batch ended in
+        for batch in batches:
+            held.append(batch)
+            if len(ends := _changes(pa.concat_arrays([x["document_id"][-1:] for x in held[-2:-1]] + [batch["document_id"]]))):
+                at = int(ends[-1]) - (len(held) > 1)
+                yield _counted(pa.concat_batches([*held[:-1], batch[:at]]), block, smoothed)
+                held = [batch[at:]]
+        if held:
+            yield _counted(pa.concat_batches(held), block, smoothed)
+
+    return dealt.select("part", "document_id", "node_seq", t.tokens(F.col("content")).alias("tokens")).mapInArrow(run, POSTINGS.format(nodes.schema["document_id"].dataType.simpleString()))
+
+
 def write_postings(nodes: DataFrame, root: str, block: int = 64, parts: int = 16, smoothed: bool = False) -> None:
     """Store what BM25 needs of nodes (document_id, node_id, node_seq, content) under root, in `parts` folders by document.
 
-    A row of `postings` has the impacts of one term in the `block` nodes that follow each other, and the largest of them; a
+    A row of `postings` has what gives the impacts of one term in the `block` nodes that follow each other, and the largest of them; a
     reader of the maxima alone does not read the lists. `nodes` has the nodes of each block.
     """
     part = F.pmod(F.xxhash64("document_id"), F.lit(parts)).cast("int").alias("part")
-    at = F.floor((F.col("node_seq") - 1) / block)
-    scored = r.impacts(nodes, smoothed).withColumn("block", at)
-    postings = scored.groupBy("document_id", "block", "term").agg(F.max("impact").alias("most"), F.array_sort(F.collect_list(F.struct("node_seq", "impact"))).alias("list"))
+    there = not nodes.isEmpty()
     with store.publishing(nodes.sparkSession, root) as aside:
-        _write(postings.select("*", part).repartition("part").sortWithinPartitions("part", "document_id", "term"), f"{aside}/postings", "part")
-        _write(nodes.select("document_id", at.alias("block"), "node_seq", "node_id", F.lit(parts).alias("parts"), part).repartition("part"), f"{aside}/nodes", "part")
+        _write(stored_postings(nodes, block, part, smoothed), f"{aside}/postings", "part", there)
+        _write(nodes.select("document_id", F.floor((F.col("node_seq") - 1) / block).alias("block"), "node_seq", "node_id", F.lit(parts).alias("parts"), part), f"{aside}/nodes", "part", there)
 
 
 def _blocks_scored(pairs: DataFrame, terms: DataFrame, postings: DataFrame, nodes: DataFrame) -> DataFrame:
     """query_id, document_id, node_seq, node_id, score of all nodes in the blocks that pairs (query_id, document_id, block) name."""
     pairs = few(pairs)
-    lists = postings.join(terms, ["document_id", "term"]).join(pairs, ["query_id", "document_id", "block"]).select("query_id", "document_id", "qf", F.inline("list"))
-    sums = lists.groupBy("query_id", "document_id", "node_seq").agg(F.sum(F.col("qf") * F.col("impact")).alias("sum"))
+    lists = postings.join(terms, ["document_id", "term"]).join(pairs, ["query_id", "document_id", "block"]).select("query_id", "document_id", "qf", "idf", "avgdl", F.inline("list"))
+    sums = lists.groupBy("query_id", "document_id", "node_seq").agg(F.sum(F.col("qf") * r.impact()).alias("sum"))
     every = nodes.join(pairs, ["document_id", "block"]).join(sums, ["query_id", "document_id", "node_seq"], "left")
     return every.select("query_id", "document_id", "node_seq", "node_id", (F.round(F.coalesce("sum", F.lit(0.0)), 6) + 0.0).alias("score"))
 
@@ -183,7 +251,8 @@ def block_bounds(asked: DataFrame, root: str) -> tuple[DataFrame, DataFrame, Dat
     parts = first["parts"] if first else 1
     part = F.pmod(F.xxhash64("document_id"), F.lit(parts)).cast("int")
     wanted = [row["part"] for row in asked.select(part.alias("part")).distinct().collect()]  # as many as there are folders
-    postings, nodes = (x.where(F.col("part").isin(wanted)) for x in (postings, nodes))
+    documents = few(asked.select("document_id").distinct())  # of what is stored, little is met in the joins that follow
+    postings, nodes = (x.where(F.col("part").isin(wanted)).join(documents, "document_id", "left_semi") for x in (postings, nodes))
     terms = cut(asked.select("query_id", "document_id", F.explode(t.tokens(F.col("query_text"))).alias("term")).groupBy("query_id", "document_id", "term").agg(F.count("*").alias("qf")))
     most = postings.select("document_id", "block", "term", "most").join(few(terms), ["document_id", "term"])
     most = most.groupBy("query_id", "document_id", "block").agg(F.sum(F.col("qf") * F.greatest("most", F.lit(0.0))).alias("hi"))
@@ -200,6 +269,7 @@ def chosen_blocks(bounds: DataFrame, k: int) -> DataFrame:
 def in_postings(asked: DataFrame, root: str, k: int) -> DataFrame:
     """The rows of retrieval.bm25 from stored postings: blocks whose bound is below the k-th score found so far are never scored."""
     bounds, terms, postings, nodes = block_bounds(asked, root)
+    postings, nodes = written(postings), written(nodes)  # of the documents asked about, read once
     first = cut(chosen_blocks(bounds, k))
     found = cut(_blocks_scored(first, terms, postings, nodes))
     more = cut(later_blocks(bounds, first, found, k))

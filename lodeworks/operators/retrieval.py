@@ -117,19 +117,11 @@ def _with_idf(df: DataFrame, smoothed: bool) -> DataFrame:
     return df.withColumn("raw", raw).withColumn("mean", mean).withColumn("idf", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")))
 
 
-def _impact() -> Column:
+def impact() -> Column:
+    """What a term in a question adds to a node's score."""
     return F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
 
 
-def impacts(nodes: DataFrame, smoothed: bool = False) -> DataFrame:
-    """document_id, node_seq, term, impact: what a term in a question adds to a node's BM25 score."""
-    some = cut(nodes.select("document_id", "node_seq", t.tokens(F.col("content")).alias("tokens"))).withColumn("dl", F.size("tokens"))
-    stats = some.groupBy("document_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = some.select("document_id", "node_seq", "dl", F.explode("tokens").alias("term")).groupBy("document_id", "node_seq", "dl", "term").agg(F.count("*").alias("tf"))
-    idf = _with_idf(tf.groupBy("document_id", "term").agg(F.count("*").alias("df")).join(stats, "document_id"), smoothed)
-    return tf.join(idf, ["document_id", "term"]).select("document_id", "node_seq", "term", _impact().alias("impact"))
-
-
 def bm25(asked: DataFrame, nodes: DataFrame, k: int, smoothed: bool = False) -> DataFrame:
     """BM25 with each document as its own corpus; every node of the document is scored, so zero scores can fill a list.
 
@@ -144,7 +136,7 @@ def bm25(asked: DataFrame, nodes: DataFrame, k: int, smoothed: bool = False) ->
     idf = _with_idf(df, smoothed)
     terms = asked.select("query_id", "document_id", F.explode(t.tokens(F.col("query_text"))).alias("term")).groupBy("query_id", "document_id", "term").agg(F.count("*").alias("qf"))
     met = terms.join(idf, ["document_id", "term"]).join(tf, ["document_id", "term"])
-    part = F.col("qf") * _impact()
+    part = F.col("qf") * impact()
     sums = met.groupBy("query_id", "document_id", "node_seq").agg(F.sum(part).alias("sum"))
     every = asked.select("query_id", "document_id").join(some.select("document_id", "node_seq", "node_id"), "document_id")
     scored = every.join(sums, ["query_id", "document_id", "node_seq"], "left").withColumn("score", F.round(F.coalesce("sum", F.lit(0.0)), 6) + 0.0)

@@ -1,10 +1,13 @@
 import random
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodeworks.operators import indexes as ix
 from lodeworks.operators import retrieval as r
+from lodeworks.runtime import ensure_checkpoint_dir
 from lodeworks.sources import store
 
 
@@ -95,6 +98,26 @@ def test_postings_give_the_exact_ranking(wanted, nodes, tmp_path, k, smoothed):
     assert rows(ix.in_postings(wanted, root, k)) == rows(r.bm25(wanted, nodes, k, smoothed))
 
 
+def test_postings_are_counted_where_a_document_is(spark, wanted, nodes, tmp_path):
+    """Texts are shuffled once, and nothing else of all the documents is written but the index; batches may end within a document."""
+    ensure_checkpoint_dir(spark)
+    kept = Path(urlparse(spark.sparkContext._jsc.sc().getCheckpointDir().get()).path)
+    there, batch = set(kept.iterdir()), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        ix.write_postings(nodes, str(tmp_path / "postings"), block=16)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert set(kept.iterdir()) == there
+    assert str(ix.stored_postings(nodes, 16, F.lit(0))._jdf.queryExecution().executedPlan().toString()).count("Exchange ") == 1
+    assert rows(ix.in_postings(wanted, str(tmp_path / "postings"), 10)) == rows(r.bm25(wanted, nodes, 10))
+
+
+def test_postings_of_no_nodes(wanted, nodes, tmp_path):
+    ix.write_postings(nodes.limit(0), str(tmp_path / "none"))
+    assert ix.in_postings(wanted, str(tmp_path / "none"), 3).count() == 0
+
+
 def test_blocks_below_the_running_threshold_are_skipped(wanted, nodes, tmp_path):
     root = str(tmp_path / "postings")
     ix.write_postings(nodes, root, block=16)
