@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions import text as t
 from lodeworks.functions.text import bound
+from lodeworks.operators.nearest import nearest
 from lodeworks.runtime import cut, few
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -156,12 +157,17 @@ def cosine(a: Column, b: Column) -> Column:
 def by_vector(asked: DataFrame, vectors: DataFrame, k: int, scope: str = "document_id", score=cosine, blocks: int = 16) -> DataFrame:
     """Exact top k by cosine within the scope. asked: query_id, scope, query_vector; vectors: scope, node_seq, vector.
 
-    A scope's vectors are dealt over `blocks` blocks, each question goes to all of them; the k best of each are merged.
+    A scope's vectors are dealt over `blocks` blocks, each question goes to all of them; the k best of each are merged. Cosines are found by products of matrices in
+    tasks; another score, an expression over two vectors, is worked out for each pair.
     """
-    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("node_seq"), F.lit(blocks)).cast("int"))
-    met = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, [scope, "block"])
-    scored = met.select("query_id", scope, "block", "node_seq", (F.round(score(F.col("query_vector"), F.col("vector")), 6) + 0.0).alias("score"))
-    return top(top(scored, k, ("query_id", "block")), k).select("query_id", scope, "rank", "node_seq", "score")
+    dealt = vectors.select(scope, "node_seq", "vector", F.pmod(F.xxhash64("node_seq"), F.lit(blocks)).cast("int").alias("block"))
+    met = asked.select("query_id", scope, "query_vector", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    if score is cosine:
+        best = nearest(met, dealt, k, (scope, "block")).withColumn("score", F.round("score", 6) + 0.0)
+    else:
+        scored = met.join(dealt, [scope, "block"]).select("query_id", scope, "block", "node_seq", (F.round(score(F.col("query_vector"), F.col("vector")), 6) + 0.0).alias("score"))
+        best = top(scored, k, ("query_id", "block"))
+    return top(best, k).select("query_id", scope, "rank", "node_seq", "score")
 
 
 def reranked(ranked: DataFrame, rescored: Column, k: int) -> DataFrame:
