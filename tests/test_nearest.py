@@ -3,6 +3,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lodeworks.jobs import queries
 from lodeworks.operators import nearest as near
 from lodeworks.operators import retrieval as r
 
@@ -56,3 +57,12 @@ def test_halves_are_rounded_away_from_nought():
     x = np.array([0.0000005, -0.0000005, 0.1234565, 0.5, -0.9999996, 1.0, 0.1234564999])
     assert near.rounded(x).tolist() == [0.000001, -0.000001, 0.123457, 0.5, -1.0, 1.0, 0.123456]
     assert near.matrix(pa.array([[1.0, 2.0], None, [3.0], [4.0, None]]), 2).tolist() == [[1.0, 2.0], [0.0, 0.0], [0.0, 0.0], [0.0, 0.0]]
+
+
+def test_a_pair_is_scored_again_only_if_it_is_among_the_first(spark, tmp_path):
+    """The rows that are ranked again come out of the matrices: no join of questions and vectors by their scope."""
+    spark.range(200).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.sin(F.col("id") * i).cast("float")).alias("embedding"), (F.col("id") % 2).cast("int").alias("label")).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = queries.vector_rerank_topk(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and not [line for line in plan.splitlines() if "Join" in line and "label" in line]
+    assert got.count() == 4 * 10
