@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 from lodeworks.functions import text as t
 from lodeworks.functions.text import bound
 from lodeworks.operators import retrieval as r
+from lodeworks.operators.nearest import SLACK, matrix, nearest, units
 from lodeworks.runtime import cut, few, written
 from lodeworks.sources import store
 
-#: Scores are rounded to six digits; what is this close to a bound is looked at.
-SLACK = 2e-6
+#: Tasks that share the vectors of a scope in one list.
+_BLOCKS = 4
 
 
 def unit(v: Column) -> Column:
@@ -104,10 +105,36 @@ def _constant(rows: list[list[float]]) -> Column:
     return F.from_json(F.lit(str([list(map(float, v)) for v in rows])), "array<array<double>>")
 
 
-def nearest_list(v: Column, centres: Column) -> Column:
-    """The number of the centre that the unit vector v is nearest to, the first of equals."""
-    best = F.array_max(F.transform(centres, lambda c, i: F.struct((r.dot(v, c) - r.dot(c, c) / 2).alias("s"), (-i).alias("i"))))
-    return -best["i"]
+def _listed(vectors: DataFrame, centres: list[list[float]], scope: str) -> DataFrame:
+    """scope, node_seq, vector, list, far: the number of the centre that a vector's unit vector is nearest to, the first of equals, and how far that is."""
+    given = np.array(centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u = units(matrix(batch["vector"], given.shape[1]))
+            at = np.argmax(np.nan_to_num(u) @ given.T - (given * given).sum(1) / 2, axis=1)
+            far = np.sqrt(((u - given[at]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32)), pa.array(far)], [*batch.schema.names, "list", "far"])
+
+    return vectors.select(scope, "node_seq", "vector").mapInArrow(run, _schema(vectors, scope) + ", list int, far double")
+
+
+def _schema(rows: DataFrame, scope: str) -> str:
+    return ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (scope, "node_seq", "vector"))
+
+
+def _sums(placed: DataFrame, size: int) -> DataFrame:
+    """list, n, sum: how many vectors a list has in a batch, and the sum of their unit vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, at = np.nan_to_num(units(matrix(batch["vector"], size))), batch["list"].to_numpy()
+            lists, at = np.unique(at, return_inverse=True)
+            sums = np.zeros((len(lists), size))
+            np.add.at(sums, at, u)
+            yield pa.RecordBatch.from_arrays([pa.array(lists), pa.array(np.bincount(at, minlength=len(lists))), pa.array(list(sums), pa.list_(pa.float64()))], ["list", "n", "sum"])
+
+    return placed.select("list", "vector").mapInArrow(run, "list int, n long, sum array<double>")
 
 
 def write_lists(vectors: DataFrame, root: str, scope: str = "document_id", lists: int = 16, rounds: int = 2) -> None:
@@ -119,25 +146,27 @@ def write_lists(vectors: DataFrame, root: str, scope: str = "document_id", lists
     spark, some = vectors.sparkSession, vectors.select(scope, "node_seq", "vector")
     first = some.orderBy(F.xxhash64("node_seq", F.col(scope)), F.col(scope), "node_seq").limit(lists).select(unit(F.col("vector")).alias("u"))
     centres = [row["u"] for row in first.collect()]  # `lists` rows at most
-    for _ in range(rounds if centres else 0):
-        placed = some.select(unit(F.col("vector")).alias("u")).withColumn("list", nearest_list(F.col("u"), _constant(centres)))
-        means = placed.groupBy("list").agg(*(F.avg(F.get("u", F.lit(i))).alias(f"m{i}") for i in range(len(centres[0])))).collect()  # a row a list
-        for row in means:
-            centres[row["list"]] = list(row)[1:]
-    given = _constant(centres or [[0.0]])
-    placed = cut(some.withColumn("u", unit(F.col("vector"))).withColumn("list", nearest_list(F.col("u"), given)))
-    sizes = placed.groupBy(scope, "list").agg(F.count("*").alias("n"), F.max(distance(F.col("u"), F.get(given, F.col("list")))).alias("radius"))
-    sizes = sizes.withColumn("centre", F.get(given, F.col("list")))
+    there = bool(centres)
+    centres = centres or [[0.0]]
+    for _ in range(rounds if there else 0):
+        size = len(centres[0])
+        sums = _sums(_listed(some, centres, scope), size).groupBy("list").agg(F.sum("n").alias("n"), *(F.sum(F.get("sum", F.lit(i))).alias(f"m{i}") for i in range(size)))
+        for row in sums.collect():  # a row a list
+            centres[row["list"]] = [x / row["n"] for x in list(row)[2:]]
+    given = _constant(centres)
+    placed = cut(_listed(some, centres, scope))
+    sizes = placed.groupBy(scope, "list").agg(F.count("*").alias("n"), F.max("far").alias("radius")).withColumn("centre", F.get(given, F.col("list")))
     with store.publishing(spark, root) as aside:
-        _write(placed.drop("u").repartition("list", F.pmod(F.xxhash64("node_seq"), F.lit(8))), f"{aside}/vectors", "list", bool(centres))
+        _write(placed.drop("far").repartition("list", F.pmod(F.xxhash64("node_seq"), F.lit(8))), f"{aside}/vectors", "list", there)
         sizes.write.parquet(f"{aside}/lists")
 
 
-def _in_lists(asked: DataFrame, pairs: DataFrame, stored: DataFrame, scope: str) -> DataFrame:
-    """query_id, scope, node_seq, score of the vectors in the lists that pairs (query_id, list) name; folders of no such list are not read."""
+def _in_lists(asked: DataFrame, pairs: DataFrame, stored: DataFrame, scope: str, k: int | None = None) -> DataFrame:
+    """query_id, scope, node_seq, score of the vectors, the k best of each at least, in the lists that pairs (query_id, list) name; folders of no such list are not read."""
     wanted = [row["list"] for row in pairs.select("list").distinct().collect()]  # as many as there are lists
-    met = few(pairs).join(asked, "query_id").join(stored.where(F.col("list").isin(wanted)), [scope, "list"])
-    return met.select("query_id", scope, "node_seq", (F.round(r.cosine(F.col("query_vector"), F.col("vector")), 6) + 0.0).alias("score"))
+    met = few(pairs).join(asked, "query_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(_BLOCKS - 1))))
+    stored = stored.where(F.col("list").isin(wanted)).withColumn("block", F.pmod(F.xxhash64("node_seq"), F.lit(_BLOCKS)).cast("int"))
+    return nearest(met, stored, k, (scope, "list", "block")).select("query_id", scope, "node_seq", (F.round("score", 6) + 0.0).alias("score"))
 
 
 def in_lists(asked: DataFrame, root: str, k: int, scope: str = "document_id") -> DataFrame:
@@ -148,9 +177,9 @@ def in_lists(asked: DataFrame, root: str, k: int, scope: str = "document_id") ->
     near = cut(near.select("query_id", "list", "s", (F.col("s") + F.col("radius")).alias("hi"), "n"))
     order = Window.partitionBy("query_id").orderBy(F.col("s").desc(), "list")  # a row a list
     placed = cut(near.withColumn("before", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
-    found = cut(_in_lists(asked, placed.where(F.col("before") < k), stored, scope))
+    found = cut(_in_lists(asked, placed.where(F.col("before") < k), stored, scope, k))
     more = placed.where(F.col("before") >= k).join(kth(found, k, "score"), "query_id").where(F.col("hi") >= F.col("least") - SLACK)
-    return r.top(found.unionByName(_in_lists(asked, cut(more.select("query_id", "list")), stored, scope)), k).select("query_id", scope, "rank", "node_seq", "score")
+    return r.top(found.unionByName(_in_lists(asked, cut(more.select("query_id", "list")), stored, scope, k)), k).select("query_id", scope, "rank", "node_seq", "score")
 
 
 # Postings with block maxima.

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeworks.jobs import queries
+from lodeworks.operators import indexes as ix
 from lodeworks.operators import nearest as near
 from lodeworks.operators import retrieval as r
 
@@ -53,6 +54,15 @@ def test_few_pairs_leave_their_task(spark, odd):
     assert "MapInArrow" in text and "Join" not in text
 
 
+def test_lists_are_searched_by_matrices(spark, odd, tmp_path):
+    vectors = odd.where("document_id IS NOT NULL AND size(vector) = 3 AND NOT exists(vector, x -> x IS NULL OR x IN (double('NaN'), 1e200D))")
+    wanted = vectors.where("node_seq % 5 = 0").select(F.concat_ws("-", "document_id", "node_seq").alias("query_id"), "document_id", F.col("vector").alias("query_vector"))
+    ix.write_lists(vectors, str(tmp_path / "lists"), lists=5)
+    got = ix.in_lists(wanted, str(tmp_path / "lists"), K)
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    assert rows(got) == rows(r.by_vector(wanted, vectors, K, score=lambda a, b: r.cosine(a, b)))
+
+
 def test_halves_are_rounded_away_from_nought():
     x = np.array([0.0000005, -0.0000005, 0.1234565, 0.5, -0.9999996, 1.0, 0.1234564999])
     assert near.rounded(x).tolist() == [0.000001, -0.000001, 0.123457, 0.5, -1.0, 1.0, 0.123456]
