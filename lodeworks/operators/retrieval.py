@@ -29,11 +29,13 @@ def top(scored: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), tie: str
 _FILTER_BITS = 1 << 20
 
 
-def _keys(text: Column, n: int) -> Column:
-    """Hashes of all runs of three words (n = 0), or of n characters, of a text."""
+def _keys(text: Column, n: int, begins=None) -> Column:
+    """Hashes of all runs of three words (n = 0) whose first word's hash begins lets through, or of n characters, of a text."""
     size = n or 3
     parts = F.split(text, "" if n else " ", -1)
-    return bound(parts, lambda p: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(p) - size + 1)), lambda i: F.xxhash64(F.lit(n), F.array_join(F.slice(p, i, size), "" if n else " "))))
+    every = lambda p: F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(p) - size + 1))
+    places = every if n else lambda p: F.filter(every(p), lambda i: begins(F.xxhash64(F.get(p, i - 1))))
+    return bound(parts, lambda p: F.transform(places(p), lambda i: F.xxhash64(F.lit(n), F.array_join(F.slice(p, i, size), "" if n else " "))))
 
 
 def _filter(keys: DataFrame) -> Column:
@@ -75,17 +77,18 @@ def ground_truth(nodes: DataFrame, benchmark: DataFrame) -> DataFrame:
     threes = bound(words, lambda w: F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(w) - 3)), lambda i: F.array_join(F.slice(w, i, 3), " ")))
     three = F.array_max(F.transform(threes, lambda x, i: F.struct(F.length(x).alias("n"), (-i).alias("i"), x.alias("x"))))["x"]
     keyed = items.withColumn("kind", F.when(F.size(words) >= 5, 0).otherwise(few_))
-    keyed = cut(keyed.withColumn("key", F.xxhash64("kind", F.when(F.col("kind") == 0, three).otherwise(middle))).select("query_id", "query_text", "lines", "at", "kind", "key"))
+    keyed = cut(keyed.withColumn("key", F.xxhash64("kind", F.when(F.col("kind") == 0, three).otherwise(middle))).withColumn("word", F.when(F.col("kind") == 0, F.xxhash64(F.substring_index(three, " ", 1)))).select("query_id", "query_text", "lines", "at", "kind", "key", "word"))
     kinds = [row["kind"] for row in keyed.select("kind").distinct().collect()]  # six rows at most
     if not kinds:
         return nodes.limit(0).select(F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("query_id"), F.lit("").alias("query_text"), "document_id", "node_id", "node_seq")
-    there = _filter(keyed.select("key"))
-    found = nodes.select("document_id", "node_seq", F.explode(F.array_distinct(F.filter(F.concat(*(_keys(F.col("content"), n) for n in kinds)), there))).alias("key"))
+    there, begins = _filter(keyed.select("key")), _filter(keyed.where("kind = 0").select(F.col("word").alias("key")))
+    found = nodes.select("document_id", "node_seq", F.explode(F.array_distinct(F.filter(F.concat(*(_keys(F.col("content"), n, begins) for n in kinds)), there))).alias("key"))
     met = found.join(few(keyed.select("query_id", "key", "lines", "at"), 10_000), "key").select("document_id", (F.col("node_seq") - F.col("at")).alias("start"), "query_id", "lines")
     parts = met.select("document_id", "start", "query_id", F.size("lines").alias("n"), F.posexplode("lines").alias("i", "line"))
-    parts = few(cut(parts.select(F.col("document_id").alias("of"), "start", "query_id", "n", "i", "line", (F.col("start") + F.col("i")).alias("seq")).distinct()), 20_000)
+    parts = cut(parts.select(F.col("document_id").alias("of"), "start", "query_id", "n", "i", "line", (F.col("start") + F.col("i")).alias("seq")).distinct())
+    some = nodes.join(few(parts.select("of").distinct()), F.col("document_id").eqNullSafe(F.col("of")), "left_semi")  # contents of other documents are met by nothing
     same = F.when(F.col("n") == 1, F.col("content").contains(F.col("line"))).when(F.col("i") == 0, F.col("content").endswith(F.col("line"))).when(F.col("i") == F.col("n") - 1, F.col("content").startswith(F.col("line"))).otherwise(F.col("content") == F.col("line"))
-    held = nodes.join(parts, F.col("document_id").eqNullSafe(F.col("of")) & (F.col("node_seq") == F.col("seq")) & same)
+    held = some.join(few(parts, 20_000), F.col("document_id").eqNullSafe(F.col("of")) & (F.col("node_seq") == F.col("seq")) & same)
     held = cut(held.select("query_id", "document_id", "start", "n", "node_id", "node_seq").distinct())
     whole = held.groupBy("query_id", "document_id", "start", "n").agg(F.count("*").alias("c")).where("c = n").select("query_id", F.col("document_id").alias("of"), "start")
     out = held.alias("h").join(whole.alias("w"), (F.col("h.query_id") == F.col("w.query_id")) & F.col("document_id").eqNullSafe(F.col("of")) & (F.col("h.start") == F.col("w.start")))
@@ -123,13 +126,18 @@ def impact() -> Column:
     return F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
 
 
+def _of_asked(nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """The nodes of documents that are asked about: Spark meets them before it makes nodes of documents, and shuffles no others."""
+    return nodes.join(few(asked.select("document_id").distinct()), "document_id", "left_semi")
+
+
 def bm25(asked: DataFrame, nodes: DataFrame, k: int, smoothed: bool = False) -> DataFrame:
     """BM25 with each document as its own corpus; every node of the document is scored, so zero scores can fill a list.
 
     Inverse document frequency is ln(N - df + 0.5) - ln(df + 0.5), a negative one replaced by EPSILON times the document's mean;
     smoothed: ln(1 + (N - df + 0.5) / (df + 0.5)).
     """
-    some = nodes.join(asked.select("document_id").distinct(), "document_id", "left_semi")
+    some = _of_asked(nodes, asked)
     some = cut(some.select("document_id", "node_id", "node_seq", t.tokens(F.col("content")).alias("tokens"))).withColumn("dl", F.size("tokens"))
     stats = some.groupBy("document_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     tf = some.select("document_id", "node_seq", "dl", F.explode("tokens").alias("term")).groupBy("document_id", "node_seq", "dl", "term").agg(F.count("*").alias("tf"))
@@ -184,15 +192,16 @@ def overlap_score(question: Column, content: Column) -> Column:
 def hashed_vector(content: Column, size: int = 64) -> Column:
     """A stand-in for an embedder: counts of token hashes."""
     at = F.transform(t.tokens(content), lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 6), 16, 10).cast("int") % size)
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)).cast("double"))
+    return bound(at, lambda a: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: (F.size(a) - F.size(F.array_remove(a, i))).cast("double")))
 
 
 def hybrid(asked: DataFrame, nodes: DataFrame, k: int, n: int) -> DataFrame:
-    """BM25 narrows a document to n nodes, hashed vectors rank those."""
+    """BM25 narrows a document to n nodes, hashed vectors rank those. Each text is hashed once."""
     some = bm25(asked, nodes, n).select("query_id", "document_id", "node_seq", "node_id")
-    rows = some.join(asked.select("query_id", "query_text"), "query_id").join(nodes.select("document_id", "node_seq", "content"), ["document_id", "node_seq"])
-    near = cosine(hashed_vector(F.col("query_text")), hashed_vector(F.col("content")))
-    return top(rows.withColumn("score", F.round(near, 6) + 0.0), k).select("query_id", "document_id", "rank", "node_id", "node_seq", "score")
+    questions = cut(asked.select("query_id", hashed_vector(F.col("query_text")).alias("a")))
+    contents = some.join(_of_asked(nodes, asked).select("document_id", "node_seq", "content"), ["document_id", "node_seq"])
+    rows = cut(contents.select("query_id", "document_id", "node_seq", "node_id", hashed_vector(F.col("content")).alias("b"))).join(questions, "query_id")
+    return top(rows.withColumn("score", F.round(cosine(F.col("a"), F.col("b")), 6) + 0.0), k).select("query_id", "document_id", "rank", "node_id", "node_seq", "score")
 
 
 def tree_levels(nodes: DataFrame, fanout: int = FANOUT, most_levels: int = 20) -> DataFrame:

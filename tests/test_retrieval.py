@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 from collections import Counter
@@ -96,6 +97,26 @@ def test_a_passage_deep_in_a_node_is_found_through_the_tree(spark):
     assert indexes.by_vector_tree(wanted, indexes.vector_tree(vectors), vectors, 1).first().node_seq == 18
 
 
+def test_a_text_is_hashed_once(spark):
+    text = "Red fox, red wine; 4.2% of the fox"
+    got = spark.createDataFrame([(text,), ("",)], "content string").select(r.hashed_vector(F.col("content"), 16).alias("v"))
+    assert got._jdf.queryExecution().executedPlan().toString().count("filter(") == 0
+    words = [int(hashlib.md5(w.encode()).hexdigest()[:6], 16) % 16 for w in ("red", "fox", "red", "wine", "4.2%", "of", "the", "fox")]
+    assert [x.v for x in got.collect()] == [[float(words.count(i)) for i in range(16)], [0.0] * 16]
+
+
+def test_a_hybrid_ranks_the_first_of_bm25_by_vectors(nodes, asked):
+    plan = r.hybrid(asked, nodes, 2, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "md5" not in plan  # hashed before the join, not for each use of a vector
+    texts = {(f"{d}_n{i:04d}", q): (d, i, c, w) for d, ts in TEXTS.items() for i, c in enumerate(ts, 1) for q, e, w in (("q1", "d", "red fox fox"), ("q2", "e", "line nothing")) if e == d}
+    h = lambda s: Counter(int(hashlib.md5(w.encode()).hexdigest()[:6], 16) % 64 for w in s.split())
+    near = lambda a, b: round(sum(a[x] * b[x] for x in a) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values())), 6)
+    first = {(g.query_id, g.node_id) for g in r.bm25(asked, nodes, 4).collect()}
+    best = {q: sorted((-near(h(w), h(c)), i, n) for (n, q2), (d, i, c, w) in texts.items() if q2 == q and (q, n) in first)[:2] for q in ("q1", "q2")}
+    got = {q: [(-g.score, g.node_seq, g.node_id) for g in sorted(r.hybrid(asked, nodes, 2, 4).where(F.col("query_id") == q).collect(), key=lambda g: g["rank"])] for q in best}
+    assert {q: [x[1:] for x in v] for q, v in got.items()} == {q: [x[1:] for x in v] for q, v in best.items()}
+
+
 def test_tree_has_one_root(spark):
     rows = spark.createDataFrame([("t", i + 1) for i in range(101)] + [("u", 1)], "document_id string, node_seq int")
     widths = {(g.document_id, g.level): g["count"] for g in r.tree_levels(rows).groupBy("document_id", "level").count().collect()}
